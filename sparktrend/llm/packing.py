@@ -14,8 +14,10 @@ length.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -27,8 +29,8 @@ from pyspark.sql import functions as F
 
 from sparktrend.llm.common import materialize
 
-#: Entries of a worker's word cache before it starts anew (a memory bound; results don't depend on it).
-CACHE_ENTRIES = 300_000
+#: Entries of a generation of a worker's word cache (a memory bound; results don't depend on it).
+CACHE_ENTRIES = 400_000
 #: Branch-and-bound nodes for one filling; beyond them the incumbent (a best fit) is used, which is always valid.
 NODES = 20_000
 _PLAIN = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -36,7 +38,13 @@ _words: dict[str, _Words] = {}
 
 
 class _Words(dict):
-    """Token ids (little-endian uint32 bytes) of white-space separated words, filled on demand."""
+    """Token ids (little-endian uint32 bytes) of white-space separated words, filled on demand.
+
+    Two generations bound the memory and keep what is in use. Letters below
+    U+0250 need no normalising but lower case, so words of them skip that part
+    of the library's pipeline, and share an entry of their lower-case form and
+    of the signs behind them.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -44,20 +52,28 @@ class _Words(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        spec = json.loads(self.tokenizer.to_str())
+        steps = spec["pre_tokenizer"].get("pretokenizers", [])
+        self.letters = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": next(s for s in steps if s["type"] == "ByteLevel"), "added_tokens": []}))
+        self.old: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= CACHE_ENTRIES:
+            self.old = dict(self)
             self.clear()
-        core = word.rstrip(_PLAIN)
-        if core != word and core.isalpha() and word.isascii():
-            ids = self[core] + self[word[len(core) :]]  # letters, then other signs: two pre-tokens
-        elif word.isascii() and word.isalpha() and not word.islower():
-            ids = self[word.lower()]
-        else:
-            ids = self.encode(word)
+        if (ids := self.old.get(word)) is None:
+            core = word.rstrip(_PLAIN)
+            if not core.isalpha() or max(core) >= "\u0250" or "\u0130" in core:
+                ids = self.encode(word)
+            elif core != word:
+                ids = self[core] + self[word[len(core) :]]  # letters, then other signs: two pre-tokens
+            elif not word.islower():
+                ids = self[word.lower()]
+            else:
+                ids = array("I", self.letters.encode(word, add_special_tokens=False).ids).tobytes()
         self[word] = ids
         return ids
 
