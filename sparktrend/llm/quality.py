@@ -8,13 +8,15 @@ expression, so that scoring is a projection without Python or a shuffle.
 
 from __future__ import annotations
 
+import functools
+import operator
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparktrend.llm.common import WORD, fresh
+from sparktrend.llm.common import WORD
 
 #: Most labelled rows that a fit reads (the first by a hash of doc_id).
 SAMPLE_ROWS = 20_000
@@ -51,16 +53,26 @@ class RuleModel:
     bias: float
     rules: tuple[tuple[tuple[tuple[str, bool, float], ...], float], ...]
 
-    def column(self, stats: dict[str, Column] | None = None) -> Column:
-        """The score as a column; ``stats`` by name, columns of those names if None."""
-        at = lambda name: stats[name] if stats else F.col(name)
-        total = F.lit(self.bias)
-        for conditions, weight in self.rules:
-            holds = F.lit(True)
-            for name, above, cut in conditions:
-                holds = holds & (at(name) > cut if above else at(name) <= cut)
-            total = total + F.when(holds, F.lit(weight)).otherwise(F.lit(0.0))
-        return 1 / (1 + F.exp(-total))
+    def column(self, stats: dict[str, Column]) -> Column:
+        """The score as a column of statistics by name.
+
+        The rules read a struct of the statistics through a lambda: each
+        statistic is computed once a row however many rules use it, also where
+        the optimizer moves the expression into a filter, and the generated
+        code doesn't grow with the rules.
+        """
+        used = sorted({name for conditions, _ in self.rules for name, _, _ in conditions})
+        if not used:
+            return F.lit(1 / (1 + float(np.exp(-self.bias))))
+
+        def total(s: Column) -> Column:
+            out = F.lit(self.bias)
+            for conditions, weight in self.rules:
+                holds = [s[name] > cut if above else s[name] <= cut for name, above, cut in conditions]
+                out = out + F.when(functools.reduce(operator.and_, holds), F.lit(weight)).otherwise(F.lit(0.0))
+            return 1 / (1 + F.exp(-out))
+
+        return F.element_at(F.transform(F.array(F.struct(*[stats[n].alias(n) for n in used])), total), 1)
 
 
 def grow_tree(x: np.ndarray, cuts: list[np.ndarray], gradient: np.ndarray, hessian: np.ndarray, depth: int = DEPTH, least: int = 20) -> list:
@@ -182,10 +194,4 @@ def score(docs: DataFrame, model: RuleModel, text: str = "text", name: str = "sc
 
     Keeps every row and other column; a column ``name`` of ``docs`` is replaced.
     """
-    stats = statistics(F.col(f"`{text}`"))
-    own, taken = {}, list(docs.columns)
-    for n in stats:
-        own[n] = fresh(f"__{n}", taken)
-        taken.append(own[n])
-    wide = docs.select("*", *[c.alias(own[n]) for n, c in stats.items()])
-    return wide.withColumn(name, model.column({n: F.col(c) for n, c in own.items()})).drop(*own.values())
+    return docs.withColumn(name, model.column(statistics(F.col(f"`{text}`"))))
