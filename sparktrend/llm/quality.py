@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import functools
 import operator
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,27 +24,39 @@ SAMPLE_ROWS = 20_000
 TREES, DEPTH, CUTS = 30, 3, 48
 
 
-def statistics(text: Column) -> dict[str, Column]:
-    """Statistics of a text (null: empty); each is a finite double."""
-    t = F.coalesce(text, F.lit(""))
-    n = F.greatest(F.length(t), F.lit(1)).cast("double")
-    w = F.greatest(F.regexp_count(t, F.lit(WORD)), F.lit(1)).cast("double")
-    lines = F.split(t, "\n", -1)
-    words = F.split(t, r"[\x20\x09-\x0D]+", -1)
-    return {
-        "log_words": F.log1p(w),
-        "word_length": n / w,
-        "upper": F.regexp_count(t, F.lit(r"\p{Lu}")) / n,
-        "digits": F.regexp_count(t, F.lit(r"[0-9]")) / n,
-        "stops": F.regexp_count(t, F.lit(r"[.,;:?]")) / w,
-        "signs": F.regexp_count(t, F.lit(r"[!#$%&*|@^~<>=+\\{}\[\]]")) / w,
-        "short": F.regexp_count(t, F.lit(r"(?<!\S)\p{L}{1,3}(?!\S)")) / w,
-        "repeats": F.regexp_count(t, F.lit(r"(?<!\S)(\S++)(?= \1(?!\S))")) / w,
-        "distinct_words": F.size(F.array_distinct(words)) / w,
-        "distinct_lines": F.size(F.array_distinct(lines)) / F.size(lines).cast("double"),
-        "words_a_line": F.log1p(w / F.size(lines)),
-        "others": F.regexp_count(t, F.lit(r"[^\p{L}\p{N}\p{P}\s]")) / n,
-    }
+#: Names of the statistics, in the order of ``statistics``' array.
+NAMES = ("log_words", "word_length", "upper", "digits", "stops", "signs", "short", "repeats", "distinct_words", "distinct_lines", "words_a_line", "others")
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once a row, wherever the optimizer moves the expression."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def statistics(text: Column) -> Column:
+    """An array of a text's statistics (null: empty), finite doubles in the order of ``NAMES``."""
+
+    def measured(s: Column) -> Column:
+        t, n, w, lines = s["t"], s["n"], s["w"], s["lines"]
+        count = lambda pattern: F.regexp_count(t, F.lit(pattern))
+        values = {
+            "log_words": F.log1p(w),
+            "word_length": n / w,
+            "upper": count(r"\p{Lu}") / n,
+            "digits": count(r"[0-9]") / n,
+            "stops": count(r"[.,;:?]") / w,
+            "signs": count(r"[!#$%&*|@^~<>=+\\{}\[\]]") / w,
+            "short": count(r"(?<!\S)\p{L}{1,3}(?!\S)") / w,
+            "repeats": count(r"(?<!\S)(\S++)(?= \1(?!\S))") / w,
+            "distinct_words": F.size(F.array_distinct(F.split(t, r"[\x20\x09-\x0D]+", -1))) / w,
+            "distinct_lines": F.size(F.array_distinct(lines)) / F.size(lines),
+            "words_a_line": F.log1p(w / F.size(lines)),
+            "others": count(r"[^\p{L}\p{N}\p{P}\s]") / n,
+        }
+        return F.array(*[values[name].cast("double") for name in NAMES])
+
+    sized = lambda t: F.struct(t.alias("t"), F.greatest(F.length(t), F.lit(1)).cast("double").alias("n"), F.greatest(F.regexp_count(t, F.lit(WORD)), F.lit(1)).cast("double").alias("w"), F.split(t, "\n", -1).alias("lines"))
+    return _let(_let(F.coalesce(text, F.lit("")), sized), measured)
 
 
 @dataclass(frozen=True)
@@ -53,26 +66,20 @@ class RuleModel:
     bias: float
     rules: tuple[tuple[tuple[tuple[str, bool, float], ...], float], ...]
 
-    def column(self, stats: dict[str, Column]) -> Column:
-        """The score as a column of statistics by name.
-
-        The rules read a struct of the statistics through a lambda: each
-        statistic is computed once a row however many rules use it, also where
-        the optimizer moves the expression into a filter, and the generated
-        code doesn't grow with the rules.
-        """
-        used = sorted({name for conditions, _ in self.rules for name, _, _ in conditions})
-        if not used:
+    def column(self, stats: Column) -> Column:
+        """The score as a column of ``statistics``."""
+        if not self.rules:
             return F.lit(1 / (1 + float(np.exp(-self.bias))))
 
         def total(s: Column) -> Column:
             out = F.lit(self.bias)
             for conditions, weight in self.rules:
-                holds = [s[name] > cut if above else s[name] <= cut for name, above, cut in conditions]
-                out = out + F.when(functools.reduce(operator.and_, holds), F.lit(weight)).otherwise(F.lit(0.0))
+                values = [(s[NAMES.index(name)], above, cut) for name, above, cut in conditions]
+                holds = functools.reduce(operator.and_, [v > cut if above else v <= cut for v, above, cut in values])
+                out = out + F.when(holds, F.lit(weight)).otherwise(F.lit(0.0))
             return 1 / (1 + F.exp(-out))
 
-        return F.element_at(F.transform(F.array(F.struct(*[stats[n].alias(n) for n in used])), total), 1)
+        return _let(stats, total)
 
 
 def grow_tree(x: np.ndarray, cuts: list[np.ndarray], gradient: np.ndarray, hessian: np.ndarray, depth: int = DEPTH, least: int = 20) -> list:
@@ -178,10 +185,11 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     """
     usable = labels.filter(F.col(label).isNotNull() & F.col(doc_id).isNotNull() & ~held_out(F.col(doc_id)))
     chosen = usable.select(F.col(doc_id).alias("id"), F.col(label).cast("double").alias("y")).orderBy(F.xxhash64("id"), "id", "y").limit(rows)
-    stats = statistics(F.col("text"))
     joined = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), "id")  # at most ``rows`` rows
-    got = joined.select("id", "y", *[c.alias(n) for n, c in stats.items()]).toPandas().sort_values(["id", "y", *stats], kind="stable")
-    return fit_rules(list(stats), got[list(stats)].to_numpy(float), got["y"].to_numpy(float))
+    got = joined.select("id", "y", statistics(F.col("text")).alias("stats")).toPandas()
+    x = np.array(got["stats"].tolist(), float).reshape(-1, len(NAMES))
+    order = np.lexsort((*x.T[::-1], got["y"], got["id"]))  # the collected order may vary
+    return fit_rules(list(NAMES), x[order], got["y"].to_numpy(float)[order])
 
 
 def held_out(doc_id: Column) -> Column:
