@@ -1,9 +1,215 @@
-"""Queries over the standard tables."""
+"""Registered queries over the standard tables, and their SQL where SQL can express them.
 
+Results are rounded to 6 decimals on both sides, since sums may differ in
+their last bits. The events table is used as one series a user.
+"""
 
-def queries():
-    return {}
+from __future__ import annotations
 
+from collections.abc import Callable
 
-def oracle_sql():
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sparktrend.functions.scalars import clean, t14, transit_mask
+from sparktrend.operators.clip import slide_clip
+from sparktrend.operators.flatten import flatten, nsplines
+from sparktrend.operators.periodogram import lomb_scargle
+from sparktrend.operators.segments import segment, segment_durations
+from sparktrend.plans.params import CLOSED, JOINT, NEWTON
+from sparktrend.sources.tables import event_series, order_series
+
+Query = Callable[[SparkSession, str], DataFrame]
+USER = {"series": ["user_id"], "row_id": "event_id"}
+SLIDER = {"window_length": 3.0, "break_tolerance": 1.5}
+OMEGAS = [0.2 + 0.1 * k for k in range(32)]
+
+
+def _result(df: DataFrame, key: str = "event_id") -> DataFrame:
+    return df.select(key, "segment_id", F.round("trend", 6).alias("trend"), F.round("flat", 6).alias("flat"))
+
+
+def _flat(mask: bool = False, **options) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = event_series(spark, sf_dir)
+        if mask:
+            rows = rows.withColumn("masked", F.col("event_id") % 7 == 0)
+        return _result(flatten(rows, **USER, mask="masked" if mask else None, **options))
+
+    return run
+
+
+def segment_gaps(spark, sf_dir):
+    return segment(event_series(spark, sf_dir), **USER, break_tolerance=1.5).select("event_id", "segment_id")
+
+
+def durations(spark, sf_dir):
+    cut = segment(event_series(spark, sf_dir), **USER, break_tolerance=1.5)
+    return segment_durations(cut, series=["user_id"]).select("user_id", "segment_id", F.round("duration", 6).alias("duration"), "n")
+
+
+def clean_rows(spark, sf_dir):
+    rows = event_series(spark, sf_dir)
+    spoiled = rows.withColumn("flux", F.when(F.col("event_id") % 5 == 0, F.lit(float("nan"))).when(F.col("event_id") % 5 == 1, F.lit(None)).when(F.col("event_id") % 5 == 2, F.lit(float("inf"))).otherwise(F.col("flux")))
+    return clean(spoiled, "time", "flux").select("event_id", "flux")
+
+
+def _duration(small: bool) -> Query:
+    return lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.round(t14(F.lit(1.0), F.lit(1.0), F.col("o_orderkey") % 1000 + 1, small), 9).alias("t14"))
+
+
+def mask_query(spark, sf_dir):
+    return event_series(spark, sf_dir).select("event_id", transit_mask(F.col("time"), 3.7, 0.4, 100.0).alias("in_transit"))
+
+
+def _clip(**options) -> Query:
+    return lambda spark, sf_dir: slide_clip(event_series(spark, sf_dir), 3.0, low=1.5, high=1.0, **USER, **options).select("event_id", F.round("clipped", 6).alias("clipped"))
+
+
+def lombscargle_power(spark, sf_dir):
+    rows = lomb_scargle(event_series(spark, sf_dir), OMEGAS, series=["user_id"])
+    return rows.select("user_id", F.round("omega", 3).alias("omega"), F.round("power", 3).alias("power"))
+
+
+def order_median(spark, sf_dir):
+    return _result(flatten(order_series(spark, sf_dir), series=["o_custkey"], row_id="o_orderkey", method="median", window_length=400.0, break_tolerance=300.0), "o_orderkey")
+
+
+def savgol_interior(spark, sf_dir):
+    rows = flatten(event_series(spark, sf_dir), **USER, method="savgol", window_length=5, break_tolerance=1.5)
+    place = "row_number() OVER (PARTITION BY user_id, segment_id ORDER BY time{}, event_id{})"
+    inner = rows.withColumns({"a": F.expr(place.format("", "")), "b": F.expr(place.format(" DESC", " DESC"))}).filter("a > 2 AND b > 2")
+    return _result(inner)
+
+
+def spline_counts(spark, sf_dir):
+    return nsplines(event_series(spark, sf_dir), **USER, window_length=3.0, max_splines=12).select("user_id", "segment_id", "nsplines")
+
+
+WIDE = {"window_length": 6.0, "break_tolerance": 5.0}
+
+
+def queries() -> dict[str, Query]:
+    out: dict[str, Query] = {"segment_gaps": segment_gaps, "segment_durations": durations, "clean_rows": clean_rows, "t14": _duration(False), "t14_small": _duration(True), "transit_mask": mask_query}
+    out |= {f"slider_{m}": _flat(method=m, **SLIDER) for m in CLOSED}
+    out |= {m: _flat(method=m, **SLIDER) for m in (*NEWTON, *JOINT)}
+    out |= {
+        "slider_edge_cutoff": _flat(method="median", edge_cutoff=0.5, **SLIDER),
+        "slider_masked_median": _flat(mask=True, method="median", **SLIDER),
+        "slider_orders": order_median,
+        "medfilt": _flat(method="medfilt", window_length=5, break_tolerance=1.5),
+        "savgol": _flat(method="savgol", window_length=5, break_tolerance=1.5),
+        "savgol_interior": savgol_interior,
+        "slide_clip": _clip(),
+        "slide_clip_documented": _clip(compat=False),
+        "lombscargle_power": lombscargle_power,
+        "cosine": _flat(method="cosine", **WIDE),
+        "cosine_robust": _flat(mask=True, method="cosine", robust=True, **WIDE),
+        "cofiam": _flat(method="cofiam", **WIDE),
+        "lowess": _flat(method="lowess", **WIDE),
+        "rspline": _flat(method="rspline", **WIDE),
+        "hspline": _flat(method="hspline", **WIDE),
+        "pspline": _flat(method="pspline", max_splines=12, **WIDE),
+        "pspline_nsplines": spline_counts,
+        "supersmoother": _flat(method="supersmoother", **WIDE),
+        "gp_squared_exp": _flat(method="gp", kernel="squared_exp", kernel_size=2.0, **WIDE),
+        "gp_matern": _flat(mask=True, method="gp", kernel="matern", kernel_size=2.0, robust=True, **WIDE),
+        "gp_periodic": _flat(method="gp", kernel="periodic", kernel_size=1.0, kernel_period=7.0, **WIDE),
+        "gp_periodic_auto": _flat(method="gp", kernel="periodic_auto", kernel_size=1.0, **WIDE),
+    }
+    out |= {m: _flat(method=m, **WIDE) for m in ("ridge", "lasso", "elasticnet")}
+    return out
+
+
+# --- the same in SQL -------------------------------------------------------
+
+_SEGMENTS = """
+e AS (SELECT {id} AS id, {key} AS k, {time} AS t, ({flux})::DOUBLE AS f, {masked} AS masked FROM {table}),
+g AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY k ORDER BY t, id) > {tol}::DOUBLE THEN 1 ELSE 0 END AS st FROM e),
+s AS (SELECT * EXCLUDE (st), (sum(st) OVER (PARTITION BY k ORDER BY t, id ROWS UNBOUNDED PRECEDING))::INT AS segment_id FROM g)"""
+_EVENTS = {"id": "event_id", "key": "user_id", "time": "epoch_us(ts) / 86400e6::DOUBLE", "flux": "value", "masked": "false", "table": "events", "tol": "1.5"}
+_WINDOWS = """,
+n AS (SELECT *, lead(t) OVER (PARTITION BY k, segment_id ORDER BY t, id) IS NULL AS is_last, CASE WHEN masked THEN -f ELSE f END AS v,
+  min(t) OVER (PARTITION BY k, segment_id) AS t0, max(t) OVER (PARTITION BY k, segment_id) AS t1 FROM s),
+l AS (SELECT *, list(CASE WHEN NOT is_last AND v > -1e-12::DOUBLE THEN {{'t': t, 'v': v}} END)
+  OVER (PARTITION BY k, segment_id ORDER BY t RANGE BETWEEN {h}::DOUBLE PRECEDING AND {h}::DOUBLE FOLLOWING) AS ps FROM n),
+a AS (SELECT id, segment_id, f, t, t0, t1, list_sort(list_transform(list_filter(ps, lambda p: p IS NOT NULL AND p.t < t + {h}::DOUBLE), lambda p: p.v)) AS x FROM l),
+m AS (SELECT *, len(x) AS n, list_median(x) AS med FROM a),
+d AS (SELECT *, list_median(list_transform(x, lambda q: abs(q - med))) AS mad FROM m),
+r AS (SELECT id, segment_id, f, CASE WHEN n > 0 AND t >= t0 + {cut}::DOUBLE AND t <= t1 - {cut}::DOUBLE THEN {estimate} END AS trend0 FROM d)"""
+_FINAL = """,
+z AS (SELECT id, segment_id, f, CASE WHEN trend0 <> 0 AND NOT isnan(trend0) THEN trend0 END AS trend FROM r)
+SELECT id AS {id}, segment_id, round(trend, 6) AS trend, round(f / trend, 6) AS flat FROM z"""
+
+
+def _slider_sql(estimate: str, h: str = "1.5", cut: str = "0", **base) -> str:
+    base = _EVENTS | base
+    return "WITH" + _SEGMENTS.format(**base) + _WINDOWS.format(h=h, cut=cut, estimate=estimate) + _FINAL.format(**base)
+
+
+_CLOSED_SQL = {
+    "mean": "list_avg(x)",
+    "median": "med",
+    "trim_mean": "list_avg(x[floor(n * 0.1::DOUBLE)::INT + 1 : n - floor(n * 0.1::DOUBLE)::INT])",
+    "winsorize": "CASE WHEN n > floor(n * 0.1::DOUBLE)::INT + 1 THEN list_avg(list_transform(x, lambda q, i: CASE WHEN i > n - floor(n * 0.1::DOUBLE)::INT - 1 THEN x[n - floor(n * 0.1::DOUBLE)::INT] WHEN i <= floor(n * 0.1::DOUBLE)::INT + 1 THEN x[floor(n * 0.1::DOUBLE)::INT + 2] ELSE q END)) END",
+    "hampelfilt": "list_avg(list_transform(x, lambda q: CASE WHEN abs(q - med) >= 3 * mad THEN med ELSE q END))",
+    "huber_psi": "CASE WHEN mad > 0 THEN med + mad * list_avg(list_transform(x, lambda q: greatest(least((q - med) / mad, 1.28::DOUBLE), -1.28::DOUBLE))) END",
+    "tau": "CASE WHEN mad > 0 THEN list_sum(list_transform(x, lambda q: CASE WHEN (1 - ((q - med) / (mad * 0.675::DOUBLE) / 4.5::DOUBLE) ** 2) ** 2 <= 4.5 THEN q * (1 - ((q - med) / (mad * 0.675::DOUBLE) / 4.5::DOUBLE) ** 2) ** 2 ELSE 0 END)) / list_sum(list_transform(x, lambda q: CASE WHEN (1 - ((q - med) / (mad * 0.675::DOUBLE) / 4.5::DOUBLE) ** 2) ** 2 <= 4.5 THEN (1 - ((q - med) / (mad * 0.675::DOUBLE) / 4.5::DOUBLE) ** 2) ** 2 ELSE 0 END)) END",
+    "hodges": "list_median(flatten(list_transform(x, lambda q, i: list_transform(x[i:], lambda y: (q + y) / 2))))",
+}
+
+
+def _newton_sql(weight: str) -> str:
+    """The iteration as a fold over rounds with the state [center, last step]."""
+    w = weight.replace("U", "((q - c[1]) / (cv * mad))")
+    step = f"list_sum(list_transform(x, lambda q: (q - c[1]) * ({w}))) / list_sum(list_transform(x, lambda q: {w}))"
+    fold = f"list_reduce(list_transform(range(200), lambda i: [med, 1e9::DOUBLE]), lambda c, i: CASE WHEN abs(c[2]) <= 1e-6::DOUBLE THEN c ELSE [c[1] + {step}, {step}] END)[1]"
+    return f"CASE WHEN mad = 0 THEN med ELSE {fold} END"
+
+
+_NEWTON_SQL = {
+    "biweight": _newton_sql("CASE WHEN abs(U) < 1 THEN (1 - U ** 2) ** 2 ELSE 0 END").replace("cv", "5::DOUBLE"),
+    "welsch": _newton_sql("CASE WHEN abs(U) < 1 THEN exp(-(U ** 2) / 2) ELSE 0 END").replace("cv", "2.11::DOUBLE"),
+    "andrewsinewave": _newton_sql("CASE WHEN abs(U) < pi() THEN CASE WHEN U = 0 THEN 1 ELSE sin(U) / U END ELSE 0 END").replace("cv", "1.339::DOUBLE"),
+}
+
+
+def _clip_sql(middle: str, cutoff: str) -> str:
+    return f"""
+WITH e AS (SELECT event_id AS id, user_id AS k, epoch_us(ts) / 86400e6::DOUBLE AS t, value::DOUBLE AS f FROM events),
+n AS (SELECT *, lead(t) OVER (PARTITION BY k ORDER BY t, id) IS NULL AS is_last, min(t) OVER (PARTITION BY k) AS t0, max(t) OVER (PARTITION BY k) AS t1 FROM e),
+l AS (SELECT *, list(CASE WHEN NOT is_last THEN {{'t': t, 'v': f}} END) OVER (PARTITION BY k ORDER BY t RANGE BETWEEN 1.5::DOUBLE PRECEDING AND 1.5::DOUBLE FOLLOWING) AS ps FROM n),
+a AS (SELECT *, list_transform(list_filter(ps, lambda p: p IS NOT NULL AND p.t < t + 1.5::DOUBLE), lambda p: p.v) AS x FROM l),
+c AS (SELECT *, {middle} AS mid FROM a),
+r AS (SELECT *, CASE WHEN NOT is_last AND t > t0 AND t < t1 AND len(x) > 0 THEN {{'t': t, 'm': mid, 'c': {cutoff}}} END AS rule FROM c),
+b AS (SELECT *, last_value(rule IGNORE NULLS) OVER (PARTITION BY k ORDER BY t RANGE BETWEEN 1.5::DOUBLE PRECEDING AND 1.5::DOUBLE FOLLOWING) AS rl FROM r)
+SELECT id AS event_id, CASE WHEN rl IS NOT NULL AND NOT is_last AND t < rl.t + 1.5::DOUBLE AND NOT coalesce(f - rl.m > rl.c * 1.0 OR f - rl.m < rl.c * -1.5::DOUBLE, false) THEN round(f, 6) END AS clipped FROM b"""
+
+
+def oracle_sql() -> dict[str, str]:
+    s = "WITH" + _SEGMENTS.format(**_EVENTS)
+    ratio = "4 * (o_orderkey % 1000 + 1) * 86400::DOUBLE / (pi() * 6.67384e-11::DOUBLE * 1.989e30::DOUBLE)"
+    out = {
+        "segment_gaps": s + " SELECT id AS event_id, segment_id FROM s",
+        "segment_durations": s + " SELECT k AS user_id, segment_id, round(max(t) - min(t), 6) AS duration, count(*) AS n FROM s GROUP BY ALL",
+        "clean_rows": "SELECT event_id, value::DOUBLE AS flux FROM events WHERE event_id % 5 > 2",
+        "t14": f"SELECT o_orderkey, round((695508000::DOUBLE + 2 * 69911000::DOUBLE) * pow({ratio}, 1::DOUBLE / 3) / 86400, 9) AS t14 FROM orders",
+        "t14_small": f"SELECT o_orderkey, round(695508000::DOUBLE * pow({ratio}, 1::DOUBLE / 3) / 86400, 9) AS t14 FROM orders",
+        "transit_mask": "WITH p AS (SELECT event_id, epoch_us(ts) / 86400e6::DOUBLE - 100 + 1.85::DOUBLE AS x FROM events) SELECT event_id, abs(x - 3.7::DOUBLE * floor(x / 3.7::DOUBLE) - 1.85::DOUBLE) < 0.2::DOUBLE AS in_transit FROM p",
+        "slider_edge_cutoff": _slider_sql("med", cut="0.5"),
+        "slider_masked_median": _slider_sql("med", masked="event_id % 7 = 0"),
+        "slider_orders": _slider_sql("med", h="200", id="o_orderkey", key="o_custkey", time="epoch_us(o_orderdate) / 86400e6::DOUBLE", flux="o_totalprice", table="orders", tol="300"),
+        "medfilt": s + ", l AS (SELECT *, list(f) OVER (PARTITION BY k, segment_id ORDER BY t, id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS x FROM s), r AS (SELECT *, list_median(list_concat(x, list_transform(range(5 - len(x)), lambda i: 0::DOUBLE))) AS trend0 FROM l)" + _FINAL.format(**_EVENTS),
+        "savgol_interior": s + ", l AS (SELECT *, list(f) OVER (PARTITION BY k, segment_id ORDER BY t, id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS x FROM s), r AS (SELECT *, (-3 * x[1] + 12 * x[2] + 17 * x[3] + 12 * x[4] - 3 * x[5]) / 35 AS trend0 FROM l WHERE len(x) = 5)" + _FINAL.format(**_EVENTS),
+        "slide_clip": _clip_sql("list_avg(x)", "list_stddev_pop(x)"),
+        "slide_clip_documented": _clip_sql("list_median(x)", "list_median(list_transform(x, lambda q: abs(q - mid)))"),
+        "lombscargle_power": """
+WITH w AS (SELECT user_id, 0.2::DOUBLE + 0.1::DOUBLE * i AS omega, value AS y, cos((0.2::DOUBLE + 0.1::DOUBLE * i) * (epoch_us(ts) / 86400e6::DOUBLE)) AS c, sin((0.2::DOUBLE + 0.1::DOUBLE * i) * (epoch_us(ts) / 86400e6::DOUBLE)) AS s FROM events, range(32) r(i)),
+q AS (SELECT user_id, omega, sum(y * c) AS yc, sum(y * s) AS ys, sum(c * c) AS cc, sum(s * s) AS ss, sum(c * s) AS cs FROM w GROUP BY ALL),
+p AS (SELECT *, atan2(2 * cs, cc - ss) / 2 AS tau FROM q),
+v AS (SELECT *, cos(tau) AS ct, sin(tau) AS st FROM p)
+SELECT user_id, round(omega, 3) AS omega, round(0.5::DOUBLE * ((ct * yc + st * ys) ** 2 / (ct * ct * cc + 2 * ct * st * cs + st * st * ss) + (ct * ys - st * yc) ** 2 / (ct * ct * ss - 2 * ct * st * cs + st * st * cc)), 3) AS power FROM v""",
+    }
+    out |= {f"slider_{m}": _slider_sql(e) for m, e in _CLOSED_SQL.items()}
+    out |= {m: _slider_sql(e) for m, e in _NEWTON_SQL.items()}
+    return out
