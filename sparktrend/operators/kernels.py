@@ -45,6 +45,37 @@ def newton(x: np.ndarray, c: float, method: str) -> float:
     return center
 
 
+def row_medians(x: np.ndarray) -> np.ndarray:
+    """The median of each row's values (NaN: no value; at least one a row)."""
+    s, n, rows = np.sort(x, axis=1), (~np.isnan(x)).sum(axis=1), np.arange(len(x))
+    return (s[rows, (n - 1) // 2] + s[rows, n // 2]) / 2
+
+
+def newton_rows(x: np.ndarray, c: float, method: str) -> np.ndarray:
+    """``newton`` of every row's finite values at once (NaN: no value); rows stop one by one."""
+    center = row_medians(x)
+    scale = c * row_medians(np.abs(x - center[:, None]))
+    going = np.flatnonzero(scale > 0)
+    for _ in range(NEWTON_ROUNDS):
+        if not len(going):
+            break
+        d = x[going] - center[going, None]
+        u = d / scale[going, None]
+        with np.errstate(invalid="ignore"):
+            if method == "biweight":
+                w = np.where(np.abs(u) < 1, (1 - u * u) ** 2, 0)
+            elif method == "welsch":
+                w = np.where(np.abs(u) < 1, np.exp(-u * u / 2), 0)
+            else:
+                safe = np.where(u == 0, 1e-10, u)
+                w = np.where(np.abs(u) < math.pi, np.sin(safe) / safe, 0)
+        norm = w.sum(axis=1)
+        step = np.divide(np.where(w > 0, d * w, 0).sum(axis=1), norm, out=np.full(len(going), np.nan), where=norm > 0)
+        center[going] += step
+        going = going[np.abs(step) > FTOL]
+    return center
+
+
 def proposal2(x: np.ndarray, c: float) -> float:
     """Huber's joint estimate of location and scale; the median where it doesn't converge."""
     n, mu = len(x), np.median(x)
@@ -66,7 +97,7 @@ def proposal2(x: np.ndarray, c: float) -> float:
     return np.median(x)
 
 
-def reweighted(x: np.ndarray, weight: Callable[[np.ndarray], np.ndarray]) -> float:
+def plain_reweighted(x: np.ndarray, weight: Callable[[np.ndarray], np.ndarray]) -> float:
     """Iteratively reweighted mean with scale MAD / 0.6745 of the residuals."""
     mu, last = x.mean(), None
     for _ in range(50):
@@ -83,6 +114,26 @@ def reweighted(x: np.ndarray, weight: Callable[[np.ndarray], np.ndarray]) -> flo
     return mu
 
 
+def reweighted_rows(x: np.ndarray, weight: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """``plain_reweighted`` of every row's values at once (NaN: no value); rows stop one by one."""
+    mu = np.nanmean(x, axis=1)
+    last, going = np.full(len(x), np.nan), np.arange(len(x))
+    for _ in range(50):
+        d = x[going] - mu[going, None]
+        s = row_medians(np.abs(d)) / 0.6744897501960817
+        going, d, s = going[s > 0], d[s > 0], s[s > 0]
+        if not len(going):
+            break
+        w = np.nan_to_num(weight(d / s[:, None]))
+        norm = w.sum(axis=1)
+        new = np.divide(np.where(w > 0, w * x[going], 0).sum(axis=1), norm, out=mu[going], where=norm > 0)
+        mu[going] = new
+        stays = (norm == 0) | (np.abs(new - last[going]) < 1e-8)
+        last[going] = new
+        going = going[~stays]
+    return mu
+
+
 def hampel_weight(cuts: tuple[float, float, float]) -> Callable[[np.ndarray], np.ndarray]:
     a, b, c = cuts
 
@@ -137,12 +188,23 @@ def window_estimator(p: Params) -> Callable[[np.ndarray], float]:
     if p.method == "huber":
         return lambda x: proposal2(x, c)
     if p.method == "hampel":
-        return lambda x: reweighted(x, hampel_weight(c))
+        return lambda x: plain_reweighted(x, hampel_weight(c))
     if p.method == "ramsay":
-        return lambda x: reweighted(x, lambda z: np.exp(-c * np.abs(z)))
+        return lambda x: plain_reweighted(x, lambda z: np.exp(-c * np.abs(z)))
     return lambda x: newton(x, c, p.method)
 
 
+def row_estimator(p: Params) -> Callable[[np.ndarray], np.ndarray] | None:
+    """The estimator of many windows at once, for the methods that iterate."""
+    if p.method in ("biweight", "andrewsinewave", "welsch"):
+        return lambda x: newton_rows(x, p.cval, p.method)
+    if p.method == "hampel":
+        return lambda x: reweighted_rows(x, hampel_weight(p.cval))
+    if p.method == "ramsay":
+        return lambda x: reweighted_rows(x, lambda z: np.exp(-p.cval * np.abs(z)))
+    return None
+
+
 def slide(t: np.ndarray, f: np.ndarray, w: np.ndarray, p: Params) -> np.ndarray:
     """The sliding estimate; edges within ``edge_cutoff`` (at most half a window) and empty windows are NaN."""
     slow = p.method in ("huber", "hampel", "ramsay")
@@ -152,6 +214,17 @@ def slide(t: np.ndarray, f: np.ndarray, w: np.ndarray, p: Params) -> np.ndarray:
     start, end = windows(t, p.window_length)
     cut, trend, estimate = min(p.edge_cutoff, p.window_length / 2), np.full(len(t), np.nan), window_estimator(p)
     inner = (t >= t[0] + cut) & (t <= t[-1] - cut)
+    if rows := row_estimator(p):
+        known = np.where(keep, value, np.nan)
+        todo = np.flatnonzero(inner & (end > start))
+        per = max(1, 200_000 // max(int((end - start).max(initial=1)), 1))  # rows at once, so that the block is bounded
+        for k in range(0, len(todo), per):
+            i = todo[k : k + per]
+            at = start[i, None] + np.arange((end - start)[i].max())
+            block = np.where(at < end[i, None], known[np.minimum(at, len(t) - 1)], np.nan)
+            some = (~np.isnan(block)).sum(axis=1) > slow
+            trend[i[some]] = rows(block[some])
+        return trend
     for i in np.flatnonzero(inner):
         x = value[start[i] : end[i]][keep[start[i] : end[i]]]
         if len(x) > slow:

@@ -98,6 +98,18 @@ def test_sliders_against_brute_force(spark, method, engine):
     np.testing.assert_allclose(got["trend"].astype(float), want, rtol=1e-9)
 
 
+@pytest.mark.parametrize("method", [m for m in METHODS if m in ("biweight", "andrewsinewave", "welsch", "huber", "hampel", "ramsay")])
+def test_iterated_sliders_against_brute_force(method):
+    rng = np.random.default_rng(8)
+    t = np.sort(rng.uniform(0, 12, 90).round(1))
+    f = rng.standard_t(2, 90) + 8
+    f[30:38] = 4.0  # windows without spread
+    f[[5, 50]] = [-1, 0]
+    mask = rng.random(90) < 0.2
+    p = Params.resolve(method=method, window_length=1.5, edge_cutoff=0.3)
+    np.testing.assert_allclose(K.trend_of(t, f, 1.0 - mask, p, 12.0)[0], brute(t, f, mask, p), rtol=1e-9)
+
+
 @pytest.mark.parametrize("method", [m for m in METHODS if m not in CLOSED])
 def test_every_kernel_runs_on_small_and_odd_segments(method):
     more = {"gp": {"kernel_size": 1.0}, "savgol": {"window_length": 5}, "medfilt": {"window_length": 5}}.get(method, {})
