@@ -4,7 +4,7 @@ A text's shingles are hashed to 32 bits; ``SLOTS`` multiply-shift functions
 (a 2-universal family) permute them in vectorised numpy, and each function's
 least value fills one slot. The share of equal slots estimates the Jaccard
 similarity. ``near_duplicates`` joins bands of slots in Spark and verifies the
-Jaccard similarity of candidates on their shingles.
+Jaccard similarity of all candidates on their shingles.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparktrend.llm.common import materialize
+from sparktrend.llm.simhash import components, linked_components
 
 #: Slots of a fingerprint; the estimate's standard error is at most 0.5 / sqrt(SLOTS).
 SLOTS = 128
@@ -140,35 +141,71 @@ def edit_with_next(df: DataFrame, doc_id: str = "doc_id", text: str = "text", pa
     return placed.mapInArrow(pair, f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
+#: Classes of a bucket that are compared at once; a larger bucket is dealt out by pairs of blocks.
+BLOCK = 500
+#: How far below the threshold an estimate may lie for the pair to be verified: over five standard errors.
+SLACK = 0.2
+
+
 def near_duplicates(df: DataFrame, threshold: float = 0.8, bands: int = 16, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Verified near-duplicate pairs of distinct texts: (class_a, class_b, jaccard), class_a < class_b.
-
-    A class is a distinct shingle set, named by its smallest doc_id;
-    ``near_duplicate_members`` maps documents to classes. Bands of equal slots
-    give candidates: each band bucket is a star around its smallest class, and
-    every class of a bucket is compared with its predecessor by id as well, so
-    that a bucket of n classes costs 2 n pairs, never n squared.
-    Null texts are empty; repeated rows fall into one class.
+    """(doc_id, class, component, n_links) of every row of ``df``.
+
+    A class is a distinct set of shingles, named by its smallest doc_id. Two
+    classes link if a band of their slots is equal and the Jaccard similarity
+    of their shingles is ``threshold`` or more; n_links counts a class's links,
+    component is the smallest class that links lead to. All pairs of a bucket
+    are compared, in blocks, but none is emitted: a bucket returns counts and
+    stars. Null texts are empty; rows with a null doc_id get their class's
+    result (null if all its ids are null); repeated rows are repeated; other
+    columns are ignored; an empty table gives no rows.
     """
-    signed = _signed(df, doc_id, text)
-    classes = signed.groupBy("key").agg(F.min("doc_id").alias("id"), F.first("slots").alias("slots"), F.first("hashes").alias("hashes"))
-    classes = materialize(classes.filter("id is not null"), "minhash-classes")
+    signed = materialize(_signed(df, doc_id, text), "minhash-signed")
+    members = signed.select("doc_id", "key")
+    least = materialize(signed.groupBy("key").agg(F.min(F.col("doc_id").cast("long")).alias("id")).filter("id is not null"), "minhash-least")
+    one = signed.join(least.withColumnRenamed("key", "k"), (F.col("key") == F.col("k")) & (F.col("doc_id") == F.col("id"))).dropDuplicates(["id", "key"])
+    classes = materialize(one.select("id", "slots", "hashes"), "minhash-classes")
     rows = SLOTS // bands
-    banded = classes.select("id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.xxhash64(F.slice("slots", b * rows + 1, F.lit(rows))))).alias("band", "value"))
-    by = Window.partitionBy("band", "value").orderBy("id")
-    star = banded.select("id", F.min("id").over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("root"), F.lag("id").over(by).alias("lag"))
-    pairs = star.select("id", F.explode(F.array("root", "lag")).alias("other")).filter("other < id").distinct()
-    a, b = classes.select(F.col("id").alias("other"), F.col("hashes").alias("ha")), classes.select("id", F.col("hashes").alias("hb"))
-    both = F.size(F.array_intersect("ha", "hb"))
-    scored = pairs.join(a, "other").join(b, "id").select(F.col("other").alias("class_a"), F.col("id").alias("class_b"), (both / (F.size("ha") + F.size("hb") - both)).alias("jaccard"))
-    return scored.filter(F.col("jaccard") >= threshold)
-
-
-def near_duplicate_members(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, class): each document's class in ``near_duplicates``."""
-    keys = materialize(_signed(df, doc_id, text).select("doc_id", "key"), "minhash-keys")
-    least = keys.groupBy("key").agg(F.min("doc_id").alias("class"))
-    return keys.join(least.withColumnRenamed("key", "k"), F.col("key") == F.col("k")).select("doc_id", "class")
+    value = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.xxhash64(F.slice("slots", b * rows + 1, F.lit(rows))))
+    banded = materialize(classes.select("id", F.posexplode(value).alias("band", "value")), "minhash-bands")
+    crowds = materialize(banded.groupBy("band", "value").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("band").alias("b"), F.col("value").alias("v"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "minhash-crowds")
+    shared = banded.join(crowds, (F.col("band") == F.col("b")) & (F.col("value") == F.col("v")))
+    mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    celled = shared.select("id", "band", "value", mine.alias("mine"), other.alias("other")).select("id", "band", "value", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+    full = celled.join(classes.withColumnRenamed("id", "class_id"), F.col("id") == F.col("class_id")).drop("class_id")
+
+    def compare(cell: pa.Table) -> pa.Table:
+        ids, mine = cell.column("id").to_numpy(), cell.column("mine").to_numpy()
+        band, i, j = (cell.column(c)[0].as_py() for c in ("band", "i", "j"))
+        slots = cell.column("slots").combine_chunks().flatten().to_numpy().reshape(len(ids), SLOTS)
+        sets = [np.array(h.as_py(), np.int64) for h in cell.column("hashes")]
+        links, root = np.zeros(len(ids), np.int64), np.arange(len(ids))
+        edges = []
+        for a in range(len(ids)):
+            # a pair of one block belongs to the cell (i, i); a pair that shares several bands to the first of them
+            rest = np.flatnonzero((np.arange(len(ids)) > a) & ((mine != mine[a]) | (i == j)))
+            equal = slots[rest] == slots[a]
+            first = equal.reshape(len(rest), bands, rows).all(axis=2).argmax(axis=1)
+            for b in rest[(first == band) & (equal.mean(axis=1) >= threshold - SLACK)]:
+                common = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+                if common >= threshold * (len(sets[a]) + len(sets[b]) - common):
+                    edges.append((a, b))
+        if edges:
+            x, y = np.array(edges).T
+            np.add.at(links, x, 1)
+            np.add.at(links, y, 1)
+            by_id = np.argsort(ids, kind="stable")
+            place = np.argsort(by_id)
+            root = by_id[components(len(ids), place[x], place[y])[place]]
+        some = links > 0
+        return pa.table({"id": ids[some], "root": ids[root][some], "n": links[some]})
+
+    found = materialize(full.groupBy("band", "value", "i", "j").applyInArrow(compare, "id long, root long, n long"), "minhash-links")
+    counts = found.groupBy("id").agg(F.sum("n").alias("n_links"))
+    joined = linked_components(found.filter("root < id").select(F.col("id").alias("a"), F.col("root").alias("b")).distinct())
+    named = least.join(counts, "id", "left").join(joined, "id", "left")
+    result = materialize(named.select(F.col("key").alias("k"), F.col("id").alias("class"), F.coalesce("component", "id").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "minhash-result")
+    return members.join(result, F.col("key") == F.col("k"), "left").select("doc_id", "class", "component", "n_links")
 
 
 def _signed(df: DataFrame, doc_id: str, text: str) -> DataFrame:

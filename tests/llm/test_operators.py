@@ -406,12 +406,21 @@ def test_likeness_estimates_jaccard():
     assert abs(np.mean(off)) < 0.03 and max(map(abs, off)) < 0.2
 
 
-def test_minhash_duplicates(spark):
+@pytest.mark.parametrize("block", [500, 5])
+def test_minhash_duplicates(spark, monkeypatch, block):
+    monkeypatch.setattr(minhash, "BLOCK", block)
     texts = [*near_copies(6), *ODD]
-    df = docs(spark, texts)
-    found = {(r["class_a"], r["class_b"]): r["jaccard"] for r in minhash.near_duplicates(df).collect()}
-    members = {r["doc_id"]: r["class"] for r in minhash.near_duplicate_members(df).collect()}
-    assert len(members) == len(texts)
-    sets = {c: set(minhash.shingle_hashes(texts[c] or "").tolist()) for c in set(members.values())}
-    for (a, b), j in found.items():
-        assert j == pytest.approx(len(sets[a] & sets[b]) / len(sets[a] | sets[b])) and j >= 0.8
+    got = {r["doc_id"]: r for r in minhash.near_duplicates(docs(spark, texts)).collect()}
+    sets = [frozenset(minhash.shingle_hashes(t or "").tolist()) for t in texts]
+    slots = [minhash.signature(minhash.shingle_hashes(t or "")).reshape(16, 8) for t in texts]
+    first = {}
+    for i, s in enumerate(sets):
+        first.setdefault(s, i)
+    classes = sorted(first.values())
+    linked = [(a, b) for a in classes for b in classes if a != b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) and (slots[a] == slots[b]).all(axis=1).any()]
+    assert len(linked) > 50
+    label = simhash.components(len(texts), *(np.array(x) for x in zip(*linked, strict=True)))
+    n = Counter(a for a, _ in linked)
+    for i, s in enumerate(sets):
+        assert (got[i]["class"], got[i]["component"], got[i]["n_links"]) == (first[s], label[first[s]], n[first[s]])
+    assert minhash.near_duplicates(docs(spark, texts).limit(0)).count() == 0
