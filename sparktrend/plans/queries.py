@@ -63,7 +63,9 @@ def mask_query(spark, sf_dir):
 
 
 def _clip(**options) -> Query:
-    return lambda spark, sf_dir: slide_clip(event_series(spark, sf_dir), 3.0, low=1.5, high=1.0, **USER, **options).select("event_id", F.round("clipped", 6).alias("clipped"))
+    # Not a cutoff of 1: a window of two points lies exactly one standard
+    # deviation from its mean, so the last bits of a sum would decide.
+    return lambda spark, sf_dir: slide_clip(event_series(spark, sf_dir), 3.0, low=1.7, high=1.3, **USER, **options).select("event_id", F.round("clipped", 6).alias("clipped"))
 
 
 def lombscargle_power(spark, sf_dir):
@@ -183,7 +185,7 @@ a AS (SELECT *, list_transform(list_filter(ps, lambda p: p IS NOT NULL AND p.t <
 c AS (SELECT *, {middle} AS mid FROM a),
 r AS (SELECT *, CASE WHEN NOT is_last AND t > t0 AND t < t1 AND len(x) > 0 THEN {{'t': t, 'm': mid, 'c': {cutoff}}} END AS rule FROM c),
 b AS (SELECT *, last_value(rule IGNORE NULLS) OVER (PARTITION BY k ORDER BY t RANGE BETWEEN 1.5::DOUBLE PRECEDING AND 1.5::DOUBLE FOLLOWING) AS rl FROM r)
-SELECT id AS event_id, CASE WHEN rl IS NOT NULL AND NOT is_last AND t < rl.t + 1.5::DOUBLE AND NOT coalesce(f - rl.m > rl.c * 1.0 OR f - rl.m < rl.c * -1.5::DOUBLE, false) THEN round(f, 6) END AS clipped FROM b"""
+SELECT id AS event_id, CASE WHEN rl IS NOT NULL AND NOT is_last AND t < rl.t + 1.5::DOUBLE AND NOT coalesce(f - rl.m > rl.c * 1.3::DOUBLE OR f - rl.m < rl.c * -1.7::DOUBLE, false) THEN round(f, 6) END AS clipped FROM b"""
 
 
 def oracle_sql() -> dict[str, str]:
