@@ -43,6 +43,17 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Most rows of an Arrow batch: whole texts are large, and a batch is held by the JVM and the worker at once.
+BATCH_ROWS = 500
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batch size to ``BATCH_ROWS`` where it is larger."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def fresh(name: str, taken: Iterable[str]) -> str:
     """``name``, lengthened until it clashes with none of ``taken`` (in any case)."""
     lowered = {t.lower() for t in taken}

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparktrend.llm.common import materialize
+from sparktrend.llm.common import materialize, small_batches
 
 #: Entries of a generation of a worker's word cache (a memory bound; results don't depend on it).
 CACHE_ENTRIES = 400_000
@@ -98,6 +98,7 @@ def cut_pieces(df: DataFrame, path: str, capacity: int = 2048, doc_id: str = "do
     rank counts the pieces of equal length within the task. No shuffle.
     """
 
+    small_batches(df.sparkSession)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, task, seen, width = word_ids(path), TaskContext.get().partitionId(), [0] * (capacity + 1), 4 * capacity
         for batch in batches:

@@ -19,6 +19,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparktrend.llm.common import small_batches
+
 LEDGER = "sha256 binary, rule string, version string, spans array<struct<start:int,end:int>>"
 
 
@@ -82,6 +84,7 @@ def scan_unseen(versions: DataFrame, ledger: DataFrame | None = None, rules: tup
     is one row per task, not one per copy. Null texts are empty blobs.
     """
 
+    small_batches(versions.sparkSession)
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         squeeze = zstandard.ZstdCompressor(level=1).compress

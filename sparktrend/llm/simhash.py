@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparktrend.llm.common import materialize
+from sparktrend.llm.common import materialize, small_batches
 
 FULL = (1 << 64) - 1
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -56,6 +56,7 @@ def simhash(text: str, words: int = 3, seed: int = 42) -> int:
 def fingerprints(docs: DataFrame, check: bool = False, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, fp, check): fp as a signed long; check: a second one over five words, else 0. Null texts are empty."""
 
+    small_batches(docs.sparkSession)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1)
