@@ -3,13 +3,14 @@
 Closed-form sliding estimates are Catalyst plans: one range frame per row and
 higher-order functions on it. Everything iterative runs as a numpy kernel on
 Arrow tables grouped by (series, segment). Both paths need one exchange, by
-the series keys; a segment must fit into a task.
+the series keys; a segment must fit into a task. ``chunk`` lifts that limit for
+the sliders: see ``operators.cells``.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -18,19 +19,25 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparktrend.functions.estimators import ESTIMATORS
+from sparktrend.operators.cells import in_cells, with_guests
 from sparktrend.operators.kernels import trend_of
 from sparktrend.operators.segments import quoted, segment, usable
-from sparktrend.plans.params import CLOSED, Params
+from sparktrend.plans.params import CLOSED, JOINT, NEWTON, Params
 
 ADDED = ("segment_id", "trend", "flat")
 
 
+def _measured(df: DataFrame, time: str, flux: str, mask: str | None) -> DataFrame:
+    """``df`` with __t, __f, __ok, __masked."""
+    masked = F.coalesce(quoted(mask).cast("boolean"), F.lit(False)) if mask else F.lit(False)
+    return df.withColumns({"__t": quoted(time).cast("double"), "__f": quoted(flux).cast("double"), "__ok": usable(quoted(time), quoted(flux)), "__masked": masked})
+
+
 def _prepared(df: DataFrame, time: str, flux: str, series: Sequence[str], row_id: str | None, mask: str | None, p: Params) -> DataFrame:
     """``df`` segmented, with __t, __f, __ok, __masked."""
     kept = df.select(*[quoted(c) for c in df.columns if c.lower() not in ADDED])
     cut = segment(kept, time, flux, series, row_id, 0 if p.break_tolerance == math.inf else p.break_tolerance)
-    masked = F.coalesce(quoted(mask).cast("boolean"), F.lit(False)) if mask else F.lit(False)
-    return cut.withColumns({"__t": quoted(time).cast("double"), "__f": quoted(flux).cast("double"), "__ok": usable(quoted(time), quoted(flux)), "__masked": masked})
+    return _measured(cut, time, flux, mask)
 
 
 def _frame(series: Sequence[str], row_id: str | None) -> tuple[str, str]:
@@ -39,24 +46,42 @@ def _frame(series: Sequence[str], row_id: str | None) -> tuple[str, str]:
 
 
 def _by_expression(df: DataFrame, series: Sequence[str], row_id: str | None, p: Params) -> DataFrame:
-    """Half-open windows: a closed range frame, then a filter of its list."""
     whole, ordered = _frame(series, row_id)
-    h = f"{p.window_length / 2!r}D"
+    marked = df.withColumns({"__last": F.expr(f"lead(__t) OVER ({ordered}) IS NULL"), "__low": F.expr(f"min(__t) OVER ({whole})"), "__high": F.expr(f"max(__t) OVER ({whole})")})
+    return _estimated(marked, whole, p)
+
+
+def _estimated(df: DataFrame, whole: str, p: Params) -> DataFrame:
+    """``df`` (with __last, __low, __high) and trend. Half-open windows: a closed range frame, then a filter of its list."""
+    half = p.window_length / 2
+    h = f"{half!r}D"
     signed = F.when(F.col("__masked"), -F.col("__f")).otherwise(F.col("__f"))
     value = F.when(signed > -1e-12, signed) if p.drop_negative else F.when(~F.col("__masked"), F.col("__f"))
-    marked = df.withColumn("__v", value).withColumns({"__last": F.expr(f"lead(__t) OVER ({ordered}) IS NULL"), "__low": F.expr(f"min(__t) OVER ({whole})"), "__high": F.expr(f"max(__t) OVER ({whole})")})
     points = F.expr(f"collect_list(CASE WHEN __ok AND NOT __last AND __v IS NOT NULL THEN named_struct('t', __t, 'v', __v) END) OVER ({whole} ORDER BY __t RANGE BETWEEN {h} PRECEDING AND {h} FOLLOWING)")
-    half = p.window_length / 2
     values = F.transform(F.filter("__points", lambda q: q["t"] < F.col("__t") + half), lambda q: q["v"])
     cut = min(p.edge_cutoff, half)
     inner = (F.col("__t") >= F.col("__low") + cut) & (F.col("__t") <= F.col("__high") - cut)
-    listed = marked.withColumn("__points", points).withColumn("__values", values)
+    listed = df.withColumn("__v", value).withColumn("__points", points).withColumn("__values", values)
     trend = F.when(F.col("__ok") & inner & (F.size("__values") > 0), ESTIMATORS[p.method](F.col("__values"), p.cval))
     return listed.withColumn("trend", trend)
 
 
-def _numbers(table: pa.Table, p: Params, row_id: str | None) -> tuple[np.ndarray, np.ndarray, float]:
+def _by_cells(df: DataFrame, row_id: str | None, p: Params, chunk: float, payload: Sequence[str], engine: str) -> DataFrame:
+    """Sliders over the cells of ``in_cells`` and their guests."""
+    dealt = with_guests(df, p.window_length / 2, chunk, payload)
+    if engine != "kernel" and p.method in CLOSED:
+        done = _estimated(dealt, "PARTITION BY __key, __ok, __segment, __at", p)
+    else:
+        dealt = dealt.withColumn("__whole", F.lit(0.0))
+        kernel = _kernel(p, row_id, lambda table: (table.column("__low")[0].as_py(), table.column("__high")[0].as_py(), table.num_rows - pa.compute.sum(table.column("__last")).as_py()))
+        done = dealt.groupBy("__key", "__ok", "__segment", "__at").applyInArrow(kernel, T.StructType([*dealt.schema.fields, T.StructField("trend", T.DoubleType())]))
+    return done.filter("__home").withColumn("segment_id", F.col("__segment"))
+
+
+def _numbers(table: pa.Table, p: Params, row_id: str | None, extent: tuple[float, float, int] | None = None) -> tuple[np.ndarray, np.ndarray, float]:
     """(order, trend in that order, nsplines) of one group."""
+    import pyarrow.compute  # noqa: F401
+
     t, f = (table.column(c).to_numpy() for c in ("__t", "__f"))
     if row_id:
         ranks = pa.compute.rank(table.column(row_id).combine_chunks(), sort_keys="ascending", tiebreaker="first").to_numpy()
@@ -65,7 +90,7 @@ def _numbers(table: pa.Table, p: Params, row_id: str | None) -> tuple[np.ndarray
         order = np.argsort(t, kind="stable")
     w = 1.0 - table.column("__masked").to_numpy()[order].astype(float)
     whole = table.column("__whole")[0].as_py() or 0.0
-    trend, count = trend_of(t[order].astype(float), f[order].astype(float), w, p, whole)
+    trend, count = trend_of(t[order].astype(float), f[order].astype(float), w, p, whole, extent)
     return order, trend, count
 
 
@@ -73,19 +98,25 @@ def _by_kernel(df: DataFrame, series: Sequence[str], row_id: str | None, p: Para
     keys = [*[quoted(s) for s in series], F.col("__ok"), F.col("segment_id")]
     spans = df.withColumn("__whole", F.expr(f"max(__t) OVER (PARTITION BY {', '.join([*[f'`{s}`' for s in series], '__ok'])}) - min(__t) OVER (PARTITION BY {', '.join([*[f'`{s}`' for s in series], '__ok'])})"))
 
+    return spans.groupBy(*keys).applyInArrow(_kernel(p, row_id), T.StructType([*spans.schema.fields, T.StructField("trend", T.DoubleType())]))
+
+
+def _kernel(p: Params, row_id: str | None, extent: Callable[[pa.Table], tuple[float, float, int]] | None = None) -> Callable[[pa.Table], pa.Table]:
+    """A group's table -> the same with trend (NaN as null)."""
+
     def run(table: pa.Table) -> pa.Table:
+        import pyarrow.compute  # noqa: F401
+
         out = np.full(table.num_rows, np.nan)
         if table.column("__ok")[0].as_py():
-            order, trend, _ = _numbers(table, p, row_id)
+            order, trend, _ = _numbers(table, p, row_id, extent(table) if extent else None)
             out[order] = trend
         return table.append_column("trend", pa.array(out, pa.float64(), from_pandas=True))
 
-    import pyarrow.compute  # noqa: F401
-
-    return spans.groupBy(*keys).applyInArrow(run, T.StructType([*spans.schema.fields, T.StructField("trend", T.DoubleType())]))
+    return run
 
 
-def flatten(df: DataFrame, time: str = "time", flux: str = "flux", series: Sequence[str] = (), row_id: str | None = None, mask: str | None = None, engine: str = "auto", **options) -> DataFrame:
+def flatten(df: DataFrame, time: str = "time", flux: str = "flux", series: Sequence[str] = (), row_id: str | None = None, mask: str | None = None, engine: str = "auto", chunk: float | None = None, **options) -> DataFrame:
     """The columns of ``df``, and segment_id, trend, flat (flux / trend).
 
     ``series``: key columns; each key is a series of its own, in order of time
@@ -94,6 +125,9 @@ def flatten(df: DataFrame, time: str = "time", flux: str = "flux", series: Seque
     window_length, break_tolerance, edge_cutoff, cval, proportiontocut, kernel,
     kernel_size, kernel_period, robust, max_splines, stdev_cut, drop_negative).
     ``engine``: "expression" (closed-form sliders only), "kernel", or "auto".
+    ``chunk`` (sliders only): a span of time, a window or more, by which a
+    series is dealt out, for series that one task can't hold or that hold a
+    large share of all rows. Results are the same; it costs two more exchanges.
 
     Rows with a null or NaN time or flux get nulls. A trend that isn't defined
     (empty window, cut edge, too short a segment, zero spread where the method
@@ -103,9 +137,20 @@ def flatten(df: DataFrame, time: str = "time", flux: str = "flux", series: Seque
     p = Params.resolve(**options)
     if engine not in ("auto", "expression", "kernel") or (engine == "expression" and p.method not in CLOSED):
         raise ValueError(f"engine {engine!r} can't run {p.method}")
+    if chunk is not None and (p.method not in (*CLOSED, *NEWTON, *JOINT) or not p.window_length <= chunk < math.inf):
+        raise ValueError("chunk is for sliders, and must span a window or more")
+    names = [c for c in df.columns if c.lower() not in ADDED]
+    if chunk is not None:
+        ready = in_cells(_measured(df.select(*[quoted(c) for c in names]), time, flux, mask), series, row_id, p.break_tolerance, chunk)
+        done = _by_cells(ready, row_id, p, chunk, [c for c in names if c != row_id], engine)
+        return _flattened(done, names)
     ready = _prepared(df, time, flux, series, row_id, mask, p)
     done = _by_expression(ready, series, row_id, p) if engine != "kernel" and p.method in CLOSED else _by_kernel(ready, series, row_id, p)
-    kept = [c for c in df.columns if c.lower() not in ADDED]
+    return _flattened(done, names)
+
+
+def _flattened(done: DataFrame, kept: Sequence[str]) -> DataFrame:
+    """``kept``, segment_id, trend and flat of rows with __f and trend."""
     trend = F.when(F.col("trend") != 0, F.nanvl("trend", F.lit(None)))
     return done.select(*[quoted(c) for c in kept], "segment_id", trend.alias("trend"), "__f").withColumn("flat", F.try_divide("__f", "trend")).drop("__f")
 

@@ -15,10 +15,10 @@ FTOL, NEWTON_ROUNDS, ROUNDS, CUT = 1e-6, 200, 10, 2.0
 # --- sliding windows -------------------------------------------------------
 
 
-def windows(t: np.ndarray, width: float) -> tuple[np.ndarray, np.ndarray]:
-    """Half-open index windows [t - h, t + h) that never hold the last point."""
+def windows(t: np.ndarray, width: float, held: int) -> tuple[np.ndarray, np.ndarray]:
+    """Half-open index windows [t - h, t + h) over the first ``held`` points: all but a segment's last."""
     h = width / 2
-    return np.searchsorted(t, t - h, "left"), np.minimum(np.searchsorted(t, t + h, "left"), len(t) - 1)
+    return np.searchsorted(t, t - h, "left"), np.minimum(np.searchsorted(t, t + h, "left"), held)
 
 
 def newton(x: np.ndarray, c: float, method: str) -> float:
@@ -205,15 +205,20 @@ def row_estimator(p: Params) -> Callable[[np.ndarray], np.ndarray] | None:
     return None
 
 
-def slide(t: np.ndarray, f: np.ndarray, w: np.ndarray, p: Params) -> np.ndarray:
-    """The sliding estimate; edges within ``edge_cutoff`` (at most half a window) and empty windows are NaN."""
+def slide(t: np.ndarray, f: np.ndarray, w: np.ndarray, p: Params, extent: tuple[float, float, int] | None = None) -> np.ndarray:
+    """The sliding estimate; edges within ``edge_cutoff`` (at most half a window) and empty windows are NaN.
+
+    ``extent``, where the rows are only a part of a segment: the segment's
+    first and last time, and how many of the rows windows may hold.
+    """
+    low, high, held = extent or (t[0], t[-1], len(t) - 1)
     slow = p.method in ("huber", "hampel", "ramsay")
     signed = np.where(w > 0, f, -f)
     keep = w > 0 if slow or not p.drop_negative else signed > -1e-12
     value = f if slow or not p.drop_negative else signed
-    start, end = windows(t, p.window_length)
+    start, end = windows(t, p.window_length, held)
     cut, trend, estimate = min(p.edge_cutoff, p.window_length / 2), np.full(len(t), np.nan), window_estimator(p)
-    inner = (t >= t[0] + cut) & (t <= t[-1] - cut)
+    inner = (t >= low + cut) & (t <= high - cut)
     if rows := row_estimator(p):
         known = np.where(keep, value, np.nan)
         todo = np.flatnonzero(inner & (end > start))
@@ -637,8 +642,8 @@ def gp(t, f, w, p):
 SEGMENT = {"lowess": lowess, "rspline": rspline, "hspline": hspline, "cosine": cosine, "cofiam": cofiam, "savgol": savgol, "medfilt": medfilt, "gp": gp, "ridge": gaussians, "lasso": gaussians, "elasticnet": gaussians}
 
 
-def trend_of(t: np.ndarray, f: np.ndarray, w: np.ndarray, p: Params, whole: float) -> tuple[np.ndarray, float]:
-    """(trend, nsplines) of one segment; nsplines is NaN but for pspline. ``whole``: the time span of the series."""
+def trend_of(t: np.ndarray, f: np.ndarray, w: np.ndarray, p: Params, whole: float, extent: tuple[float, float, int] | None = None) -> tuple[np.ndarray, float]:
+    """(trend, nsplines) of one segment; nsplines is NaN but for pspline. ``whole``: the time span of the series; ``extent``: see ``slide``."""
     if not len(t):
         return np.zeros(0), np.nan
     with np.errstate(all="ignore"):
@@ -646,4 +651,6 @@ def trend_of(t: np.ndarray, f: np.ndarray, w: np.ndarray, p: Params, whole: floa
             return pspline(t, f, w, p)
         if p.method == "supersmoother":
             return supersmoother(t, f, w, p, whole), np.nan
-        return SEGMENT.get(p.method, slide)(t, f, w.copy(), p), np.nan
+        if p.method not in SEGMENT:
+            return slide(t, f, w, p, extent), np.nan
+        return SEGMENT[p.method](t, f, w.copy(), p), np.nan

@@ -172,6 +172,32 @@ def test_segments_gaps_and_missing(spark):
     assert out[0].asDict().keys() == {"row", "time", "flux", "segment_id", "trend", "flat"}
 
 
+@pytest.mark.parametrize("method", ["median", "tau", "biweight", "huber"])
+@pytest.mark.parametrize(("chunk", "tolerance"), [(2.0, 0.9), (5.0, 0), (2.5, 0.4)])
+def test_cells_equal_whole_series(spark, method, chunk, tolerance):
+    rng = np.random.default_rng(12)
+    t = np.sort(np.concatenate([rng.uniform(-7, 12, 150).round(1), [20.0, 20.5, 31.0]]))  # ties, points on borders, gaps of many cells
+    f = rng.normal(9, 2, len(t))
+    f[[3, 40]] = [-1, 0]
+    rows = [(i, k, None if i == 11 else float(a), None if i == 23 else float(b), i % 6 == 0, f"n{i}") for k in ("a", None) for i, (a, b) in enumerate(zip(t, f, strict=True))]
+    rows = [(n, *r[1:]) for n, r in enumerate(rows)] + [(999, "one", 1.0, 1.0, False, "n")]
+    df = spark.createDataFrame(rows, "row long, k string, time double, flux double, mask boolean, n string")
+    options = {"series": ["k"], "row_id": "row", "mask": "mask", "method": method, "window_length": 2, "break_tolerance": tolerance, "edge_cutoff": 0.4}
+    whole = st.flatten(df, **options).orderBy("row").toPandas()
+    for engine in ("auto", "kernel"):
+        dealt = st.flatten(df, chunk=chunk, engine=engine, **options).orderBy("row").toPandas()
+        pd.testing.assert_frame_equal(dealt, whole, rtol=1e-9)
+    assert whole["trend"].notna().sum() > 100
+    assert st.flatten(df.filter("false"), chunk=chunk, **options).count() == 0
+
+
+def test_cells_validation(spark):
+    df = frame(spark, np.arange(3.0), np.ones(3))
+    for bad in ({"chunk": 1.0}, {"chunk": math.inf}, {"chunk": 9.0, "method": "cosine"}):
+        with pytest.raises(ValueError):
+            st.flatten(df, row_id="row", window_length=2, **bad)
+
+
 def test_empty_tables_and_clashing_names(spark):
     empty = spark.createDataFrame([], "row long, time double, flux double")
     for method in ("median", "biweight", "cosine"):
