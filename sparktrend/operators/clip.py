@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparktrend.functions.estimators import let, mean, median
+from sparktrend.operators.cells import in_cells, with_guests
 from sparktrend.operators.segments import quoted
 
 
-def slide_clip(df: DataFrame, window_length: float, low: float = 3, high: float = 3, method: str | None = None, center: str | None = None, time: str = "time", flux: str = "flux", series: Sequence[str] = (), row_id: str | None = None, compat: bool = True, name: str = "clipped") -> DataFrame:
+def slide_clip(df: DataFrame, window_length: float, low: float = 3, high: float = 3, method: str | None = None, center: str | None = None, time: str = "time", flux: str = "flux", series: Sequence[str] = (), row_id: str | None = None, compat: bool = True, name: str = "clipped", chunk: float | None = None) -> DataFrame:
     """``df`` with ``name``: flux, or null where it lies beyond ``low`` / ``high`` cutoffs below / above the window's middle.
 
     Each point is judged by the last eligible window [t - h, t + h) that holds
@@ -20,7 +22,9 @@ def slide_clip(df: DataFrame, window_length: float, low: float = 3, high: float
     comes out as 0 unless that is clipped. ``compat``: mode names are compared
     as the original does, crosswise, so that the defaults are standard
     deviations from the mean; otherwise method "mad" (default) or "std" and
-    center "median" (default) or "mean" mean what they say.
+    center "median" (default) or "mean" mean what they say. ``chunk``: a span
+    of time, a window or more, by which series are dealt out, for those that
+    one task can't hold; results are the same.
     """
     if not window_length > 0:
         raise ValueError("window_length must be positive")
@@ -28,14 +32,22 @@ def slide_clip(df: DataFrame, window_length: float, low: float = 3, high: float
     if method not in ("mad", "std", "median") or center not in ("median", "mean", "mad"):
         raise ValueError("unknown method or center")
     use_median, use_mad = (center == "mad", method == "median") if compat else (center == "median", method == "mad")
-    keys = ", ".join([*[f"`{s}`" for s in series], "__in"])
-    ordered = f"PARTITION BY {keys} ORDER BY __t" + (f", `{row_id}`" if row_id else "")
     half = window_length / 2
-    frame = f"PARTITION BY {keys} ORDER BY __t RANGE BETWEEN {half!r}D PRECEDING AND {half!r}D FOLLOWING"
     t = quoted(time).cast("double")
     f = F.nanvl(quoted(flux).cast("double"), F.lit(None))
-    base = df.withColumns({"__t": t, "__f": f, "__in": t.isNotNull() & ~F.isnan(t)})
-    marked = base.withColumns({"__last": F.expr(f"lead(__t) OVER ({ordered}) IS NULL"), "__low": F.expr(f"min(__t) OVER (PARTITION BY {keys})"), "__high": F.expr(f"max(__t) OVER (PARTITION BY {keys})")})
+    kept = [c for c in df.columns if c.lower() != name.lower()]
+    base = df.withColumns({"__t": t, "__f": f, "__ok": t.isNotNull() & ~F.isnan(t)}).select(*[quoted(c) for c in kept], "__t", "__f", "__ok")
+    if chunk is not None:
+        if not window_length <= chunk < math.inf:
+            raise ValueError("chunk must span a window or more")
+        # A point's judge is up to half a window away, and what that one sees as far again.
+        marked = with_guests(in_cells(base, series, row_id, math.inf, chunk), window_length, chunk, [c for c in kept if c != row_id])
+        whole = "PARTITION BY __key, __ok, __at"
+    else:
+        whole = "PARTITION BY " + ", ".join([*[f"`{s}`" for s in series], "__ok"])
+        ordered = f"{whole} ORDER BY __t" + (f", `{row_id}`" if row_id else "")
+        marked = base.withColumns({"__last": F.expr(f"lead(__t) OVER ({ordered}) IS NULL"), "__low": F.expr(f"min(__t) OVER ({whole})"), "__high": F.expr(f"max(__t) OVER ({whole})"), "__home": F.lit(True)})
+    frame = f"{whole} ORDER BY __t RANGE BETWEEN {half!r}D PRECEDING AND {half!r}D FOLLOWING"
     held = marked.withColumn("__points", F.expr(f"collect_list(CASE WHEN NOT __last THEN named_struct('t', __t, 'v', __f) END) OVER ({frame})"))
     values = F.transform(F.filter("__points", lambda p: p["t"] < F.col("__t") + half), lambda p: p["v"])
 
@@ -45,10 +57,10 @@ def slide_clip(df: DataFrame, window_length: float, low: float = 3, high: float
         spread = (lambda m: median(F.transform(filled, lambda x: F.abs(x - m)))) if use_mad else (lambda m: let(mean(filled), lambda c: F.sqrt(mean(F.transform(filled, lambda x: (x - c) * (x - c))))))
         return let(middle, lambda m: F.struct(m.alias("m"), spread(m).alias("c")))
 
-    eligible = F.col("__in") & ~F.col("__last") & (F.col("__t") > F.col("__low")) & (F.col("__t") < F.col("__high"))
+    eligible = F.col("__ok") & ~F.col("__last") & (F.col("__t") > F.col("__low")) & (F.col("__t") < F.col("__high"))
     centred = held.withColumn("__values", values).withColumn("__rule", F.when(eligible & (F.size("__values") > 0), F.struct("__t", let(F.col("__values"), judged).alias("r"))))
     ruled = centred.withColumn("__by", F.expr(f"last(__rule, true) OVER ({frame})"))
     x, m, c = F.coalesce("__f", F.lit(0.0)), F.col("__by.r.m"), F.col("__by.r.c")
     covered = F.col("__by").isNotNull() & ~F.col("__last") & (F.col("__t") < F.col("__by.__t") + half)
     beyond = F.coalesce((x - m > c * float(high)) | (x - m < c * -float(low)), F.lit(False))
-    return ruled.withColumn(name, F.when(covered & ~beyond, x)).select(*[quoted(k) for k in df.columns if k.lower() != name.lower()], name)
+    return ruled.filter("__home").withColumn(name, F.when(covered & ~beyond, x)).select(*[quoted(c) for c in kept], name)

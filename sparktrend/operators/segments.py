@@ -19,14 +19,24 @@ def usable(time: Column, flux: Column | None = None) -> Column:
     return product.isNotNull() & ~F.isnan(product)  # isnan of null is false
 
 
-def segment(df: DataFrame, time: str = "time", flux: str | None = "flux", series: Sequence[str] = (), row_id: str | None = None, break_tolerance: float = 1.0, name: str = "segment_id") -> DataFrame:
+def segment(df: DataFrame, time: str = "time", flux: str | None = "flux", series: Sequence[str] = (), row_id: str | None = None, break_tolerance: float = 1.0, name: str = "segment_id", chunk: float | None = None) -> DataFrame:
     """``df`` with ``name``: the number, from 0, of each row's segment in its series.
 
     A segment ends before a step strictly over ``break_tolerance`` (0: one
     segment). Rows whose time or flux is null or NaN don't count and get null.
     Order: time, then ``row_id``. One exchange by the series keys, which all
     later windows over (series, segment) reuse. A null series key is a series.
+    ``chunk``: a span of time by which series are dealt out, for those that one
+    task can't hold (see ``operators.cells``); the numbers are the same.
     """
+    if chunk is not None:
+        from sparktrend.operators.cells import in_cells
+
+        if not 0 < chunk < math.inf:
+            raise ValueError("chunk must be finite and positive")
+        ready = df.withColumns({"__t": quoted(time).cast("double"), "__ok": usable(quoted(time), quoted(flux) if flux else None)})
+        numbered = in_cells(ready, series, row_id, break_tolerance or math.inf, chunk)
+        return numbered.select(*[quoted(c) for c in df.columns if c.lower() != name.lower()], F.col("__segment").alias(name))
     ok = usable(quoted(time), quoted(flux) if flux else None)
     keys = [*[quoted(s) for s in series], ok]
     by_time = Window.partitionBy(*keys).orderBy(quoted(time).cast("double"), *([quoted(row_id)] if row_id else []))

@@ -99,6 +99,10 @@ def queries() -> dict[str, Query]:
         "slider_edge_cutoff": _flat(method="median", edge_cutoff=0.5, **SLIDER),
         "slider_masked_median": _flat(mask=True, method="median", **SLIDER),
         "slider_orders": order_median,
+        "slider_median_cells": _flat(method="median", chunk=5.0, **SLIDER),
+        "biweight_cells": _flat(method="biweight", chunk=5.0, **SLIDER),
+        "segment_gaps_cells": lambda spark, sf_dir: segment(event_series(spark, sf_dir), **USER, break_tolerance=1.5, chunk=5.0).select("event_id", "segment_id"),
+        "slide_clip_cells": _clip(chunk=5.0),
         "medfilt": _flat(method="medfilt", window_length=5, break_tolerance=1.5),
         "savgol": _flat(method="savgol", window_length=5, break_tolerance=1.5),
         "savgol_interior": savgol_interior,
@@ -214,4 +218,5 @@ SELECT user_id, round(omega, 3) AS omega, round(0.5::DOUBLE * ((ct * yc + st * y
     }
     out |= {f"slider_{m}": _slider_sql(e) for m, e in _CLOSED_SQL.items()}
     out |= {m: _slider_sql(e) for m, e in _NEWTON_SQL.items()}
-    return out
+    # Dealt out by cells, the results are the same.
+    return out | {f"{m}_cells": out[m] for m in ("slider_median", "biweight", "segment_gaps", "slide_clip")}

@@ -191,6 +191,19 @@ def test_cells_equal_whole_series(spark, method, chunk, tolerance):
     assert st.flatten(df.filter("false"), chunk=chunk, **options).count() == 0
 
 
+@pytest.mark.parametrize("tolerance", [0, 0.3, 1.0])
+def test_segments_and_clips_by_cells(spark, tolerance):
+    rng = np.random.default_rng(6)
+    t = np.sort(np.concatenate([rng.uniform(-4, 9, 120).round(1), [15.0, 15.2, 40.0]]))
+    f = rng.normal(0, 1, len(t))
+    rows = [(i, k, None if i == 9 else float(a), None if i == 21 else float(b), 5) for k in ("a", "b", None) for i, (a, b) in enumerate(zip(t, f, strict=True))]
+    df = spark.createDataFrame([(n, *r[1:]) for n, r in enumerate(rows)], "row long, k string, time double, flux double, Clipped int")
+    for chunk in (1.5, 4.0):
+        for call in (lambda **o: st.segment(df, series=["k"], row_id="row", break_tolerance=tolerance, **o), lambda **o: st.slide_clip(df, 1.5, 1.2, 1.1, series=["k"], row_id="row", **o)):
+            pd.testing.assert_frame_equal(call(chunk=chunk).orderBy("row").toPandas(), call().orderBy("row").toPandas())
+    assert st.slide_clip(df.filter("false"), 1.0, series=["k"], row_id="row", chunk=2.0).count() == 0
+
+
 def test_cells_validation(spark):
     df = frame(spark, np.arange(3.0), np.ones(3))
     for bad in ({"chunk": 1.0}, {"chunk": math.inf}, {"chunk": 9.0, "method": "cosine"}):
