@@ -3,8 +3,9 @@
 Closed-form sliding estimates are Catalyst plans: one range frame per row and
 higher-order functions on it. Everything iterative runs as a numpy kernel on
 Arrow tables grouped by (series, segment). Both paths need one exchange, by
-the series keys; a segment must fit into a task. ``chunk`` lifts that limit for
-the sliders: see ``operators.cells``.
+the series keys, so a series must fit into a task. With ``chunk`` it needn't:
+segmentation and sliders are dealt out by time cells (``operators.cells``), and
+the methods that fit a whole segment by segments.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ from pyspark.sql import types as T
 from sparktrend.functions.estimators import ESTIMATORS
 from sparktrend.operators.cells import in_cells, with_guests
 from sparktrend.operators.kernels import trend_of
-from sparktrend.operators.segments import quoted, segment, usable
-from sparktrend.plans.params import CLOSED, JOINT, NEWTON, Params
+from sparktrend.operators.segments import numbered_segments, quoted, usable
+from sparktrend.plans.params import CLOSED, GLOBAL, Params
 
 ADDED = ("segment_id", "trend", "flat")
 
@@ -33,15 +34,14 @@ def _measured(df: DataFrame, time: str, flux: str, mask: str | None) -> DataFram
     return df.withColumns({"__t": quoted(time).cast("double"), "__f": quoted(flux).cast("double"), "__ok": usable(quoted(time), quoted(flux)), "__masked": masked})
 
 
-def _prepared(df: DataFrame, time: str, flux: str, series: Sequence[str], row_id: str | None, mask: str | None, p: Params) -> DataFrame:
-    """``df`` segmented, with __t, __f, __ok, __masked."""
-    kept = df.select(*[quoted(c) for c in df.columns if c.lower() not in ADDED])
-    cut = segment(kept, time, flux, series, row_id, 0 if p.break_tolerance == math.inf else p.break_tolerance)
-    return _measured(cut, time, flux, mask)
+def _prepared(df: DataFrame, time: str, flux: str, series: Sequence[str], row_id: str | None, mask: str | None, p: Params, chunk: float | None = None) -> DataFrame:
+    """``df`` measured and segmented, by ``in_cells`` if there is a ``chunk``."""
+    kept = _measured(df.select(*[quoted(c) for c in df.columns if c.lower() not in ADDED]), time, flux, mask)
+    return in_cells(kept, series, row_id, p.break_tolerance, chunk) if chunk else numbered_segments(kept, series, row_id, p.break_tolerance)
 
 
 def _frame(series: Sequence[str], row_id: str | None) -> tuple[str, str]:
-    keys = ", ".join([*[f"`{s}`" for s in series], "__ok", "segment_id"])
+    keys = ", ".join([*[f"`{s}`" for s in series], "__ok", "__segment"])
     return f"PARTITION BY {keys}", f"PARTITION BY {keys} ORDER BY __t" + (f", `{row_id}`" if row_id else "")
 
 
@@ -67,15 +67,21 @@ def _estimated(df: DataFrame, whole: str, p: Params) -> DataFrame:
 
 
 def _by_cells(df: DataFrame, row_id: str | None, p: Params, chunk: float, payload: Sequence[str], engine: str) -> DataFrame:
-    """Sliders over the cells of ``in_cells`` and their guests."""
+    """Sliders over the cells of ``in_cells`` and their guests; other methods over its segments."""
+    schema = lambda d: T.StructType([*d.schema.fields, T.StructField("trend", T.DoubleType())])
+    if p.method in GLOBAL:
+        whole = df.withColumn("__whole", F.lit(0.0))
+        if p.method == "supersmoother":
+            spans = df.filter("__ok").groupBy("__key").agg((F.max("__t") - F.min("__t")).alias("__whole")).withColumnRenamed("__key", "__k")
+            whole = df.join(spans, F.col("__key") == F.col("__k"), "left").drop("__k")
+        spare = F.when(~F.col("__ok"), F.col("__cell"))  # rows without a segment are no group
+        return whole.groupBy("__key", "__ok", "__segment", spare).applyInArrow(_kernel(p, row_id), schema(whole))
     dealt = with_guests(df, p.window_length / 2, chunk, payload)
     if engine != "kernel" and p.method in CLOSED:
-        done = _estimated(dealt, "PARTITION BY __key, __ok, __segment, __at", p)
-    else:
-        dealt = dealt.withColumn("__whole", F.lit(0.0))
-        kernel = _kernel(p, row_id, lambda table: (table.column("__low")[0].as_py(), table.column("__high")[0].as_py(), table.num_rows - pa.compute.sum(table.column("__last")).as_py()))
-        done = dealt.groupBy("__key", "__ok", "__segment", "__at").applyInArrow(kernel, T.StructType([*dealt.schema.fields, T.StructField("trend", T.DoubleType())]))
-    return done.filter("__home").withColumn("segment_id", F.col("__segment"))
+        return _estimated(dealt, "PARTITION BY __key, __ok, __segment, __at", p).filter("__home")
+    dealt = dealt.withColumn("__whole", F.lit(0.0))
+    kernel = _kernel(p, row_id, lambda table: (table.column("__low")[0].as_py(), table.column("__high")[0].as_py(), table.num_rows - pa.compute.sum(table.column("__last")).as_py()))
+    return dealt.groupBy("__key", "__ok", "__segment", "__at").applyInArrow(kernel, schema(dealt)).filter("__home")
 
 
 def _numbers(table: pa.Table, p: Params, row_id: str | None, extent: tuple[float, float, int] | None = None) -> tuple[np.ndarray, np.ndarray, float]:
@@ -95,7 +101,7 @@ def _numbers(table: pa.Table, p: Params, row_id: str | None, extent: tuple[float
 
 
 def _by_kernel(df: DataFrame, series: Sequence[str], row_id: str | None, p: Params) -> DataFrame:
-    keys = [*[quoted(s) for s in series], F.col("__ok"), F.col("segment_id")]
+    keys = [*[quoted(s) for s in series], "__ok", "__segment"]
     spans = df.withColumn("__whole", F.expr(f"max(__t) OVER (PARTITION BY {', '.join([*[f'`{s}`' for s in series], '__ok'])}) - min(__t) OVER (PARTITION BY {', '.join([*[f'`{s}`' for s in series], '__ok'])})"))
 
     return spans.groupBy(*keys).applyInArrow(_kernel(p, row_id), T.StructType([*spans.schema.fields, T.StructField("trend", T.DoubleType())]))
@@ -125,9 +131,10 @@ def flatten(df: DataFrame, time: str = "time", flux: str = "flux", series: Seque
     window_length, break_tolerance, edge_cutoff, cval, proportiontocut, kernel,
     kernel_size, kernel_period, robust, max_splines, stdev_cut, drop_negative).
     ``engine``: "expression" (closed-form sliders only), "kernel", or "auto".
-    ``chunk`` (sliders only): a span of time, a window or more, by which a
-    series is dealt out, for series that one task can't hold or that hold a
-    large share of all rows. Results are the same; it costs two more exchanges.
+    ``chunk``: a span of time (for sliders, a window or more) by which series
+    are dealt out, for those that one task can't hold or that hold a large
+    share of all rows. Methods that fit a whole segment still hold one in a
+    task. Results are the same; it costs more exchanges.
 
     Rows with a null or NaN time or flux get nulls. A trend that isn't defined
     (empty window, cut edge, too short a segment, zero spread where the method
@@ -137,28 +144,28 @@ def flatten(df: DataFrame, time: str = "time", flux: str = "flux", series: Seque
     p = Params.resolve(**options)
     if engine not in ("auto", "expression", "kernel") or (engine == "expression" and p.method not in CLOSED):
         raise ValueError(f"engine {engine!r} can't run {p.method}")
-    if chunk is not None and (p.method not in (*CLOSED, *NEWTON, *JOINT) or not p.window_length <= chunk < math.inf):
-        raise ValueError("chunk is for sliders, and must span a window or more")
+    if chunk is not None and not (0 if p.method in GLOBAL else p.window_length) <= chunk < math.inf or chunk == 0:
+        raise ValueError("chunk must be finite, and span a window or more")
     names = [c for c in df.columns if c.lower() not in ADDED]
-    if chunk is not None:
-        ready = in_cells(_measured(df.select(*[quoted(c) for c in names]), time, flux, mask), series, row_id, p.break_tolerance, chunk)
+    ready = _prepared(df, time, flux, series, row_id, mask, p, chunk)
+    if chunk:
         done = _by_cells(ready, row_id, p, chunk, [c for c in names if c != row_id], engine)
-        return _flattened(done, names)
-    ready = _prepared(df, time, flux, series, row_id, mask, p)
-    done = _by_expression(ready, series, row_id, p) if engine != "kernel" and p.method in CLOSED else _by_kernel(ready, series, row_id, p)
+    else:
+        done = _by_expression(ready, series, row_id, p) if engine != "kernel" and p.method in CLOSED else _by_kernel(ready, series, row_id, p)
     return _flattened(done, names)
 
 
 def _flattened(done: DataFrame, kept: Sequence[str]) -> DataFrame:
     """``kept``, segment_id, trend and flat of rows with __f and trend."""
     trend = F.when(F.col("trend") != 0, F.nanvl("trend", F.lit(None)))
-    return done.select(*[quoted(c) for c in kept], "segment_id", trend.alias("trend"), "__f").withColumn("flat", F.try_divide("__f", "trend")).drop("__f")
+    return done.select(*[quoted(c) for c in kept], F.col("__segment").alias("segment_id"), trend.alias("trend"), "__f").withColumn("flat", F.try_divide("__f", "trend")).drop("__f")
 
 
-def nsplines(df: DataFrame, time: str = "time", flux: str = "flux", series: Sequence[str] = (), row_id: str | None = None, **options) -> DataFrame:
-    """(series..., segment_id, nsplines) of a pspline fit, one row a segment."""
+def nsplines(df: DataFrame, time: str = "time", flux: str = "flux", series: Sequence[str] = (), row_id: str | None = None, chunk: float | None = None, **options) -> DataFrame:
+    """(series..., segment_id, nsplines) of a pspline fit, one row a segment. ``chunk``: as in ``flatten``."""
     p = Params.resolve(**{"method": "pspline", **options})
-    ready = _prepared(df, time, flux, series, row_id, None, p).filter("__ok").withColumn("__whole", F.lit(0.0))
+    ready = _prepared(df, time, flux, series, row_id, None, p, chunk).filter("__ok").withColumn("__whole", F.lit(0.0))
+    ready = ready.withColumn("segment_id", F.col("__segment"))
     names = [*series, "segment_id"]
 
     def run(table: pa.Table) -> pa.Table:

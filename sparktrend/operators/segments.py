@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparktrend.operators.cells import in_cells
+
 
 def quoted(name: str) -> Column:
     return F.col(f"`{name}`")
@@ -29,23 +31,20 @@ def segment(df: DataFrame, time: str = "time", flux: str | None = "flux", series
     ``chunk``: a span of time by which series are dealt out, for those that one
     task can't hold (see ``operators.cells``); the numbers are the same.
     """
-    if chunk is not None:
-        from sparktrend.operators.cells import in_cells
-
-        if not 0 < chunk < math.inf:
-            raise ValueError("chunk must be finite and positive")
-        ready = df.withColumns({"__t": quoted(time).cast("double"), "__ok": usable(quoted(time), quoted(flux) if flux else None)})
-        numbered = in_cells(ready, series, row_id, break_tolerance or math.inf, chunk)
-        return numbered.select(*[quoted(c) for c in df.columns if c.lower() != name.lower()], F.col("__segment").alias(name))
-    ok = usable(quoted(time), quoted(flux) if flux else None)
-    keys = [*[quoted(s) for s in series], ok]
-    by_time = Window.partitionBy(*keys).orderBy(quoted(time).cast("double"), *([quoted(row_id)] if row_id else []))
-    tolerance = break_tolerance or math.inf
+    if chunk is not None and not 0 < chunk < math.inf:
+        raise ValueError("chunk must be finite and positive")
+    ready = df.withColumns({"__t": quoted(time).cast("double"), "__ok": usable(quoted(time), quoted(flux) if flux else None)})
+    numbered = in_cells(ready, series, row_id, break_tolerance or math.inf, chunk) if chunk else numbered_segments(ready, series, row_id, break_tolerance or math.inf)
+    return numbered.select(*[quoted(c) for c in df.columns if c.lower() != name.lower()], F.col("__segment").alias(name))
+
+
+def numbered_segments(df: DataFrame, series: Sequence[str], row_id: str | None, tolerance: float) -> DataFrame:
+    """``df`` (with __t, __ok) and __segment. __ok is a column, not an expression in the windows, which would cost an exchange each."""
     if tolerance == math.inf:
-        return df.withColumn(name, F.when(ok, 0).cast("int"))
-    step = quoted(time).cast("double") - F.lag(quoted(time).cast("double")).over(by_time)
-    starts = F.when(step > tolerance, 1).otherwise(0)
-    return df.withColumn("__start", F.when(ok, starts)).withColumn(name, F.sum("__start").over(by_time).cast("int")).drop("__start")
+        return df.withColumn("__segment", F.when(F.col("__ok"), 0).cast("int"))
+    by_time = Window.partitionBy(*[quoted(s) for s in series], "__ok").orderBy("__t", *([quoted(row_id)] if row_id else []))
+    starts = F.when(F.col("__t") - F.lag("__t").over(by_time) > tolerance, 1).otherwise(0)
+    return df.withColumn("__start", F.when(F.col("__ok"), starts)).withColumn("__segment", F.sum("__start").over(by_time).cast("int")).drop("__start")
 
 
 def segment_durations(df: DataFrame, time: str = "time", series: Sequence[str] = (), name: str = "segment_id") -> DataFrame:

@@ -172,7 +172,7 @@ def test_segments_gaps_and_missing(spark):
     assert out[0].asDict().keys() == {"row", "time", "flux", "segment_id", "trend", "flat"}
 
 
-@pytest.mark.parametrize("method", ["median", "tau", "biweight", "huber"])
+@pytest.mark.parametrize("method", ["median", "tau", "biweight", "huber", "cosine", "supersmoother"])
 @pytest.mark.parametrize(("chunk", "tolerance"), [(2.0, 0.9), (5.0, 0), (2.5, 0.4)])
 def test_cells_equal_whole_series(spark, method, chunk, tolerance):
     rng = np.random.default_rng(12)
@@ -204,9 +204,18 @@ def test_segments_and_clips_by_cells(spark, tolerance):
     assert st.slide_clip(df.filter("false"), 1.0, series=["k"], row_id="row", chunk=2.0).count() == 0
 
 
+@pytest.mark.parametrize("method", ["median", "biweight", "lowess"])
+def test_one_exchange(spark, method):
+    rows = spark.range(40).selectExpr("id AS row", "id % 4 AS k", "id / 3.0D AS time", "1.0D AS flux")
+    plan = st.flatten(rows, series=["k"], row_id="row", method=method, window_length=2)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+    plan = st.slide_clip(rows, 2.0, series=["k"], row_id="row")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+
+
 def test_cells_validation(spark):
     df = frame(spark, np.arange(3.0), np.ones(3))
-    for bad in ({"chunk": 1.0}, {"chunk": math.inf}, {"chunk": 9.0, "method": "cosine"}):
+    for bad in ({"chunk": 1.0}, {"chunk": math.inf}, {"chunk": 0, "method": "cosine"}):
         with pytest.raises(ValueError):
             st.flatten(df, row_id="row", window_length=2, **bad)
 
@@ -260,6 +269,7 @@ def test_validation():
 def test_nsplines(spark):
     t, f = synthetic(0)
     rows = st.nsplines(frame(spark, t, f), row_id="row", window_length=2, max_splines=20).collect()
+    assert st.nsplines(frame(spark, t, f), row_id="row", chunk=3.0, window_length=2, max_splines=20).collect() == rows
     assert len(rows) == 1 and 2 <= rows[0]["nsplines"] <= 20
 
 
