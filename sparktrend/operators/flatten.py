@@ -2,7 +2,7 @@
 
 Closed-form sliding estimates are Catalyst plans: one range frame per row and
 higher-order functions on it. Everything iterative runs as a numpy kernel on
-Arrow tables grouped by (series, segment). Both paths need one exchange, by
+the Arrow batches of a partition sorted by (series, segment, time). Both paths need one exchange, by
 the series keys, so a series must fit into a task. With ``chunk`` it needn't:
 segmentation and sliders are dealt out by time cells (``operators.cells``), and
 the methods that fit a whole segment by segments.
@@ -11,17 +11,17 @@ the methods that fit a whole segment by segments.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparktrend.functions.estimators import ESTIMATORS
 from sparktrend.operators.cells import in_cells, with_guests
-from sparktrend.operators.kernels import trend_of
+from sparktrend.operators.kernels import slide_segments, trend_of
 from sparktrend.operators.segments import numbered_segments, quoted, usable
 from sparktrend.plans.params import CLOSED, GLOBAL, Params
 
@@ -101,10 +101,42 @@ def _numbers(table: pa.Table, p: Params, row_id: str | None, extent: tuple[float
 
 
 def _by_kernel(df: DataFrame, series: Sequence[str], row_id: str | None, p: Params) -> DataFrame:
-    keys = [*[quoted(s) for s in series], "__ok", "__segment"]
-    spans = df.withColumn("__whole", F.expr(f"max(__t) OVER (PARTITION BY {', '.join([*[f'`{s}`' for s in series], '__ok'])}) - min(__t) OVER (PARTITION BY {', '.join([*[f'`{s}`' for s in series], '__ok'])})"))
-
-    return spans.groupBy(*keys).applyInArrow(_kernel(p, row_id), T.StructType([*spans.schema.fields, T.StructField("trend", T.DoubleType())]))
+    """Kernels on the sorted rows of a partition, as a stream: a task holds a batch and a segment."""
+    keys = [*[quoted(s) for s in series], "__ok"]
+    order = ["__t", *([quoted(row_id)] if row_id else [])]
+    before = F.lag("__segment").over(Window.partitionBy(*keys).orderBy(*order))
+    whole = (F.max("__t").over(Window.partitionBy(*keys)) - F.min("__t").over(Window.partitionBy(*keys))) if p.method == "supersmoother" else F.lit(0.0)
+    # The first row of a series and all rows without a segment begin one as well.
+    begun = df.withColumns({"__whole": whole, "__begins": F.coalesce(before != F.col("__segment"), F.lit(True))})
+    ready = begun.sortWithinPartitions(*keys, *order)  # as the window leaves them: no further sort
+
+    def solved(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(batches).combine_chunks()
+        t, f, ok, masked, begins = (table.column(c).to_numpy() for c in ("__t", "__f", "__ok", "__masked", "__begins"))
+        t, f, w = t.astype(float), f.astype(float), 1.0 - masked.astype(float)
+        first = np.flatnonzero(begins)
+        segments = [(a, b) for a, b in zip(first, [*first[1:], len(t)], strict=True) if ok[a]]
+        if p.method in GLOBAL:
+            out, spans = np.full(len(t), np.nan), table.column("__whole").to_numpy()
+            for a, b in segments:
+                out[a:b] = trend_of(t[a:b], f[a:b], w[a:b], p, spans[a])[0]
+        else:
+            out = slide_segments(t, f, w, p, segments)
+        yield from table.append_column("trend", pa.array(out, pa.float64(), from_pandas=True)).to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # an unfinished segment
+        for batch in batches:
+            first = np.flatnonzero(batch.column(batch.schema.get_field_index("__begins")).to_numpy(zero_copy_only=False))
+            if len(first):
+                if held or first[-1]:
+                    yield from solved([*held, batch.slice(0, first[-1])])
+                batch, held = batch.slice(first[-1]), []
+            held.append(batch)
+        if held:
+            yield from solved(held)
+
+    return ready.mapInArrow(run, T.StructType([*ready.schema.fields, T.StructField("trend", T.DoubleType())]))
 
 
 def _kernel(p: Params, row_id: str | None, extent: Callable[[pa.Table], tuple[float, float, int]] | None = None) -> Callable[[pa.Table], pa.Table]:

@@ -212,21 +212,41 @@ def slide(t: np.ndarray, f: np.ndarray, w: np.ndarray, p: Params, extent: tuple[
     first and last time, and how many of the rows windows may hold.
     """
     low, high, held = extent or (t[0], t[-1], len(t) - 1)
+    start, end = windows(t, p.window_length, held)
+    cut = min(p.edge_cutoff, p.window_length / 2)
+    return slide_windows(f, w, p, start, end, (t >= low + cut) & (t <= high - cut))
+
+
+def slide_segments(t: np.ndarray, f: np.ndarray, w: np.ndarray, p: Params, segments: list[tuple[int, int]]) -> np.ndarray:
+    """``slide`` of many segments, rows a to b each, in one go; other rows are NaN."""
+    start, end, inner = np.zeros(len(t), np.int64), np.zeros(len(t), np.int64), np.zeros(len(t), bool)
+    cut = min(p.edge_cutoff, p.window_length / 2)
+    for a, b in segments:
+        low, high = windows(t[a:b], p.window_length, b - a - 1)
+        start[a:b], end[a:b] = low + a, high + a
+        inner[a:b] = (t[a:b] >= t[a] + cut) & (t[a:b] <= t[b - 1] - cut)
+    with np.errstate(all="ignore"):
+        return slide_windows(f, w, p, start, end, inner)
+
+
+def slide_windows(f: np.ndarray, w: np.ndarray, p: Params, start: np.ndarray, end: np.ndarray, inner: np.ndarray) -> np.ndarray:
+    """The estimate of each ``inner`` row's window [start, end); NaN for the other rows and for windows without values."""
     slow = p.method in ("huber", "hampel", "ramsay")
     signed = np.where(w > 0, f, -f)
     keep = w > 0 if slow or not p.drop_negative else signed > -1e-12
     value = f if slow or not p.drop_negative else signed
-    start, end = windows(t, p.window_length, held)
-    cut, trend, estimate = min(p.edge_cutoff, p.window_length / 2), np.full(len(t), np.nan), window_estimator(p)
-    inner = (t >= low + cut) & (t <= high - cut)
+    trend, estimate, width = np.full(len(f), np.nan), window_estimator(p), end - start
     if rows := row_estimator(p):
         known = np.where(keep, value, np.nan)
-        todo = np.flatnonzero(inner & (end > start))
-        per = max(1, 200_000 // max(int((end - start).max(initial=1)), 1))  # rows at once, so that the block is bounded
-        for k in range(0, len(todo), per):
-            i = todo[k : k + per]
-            at = start[i, None] + np.arange((end - start)[i].max())
-            block = np.where(at < end[i, None], known[np.minimum(at, len(t) - 1)], np.nan)
+        todo = np.flatnonzero(inner & (width > 0))
+        todo = todo[np.argsort(-width[todo], kind="stable")]
+        k = 0
+        while k < len(todo):
+            widest = int(width[todo[k]])
+            i = todo[k : k + max(1, 200_000 // widest)]  # so that the block is bounded
+            k += len(i)
+            at = start[i, None] + np.arange(widest)
+            block = np.where(at < end[i, None], known[np.minimum(at, len(f) - 1)], np.nan)
             some = (~np.isnan(block)).sum(axis=1) > slow
             trend[i[some]] = rows(block[some])
         return trend

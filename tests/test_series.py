@@ -204,6 +204,20 @@ def test_segments_and_clips_by_cells(spark, tolerance):
     assert st.slide_clip(df.filter("false"), 1.0, series=["k"], row_id="row", chunk=2.0).count() == 0
 
 
+@pytest.mark.parametrize("method", ["biweight", "cosine"])
+def test_segments_across_arrow_batches(spark, method):
+    rows = spark.range(200).selectExpr("id AS row", "id % 3 AS k", "IF(id % 17 = 0, NULL, id / 3.0D + IF(id > 120, 50, 0)) AS time", "2 + sin(id) AS flux")
+    run = lambda: st.flatten(rows, series=["k"], row_id="row", method=method, window_length=5, break_tolerance=3).orderBy("row").toPandas()
+    whole, key = run(), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        for n in (1, 7):
+            spark.conf.set(key, str(n))
+            pd.testing.assert_frame_equal(run(), whole)
+    finally:
+        spark.conf.set(key, before)
+
+
 @pytest.mark.parametrize("method", ["median", "biweight", "lowess"])
 def test_one_exchange(spark, method):
     rows = spark.range(40).selectExpr("id AS row", "id % 4 AS k", "id / 3.0D AS time", "1.0D AS flux")
