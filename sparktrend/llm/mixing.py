@@ -57,7 +57,7 @@ def demand_inverse(share: Column, slope: Column) -> Column:
     return 2 * share / (a + F.sqrt(a * a + 4 * slope * share))
 
 
-def curriculum_mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = (1, 2, 3), most: int = MOST, whole: bool = False, seed: str = "mix") -> DataFrame:
+def curriculum_mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = (1, 2, 3), most: int = MOST, whole: bool = False, seed: str = "mix", tasks: int | None = None) -> DataFrame:
     """Every row of ``docs`` with size, source_size, target, taken and positions.
 
     Added (replacing columns of these names in any case): size (words), the
@@ -73,6 +73,10 @@ def curriculum_mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     ids by a hash of the text), so reruns agree. Null and empty texts have size 0 and are
     never taken; a null source is a source of its own; repeated rows count as
     often as they occur; an empty table gives no rows.
+
+    ``tasks`` (default: the shuffle partitions): a bucket is split by the order
+    in it, so that one source alone is dealt out over four times as many
+    groups. Results don't depend on it.
     """
     new = ("size", "source_size", "target", "taken", "position", "positions")
     kept = [c for c in docs.columns if c.lower() not in new]
@@ -80,7 +84,9 @@ def curriculum_mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     quoted = lambda c: F.col(f"`{c}`")
     hashed = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(quoted(doc_id).cast("string"), F.lit(""))))
     name = lambda c: F.when(c.isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), c.cast("string")))  # noqa: E731  never null: one exchange serves join and window
-    in_bucket = (F.conv(F.substring(hashed, 1, 8), 16, 10).cast("long") % BUCKETS).cast("int")
+    parts = -(-4 * (tasks or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))) // BUCKETS)
+    head = F.conv(F.substring(hashed, 1, 8), 16, 10).cast("long")
+    in_bucket = head % BUCKETS * parts + F.shiftright(head * parts, 32)  # (bucket, place by the key's first 32 bits)
     sized = docs.select(*[quoted(c) for c in kept], word_count(quoted(text)).alias(size), name(quoted(source)).alias(src), hashed.alias(key), in_bucket.alias(bucket), F.xxhash64(quoted(text)).alias(tie))
     sums = docs.select(quoted(source).cast("string").alias("source"), in_bucket.alias("b"), word_count(quoted(text)).alias("n")).groupBy("source", "b").agg(F.sum("n").alias("n"))  # a row for each source and bucket
     earlier = Window.partitionBy("source").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)

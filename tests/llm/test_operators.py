@@ -301,6 +301,13 @@ def test_mixing(spark, whole):
     assert mixing.curriculum_mix(df.limit(0)).count() == 0
 
 
+def test_mixing_is_the_same_over_more_tasks(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BUCKETS", 8)
+    df = docs(spark, [" ".join(["w"] * (i % 9)) for i in range(400)], source=["abc"[i % 7 % 3] for i in range(400)])
+    few, many = (sorted(map(repr, mixing.curriculum_mix(df, tasks=n).collect())) for n in (1, 50))  # 1 and 25 parts a bucket
+    assert few == many
+
+
 # --- classifiers -----------------------------------------------------------
 
 
