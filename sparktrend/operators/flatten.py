@@ -79,12 +79,13 @@ def _by_cells(df: DataFrame, row_id: str | None, p: Params, chunk: float, payloa
     dealt = with_guests(df, p.window_length / 2, chunk, payload)
     if engine != "kernel" and p.method in CLOSED:
         return _estimated(dealt, "PARTITION BY __key, __ok, __segment, __at", p).filter("__home")
-    dealt = dealt.withColumn("__whole", F.lit(0.0))
-    kernel = _kernel(p, row_id, lambda table: (table.column("__low")[0].as_py(), table.column("__high")[0].as_py(), table.num_rows - pa.compute.sum(table.column("__last")).as_py()))
-    return dealt.groupBy("__key", "__ok", "__segment", "__at").applyInArrow(kernel, schema(dealt)).filter("__home")
+    keys = ["__key", "__ok", "__segment", "__at"]
+    order = ["__t", *([quoted(row_id)] if row_id else [])]
+    begun = dealt.withColumn("__begins", F.lag("__t").over(Window.partitionBy(*keys).orderBy(*order)).isNull())
+    return _streamed(begun.sortWithinPartitions(*keys, *order), p).filter("__home")
 
 
-def _numbers(table: pa.Table, p: Params, row_id: str | None, extent: tuple[float, float, int] | None = None) -> tuple[np.ndarray, np.ndarray, float]:
+def _numbers(table: pa.Table, p: Params, row_id: str | None) -> tuple[np.ndarray, np.ndarray, float]:
     """(order, trend in that order, nsplines) of one group."""
     import pyarrow.compute  # noqa: F401
 
@@ -96,7 +97,7 @@ def _numbers(table: pa.Table, p: Params, row_id: str | None, extent: tuple[float
         order = np.argsort(t, kind="stable")
     w = 1.0 - table.column("__masked").to_numpy()[order].astype(float)
     whole = table.column("__whole")[0].as_py() or 0.0
-    trend, count = trend_of(t[order].astype(float), f[order].astype(float), w, p, whole, extent)
+    trend, count = trend_of(t[order].astype(float), f[order].astype(float), w, p, whole)
     return order, trend, count
 
 
@@ -108,7 +109,12 @@ def _by_kernel(df: DataFrame, series: Sequence[str], row_id: str | None, p: Para
     whole = (F.max("__t").over(Window.partitionBy(*keys)) - F.min("__t").over(Window.partitionBy(*keys))) if p.method == "supersmoother" else F.lit(0.0)
     # The first row of a series and all rows without a segment begin one as well.
     begun = df.withColumns({"__whole": whole, "__begins": F.coalesce(before != F.col("__segment"), F.lit(True))})
-    ready = begun.sortWithinPartitions(*keys, *order)  # as the window leaves them: no further sort
+    return _streamed(begun.sortWithinPartitions(*keys, *order), p)  # as the window leaves them: no further sort
+
+
+def _streamed(ready: DataFrame, p: Params) -> DataFrame:
+    """``ready``, whose segments follow each other in its partitions, each from a row that __begins, and trend."""
+    parts = "__last" in ready.columns  # of segments, by cells
 
     def solved(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(batches).combine_chunks()
@@ -121,7 +127,11 @@ def _by_kernel(df: DataFrame, series: Sequence[str], row_id: str | None, p: Para
             for a, b in segments:
                 out[a:b] = trend_of(t[a:b], f[a:b], w[a:b], p, spans[a])[0]
         else:
-            out = slide_segments(t, f, w, p, segments)
+            extents = [(t[a], t[b - 1], b - a - 1) for a, b in segments]
+            if parts:
+                low, high, last = (table.column(c).to_numpy(zero_copy_only=False) for c in ("__low", "__high", "__last"))
+                extents = [(low[a], high[a], b - a - int(last[a:b].sum())) for a, b in segments]
+            out = slide_segments(t, f, w, p, [(*s, *e) for s, e in zip(segments, extents, strict=True)])
         yield from table.append_column("trend", pa.array(out, pa.float64(), from_pandas=True)).to_batches()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,7 +149,7 @@ def _by_kernel(df: DataFrame, series: Sequence[str], row_id: str | None, p: Para
     return ready.mapInArrow(run, T.StructType([*ready.schema.fields, T.StructField("trend", T.DoubleType())]))
 
 
-def _kernel(p: Params, row_id: str | None, extent: Callable[[pa.Table], tuple[float, float, int]] | None = None) -> Callable[[pa.Table], pa.Table]:
+def _kernel(p: Params, row_id: str | None) -> Callable[[pa.Table], pa.Table]:
     """A group's table -> the same with trend (NaN as null)."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -147,7 +157,7 @@ def _kernel(p: Params, row_id: str | None, extent: Callable[[pa.Table], tuple[fl
 
         out = np.full(table.num_rows, np.nan)
         if table.column("__ok")[0].as_py():
-            order, trend, _ = _numbers(table, p, row_id, extent(table) if extent else None)
+            order, trend, _ = _numbers(table, p, row_id)
             out[order] = trend
         return table.append_column("trend", pa.array(out, pa.float64(), from_pandas=True))
 

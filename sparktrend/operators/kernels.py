@@ -217,14 +217,14 @@ def slide(t: np.ndarray, f: np.ndarray, w: np.ndarray, p: Params, extent: tuple[
     return slide_windows(f, w, p, start, end, (t >= low + cut) & (t <= high - cut))
 
 
-def slide_segments(t: np.ndarray, f: np.ndarray, w: np.ndarray, p: Params, segments: list[tuple[int, int]]) -> np.ndarray:
-    """``slide`` of many segments, rows a to b each, in one go; other rows are NaN."""
+def slide_segments(t: np.ndarray, f: np.ndarray, w: np.ndarray, p: Params, segments: list[tuple[int, int, float, float, int]]) -> np.ndarray:
+    """``slide`` of many (parts of) segments in one go: rows a to b, and their ``extent``; other rows are NaN."""
     start, end, inner = np.zeros(len(t), np.int64), np.zeros(len(t), np.int64), np.zeros(len(t), bool)
     cut = min(p.edge_cutoff, p.window_length / 2)
-    for a, b in segments:
-        low, high = windows(t[a:b], p.window_length, b - a - 1)
-        start[a:b], end[a:b] = low + a, high + a
-        inner[a:b] = (t[a:b] >= t[a] + cut) & (t[a:b] <= t[b - 1] - cut)
+    for a, b, low, high, held in segments:
+        first, behind = windows(t[a:b], p.window_length, held)
+        start[a:b], end[a:b] = first + a, behind + a
+        inner[a:b] = (t[a:b] >= low + cut) & (t[a:b] <= high - cut)
     with np.errstate(all="ignore"):
         return slide_windows(f, w, p, start, end, inner)
 
