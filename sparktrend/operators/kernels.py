@@ -205,20 +205,13 @@ def row_estimator(p: Params) -> Callable[[np.ndarray], np.ndarray] | None:
     return None
 
 
-def slide(t: np.ndarray, f: np.ndarray, w: np.ndarray, p: Params, extent: tuple[float, float, int] | None = None) -> np.ndarray:
-    """The sliding estimate; edges within ``edge_cutoff`` (at most half a window) and empty windows are NaN.
-
-    ``extent``, where the rows are only a part of a segment: the segment's
-    first and last time, and how many of the rows windows may hold.
-    """
-    low, high, held = extent or (t[0], t[-1], len(t) - 1)
-    start, end = windows(t, p.window_length, held)
-    cut = min(p.edge_cutoff, p.window_length / 2)
-    return slide_windows(f, w, p, start, end, (t >= low + cut) & (t <= high - cut))
+def slide(t: np.ndarray, f: np.ndarray, w: np.ndarray, p: Params) -> np.ndarray:
+    """The sliding estimate of one segment; edges within ``edge_cutoff`` (at most half a window) and empty windows are NaN."""
+    return slide_segments(t, f, w, p, [(0, len(t), t[0], t[-1], len(t) - 1)])
 
 
 def slide_segments(t: np.ndarray, f: np.ndarray, w: np.ndarray, p: Params, segments: list[tuple[int, int, float, float, int]]) -> np.ndarray:
-    """``slide`` of many (parts of) segments in one go: rows a to b, and their ``extent``; other rows are NaN."""
+    """``slide`` of many (parts of) segments in one go: rows a to b, their segment's first and last time, and how many of the rows windows may hold. Other rows are NaN."""
     start, end, inner = np.zeros(len(t), np.int64), np.zeros(len(t), np.int64), np.zeros(len(t), bool)
     cut = min(p.edge_cutoff, p.window_length / 2)
     for a, b, low, high, held in segments:
@@ -662,8 +655,8 @@ def gp(t, f, w, p):
 SEGMENT = {"lowess": lowess, "rspline": rspline, "hspline": hspline, "cosine": cosine, "cofiam": cofiam, "savgol": savgol, "medfilt": medfilt, "gp": gp, "ridge": gaussians, "lasso": gaussians, "elasticnet": gaussians}
 
 
-def trend_of(t: np.ndarray, f: np.ndarray, w: np.ndarray, p: Params, whole: float, extent: tuple[float, float, int] | None = None) -> tuple[np.ndarray, float]:
-    """(trend, nsplines) of one segment; nsplines is NaN but for pspline. ``whole``: the time span of the series; ``extent``: see ``slide``."""
+def trend_of(t: np.ndarray, f: np.ndarray, w: np.ndarray, p: Params, whole: float) -> tuple[np.ndarray, float]:
+    """(trend, nsplines) of one segment; nsplines is NaN but for pspline. ``whole``: the time span of the series."""
     if not len(t):
         return np.zeros(0), np.nan
     with np.errstate(all="ignore"):
@@ -672,5 +665,5 @@ def trend_of(t: np.ndarray, f: np.ndarray, w: np.ndarray, p: Params, whole: floa
         if p.method == "supersmoother":
             return supersmoother(t, f, w, p, whole), np.nan
         if p.method not in SEGMENT:
-            return slide(t, f, w, p, extent), np.nan
+            return slide(t, f, w, p), np.nan
         return SEGMENT[p.method](t, f, w.copy(), p), np.nan
