@@ -15,11 +15,6 @@ from sparktrend.llm.queries import DEMO_KEY, vocabulary
 
 #: A document stays if its chance of good quality is at least this.
 QUALITY = 0.3
-#: SimHash distance at which the estimated similarity of the shingle sets is
-#: still 0.8: cos(9 pi / 64) = 0.904 = 2 J / (1 + J), J = 0.82. A link must
-#: also be within 14 bits of a second fingerprint over five words, which
-#: unrelated texts (28 bits apart on average) don't reach.
-LINKS = simhash.Links(radius=9, bands=5, check_radius=14)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,8 +25,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of each group of near-duplicates."""
-    return simhash.drop_near_duplicates(docs, LINKS)
+    """One document, that of the smallest doc_id, of each group of near-duplicates: a similarity of 0.8 or more on shingles of five words."""
+    return simhash.drop_near_duplicates(docs)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,10 +6,13 @@ import tempfile
 import uuid
 from collections.abc import Iterable
 
+import numpy as np
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 #: Word separators of every contract here: space and the ASCII controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
+_LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +57,17 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+def shingles(text: str, words: int, seed: int) -> np.ndarray:
+    """XXH64 of each run of ``words`` words (A-Z lowered, space-joined), repeats included; a shorter text is one run, an empty one the empty run."""
+    w = text.encode().translate(_LOWER).split()
+    joined, digest = b" ".join(w), xxhash.xxh64_intdigest
+    if len(w) <= words:
+        return np.array([digest(joined, seed)], np.uint64)
+    ends = (np.cumsum([len(x) + 1 for x in w]) - 1).tolist()
+    starts = [0, *(e + 1 for e in ends[:-words])]
+    return np.array([digest(joined[a:b], seed) for a, b in zip(starts, ends[words - 1 :], strict=True)], np.uint64)
+
+
 def fresh(name: str, taken: Iterable[str]) -> str:
     """``name``, lengthened until it clashes with none of ``taken`` (in any case)."""
     lowered = {t.lower() for t in taken}

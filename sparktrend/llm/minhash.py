@@ -14,33 +14,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparktrend.llm.common import materialize, small_batches
+from sparktrend.llm.common import materialize, shingles, small_batches
 from sparktrend.llm.simhash import components, linked_components
 
 #: Slots of a fingerprint; the estimate's standard error is at most 0.5 / sqrt(SLOTS).
 SLOTS = 128
 WORDS = 5
-_LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _random = np.random.default_rng(20240229)
 _A = _random.integers(0, 1 << 63, SLOTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _random.integers(0, 1 << 63, SLOTS, dtype=np.uint64)
 
 
 def shingle_hashes(text: str, words: int = WORDS) -> np.ndarray:
-    """Distinct 64-bit hashes of the runs of ``words`` words (A-Z lowered); a shorter text is one run, an empty one the empty run."""
-    w = text.encode().translate(_LOWER).split()
-    joined = b" ".join(w)
-    if len(w) <= words:
-        return np.array([xxhash.xxh64_intdigest(joined, 7)], np.uint64)
-    ends = (np.cumsum([len(x) + 1 for x in w]) - 1).tolist()
-    starts = [0, *(e + 1 for e in ends[:-words])]
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(joined[a:b], 7) for a, b in zip(starts, ends[words - 1 :], strict=True)], np.uint64))
+    """Distinct 64-bit hashes of the runs of ``words`` words (see ``shingles``)."""
+    return np.unique(shingles(text, words, 7))
 
 
 def signature(hashes: np.ndarray) -> np.ndarray:

@@ -12,6 +12,10 @@ radius meets in a shard. In a shard a local tree of the same kind goes on.
 
 Shards return stars instead of pairs; components follow from them by
 distributed minimum stars and pointer jumping.
+
+``similar_components`` links texts by the Jaccard similarity of their shingles
+instead: trees over several independent fingerprints gather groups of
+candidates, and within each group the similarity itself is computed.
 """
 
 from __future__ import annotations
@@ -25,47 +29,39 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparktrend.llm.common import materialize, small_batches
+from sparktrend.llm.common import fresh, materialize, shingles, small_batches
 
 FULL = (1 << 64) - 1
-_LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 #: Distinct fingerprints that a shard should hold, and beyond which it is dealt out in blocks.
 SHARD, CROWDED = 1500, 12_000
 #: Most shards a tree; with SAMPLE points each, they bound what the driver sees.
 SHARDS, SAMPLE = 8192, 48
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half of the hashes set."""
+    ones = np.zeros(64, np.int64)
+    for k in range(0, len(hashes), 16384):
+        ones += np.unpackbits(hashes[k : k + 16384].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
+
+
 def simhash(text: str, words: int = 3, seed: int = 42) -> int:
     """The 64-bit fingerprint: A-Z lowered; runs of ``words`` words, repeats included; a bit is set if over half of the XXH64 values set it; 0 without words."""
-    w = text.encode().translate(_LOWER).split()
-    if not w:
-        return 0
-    joined, digest = b" ".join(w), xxhash.xxh64_intdigest
-    if len(w) <= words:
-        hashes = [digest(joined, seed)]
-    else:
-        ends = (np.cumsum([len(x) + 1 for x in w]) - 1).tolist()
-        starts = [0, *(e + 1 for e in ends[:-words])]
-        hashes = [digest(joined[a:b], seed) for a, b in zip(starts, ends[words - 1 :], strict=True)]
-    h, ones = np.array(hashes, "<u8"), np.zeros(64, np.int64)
-    for k in range(0, len(h), 16384):
-        ones += np.unpackbits(h[k : k + 16384].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > len(h), bitorder="little").view("<u8")[0])
-
-
-def fingerprints(docs: DataFrame, check: bool = False, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp, check): fp as a signed long; check: a second one over five words, else 0. Null texts are empty."""
+    return majority(shingles(text, words, seed)) if text.encode().strip() else 0
+
 
+def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, fp): fp as a signed long. Null texts are empty."""
     small_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1)
-            one = np.array([simhash(t.as_py() or "") for t in texts], np.uint64).view(np.int64)
-            two = np.array([simhash(t.as_py() or "", 5, 7) for t in texts], np.uint64).view(np.int64) if check else np.zeros(len(one), np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(one), pa.array(two)], names=["doc_id", "fp", "check"])
+            prints = np.array([simhash(t.as_py() or "") for t in batch.column(1)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints)], names=["doc_id", "fp"])
 
-    base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return base.mapInArrow(run, f"doc_id {base.schema[0].dataType.simpleString()}, fp long, check long")
+    base = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    return base.mapInArrow(run, f"doc_id {base.schema[0].dataType.simpleString()}, fp long")
 
 
 def band_masks(bands: int) -> list[int]:
@@ -159,13 +155,12 @@ def components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Links:
-    """Which fingerprints link: within ``radius`` bits, and within ``check_radius`` of the second fingerprint."""
+    """Fingerprints within ``radius`` bits link; ``bands``: the parts that get a tree each."""
 
     radius: int = 3
     bands: int = 2
-    check_radius: int = 64
 
-    def shard_labels(self, fp: np.ndarray, check: np.ndarray, index: np.ndarray, query: np.ndarray, mask: int) -> np.ndarray:
+    def shard_labels(self, fp: np.ndarray, index: np.ndarray, query: np.ndarray, mask: int) -> np.ndarray:
         """Components of the links between ``index`` and ``query`` points of a shard."""
         n, part = len(fp), self.radius // self.bands
         tree, _ = build_tree(fp, mask, part, self.radius, 192, seed=n)
@@ -180,10 +175,7 @@ class Links:
                 some = own[k : k + 512]
                 for j in range(0, len(all_), 4096):
                     other = all_[j : j + 4096]
-                    near = np.bitwise_count(fp[some][:, None] ^ fp[other][None, :]) <= self.radius
-                    if self.check_radius < 64:
-                        near &= np.bitwise_count(check[some][:, None] ^ check[other][None, :]) <= self.check_radius
-                    a, b = np.nonzero(near)
+                    a, b = np.nonzero(np.bitwise_count(fp[some][:, None] ^ fp[other][None, :]) <= self.radius)
                     a, b = some[a], other[b]
                     differ = a != b
                     edges_a.append(a[differ])
@@ -196,7 +188,7 @@ class Links:
 
 
 def shard_stars(classes: DataFrame, links: Links) -> DataFrame:
-    """(a, b), b < a: for each shard, a's component there has the smallest id b. ``classes``: (id, fp, check), distinct."""
+    """(a, b), b < a: for each shard, a's component there has the smallest id b. ``classes``: (id, fp), distinct."""
     spark = classes.sparkSession
     n = classes.count()
     shards = int(min(max(n // SHARD, 1), SHARDS))
@@ -215,7 +207,7 @@ def shard_stars(classes: DataFrame, links: Links) -> DataFrame:
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, fp, check = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            ids, fp = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(2))
             for tree, _, blocks, starts in plan.value:
                 rows, leaf, home = route(tree, fp.view(np.uint64))
                 k = blocks[leaf]
@@ -228,23 +220,23 @@ def shard_stars(classes: DataFrame, links: Links) -> DataFrame:
                     now = now & home & (block != i)
                     parts.append((rows[now], (starts[leaf] + block * k + i)[now], np.ones(now.sum(), bool), np.zeros(now.sum(), bool)))
                 r, s, index, query = (np.concatenate(x) for x in zip(*parts, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(s.astype(np.int32)), pa.array(ids[r]), pa.array(fp[r]), pa.array(check[r]), pa.array(index), pa.array(query)], names=["shard", "id", "fp", "check", "index", "query"])
+                yield pa.RecordBatch.from_arrays([pa.array(s.astype(np.int32)), pa.array(ids[r]), pa.array(fp[r]), pa.array(index), pa.array(query)], names=["shard", "id", "fp", "index", "query"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         masks = [(starts[0], mask) for _, mask, _, starts in plan.value]
 
-        def stars(shard, ids, fp, check, index, query):
+        def stars(shard, ids, fp, index, query):
             order = np.argsort(ids, kind="stable")
-            ids, fp, check, index, query = ids[order], fp[order].view(np.uint64), check[order].view(np.uint64), index[order], query[order]
+            ids, fp, index, query = ids[order], fp[order].view(np.uint64), index[order], query[order]
             mask = [m for s, m in masks if s <= shard][-1]
-            label = links.shard_labels(fp, check, index, query, mask)
+            label = links.shard_labels(fp, index, query, mask)
             far = label != np.arange(len(ids))
             return pa.RecordBatch.from_arrays([pa.array(ids[far]), pa.array(ids[label[far]])], names=["a", "b"])
 
         held: list[list[np.ndarray]] = []
         at = None
         for batch in batches:
-            columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(6)]
+            columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(5)]
             for rows in np.split(np.arange(len(columns[0])), np.flatnonzero(np.diff(columns[0])) + 1):
                 if not len(rows):
                     continue
@@ -258,7 +250,7 @@ def shard_stars(classes: DataFrame, links: Links) -> DataFrame:
             yield stars(at, *(np.concatenate(x) for x in zip(*held, strict=True)))
 
     parts = min(total, max(64, 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    dealt = classes.select("id", "fp", "check").mapInArrow(deal, "shard int, id long, fp long, check long, index boolean, query boolean")
+    dealt = classes.select("id", "fp").mapInArrow(deal, "shard int, id long, fp long, index boolean, query boolean")
     placed = dealt.repartitionById(parts, F.col("shard") % parts).sortWithinPartitions("shard")
     return placed.mapInArrow(search, "a long, b long").distinct()
 
@@ -288,7 +280,7 @@ def linked_components(stars: DataFrame) -> DataFrame:
 
 
 def near_duplicate_components(docs: DataFrame, links: Links = Links(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp, check, component) for every row of ``docs``.
+    """(doc_id, fp, component) for every row of ``docs``.
 
     Equal fingerprints form a class, which enters the search once under its
     smallest doc_id; component is the smallest doc_id reachable over links.
@@ -297,26 +289,174 @@ def near_duplicate_components(docs: DataFrame, links: Links = Links(), doc_id: s
     if all ids of a class are null); repeated rows are repeated; other columns
     are ignored; an empty table gives no rows. ``doc_id`` must be an integer.
     """
-    prints = materialize(fingerprints(docs, links.check_radius < 64, doc_id, text), "fingerprints")
-    classes = materialize(prints.groupBy("fp", "check").agg(F.min(F.col("doc_id").cast("long")).alias("id")).filter("id is not null"), "classes")
+    prints = materialize(fingerprints(docs, doc_id, text), "fingerprints")
+    classes = materialize(prints.groupBy("fp").agg(F.min(F.col("doc_id").cast("long")).alias("id")).filter("id is not null"), "classes")
     found = linked_components(shard_stars(classes, links))
-    named = materialize(classes.join(found, "id", "left").select(F.col("fp").alias("f"), F.col("check").alias("c"), F.coalesce("component", "id").alias("component")), "components")
-    return prints.join(named, (F.col("fp") == F.col("f")) & (F.col("check") == F.col("c")), "left").select("doc_id", "fp", "check", "component")
+    named = materialize(classes.join(found, "id", "left").select(F.col("fp").alias("f"), F.coalesce("component", "id").alias("component")), "components")
+    return prints.join(named, F.col("fp") == F.col("f"), "left").select("doc_id", "fp", "component")
+
+
+#: Words of a shingle, and the Jaccard similarity from which texts are near-duplicates.
+WORDS, SIMILARITY = 5, 0.8
+#: How candidates are found: ``PRINTS`` independent fingerprints, of which one within the radius is enough.
+#: At a similarity of 0.8 to 0.85 one fingerprint within 7 bits finds 3 of 4 pairs, four find 98 in 100.
+PRINTS, CANDIDATES = 4, Links(7, 4)
+#: Most shingles, and most texts, of a block: a larger group of candidates is dealt out by pairs of blocks.
+BLOCK_SHINGLES, BLOCK_TEXTS = 1_000_000, 1_000
+
+
+def independent(hashes: np.ndarray, k: int) -> np.ndarray:
+    """The k-th of several independent hashes from one: itself for 0, else a SplitMix64 step with the k-th offset."""
+    if k == 0:
+        return hashes
+    x = hashes + np.uint64(0x9E3779B97F4A7C15 * k % (1 << 64))
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _sets(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(doc_id, key, n, prints): the digest and the size of the text's set of shingles, and its fingerprints over three words."""
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for t in batch.column(1):
+                t = t.as_py() or ""
+                own, base = np.unique(shingles(t, WORDS, 7)), shingles(t, 3, 42)
+                prints = np.array([majority(independent(base, k)) for k in range(PRINTS)], np.uint64).view(np.int64)
+                rows.append((xxhash.xxh3_128_digest(own.tobytes()), len(own), prints))
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 3
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(columns[0], pa.binary()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.list_(pa.int64()))], names=["doc_id", "key", "n", "prints"])
+
+    base = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    return base.mapInArrow(run, "doc_id long, key binary, n long, prints array<long>")
+
+
+def similar_labels(ids: np.ndarray, sets: list[np.ndarray], block: np.ndarray, across: bool, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct ids in order, place of the least one linked): a link is a Jaccard similarity of ``similarity`` or more.
+
+    ``across``: only pairs of different blocks count. A pair that is already
+    connected isn't computed, so that a group of copies costs about one
+    computation a text. Entries of one id are one node.
+    """
+    names, node = np.unique(ids, return_inverse=True)
+    root, size = np.arange(len(names)), np.array([len(s) for s in sets])
+    for a in range(len(ids)):
+        fits = np.minimum(size, size[a]) >= similarity * np.maximum(size, size[a]) - 1e-9
+        fits[: a + 1] = False
+        if across:
+            fits &= block != block[a]
+        rest = np.flatnonzero(fits & (root[node] != root[node[a]]))
+        while len(rest):
+            b = rest[0]
+            common = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+            if common >= similarity * (size[a] + size[b] - common) - 1e-9:
+                least, most = sorted((root[node[a]], root[node[b]]))
+                root[root == most] = least
+                rest = rest[root[node[rest]] != least]
+            else:
+                rest = rest[1:]
+    return names, root
+
+
+def candidate_groups(classes: DataFrame) -> DataFrame:
+    """(id, group) of the classes (id, prints) that share a group with another: linked over any of their fingerprints."""
+    stars = None
+    for k in range(PRINTS):
+        own = classes.select("id", F.col("prints")[k].alias("fp"))
+        heads = materialize(own.groupBy("fp").agg(F.min("id").alias("id")), "heads")
+        equal = own.join(heads.select(F.col("fp").alias("f"), F.col("id").alias("b")), F.col("fp") == F.col("f")).filter("b < id").select(F.col("id").alias("a"), "b")
+        both = shard_stars(heads, CANDIDATES).unionByName(equal)
+        stars = both if stars is None else stars.unionByName(both)
+    found = linked_components(stars.distinct())
+    return found.select("id", F.col("component").alias("group")).unionByName(found.select(F.col("component").alias("id"), F.col("component").alias("group"))).distinct()
+
+
+def similar_components(docs: DataFrame, similarity: float = SIMILARITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, component) for every row of ``docs``: the smallest doc_id reachable over texts similar enough.
+
+    Texts link at a Jaccard similarity of ``similarity`` or more between their
+    sets of shingles of five words (A-Z lowered; shorter texts: one shingle).
+    Equal sets form a class under their smallest doc_id. Vantage-point trees
+    over the fingerprints gather the classes into groups of candidates; all
+    pairs of a group are then decided on the shingles themselves, in blocks
+    where a group is large. Only texts of such groups travel, as hashes. Links
+    are exact; fingerprints may miss a pair (see ``PRINTS``), most easily
+    between texts of a few words at the very threshold.
+
+    Null texts are empty; texts without words are equal; rows with a null
+    doc_id get their class's component but start none (null if all ids of a
+    class are null); rows of one doc_id are one document, whatever their
+    texts; other columns are ignored; an empty table gives no rows.
+    """
+    small_batches(docs.sparkSession)
+    prints = materialize(_sets(docs, doc_id, text), "similar-sets")
+    least = prints.filter("doc_id is not null").groupBy("key").agg(F.min(F.struct("doc_id", "n", "prints")).alias("least"))
+    classes = materialize(least.select("key", F.col("least.doc_id").alias("id"), "least.n", "least.prints"), "similar-classes")
+    groups = materialize(candidate_groups(classes), "similar-groups")
+    blocks = groups.join(classes.groupBy("id").agg(F.sum("n").alias("n")), "id").groupBy("group").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_TEXTS)).cast("int").alias("blocks"))
+    members = materialize(groups.join(blocks, "group").select(F.col("id").alias("member"), "group", "blocks"), "similar-members")
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, bytes]] = set()  # a repeated row leaves a task once
+        for batch in batches:
+            kept, out = [], []
+            for i, (m, t) in enumerate(zip(batch.column(0).to_pylist(), batch.column(3), strict=True)):
+                own = np.unique(shingles(t.as_py() or "", WORDS, 7)).tobytes()
+                if (key := (m, xxhash.xxh3_128_digest(own))) not in seen:
+                    seen.add(key)
+                    kept.append(i)
+                    out.append(own)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(kept, pa.int64())) for c in range(3)), pa.array(out, pa.binary())], names=["id", "group", "blocks", "hashes"])
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, {}
+
+        def stars() -> pa.RecordBatch:
+            rows = list(held.values())
+            names, root = similar_labels(np.array([r[0] for r in rows]), [r[2] for r in rows], np.array([r[1] for r in rows]), at[1] != at[2], similarity)
+            far = root != np.arange(len(names))
+            return pa.RecordBatch.from_arrays([pa.array(names[far]), pa.array(names[root[far]])], names=["a", "b"])
+
+        for batch in batches:
+            for g, i, j, block, m, blob in zip(*(batch.column(c).to_pylist() for c in range(6)), strict=True):
+                if (g, i, j) != at:
+                    if held:
+                        yield stars()
+                    at, held = (g, i, j), {}
+                held.setdefault((m, xxhash.xxh3_128_digest(blob)), (m, block, np.frombuffer(blob, np.uint64)))
+        if held:
+            yield stars()
+
+    texts = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    own = texts.join(members, F.col("doc_id") == F.col("member")).select("member", "group", "blocks", "text")
+    own = own.mapInArrow(hashed, "id long, group long, blocks int, hashes binary").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    cells = own.select("group", "block", "id", "hashes", other).select("group", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "hashes")
+    parts = max(64, 8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    placed = cells.repartition(parts, "group", "i", "j").sortWithinPartitions("group", "i", "j")
+    found = linked_components(placed.mapInArrow(decide, "a long, b long").distinct())
+    named = materialize(classes.join(found, "id", "left").select(F.col("key").alias("k"), F.coalesce("component", "id").alias("component")), "similar-components")
+    return prints.join(named, F.col("key") == F.col("k"), "left").select("doc_id", "component")
 
 
-def drop_near_duplicates(docs: DataFrame, links: Links, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one row of each component: the one with the smallest doc_id.
+def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one row of each of ``similar_components``: the one with the smallest doc_id.
 
     Of rows that share the kept doc_id, the least by text stays (any, if equal).
     Rows with a null doc_id stay. Only the ids of dropped rows travel.
     """
-    found = materialize(near_duplicate_components(docs, links, doc_id, text), "near-duplicates")
-    losers = materialize(found.filter(F.col("doc_id") != F.col("component")).select(F.col("doc_id").alias("__loser")).distinct(), "losers")
-    kept = docs.join(losers, docs[doc_id] == F.col("__loser"), "left_anti")
-    again = materialize(found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("__again")), "repeated")
+    loser, more, z, first = (fresh(f"__{n}", docs.columns) for n in ("loser", "again", "null", "first"))
+    own = F.col(f"`{doc_id}`")
+    found = materialize(similar_components(docs, similarity, doc_id, text), "near-duplicates")
+    losers = materialize(found.filter(F.col("doc_id") != F.col("component")).select(F.col("doc_id").alias(loser)).distinct(), "losers")
+    kept = docs.join(losers, own == F.col(loser), "left_anti")
+    again = materialize(found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias(more)), "repeated")
     if again.isEmpty():
         return kept
-    once = kept.join(again, docs[doc_id] == F.col("__again"), "left_anti")
-    repeated = kept.join(again, docs[doc_id] == F.col("__again"), "left_semi")
-    first = repeated.groupBy(F.col(doc_id)).agg(F.min(F.struct(F.col(text).isNull().alias("z"), F.col(f"`{text}`").alias(text), *[F.col(f"`{c}`").alias(c) for c in docs.columns if c != text])).alias("__first"))
-    return once.unionByName(first.select(*[F.col("__first").getField(c).alias(c) for c in docs.columns]))
+    once = kept.join(again, own == F.col(more), "left_anti")
+    repeated = kept.join(again, own == F.col(more), "left_semi")
+    least = repeated.groupBy(own).agg(F.min(F.struct(F.col(f"`{text}`").isNull().alias(z), F.col(f"`{text}`").alias(text), *[F.col(f"`{c}`").alias(c) for c in docs.columns if c != text])).alias(first))
+    return once.unionByName(least.select(*[F.col(first).getField(c).alias(c) for c in docs.columns]))

@@ -222,18 +222,54 @@ def near_copies(seed):
     return out
 
 
-@pytest.mark.parametrize("links", [simhash.Links(3, 2), simhash.Links(9, 5), simhash.Links(9, 5, 20)])
+@pytest.mark.parametrize("links", [simhash.Links(3, 2), simhash.Links(9, 5)])
 def test_simhash_components(spark, links):
     texts = [*near_copies(1), *ODD]
     got = {r["doc_id"]: r for r in simhash.near_duplicate_components(docs(spark, texts), links).collect()}
     fp = [plain_simhash(t or "") for t in texts]
-    check = [simhash.simhash(t or "", 5, 7) if links.check_radius < 64 else 0 for t in texts]
     assert [got[i]["fp"] % 2**64 for i in range(len(texts))] == fp
-    a, b = np.nonzero([[(x ^ y).bit_count() <= links.radius and (p ^ q).bit_count() <= links.check_radius for y, q in zip(fp, check, strict=True)] for x, p in zip(fp, check, strict=True)])
+    a, b = np.nonzero([[(x ^ y).bit_count() <= links.radius for y in fp] for x in fp])
     assert [got[i]["component"] for i in range(len(texts))] == simhash.components(len(texts), a, b).tolist()
     assert simhash.near_duplicate_components(docs(spark, texts).limit(0), links).count() == 0
 
 
+def plain_similar(texts, least=0.8):
+    """Components of the texts whose sets of five-word shingles have this Jaccard similarity, pair by pair."""
+    sets = []
+    for t in texts:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    a, b = np.nonzero([[5 * len(x & y) >= 4 * len(x | y) for y in sets] for x in sets])
+    return simhash.components(len(texts), a, b).tolist()
+
+
+@pytest.mark.parametrize("block", [1_000, 7])
+def test_similar_components(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash, "BLOCK_TEXTS", block)
+    texts = [*near_copies(2), *near_copies(3), *ODD, "Dup DUP dup", "one"]
+    # copies that share a passage but not enough, chains of edits, and equal fingerprints of different sets
+    base = texts_of(8, 1, 200)[0].split()
+    texts += [" ".join(base[: 200 - 9 * k] + [f"new{k}{i}" for i in range(9 * k)]) for k in range(12)]
+    texts += ["same line here again and again " * 40 + " ".join(f"tail{k}{i}" for i in range(9)) for k in range(4)]
+    got = {r["doc_id"]: r["component"] for r in simhash.similar_components(docs(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == plain_similar(texts)
+    assert simhash.similar_components(docs(spark, texts).limit(0)).count() == 0
+
+
+def test_the_threshold_itself_links():
+    sets = [np.arange(4, dtype=np.uint64), np.arange(5, dtype=np.uint64), np.arange(7, dtype=np.uint64)]
+    assert simhash.similar_labels(np.array([1, 2, 3]), sets, np.zeros(3), False, 0.8)[1].tolist() == [0, 0, 2]
+    assert simhash.similar_labels(np.array([1, 2, 3]), sets, np.zeros(3), True, 0.8)[1].tolist() == [0, 1, 2]
+    assert simhash.similar_labels(np.array([3, 3, 1]), [sets[0], sets[2], sets[1]], np.arange(3), True, 0.8)[1].tolist() == [0, 0]
+
+
+def test_similar_rows_with_equal_or_null_ids(spark):
+    one, two, three = texts_of(9, 3, 50)
+    df = docs(spark, [one, one, two, three, three, None, two], ids=[4, 4, 4, None, None, 6, 9])
+    got = Counter((r["doc_id"], r["component"]) for r in simhash.similar_components(df).collect())
+    assert got == Counter({(4, 4): 3, (None, None): 2, (6, 6): 1, (9, 4): 1})
+
+
 @pytest.mark.parametrize(("radius", "bands"), [(3, 2), (9, 5), (3, 1)])
 def test_shards_find_every_link(spark, monkeypatch, radius, bands):
     monkeypatch.setattr(simhash, "SHARD", 40)
@@ -242,7 +278,7 @@ def test_shards_find_every_link(spark, monkeypatch, radius, bands):
     centers = rng.integers(0, 2**63, 40, dtype=np.uint64)
     points = np.unique(np.array([int(rng.choice(centers)) ^ sum({1 << int(b) for b in rng.integers(0, 64, rng.integers(0, 7))}) for _ in range(900)], np.uint64))
     points = np.unique(np.concatenate([points, centers[0] ^ np.arange(300, dtype=np.uint64)]))  # a crowded ball
-    df = spark.createDataFrame([(i, int(v), 0) for i, v in enumerate(np.ascontiguousarray(points).view(np.int64))], "id long, fp long, check long")
+    df = spark.createDataFrame([(i, int(v)) for i, v in enumerate(np.ascontiguousarray(points).view(np.int64))], "id long, fp long")
     found = {r["id"]: r["component"] for r in simhash.linked_components(simhash.shard_stars(df, simhash.Links(radius, bands))).collect()}
     a, b = np.nonzero(np.bitwise_count(points[:, None] ^ points[None, :]) <= radius)
     assert [found.get(i, i) for i in range(len(points))] == simhash.components(len(points), a, b).tolist()
@@ -251,8 +287,8 @@ def test_shards_find_every_link(spark, monkeypatch, radius, bands):
 def test_dropping_near_duplicates(spark):
     texts = texts_of(5, 4, 80)
     df = docs(spark, [texts[0], texts[0] + " mu", texts[1], texts[1], texts[2], None, None, texts[3]], ids=[5, 3, 7, 7, 1, 8, 9, None])
-    kept = simhash.drop_near_duplicates(df, simhash.Links(9, 5, 14))
-    assert kept.columns == df.columns
+    kept = simhash.drop_near_duplicates(df.withColumn("__loser", F.lit(1)).withColumn("__again", F.lit(2)))
+    assert kept.columns == [*df.columns, "__loser", "__again"]
     assert sorted((r["doc_id"] if r["doc_id"] is not None else -1) for r in kept.collect()) == [-1, 1, 3, 7, 8]
 
 
