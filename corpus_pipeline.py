@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparktrend.llm import mixing, packing, pii, quality, simhash
-from sparktrend.llm.common import materialize, table
+from sparktrend.llm.common import fresh, materialize, table
 from sparktrend.llm.queries import DEMO_KEY, vocabulary
 
 #: A document stays if its chance of good quality is at least this.
@@ -20,8 +20,8 @@ QUALITY = 0.3
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rule ensemble, fitted on the labels, doesn't reject."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    scored = quality.score(docs, model, name="__quality")
-    return scored.filter(F.col("__quality") >= QUALITY).select(*docs.columns)
+    name = fresh("__quality", docs.columns)
+    return quality.score(docs, model, name=name).filter(F.col(name) >= QUALITY).select(*docs.columns)
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

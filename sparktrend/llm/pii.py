@@ -200,11 +200,11 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", count: str | Non
     """
     t = F.col(f"`{text}`")
     maybe = t.rlike(r"@|\d[\d ().-]{5,}\d|\d/\d|[A-Z]{2}\d\d")
-    found, news = fresh("__found", docs.columns), fresh("__news", docs.columns)
+    found, news, fresh_text = (fresh(f"__{n}", docs.columns) for n in ("found", "news", "text"))
     matched = docs.withColumn(found, F.when(maybe, F.regexp_extract_all(t, F.lit(ANY), F.lit(0))))
     moved = matched.withColumn(news, F.when(F.size(found) > 0, F.transform(found, lambda m: pseudonym(m, key))))
     joined = F.array_join(F.zip_with(F.split(t, ANY, -1), F.concat(F.col(news), F.array(F.lit(""))), lambda gap, new: F.concat(gap, new)), "")
-    out = moved.withColumn("__text", F.when(F.col(news).isNotNull(), joined).otherwise(t))
+    out = moved.withColumn(fresh_text, F.when(F.col(news).isNotNull(), joined).otherwise(t))
     changed = F.coalesce(F.size(F.filter(F.zip_with(found, news, lambda a, b: a != b), lambda x: x)), F.lit(0))
-    columns = [F.col("__text").alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns if c != count]
+    columns = [F.col(fresh_text).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns if c != count]
     return out.select(*columns, *([F.when(F.col(news).isNotNull(), changed).otherwise(0).cast("int").alias(count)] if count else []))

@@ -189,6 +189,8 @@ def test_pii_formats_and_links(spark):
     other = pii.pseudonymise(docs(spark, texts), "another key").orderBy("doc_id").collect()
     assert other[0]["text"] != new[0]
     assert pii.pseudonymise(docs(spark, texts).limit(0), "k").count() == 0
+    clash = pii.pseudonymise(docs(spark, texts[:1]).withColumn("__text", F.lit("own")), "k").first()
+    assert (clash["__text"], clash["text"]) == ("own", new[0])
 
 
 def test_feistel_is_a_permutation(spark):
