@@ -316,7 +316,7 @@ def independent(hashes: np.ndarray, k: int) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, key, n, prints): the digest and the size of the text's set of shingles, and its fingerprints over three words."""
+    """(doc_id, key, n, prints): the digest and the size of the text's set of shingles, and the set's fingerprints (each shingle counts once, as in the similarity)."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -324,8 +324,8 @@ def _sets(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
             rows = []
             for t in batch.column(1):
                 t = t.as_py() or ""
-                own, base = np.unique(shingles(t, WORDS, 7)), shingles(t, 3, 42)
-                prints = np.array([majority(independent(base, k)) for k in range(PRINTS)], np.uint64).view(np.int64)
+                own = np.unique(shingles(t, WORDS, 7))
+                prints = np.array([majority(independent(own, k)) for k in range(PRINTS)], np.uint64).view(np.int64)
                 rows.append((xxhash.xxh3_128_digest(own.tobytes()), len(own), prints))
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 3
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(columns[0], pa.binary()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.list_(pa.int64()))], names=["doc_id", "key", "n", "prints"])

@@ -258,6 +258,14 @@ def test_similar_components(spark, monkeypatch, block):
     assert simhash.similar_components(docs(spark, texts).limit(0)).count() == 0
 
 
+def test_similar_components_of_repeated_passages(spark):
+    """Copies whose last words repeat, with a small edit: their sets of shingles are alike, their runs of words are not."""
+    bases = texts_of(21, 8, 150)
+    texts = [*bases, *(t + (" " + " ".join(t.split()[-10:])) * r + f" new{r}" for t in bases for r in (3, 10, 20))]
+    got = {r["doc_id"]: r["component"] for r in simhash.similar_components(docs(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == plain_similar(texts) == [*range(8), *(i for i in range(8) for _ in range(3))]
+
+
 def test_the_threshold_itself_links():
     sets = [np.arange(4, dtype=np.uint64), np.arange(5, dtype=np.uint64), np.arange(7, dtype=np.uint64)]
     assert simhash.similar_labels(np.array([1, 2, 3]), sets, np.zeros(3), False, 0.8)[1].tolist() == [0, 0, 2]
