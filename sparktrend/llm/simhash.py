@@ -298,9 +298,15 @@ def near_duplicate_components(docs: DataFrame, links: Links = Links(), doc_id: s
 
 #: Words of a shingle, and the Jaccard similarity from which texts are near-duplicates.
 WORDS, SIMILARITY = 5, 0.8
-#: How candidates are found: ``PRINTS`` independent fingerprints, of which one within the radius is enough.
-#: At a similarity of 0.8 to 0.85 one fingerprint within 7 bits finds 3 of 4 pairs, four find 98 in 100.
+#: A first, cheap round of candidates: ``PRINTS`` independent fingerprints, of which one within the radius is enough.
+#: What it misses is found by ``rare_groups``, which is exact.
 PRINTS, CANDIDATES = 4, Links(7, 4)
+#: Texts sampled, and shingles kept at most, to order shingles by how common they are; any order is exact, a good one is fast.
+COMMON_TEXTS, COMMON_SHINGLES = 4_000, 200_000
+#: Postings that a bucket of ``rare_groups`` should hold.
+POSTINGS = 1_000_000
+#: Fewest bits of a set's parities, and the most sets of a group that are compared by them in one task (larger groups go on whole).
+PARITIES, PRUNED = 256, 20_000
 #: Most shingles, and most texts, of a block: a larger group of candidates is dealt out by pairs of blocks.
 BLOCK_SHINGLES, BLOCK_TEXTS = 1_000_000, 1_000
 
@@ -315,23 +321,61 @@ def independent(hashes: np.ndarray, k: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _sets(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, key, n, prints): the digest and the size of the text's set of shingles, and the set's fingerprints (each shingle counts once, as in the similarity)."""
-    small_batches(docs.sparkSession)
+def common_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes in order, how many texts of a sample hold each) of the shingles that distinct texts of it share most."""
+    share = int(min(1.0, COMMON_TEXTS / max(texts.count(), 1)) * 1_000_000) + 1
+    some = texts.select("text").filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share).distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingles(t.as_py() or "", WORDS, 7)).view(np.int64))], names=["h"])
+
+    counted = some.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").orderBy(F.desc("n"), "h").limit(COMMON_SHINGLES).toArrow()
+    hashes, n = counted.column(0).to_numpy().view(np.uint64), counted.column(1).to_numpy()
+    order = np.argsort(hashes)
+    return hashes[order], n[order]
+
+
+def rarest(own: np.ndarray, hashes: np.ndarray, n: np.ndarray, similarity: float) -> np.ndarray:
+    """The rarest of the distinct shingles ``own``: so many that a set at least as similar and no larger holds one of them among its own rarest."""
+    held = np.zeros(len(own), np.int64)
+    if len(hashes):
+        at = np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)
+        held = np.where(hashes[at] == own, n[at], 0)
+    return own[np.lexsort((own, held))][: len(own) - int(np.ceil(similarity * len(own) - 1e-9)) + 1]
+
+
+def parities(own: np.ndarray) -> bytes:
+    """A bit for each class of hashes modulo a power of 2, twice the set's size at least: whether the set holds an odd number of it. Two sets differ by as many elements as bits, at least."""
+    width = max(PARITIES, 1 << (2 * len(own) - 1).bit_length())
+    return np.packbits(np.bincount((own % np.uint64(width)).astype(np.int64), minlength=width) & 1).tobytes()
+
+
+def _texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(doc_id, text, row): ``row`` is a hash of both."""
+    own = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    return own.withColumn("row", F.xxhash64("doc_id", "text"))
+
+
+def _sets(texts: DataFrame, similarity: float) -> DataFrame:
+    """(doc_id, row, key, node, n, prints, rare, bits): of the text's set of shingles, the digest, its first 64 bits, the size, fingerprints (each shingle counts once, as in the similarity), the rarest, and its parities."""
+    small_batches(texts.sparkSession)
+    common = texts.sparkSession.sparkContext.broadcast(common_shingles(texts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for t in batch.column(1):
-                t = t.as_py() or ""
-                own = np.unique(shingles(t, WORDS, 7))
+                own = np.unique(shingles(t.as_py() or "", WORDS, 7))
                 prints = np.array([majority(independent(own, k)) for k in range(PRINTS)], np.uint64).view(np.int64)
-                rows.append((xxhash.xxh3_128_digest(own.tobytes()), len(own), prints))
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 3
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(columns[0], pa.binary()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.list_(pa.int64()))], names=["doc_id", "key", "n", "prints"])
+                key = xxhash.xxh3_128_digest(own.tobytes())
+                rows.append((key, int.from_bytes(key[:8], "big", signed=True), len(own), prints, rarest(own, *common.value, similarity).view(np.int64), parities(own)))
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
+            kinds = (pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["doc_id", "row", "key", "node", "n", "prints", "rare", "bits"])
 
-    base = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    return base.mapInArrow(run, "doc_id long, key binary, n long, prints array<long>")
+    return texts.mapInArrow(run, "doc_id long, row long, key binary, node long, n long, prints array<long>, rare array<long>, bits binary")
 
 
 def similar_labels(ids: np.ndarray, sets: list[np.ndarray], block: np.ndarray, across: bool, similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -362,84 +406,222 @@ def similar_labels(ids: np.ndarray, sets: list[np.ndarray], block: np.ndarray, a
 
 
 def candidate_groups(classes: DataFrame) -> DataFrame:
-    """(id, group) of the classes (id, prints) that share a group with another: linked over any of their fingerprints."""
+    """(node, group) of the classes (node, prints) that share a group with another: linked over any of their fingerprints."""
     stars = None
     for k in range(PRINTS):
-        own = classes.select("id", F.col("prints")[k].alias("fp"))
+        own = classes.select(F.col("node").alias("id"), F.col("prints")[k].alias("fp"))
         heads = materialize(own.groupBy("fp").agg(F.min("id").alias("id")), "heads")
         equal = own.join(heads.select(F.col("fp").alias("f"), F.col("id").alias("b")), F.col("fp") == F.col("f")).filter("b < id").select(F.col("id").alias("a"), "b")
         both = shard_stars(heads, CANDIDATES).unionByName(equal)
         stars = both if stars is None else stars.unionByName(both)
     found = linked_components(stars.distinct())
-    return found.select("id", F.col("component").alias("group")).unionByName(found.select(F.col("component").alias("id"), F.col("component").alias("group"))).distinct()
+    return found.select(F.col("id").alias("node"), F.col("component").alias("group")).unionByName(found.select(F.col("component").alias("node"), F.col("component").alias("group"))).distinct()
 
 
-def similar_components(docs: DataFrame, similarity: float = SIMILARITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, component) for every row of ``docs``: the smallest doc_id reachable over texts similar enough.
+def rare_groups(classes: DataFrame, similarity: float) -> DataFrame:
+    """(node, group) of the classes (node, at, n, rare, bits) such that any similar two of different ``at`` share a group.
 
-    Texts link at a Jaccard similarity of ``similarity`` or more between their
-    sets of shingles of five words (A-Z lowered; shorter texts: one shingle).
-    Equal sets form a class under their smallest doc_id. Vantage-point trees
-    over the fingerprints gather the classes into groups of candidates; all
-    pairs of a group are then decided on the shingles themselves, in blocks
-    where a group is large. Only texts of such groups travel, as hashes. Links
-    are exact; fingerprints may miss a pair (see ``PRINTS``), most easily
-    between texts of a few words at the very threshold.
-
-    Null texts are empty; texts without words are equal; rows with a null
-    doc_id get their class's component but start none (null if all ids of a
-    class are null); rows of one doc_id are one document, whatever their
-    texts; other columns are ignored; an empty table gives no rows.
+    In one order of all shingles, the first |y| - ceil(s |y|) + 1 of a set y and
+    the first |x| - ceil(2 s / (1 + s) |x|) + 1 of a set x no larger have one in
+    common if their similarity is s or more (prefix filtering). Sets that share
+    one form a group, cut where sizes are too far apart or parities differ in
+    more bits than similar sets can; groups of the same sets are one. Postings travel packed, a row for each bucket of a batch.
     """
-    small_batches(docs.sparkSession)
-    prints = materialize(_sets(docs, doc_id, text), "similar-sets")
-    least = prints.filter("doc_id is not null").groupBy("key").agg(F.min(F.struct("doc_id", "n", "prints")).alias("least"))
-    classes = materialize(least.select("key", F.col("least.doc_id").alias("id"), "least.n", "least.prints"), "similar-classes")
-    groups = materialize(candidate_groups(classes), "similar-groups")
-    blocks = groups.join(classes.groupBy("id").agg(F.sum("n").alias("n")), "id").groupBy("group").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_TEXTS)).cast("int").alias("blocks"))
-    members = materialize(groups.join(blocks, "group").select(F.col("id").alias("member"), "group", "blocks"), "similar-members")
+    spark = classes.sparkSession
+    total = classes.agg(F.sum(F.size("rare"))).head()[0] or 0
+    parts = max(64, 8 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = max(parts, -(-total // POSTINGS))
+    posting = np.dtype([("s", "<u4"), ("node", "<i8"), ("at", "<i8"), ("n", "<i8"), ("short", "?")])
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            node, at, n = (batch.column(c).to_numpy() for c in range(3))
+            rare = batch.column(3)
+            lengths = np.diff(rare.offsets.to_numpy())
+            out = np.zeros(int(lengths.sum()), posting)
+            shingle = rare.flatten().to_numpy()
+            out["s"] = shingle >> 32 & 0xFFFFFFFF  # half a hash: chance matches only add candidates
+            for name, value in (("node", node), ("at", at), ("n", n)):
+                out[name] = np.repeat(value, lengths)
+            nth = np.arange(len(out)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            out["short"] = nth < out["n"] - np.ceil(2 * similarity / (1 + similarity) * out["n"] - 1e-9) + 1
+            bucket = shingle % buckets
+            order = np.argsort(bucket, kind="stable")
+            out, bucket = out[order], bucket[order]
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(out)]])
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]]), pa.array([out[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary())], names=["bucket", "postings"])
+
+    def shared(blobs: list[bytes]) -> pa.RecordBatch:
+        held = np.frombuffer(b"".join(blobs), posting)
+        held = held[np.argsort(held["s"], kind="stable")]
+        starts = np.concatenate([[0], np.flatnonzero(np.diff(held["s"])) + 1])
+        ends = np.append(starts[1:], len(held))
+        several = np.flatnonzero(np.minimum.reduceat(held["at"], starts) != np.maximum.reduceat(held["at"], starts))
+        groups = {}
+        for k in several:
+            own = held[starts[k] : ends[k]]
+            own = own[np.argsort(own["n"], kind="stable")]
+            for part in np.split(own, np.flatnonzero(own["n"][:-1] < similarity * own["n"][1:] - 1e-9) + 1):
+                if len(part) > 1 and part["short"].any() and part["at"].min() != part["at"].max():
+                    nodes = np.sort(part["node"])
+                    groups.setdefault(xxhash.xxh64_intdigest(nodes.tobytes()) - (1 << 63), nodes)
+        seen = [np.full(len(v), g) for g, v in groups.items()]
+        empty = np.zeros(0, np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([empty, *groups.values()])), pa.array(np.concatenate([empty, *seen]).astype(np.int64))], names=["node", "group"])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, blobs = None, []
+        for batch in batches:
+            for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if bucket != at:
+                    if blobs:
+                        yield shared(blobs)
+                    at, blobs = bucket, []
+                blobs.append(blob)
+        if blobs:
+            yield shared(blobs)
+
+    posted = classes.select("node", "at", "n", "rare").mapInArrow(post, "bucket long, postings binary")
+    placed = posted.repartitionById(parts, (F.col("bucket") % parts).cast("int")).sortWithinPartitions("bucket")
+    groups = placed.mapInArrow(gather, "node long, group long").distinct()
+
+    def viable(group: int, rows: list[tuple[int, int, int, bytes]]) -> list[tuple[np.ndarray, int]]:
+        """The parts of a group that pairs similar enough, for all that sizes and parities tell, hold together."""
+        node, at, n = (np.array(c, np.int64) for c in list(zip(*rows, strict=True))[:3])
+        if len(node) > PRUNED:
+            return [(node, group)]
+        root, width = np.arange(len(node)), np.array([len(r[3]) for r in rows])
+        for w in np.unique(width):  # similar sets have the same width, or one twice the other's, which is folded
+            some = np.flatnonzero((width == w) | (width == 2 * w))
+            folded = np.zeros((len(some), w // 8), np.uint64)
+            for i, k in enumerate(some):
+                folded[i] = np.bitwise_xor.reduce(np.frombuffer(rows[k][3], np.uint64).reshape(-1, w // 8))
+            for i, a in enumerate(some):
+                rest = some[i + 1 :]
+                fits = np.flatnonzero((at[rest] != at[a]) & (np.minimum(width[rest], width[a]) == w) & (np.minimum(n[a], n[rest]) >= similarity * np.maximum(n[a], n[rest]) - 1e-9))
+                apart = np.bitwise_count(folded[i + 1 :][fits] ^ folded[i]).sum(axis=1, dtype=np.int64)
+                near = rest[fits[apart <= (1 - similarity) / (1 + similarity) * (n[a] + n[rest[fits]]) + 1e-9]]
+                if len(near):
+                    joined = np.append(near, a)
+                    root[np.isin(root, root[joined])] = root[joined].min()
+        parts = [np.sort(node[root == r]) for r, size in zip(*np.unique(root, return_counts=True), strict=True) if size > 1]
+        return [(p, xxhash.xxh64_intdigest(p.tobytes()) - (1 << 63)) for p in parts]
+
+    def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, rows, done = None, [], {}
+
+        def result() -> pa.RecordBatch:
+            found = viable(group, rows)
+            found = [(p, g) for p, g in found if g not in done]
+            done.update((g, None) for _, g in found)
+            empty = np.zeros(0, np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([empty, *(p for p, _ in found)])), pa.array(np.concatenate([empty, *(np.full(len(p), g, np.int64) for p, g in found)]))], names=["node", "group"])
+
+        for batch in batches:
+            for g, *row in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True):
+                if g != group:
+                    if rows:
+                        yield result()
+                    group, rows = g, []
+                rows.append(row)
+        if rows:
+            yield result()
+
+    known = groups.join(classes.select("node", "at", "n", "bits"), "node").select("group", "node", "at", "n", "bits")
+    sorted_groups = known.repartition(parts, "group").sortWithinPartitions("group")
+    return sorted_groups.mapInArrow(prune, "node long, group long").distinct()
+
+
+def similar_stars(texts: DataFrame, members: DataFrame, similarity: float) -> DataFrame:
+    """(a, b), b < a: the links within groups, decided on the shingles themselves. ``members``: (row, key, at, n, group), of which ``at`` are linked and pairs of one ``at`` aren't compared."""
+    sizes = members.groupBy("group").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_TEXTS)).cast("int").alias("blocks"))
+    wanted = members.join(sizes, "group").groupBy(F.col("row").alias("member"), "key", "at").agg(F.collect_list(F.struct("group", "blocks")).alias("groups"))
+    wanted = materialize(wanted, "similar-members")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, bytes]] = set()  # a repeated row leaves a task once
+        seen: set[bytes] = set()  # a repeated row leaves a task once
         for batch in batches:
-            kept, out = [], []
-            for i, (m, t) in enumerate(zip(batch.column(0).to_pylist(), batch.column(3), strict=True)):
+            for key, at, groups, t in zip(*batch.columns, strict=True):
+                if (key := key.as_py()) in seen:
+                    continue
                 own = np.unique(shingles(t.as_py() or "", WORDS, 7)).tobytes()
-                if (key := (m, xxhash.xxh3_128_digest(own))) not in seen:
-                    seen.add(key)
-                    kept.append(i)
-                    out.append(own)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(kept, pa.int64())) for c in range(3)), pa.array(out, pa.binary())], names=["id", "group", "blocks", "hashes"])
+                if xxhash.xxh3_128_digest(own) != key:
+                    continue
+                seen.add(key)
+                groups = groups.as_py()
+                for k in range(0, len(groups), 64):
+                    some = groups[k : k + 64]
+                    n = len(some)
+                    yield pa.RecordBatch.from_arrays([pa.array([key] * n, pa.binary()), pa.array([at.as_py()] * n, pa.int64()), pa.array([g["group"] for g in some], pa.int64()), pa.array([g["blocks"] for g in some], pa.int32()), pa.array([own] * n, pa.binary())], names=["key", "at", "group", "blocks", "hashes"])
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held = None, {}
+        cell, held = None, {}
 
         def stars() -> pa.RecordBatch:
             rows = list(held.values())
-            names, root = similar_labels(np.array([r[0] for r in rows]), [r[2] for r in rows], np.array([r[1] for r in rows]), at[1] != at[2], similarity)
+            names, root = similar_labels(np.array([r[0] for r in rows]), [r[2] for r in rows], np.array([r[1] for r in rows]), cell[1] != cell[2], similarity)
             far = root != np.arange(len(names))
             return pa.RecordBatch.from_arrays([pa.array(names[far]), pa.array(names[root[far]])], names=["a", "b"])
 
         for batch in batches:
-            for g, i, j, block, m, blob in zip(*(batch.column(c).to_pylist() for c in range(6)), strict=True):
-                if (g, i, j) != at:
+            for g, i, j, block, at, key, blob in zip(*(batch.column(c).to_pylist() for c in range(7)), strict=True):
+                if (g, i, j) != cell:
                     if held:
                         yield stars()
-                    at, held = (g, i, j), {}
-                held.setdefault((m, xxhash.xxh3_128_digest(blob)), (m, block, np.frombuffer(blob, np.uint64)))
+                    cell, held = (g, i, j), {}
+                held.setdefault(key, (at, block, np.frombuffer(blob, np.uint64)))
         if held:
             yield stars()
 
-    texts = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    own = texts.join(members, F.col("doc_id") == F.col("member")).select("member", "group", "blocks", "text")
-    own = own.mapInArrow(hashed, "id long, group long, blocks int, hashes binary").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    own = texts.join(wanted, F.col("row") == F.col("member")).select("key", "at", "groups", "text")
+    own = own.mapInArrow(hashed, "key binary, at long, group long, blocks int, hashes binary").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    cells = own.select("group", "block", "id", "hashes", other).select("group", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "hashes")
-    parts = max(64, 8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    cells = own.select("group", "block", "at", "key", "hashes", other).select("group", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "at", "key", "hashes")
+    parts = max(64, 8 * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     placed = cells.repartition(parts, "group", "i", "j").sortWithinPartitions("group", "i", "j")
-    found = linked_components(placed.mapInArrow(decide, "a long, b long").distinct())
-    named = materialize(classes.join(found, "id", "left").select(F.col("key").alias("k"), F.coalesce("component", "id").alias("component")), "similar-components")
-    return prints.join(named, F.col("key") == F.col("k"), "left").select("doc_id", "component")
+    return placed.mapInArrow(decide, "a long, b long").distinct()
+
+
+def _similar_rows(docs: DataFrame, similarity: float, doc_id: str, text: str) -> DataFrame:
+    """(doc_id, row, root, component) for every row of ``docs``: ``root`` names the component, ``component`` is its smallest doc_id."""
+    small_batches(docs.sparkSession)
+    texts = _texts(docs, doc_id, text)
+    prints = materialize(_sets(texts, similarity), "similar-sets")
+    least = prints.groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "node", "n", "prints", "rare", "bits")).alias("least"))
+    classes = materialize(least.select("key", *(F.col(f"least.{c}").alias(c) for c in ("doc_id", "row", "node", "n", "prints", "rare", "bits"))), "similar-classes")
+    slim = classes.select("key", "row", "node", "n")
+    groups = materialize(candidate_groups(classes), "similar-groups")
+    found = linked_components(similar_stars(texts, slim.join(groups, "node").select("row", "key", F.col("node").alias("at"), "n", "group"), similarity))
+    linked = classes.join(found.withColumnRenamed("id", "node"), "node", "left").withColumn("at", F.coalesce("component", "node")).select("key", "doc_id", "row", "node", "at", "n", "rare", "bits")
+    linked = materialize(linked, "similar-linked")
+    groups = materialize(rare_groups(linked, similarity), "similar-rare")
+    rest = linked_components(similar_stars(texts, linked.join(groups, "node").select("row", "key", "at", "n", "group"), similarity))
+    rooted = linked.join(rest.withColumnRenamed("id", "at"), "at", "left").select(F.col("key").alias("k"), "doc_id", F.coalesce("component", "at").alias("root"))
+    rooted = materialize(rooted, "similar-roots")
+    ids = rooted.groupBy("root").agg(F.min("doc_id").alias("component"))
+    named = materialize(rooted.select("k", "root").join(ids, "root"), "similar-components")
+    return prints.select("doc_id", "row", "key").join(named, F.col("key") == F.col("k"), "left").select("doc_id", "row", "root", "component")
+
+
+def similar_components(docs: DataFrame, similarity: float = SIMILARITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, component) for every row of ``docs``: the smallest doc_id reachable over texts similar enough.
+
+    Texts link at a Jaccard similarity of ``similarity`` or more between their
+    sets of shingles of five words (A-Z lowered; shorter texts: one shingle).
+    Equal sets form a class. Vantage-point trees over the fingerprints gather
+    classes into groups, whose pairs are decided on the shingles themselves,
+    in blocks where a group is large. Classes not linked so far are gathered
+    again by their rarest shingles (``rare_groups``), which misses no pair.
+    Only texts of such groups travel, as hashes.
+
+    Null texts are empty; texts without words are equal; rows with a null
+    doc_id take part, and component is null if all ids are; rows of one doc_id
+    are decided each by its own text; other columns are ignored; an empty table
+    gives no rows.
+    """
+    return _similar_rows(docs, similarity, doc_id, text).select("doc_id", "component")
 
 
 def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -266,6 +266,27 @@ def test_similar_components_of_repeated_passages(spark):
     assert [got[i] for i in range(len(texts))] == plain_similar(texts) == [*range(8), *(i for i in range(8) for _ in range(3))]
 
 
+def test_similar_components_of_contiguous_edits(spark):
+    """Truncated, appended and passage-replaced copies at the threshold, where fingerprints miss about one in four."""
+    texts = [" ".join(f"w{v}" for v in np.random.default_rng(k).integers(0, 5000, 120)) for k in range(25)]
+    for k, w in enumerate([t.split() for t in texts]):
+        new = [f"n{k}x{i}" for i in range(40)]
+        texts += [" ".join(w[:97]), " ".join(w + new[:29]), " ".join(w[:50] + new[:8] + w[58:])]
+    got = {r["doc_id"]: r["component"] for r in simhash.similar_components(docs(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == plain_similar(texts) == [*range(25), *(i for i in range(25) for _ in range(3))]
+
+
+def test_parities_bound_the_difference():
+    rng = np.random.default_rng(3)
+    for n in (1, 100, 128, 129, 5000):
+        x = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+        y = np.unique(np.concatenate([x[len(x) // 10 :], rng.integers(0, 2**63, n // 9, dtype=np.uint64)]))
+        a, b = (np.frombuffer(simhash.parities(v), np.uint64) for v in (x, y))
+        w = min(len(a), len(b))
+        a, b = (np.bitwise_xor.reduce(v.reshape(-1, w)) for v in (a, b))
+        assert np.bitwise_count(a ^ b).sum() <= len(np.setxor1d(x, y))
+
+
 def test_the_threshold_itself_links():
     sets = [np.arange(4, dtype=np.uint64), np.arange(5, dtype=np.uint64), np.arange(7, dtype=np.uint64)]
     assert simhash.similar_labels(np.array([1, 2, 3]), sets, np.zeros(3), False, 0.8)[1].tolist() == [0, 0, 2]
