@@ -625,20 +625,25 @@ def similar_components(docs: DataFrame, similarity: float = SIMILARITY, doc_id:
 
 
 def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one row of each of ``similar_components``: the one with the smallest doc_id.
+    """``docs`` with one row of each of ``similar_components``: the one with the smallest doc_id (null only if all are).
 
-    Of rows that share the kept doc_id, the least by text stays (any, if equal).
-    Rows with a null doc_id stay. Only the ids of dropped rows travel.
+    Rows are decided each by its own text, so different texts under one doc_id
+    both stay. Of rows of one component that share the kept doc_id, the least
+    by text stays (any, if equal). Only hashes and ids of rows travel.
     """
-    loser, more, z, first = (fresh(f"__{n}", docs.columns) for n in ("loser", "again", "null", "first"))
-    own = F.col(f"`{doc_id}`")
-    found = materialize(similar_components(docs, similarity, doc_id, text), "near-duplicates")
-    losers = materialize(found.filter(F.col("doc_id") != F.col("component")).select(F.col("doc_id").alias(loser)).distinct(), "losers")
-    kept = docs.join(losers, own == F.col(loser), "left_anti")
-    again = materialize(found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias(more)), "repeated")
+    row, lost, lost_id, z, first, root = (fresh(f"__{n}", docs.columns) for n in ("row", "loser", "loser_id", "null", "first", "root"))
+    found = materialize(_similar_rows(docs, similarity, doc_id, text), "near-duplicates")
+    best = F.col("doc_id").eqNullSafe(F.col("component"))
+    losers = materialize(found.filter(~best).select(F.col("row").alias(lost), F.col("doc_id").alias(lost_id)).distinct(), "losers")
+    own = F.col(f"`{doc_id}`").cast("long")
+    named = docs.withColumn(row, F.xxhash64(own, F.col(f"`{text}`")))
+    same = (F.col(row) == F.col(lost)) & own.eqNullSafe(F.col(lost_id))
+    kept = named.join(losers, same, "left_anti")
+    roots = found.filter(best).groupBy("root").count().filter("count > 1").select(F.col("root").alias(root))
+    again = found.filter(best).join(roots, F.col("root") == F.col(root)).select(F.col("row").alias(lost), F.col("doc_id").alias(lost_id), root).distinct()
+    again = materialize(again, "repeated")
     if again.isEmpty():
-        return kept
-    once = kept.join(again, own == F.col(more), "left_anti")
-    repeated = kept.join(again, own == F.col(more), "left_semi")
-    least = repeated.groupBy(own).agg(F.min(F.struct(F.col(f"`{text}`").isNull().alias(z), F.col(f"`{text}`").alias(text), *[F.col(f"`{c}`").alias(c) for c in docs.columns if c != text])).alias(first))
+        return kept.select(*docs.columns)
+    once = kept.join(again, same, "left_anti").select(*docs.columns)
+    least = kept.join(again, same).groupBy(root).agg(F.min(F.struct(F.col(f"`{text}`").isNull().alias(z), F.col(f"`{text}`").alias(text), *[F.col(f"`{c}`").alias(c) for c in docs.columns if c != text])).alias(first))
     return once.unionByName(least.select(*[F.col(first).getField(c).alias(c) for c in docs.columns]))

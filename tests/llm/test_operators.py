@@ -323,6 +323,14 @@ def test_dropping_near_duplicates(spark):
     assert sorted((r["doc_id"] if r["doc_id"] is not None else -1) for r in kept.collect()) == [-1, 1, 3, 7, 8]
 
 
+def test_dropping_decides_by_row(spark):
+    a, b, c, d = texts_of(6, 4, 80)
+    # two texts under id 4, one of them a copy of id 2's; null ids with exact and near copies, and with a copy of id 9
+    rows = [(2, a), (4, a + " mu"), (4, b), (None, c), (None, c), (None, c + " mu"), (9, d), (None, d)]
+    kept = simhash.drop_near_duplicates(docs(spark, [t for _, t in rows], ids=[i for i, _ in rows]))
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr) == sorted([(2, a), (4, b), (None, c), (9, d)], key=repr)
+
+
 # --- mixture ---------------------------------------------------------------
 
 
