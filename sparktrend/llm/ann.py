@@ -97,13 +97,14 @@ def nearest(df: DataFrame, queries: Column, k: int = 5, hashing: CrossPolytope =
     """(query_id, rank, vec_id, score): the k nearest by cosine that the tables find for each row where ``queries`` (over the column vec_id) holds.
 
     Vectors null, zero or with null or non-finite components take no part, as
-    do rows with a null id or with another length than the first's. A query
+    do rows with a null id or with another length than the commonest (of
+    equally common ones, the longest). A query
     never finds its own id; repeated rows count once an id; other columns are
     ignored; an empty table gives no rows.
     """
     spark, schema = df.sparkSession, "query_id long, rank int, vec_id long, score double"
     points = usable(df, vec_id, vector)
-    head = points.select(F.size("v").alias("n")).head()
+    head = points.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).head()
     if head is None:
         return spark.createDataFrame([], schema)
     points = points.filter(F.size("v") == head["n"])

@@ -451,6 +451,13 @@ def test_neighbours(spark):
     assert ann.nearest(df.limit(0), F.lit(True), 5).count() == 0
 
 
+def test_neighbours_have_the_commonest_length(spark):
+    x = np.random.default_rng(1).normal(size=(40, 8))
+    rows = [(100, [1.0] * 5), *((i, [float(v) for v in row]) for i, row in enumerate(x)), (101, [1.0] * 9)]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1), F.lit(True), 3).collect()
+    assert {r["query_id"] for r in got} == set(range(40)) and {r["vec_id"] for r in got} <= set(range(40))
+
+
 def test_hadamard_keeps_lengths():
     x = np.random.default_rng(0).normal(size=(5, 16))
     np.testing.assert_allclose(np.linalg.norm(ann.hadamard(x), axis=1), np.linalg.norm(x, axis=1))
