@@ -2,11 +2,11 @@
 
 Documents become pieces of at most ``capacity`` tokens. How many pieces there
 are of each length is a histogram of at most ``capacity`` numbers whatever the
-corpus size, so the driver can plan bins exactly on it: bin completion takes
-the largest length left, enumerates undominated fillings of the space around
-it by branch and bound, and repeats the chosen filling as often as the
-histogram allows. Each such step uses up a length, so a plan has at most
-``capacity`` patterns, and broadcasting it is bounded too. Pieces then find
+corpus size, so the driver can plan bins on it: bin completion takes the
+largest length left, enumerates undominated fillings of the space around it by
+branch and bound, and repeats the chosen filling as often as the histogram
+allows. How many patterns a plan has depends on ``capacity`` alone, so
+broadcasting it is bounded too. Pieces then find
 their place by their rank within their length, which is a two-level prefix sum
 (rank in the task, plus what earlier tasks hold), never one task for a hot
 length.
@@ -16,10 +16,11 @@ from __future__ import annotations
 
 import json
 import os
+import sys
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +32,8 @@ from sparktrend.llm.common import materialize, small_batches
 
 #: Entries of a generation of a worker's word cache (a memory bound; results don't depend on it).
 CACHE_ENTRIES = 400_000
-#: Branch-and-bound nodes for one filling; beyond them the incumbent (a best fit) is used, which is always valid.
-NODES = 20_000
+#: Default of the branches and fillings that a plan's search tries after its first descent (see ``plan_bins``).
+NODES = 2_000
 _PLAIN = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _words: dict[str, _Words] = {}
 
@@ -124,103 +125,171 @@ class Pattern:
     copies: int
 
 
-@dataclass
-class _Filling:
-    """Branch and bound over the fillings of one bin's remaining space."""
-
-    room: int
-    counts: np.ndarray
-    allowed: int
-    nodes: int = NODES
-    best: list[int] = field(default_factory=list)
-    waste: int = 0
-    found: list[tuple[int, list[int]]] = field(default_factory=list)
-
-    def solve(self) -> list[tuple[int, list[int]]]:
-        """Fillings by waste. One piece as long as the whole room dominates all others."""
-        if self.room and self.counts[self.room] > 0:
-            return [(0, [self.room])]
-        self.sizes = np.flatnonzero(self.counts[: self.room + 1])[::-1].tolist()
-        self.smallest = self.sizes[-1] if self.sizes else 0
-        self.best, left = [], self.room  # the incumbent: best fit, the longest that fits again and again
-        for s in self.sizes:
-            n = min(left // s, int(self.counts[s]))
-            self.best += [s] * n
-            left -= n * s
-        self.waste = left
-        self.found = [(left, list(self.best))]
-        self._branch(0, self.room, [])
-        return sorted(self.found, key=lambda f: (f[0], len(f[1])))[:4]
-
-    def _branch(self, at: int, left: int, chosen: list[int]) -> None:
-        for k in range(at, len(self.sizes)):
-            if self.waste == 0 or self.nodes <= 0:
-                return
-            s = self.sizes[k]
-            if s > left:
-                continue
-            self.nodes -= 1
-            used = chosen.count(s)
-            if used >= self.counts[s]:
-                continue
-            rest = left - s
-            if rest == 0 or (rest <= s and rest < len(self.counts) and self.counts[rest] > (used + 1 if rest == s else chosen.count(rest))):
-                self.waste, self.best = 0, [*chosen, s, *([rest] if rest else [])]
-                self.found.append((0, self.best))
+def _bits(x: int) -> Iterator[int]:
+    """Places of the bits of ``x``, highest first."""
+    while x:
+        top = x.bit_length() - 1
+        yield top
+        x ^= 1 << top
+
+
+def _undominated(filling: list[tuple[int, int]], counts: list[int], waste: int) -> bool:
+    """Whether no length that is left over could take the place of some of the filling's pieces, wasting less or holding fewer pieces.
+
+    Such an exchange never costs a bin: what it takes out fits where the
+    longer piece would have gone.
+    """
+    one, several, free = 1, 0, 0  # sums of the pieces as bits; several: of two or more of them
+    for s, n in filling:
+        for _ in range(n):
+            several |= (several | one ^ 1) << s
+            one |= one << s
+    taken = dict(filling)
+    for s, n in enumerate(counts):
+        if n > taken.get(s, 0):
+            free |= 1 << s
+    return not several & free and not any(one << d & free for d in range(1, waste + 1))
+
+
+def fillings(room: int, counts: list[int], most: int, tries: list[int]) -> Iterator[tuple[int, list[tuple[int, int]]]]:
+    """(waste, pieces as (length, how many)) for the undominated fillings of ``room`` that waste ``most`` or less, least waste first.
+
+    ``counts``: pieces by length. ``tries``: each filling that is tested for
+    dominance takes one of its only entry; it ends at 0. Branch and bound over the lengths in
+    descending order, the longest and as many of it as fit first. The bound is
+    exact: for each length, the sums that it and all shorter ones can make.
+    """
+    if counts[room] and room:
+        yield 0, [(room, 1)]  # dominates all others
+        return
+    sizes = [s for s in range(room, 0, -1) if counts[s]]
+    whole = (1 << (room + 1)) - 1
+    reach = [1]
+    for s in reversed(sizes):
+        sums, left, step = reach[-1], min(counts[s], room // s), 1
+        while left:  # binary splitting of how many there are
+            step = min(step, left)
+            sums |= sums << s * step & whole
+            left, step = left - step, 2 * step
+        reach.append(sums)
+    reach.reverse()
+    for total in _bits(reach[0] & whole):
+        if (waste := room - total) > most:
+            return
+        stack: list[tuple[int, int, tuple]] = [(0, total, ())]
+        while stack:
+            at, left, chosen = stack.pop()
+            while left and at < len(sizes):
+                s = sizes[at]
+                if s <= left:
+                    rest = reach[at + 1]
+                    fits = [n for n in range(min(left // s, counts[s]), -1, -1) if rest >> (left - n * s) & 1]
+                    stack += [(at + 1, left - n * s, (*chosen, (s, n)) if n else chosen) for n in reversed(fits[1:])]
+                    left -= fits[0] * s
+                    chosen = (*chosen, (s, fits[0])) if fits[0] else chosen
+                at += 1
+            tries[0] -= 1
+            if _undominated(list(chosen), counts, waste):
+                yield waste, list(chosen)
+            if tries[0] <= 0:
                 return
-            if rest < self.smallest:
-                if rest < self.waste:  # nothing else fits, so it is undominated; keep it if it wastes less
-                    self.waste, self.best = rest, [*chosen, s]
-                    self.found.append((rest, self.best))
-                continue
-            self._branch(k, rest, [*chosen, s])
 
 
-def plan_bins(histogram: dict[int, int], capacity: int = 2048, tries: int = 8) -> list[Pattern]:
+def least_bins(counts: list[int]) -> int:
+    """A lower bound of the bins for pieces of these lengths: those over half need one each, and what shorter ones add to the space that these leave."""
+    capacity = len(counts) - 1
+    n, size, half = np.array(counts, np.int64), np.arange(capacity + 1), capacity // 2
+    over, total = np.cumsum(n[::-1])[::-1], np.cumsum((n * size)[::-1])[::-1]  # of this length or more
+    over, total = np.append(over, 0), np.append(total, 0)
+    k = np.arange(half + 1)  # pieces shorter than k are left out, and so are those that leave less than k
+    top = capacity - k + 1
+    beside = (over[half + 1] - over[top]) * capacity - (total[half + 1] - total[top])
+    return int(over[half + 1] + max(0, (-(-(total[k] - total[half + 1] - beside) // capacity)).max()))
+
+
+def best_fit(counts: list[int]) -> list[Pattern]:
+    """Bins of the longest piece left and then, again and again, the longest that fits."""
+    counts, plan, top = list(counts), [], len(counts) - 1
+    while True:
+        while top and not counts[top]:
+            top -= 1
+        if not top:
+            return plan
+        left, items = len(counts) - 1 - top, {top: 1}
+        counts[top] -= 1
+        for s in range(min(left, top), 0, -1):
+            if n := min(left // s if s <= left else 0, counts[s]):
+                items[s] = items.get(s, 0) + n
+                left -= n * s
+        counts[top] += 1
+        copies = min(counts[s] // n for s, n in items.items())
+        for s, n in items.items():
+            counts[s] -= n * copies
+        plan.append(Pattern(sorted(items.items(), reverse=True), copies))
+
+
+def plan_bins(histogram: dict[int, int], capacity: int = 2048, nodes: int = NODES) -> list[Pattern]:
     """As few bins as bin completion finds for ``histogram`` (pieces by length).
 
-    The first descent takes each bin's least wasteful filling. If it misses the
-    lower bound ceil(total / capacity), up to ``tries`` more descents take
-    another filling at one of the wasteful bins and are cut off as soon as
-    their waste can't beat the incumbent's. Any descent is a valid packing.
+    A depth-first branch and bound. A node takes the longest piece left and
+    branches over the undominated fillings of the space beside it, each as
+    often as the histogram allows, then half as often, down to once. Branches
+    whose waste, or whose lower bound of bins, can't beat the incumbent are
+    cut; the first incumbent is best fit. The first descent always ends (a
+    room's first filling is undominated); ``nodes`` bounds how many branches
+    and fillings are tried after it. Within that bound the plan has the fewest
+    bins there are, and beyond it any incumbent is a valid packing. A plan has
+    at most about capacity * (1 + ln capacity) patterns, however many pieces
+    there are.
     """
-    total = sum(s * n for s, n in histogram.items())
-    least = -(-total // capacity)
-    best: list[Pattern] | None = None
-    fewest, turns = 0, [-1]
-    for turn in range(tries + 1):
-        counts = np.zeros(capacity + 1, np.int64)
-        for s, n in histogram.items():
-            counts[s] = n
-        bins, waste, wasteful, plan = 0, 0, 0, []
-        most = total if best is None else (fewest - 1) * capacity - total  # waste that would still be an improvement
-        while (top := int(counts.nonzero()[0][-1]) if counts.any() else 0) and waste <= most:
-            counts[top] -= 1
-            fillings = _Filling(capacity - top, counts, most - waste).solve() if top < capacity else [(0, [])]
-            counts[top] += 1
-            choice = 0
-            if fillings[0][0]:
-                wasteful += 1
-                choice = min(1, len(fillings) - 1) if wasteful == turns[min(turn, len(turns) - 1)] else 0
-            lost, extra = fillings[choice]
-            items: dict[int, int] = {top: 1}
-            for s in extra:
-                items[s] = items.get(s, 0) + 1
-            copies = min(int(counts[s]) // n for s, n in items.items())
-            for s, n in items.items():
-                counts[s] -= n * copies
-            bins, waste = bins + copies, waste + lost * copies
-            plan.append(Pattern(sorted(items.items(), reverse=True), copies))
-        if not counts.any() and (best is None or bins < fewest):
-            best, fewest = plan, bins
-        if fewest == least:
-            break
-        if turn == 0:
-            turns += list(range(1, wasteful + 1))
-    return best or []
-
-
-def pack_documents(df: DataFrame, path: str, capacity: int = 2048, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    counts = [histogram.get(s, 0) for s in range(capacity + 1)]
+    total, least = sum(s * n for s, n in enumerate(counts)), least_bins(counts)
+    best = best_fit(counts)
+    fewest, tries = sum(p.copies for p in best), [sys.maxsize]  # until the first descent has ended
+
+    def branches(counts: list[int], waste: int) -> Iterator[tuple[int, dict[int, int], int]]:
+        top = next(s for s in range(capacity, 0, -1) if counts[s])
+        counts = list(counts)
+        counts[top] -= 1
+        for lost, extra in fillings(capacity - top, counts, (fewest - 1) * capacity - total - waste, tries):
+            items = {top: 1}
+            for s, n in extra:
+                items[s] = items.get(s, 0) + n
+            copies = min((counts[s] + (s == top)) // n for s, n in items.items())
+            while copies:
+                yield lost, items, copies
+                copies //= 2
+
+    # A level of the stack: pieces left, bins and waste so far, the branches that remain; ``plan`` holds the branch taken at each.
+    stack, plan = [(counts, 0, 0, branches(counts, 0) if total else iter(()))], []
+    while stack and fewest > least and tries[0] > 0:
+        held, bins, waste, rest = stack[-1]
+        del plan[len(stack) - 1 :]
+        if (branch := next(rest, None)) is None:
+            stack.pop()
+            tries[0] = min(tries[0], nodes)
+            continue
+        lost, items, copies = branch
+        if waste + lost * copies > (fewest - 1) * capacity - total:
+            tries[0] = min(tries[0], nodes)
+            continue
+        tries[0] -= 1
+        left = list(held)
+        for s, n in items.items():
+            left[s] -= n * copies
+        plan.append(Pattern(sorted(items.items(), reverse=True), copies))
+        bins, waste = bins + copies, waste + lost * copies
+        if not any(left):
+            best, fewest = list(plan), bins
+            tries[0] = min(tries[0], nodes)
+        elif bins + least_bins(left) < fewest:
+            stack.append((left, bins, waste, branches(left, waste)))
+        else:
+            tries[0] = min(tries[0], nodes)
+    return best
+
+
+def pack_documents(df: DataFrame, path: str, capacity: int = 2048, doc_id: str = "doc_id", text: str = "text", nodes: int = NODES) -> DataFrame:
     """Pack all documents of ``df`` into sequences of at most ``capacity`` tokens.
 
     Returns one row for each piece: doc_id, piece, start, length, ids_crc32,
@@ -228,13 +297,14 @@ def pack_documents(df: DataFrame, path: str, capacity: int = 2048, doc_id: str =
     and empty texts are a single id 0. Each input row is a document of its own,
     also where rows or ids repeat (null ids stay null); other columns are
     ignored; an empty table gives no rows. Ranks come from the written pieces,
-    so a retried task repeats the same places.
+    so a retried task repeats the same places. ``nodes`` bounds the driver's
+    search (see ``plan_bins``); any bound gives a whole, valid packing.
     """
     pieces = materialize(cut_pieces(df, path, capacity, doc_id, text), "pieces")
     by_task = pieces.groupBy("task", "length").agg(F.count("*").alias("n"))
     histogram = {r["length"]: r["n"] for r in by_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most capacity rows
     starts, next_rank, sequence = [], dict.fromkeys(histogram, 0), 0
-    for p in plan_bins(histogram, capacity):
+    for p in plan_bins(histogram, capacity, nodes):
         offset = 0
         for s, n in p.items:
             starts.append((s, next_rank[s], n, sequence, offset))
@@ -242,7 +312,7 @@ def pack_documents(df: DataFrame, path: str, capacity: int = 2048, doc_id: str =
             offset += s * n
         sequence += p.copies
     starts.sort()
-    places = df.sparkSession.sparkContext.broadcast(np.array(starts, np.int64).reshape(-1, 5))  # at most capacity patterns
+    places = df.sparkSession.sparkContext.broadcast(np.array(starts, np.int64).reshape(-1, 5))  # a bounded number of patterns
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     first = by_task.select(F.col("task").alias("t"), F.col("length").alias("l"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     ranked = pieces.join(first, (F.col("task") == F.col("t")) & (F.col("length") == F.col("l"))).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("first")).alias("rank"))

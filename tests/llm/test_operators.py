@@ -148,18 +148,46 @@ def fewest_bins(sizes, capacity):
     return best[0]
 
 
-@settings(max_examples=60, deadline=None)
-@given(hs.lists(hs.integers(1, 20), max_size=8))
-def test_plans_are_near_optimal_and_whole(sizes):
-    plan = packing.plan_bins(dict(Counter(sizes)), 20)
+def check_plan(plan, histogram, capacity):
     held = Counter()
     for p in plan:
-        assert sum(s * n for s, n in p.items) <= 20
+        assert sum(s * n for s, n in p.items) <= capacity and p.copies > 0
         for s, n in p.items:
             held[s] += n * p.copies
-    assert held == Counter(sizes)
-    if sizes:
-        assert sum(p.copies for p in plan) <= fewest_bins(sorted(sizes, reverse=True), 20) + 1
+    assert held == Counter({s: n for s, n in histogram.items() if n})
+    return sum(p.copies for p in plan)
+
+
+@settings(max_examples=150, deadline=None)
+@given(hs.lists(hs.integers(1, 20), max_size=9))
+def test_plans_are_optimal_and_whole(sizes):
+    used = check_plan(packing.plan_bins(dict(Counter(sizes)), 20), Counter(sizes), 20)
+    assert used == (fewest_bins(sorted(sizes, reverse=True), 20) if sizes else 0)
+
+
+@settings(max_examples=40, deadline=None)
+@given(hs.dictionaries(hs.integers(1, 5), hs.integers(0, 5_000), max_size=5), hs.dictionaries(hs.integers(6, 2048), hs.integers(1, 3), max_size=6))
+def test_plans_of_thousands_of_short_pieces(short, long):
+    histogram = long | short
+    counts = [histogram.get(s, 0) for s in range(2049)]
+    used = check_plan(packing.plan_bins(histogram), histogram, 2048)
+    assert packing.least_bins(counts) <= used <= sum(p.copies for p in packing.best_fit(counts))
+
+
+def test_plans_of_odd_histograms():
+    assert packing.plan_bins({}) == []
+    assert check_plan(packing.plan_bins({2: 1100, 3: 1}), {2: 1100, 3: 1}, 2048) == 2
+    assert check_plan(packing.plan_bins({1: 10**12, 2047: 10**12}), {1: 10**12, 2047: 10**12}, 2048) == 10**12
+    every = {s: 1 + s % 7 for s in range(1, 2049)}
+    plan = packing.plan_bins(every)
+    assert check_plan(plan, every, 2048) <= 1.001 * packing.least_bins([every.get(s, 0) for s in range(2049)])
+    assert check_plan(packing.plan_bins(every, nodes=0), every, 2048) >= sum(p.copies for p in plan)
+
+
+def test_packing_very_short_documents(spark):
+    df = spark.range(1200).select(F.col("id").alias("doc_id"), F.lit(None).cast("string").alias("text")).union(spark.createDataFrame([(5000, "a")], "doc_id long, text string"))
+    rows = packing.pack_documents(df, vocabulary("word_bpe_49k.json"), 64).collect()
+    assert len(rows) == 1201 and len({r["sequence_id"] for r in rows}) == -(-1202 // 64)
 
 
 # --- personal data ---------------------------------------------------------
