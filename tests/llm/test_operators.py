@@ -1,9 +1,12 @@
 """Corpus operators against brute force, exact round trips, held-out accuracy, and edge cases."""
 
 import hashlib
+import os
 import re
+import sys
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -14,6 +17,9 @@ from pyspark.sql import functions as F
 from sparktrend.llm import ann, minhash, mixing, packing, pii, quality, secret_scan, simhash, token_count, toxicity
 from sparktrend.llm.queries import vocabulary
 
+sys.path.insert(0, str(Path(__file__).parent))
+import plain_pii  # noqa: E402
+
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau".split()
 LONG = " ".join(WORDS[i * 7 % 19] + str(i % 13) for i in range(30_000))
 ODD = [None, "", " ", "\n\t", "one", "two words", "Ünïcode ĐŽ 你好 🙂 é", "dup dup dup", "dup dup dup", LONG]
@@ -221,11 +227,37 @@ def test_pii_formats_and_links(spark):
     assert (clash["__text"], clash["text"]) == ("own", new[0])
 
 
+def test_pii_equals_a_plain_loop(spark):
+    """Detection and pseudonyms of plain Python on real and made-up texts."""
+    rng = np.random.default_rng(3)
+    parts = ["4041894974608795", "4041 8949 7460 8795", "DE89 3704 0044 0532 0130 00", "10.20.30.40", "123-45-6789", "2020-02-29", "29/02/2020", "2.3.1999", "+1 203 555 8282", "(203) 555-8282", "203-555-8282", "+49 30 123456", "a.b@c.de", "x@y..com", "joe@x.com.123", "7", "1.", "-", " ", "+", "(", "/", "é", "x", "@", "\n", "0" * 25]
+    made = ["".join(rng.choice(parts, rng.integers(1, 9))) for _ in range(500)] + [" ".join(rng.choice(parts, 12)) for _ in range(100)]
+    real = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()] if os.path.isdir("/root/testdata/sf0.001") else []
+    texts = [t or "" for t in [*made, *real]]
+    got = pii.pseudonymise(docs(spark, texts), "k", count="n").orderBy("doc_id").collect()
+    want = [plain_pii.pseudonymise(t, "k") for t in texts]
+    assert [(r["text"], r["n"]) for r in got] == want and sum(n for _, n in want) > 500
+
+
+def test_pii_survives_hostile_texts(spark):
+    """Very many labels and long runs of each kind's characters, beside documents as usual."""
+    hostile = ["x@" + "a." * 100_000 + "com", "a@" + "b" * 1_000_000, "1" * 1_000_000, "1." * 500_000, "AB12" + " 1234" * 200_000, "+1 " * 300_000, "555-" * 250_000, "1(" * 500_000, "@" * 1_000_000, "a@b." * 250_000, "2020-01-" * 120_000, "j" * 200_000 + "@x.com"]
+    out = pii.pseudonymise(docs(spark, ["to joe@x.com", *hostile, "to joe@x.com"]), "k", count="n").orderBy("doc_id").select("n", F.length("text").alias("len"), F.substring("text", 1, 12).alias("t")).collect()
+    assert [r["len"] for r in out[1:-1]] == list(map(len, hostile))
+    assert out[0]["t"] == out[-1]["t"] != "to joe@x.com" and out[1]["n"] == 1
+
+
+def test_pii_keeps_the_key_out_of_plans(spark, capsys):
+    pii.pseudonymise(docs(spark, ["a@b.com"]), "a very secret key").explain(True)
+    shown = capsys.readouterr().out
+    assert "Physical Plan" in shown and "very secret" not in shown
+
+
 def test_feistel_is_a_permutation(spark):
     pairs = spark.range(7 * 11).select((F.col("id") / 11).cast("long").alias("a"), (F.col("id") % 11).alias("b"))
-    moved = pairs.select(pii.feistel(F.col("a"), F.col("b"), F.lit(7), F.lit(11), "k").alias("s")).select("s.x", "s.y").collect()
+    moved = pairs.select(pii.feistel(F.col("a"), F.col("b"), F.lit(7), F.lit(11), F.lit("k")).alias("s")).select("s.x", "s.y").collect()
     assert {(r["x"], r["y"]) for r in moved} == {(a, b) for a in range(7) for b in range(11)}
-    digits = spark.range(1000).select(pii.permute_digits(F.lpad(F.col("id").cast("string"), 3, "0"), "k").alias("d"))
+    digits = spark.range(1000).select(pii.permute_digits(F.lpad(F.col("id").cast("string"), 3, "0"), F.lit("k")).alias("d"))
     assert {r["d"] for r in digits.collect()} == {f"{i:03d}" for i in range(1000)}
 
 
