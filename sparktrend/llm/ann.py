@@ -4,30 +4,38 @@ Each table turns a unit vector by a pseudo-rotation (three rounds of random
 signs and a fast Hadamard transform) and hashes it to the nearest signed axis.
 A query probes the axes nearest to it in every table; shards hold a bucket's
 vectors (a hot bucket is dealt out over several), rerank them exactly, and the
-best of all shards are merged.
+best of all shards are merged. How many axes to probe comes from a bounded
+sample of queries whose true neighbours are found by comparing them with all.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparktrend.llm.common import materialize
+
 #: Most vectors of a shard (a memory bound: hot buckets are dealt out, never capped).
 BLOCK = 50_000
 
 
 @dataclass(frozen=True)
 class CrossPolytope:
-    """``tables`` hash tables, of which a query probes ``probes`` axes each."""
+    """``tables`` hash tables, of which a query probes ``probes`` axes each.
+
+    Without ``probes``, ``calibrated`` derives them from ``sample`` queries, for ``recall``.
+    """
 
     tables: int = 6
-    probes: int = 16
+    probes: int | None = None
     seed: int = 20
+    sample: int = 64
+    recall: float = 0.96
 
     def axes(self, x: np.ndarray, table: int) -> np.ndarray:
         """The rotated vectors' coordinates along all signed axes: column 2 i + (1 if negative)."""
@@ -37,7 +45,7 @@ class CrossPolytope:
         rng = np.random.default_rng([self.seed, table])
         for _ in range(3):
             y = hadamard(y * rng.choice([-1.0, 1.0], width))
-        return np.stack([y, -y], 2).reshape(len(x), -1)
+        return np.stack([y, -y], 2).reshape(len(x), 2 * width)
 
     def buckets(self, x: np.ndarray) -> np.ndarray:
         """(rows, tables) bucket numbers, distinct between tables."""
@@ -45,7 +53,7 @@ class CrossPolytope:
 
     def probed(self, x: np.ndarray) -> np.ndarray:
         """(rows, tables * probes) bucket numbers, the nearest axes of each table."""
-        n = min(self.probes, self.width(x))
+        n = min(self.probes or self.width(x), self.width(x))
         return np.concatenate([np.argsort(-self.axes(x, t), axis=1, kind="stable")[:, :n] + t * self.width(x) for t in range(self.tables)], 1)
 
     def width(self, x: np.ndarray) -> int:
@@ -56,7 +64,7 @@ def hadamard(y: np.ndarray) -> np.ndarray:
     """The orthonormal fast Walsh-Hadamard transform of each row (width: a power of 2)."""
     n, h = y.shape[1], 1
     while h < n:
-        z = y.reshape(len(y), -1, 2, h)
+        z = y.reshape(len(y), n // (2 * h), 2, h)
         y = np.stack([z[:, :, 0] + z[:, :, 1], z[:, :, 0] - z[:, :, 1]], 2).reshape(len(y), n)
         h *= 2
     return y / np.sqrt(n)
@@ -67,11 +75,17 @@ def exact_cosine(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     return (c * q).sum(axis=1) / (np.sqrt((q * q).sum()) * np.sqrt((c * c).sum(axis=1)))
 
 
+def scaled(v: np.ndarray) -> np.ndarray:
+    """Each row times a power of 2 that brings its largest component to [0.5, 1): cosines keep every bit, and no square over- or underflows."""
+    _, e = np.frexp(np.abs(v).max(axis=1, keepdims=True))
+    return np.ldexp(v, -e)
+
+
 def best_of(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, id, score) of each query's k best among ``vectors``, but for the query's own id; ties to smaller ids."""
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     unit = vectors / np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
-    for at in range(0, len(queries), 256):
+    for at in range(0, len(queries) if len(vectors) else 0, 256):
         q, qi = queries[at : at + 256], query_ids[at : at + 256]
         near = (q / np.sqrt((q * q).sum(axis=1, keepdims=True))) @ unit.T
         near[qi[:, None] == ids[None, :]] = -np.inf
@@ -93,10 +107,59 @@ def usable(df: DataFrame, vec_id: str, vector: str) -> DataFrame:
     return df.filter(F.col(f"`{vec_id}`").isNotNull() & v.isNotNull()).select(F.col(f"`{vec_id}`").cast("long").alias("vec_id"), v.alias("v")).filter(fine)
 
 
+def calibrated(points: DataFrame, queries: Column, k: int, hashing: CrossPolytope) -> CrossPolytope:
+    """``hashing`` with as few probes (a power of 2, or all axes) as find ``hashing.recall`` of the true neighbours of at most ``hashing.sample`` queries.
+
+    The sample (the first by a hash of the id) is compared with every row, in
+    the tasks that read them; each returns at most k rows a query.
+    """
+    some = points.filter(F.coalesce(queries, F.lit(False))).dropDuplicates(["vec_id"]).orderBy(F.xxhash64("vec_id"), "vec_id").limit(hashing.sample).collect()
+    if not some:
+        return hashing
+    ids, x = np.array([r["vec_id"] for r in some]), np.array([r["v"] for r in some], float)
+    x = scaled(x)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own, v = batch.column(0).to_numpy(), scaled(_matrix(batch.column(1)))
+            if held is not None:
+                own, v = np.concatenate([held[0], own]), np.concatenate([held[1], v])
+            own, first = np.unique(own, return_index=True)
+            v = v[first]
+            _, i, _ = best_of(x, ids, v, own, k)
+            keep = np.isin(own, i)  # at most k rows a query
+            held = own[keep], v[keep]
+        if held is not None:
+            q, i, s = best_of(x, ids, held[1], held[0], k)
+            home = hashing.buckets(held[1][np.searchsorted(held[0], i)])
+            yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(i), pa.array(s), pa.array(list(home), pa.list_(pa.int64()))], names=["query_id", "vec_id", "score", "home"])
+
+    near = points.mapInArrow(compare, "query_id long, vec_id long, score double, home array<long>").dropDuplicates(["query_id", "vec_id"])
+    by_query = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    true = near.withColumn("rank", F.row_number().over(by_query)).filter(F.col("rank") <= k).collect()  # sample * k rows
+    if not true:
+        return hashing
+    place = {q: n for n, q in enumerate(ids.tolist())}
+    order = [np.argsort(-hashing.axes(x, t), axis=1, kind="stable") for t in range(hashing.tables)]
+    needed = np.sort([min(int(np.flatnonzero(order[t][place[r["query_id"]]] == r["home"][t] - t * hashing.width(x))[0]) for t in range(hashing.tables)) + 1 for r in true])
+    least = int(needed[min(len(needed) - 1, int(np.ceil(hashing.recall * len(needed))) - 1)])
+    return replace(hashing, probes=min(1 << (least - 1).bit_length(), hashing.width(x)))
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
 def nearest(df: DataFrame, queries: Column, k: int = 5, hashing: CrossPolytope = CrossPolytope(), vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest by cosine that the tables find for each row where ``queries`` (over the column vec_id) holds.
 
-    Vectors null, zero or with null or non-finite components take no part, as
+    Queries for which the probed buckets hold fewer than k vectors are compared
+    with every vector (all shards of the first table, which hold each once), so
+    each gets k rows, or all candidates where there are fewer. Components of
+    any finite size count: vectors are scaled by powers of 2. Vectors null, zero or with null or non-finite components take no part, as
     do rows with a null id or with another length than the commonest (of
     equally common ones, the longest). A query
     never finds its own id; repeated rows count once an id; other columns are
@@ -109,16 +172,14 @@ def nearest(df: DataFrame, queries: Column, k: int = 5, hashing: CrossPolytope =
         return spark.createDataFrame([], schema)
     points = points.filter(F.size("v") == head["n"])
 
-    def matrix(column: pa.Array) -> np.ndarray:
-        return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
-
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                b, n = np.unique(hashing.buckets(matrix(batch.column(1))), return_counts=True)
+                b, n = np.unique(hashing.buckets(scaled(_matrix(batch.column(1)))), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(b), pa.array(n)], names=["bucket", "n"])
 
     counted = points.mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()  # tables * axes rows
+    hashing = hashing if hashing.probes else calibrated(points, queries, k, hashing)
     numbers = np.zeros(hashing.tables * (2 << max(0, head["n"] - 1).bit_length()), np.int64)
     for r in counted:
         numbers[r["bucket"]] = r["n"]
@@ -126,18 +187,19 @@ def nearest(df: DataFrame, queries: Column, k: int = 5, hashing: CrossPolytope =
     blocks = np.maximum(1, -(-numbers // block))
     starts = np.concatenate([[0], np.cumsum(blocks)])
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def deal(batches: Iterator[pa.RecordBatch], whole: bool = False) -> Iterator[pa.RecordBatch]:
+        """Vectors to their shards, queries to those they probe; ``whole``: of the first table, all to all."""
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ids, x = batch.column(0).to_numpy(), matrix(batch.column(1))
-            home = hashing.buckets(x)
+            ids, x = batch.column(0).to_numpy(), scaled(_matrix(batch.column(1)))
+            home = hashing.buckets(x)[:, :1] if whole else hashing.buckets(x)
             rows = np.repeat(np.arange(len(x)), home.shape[1])
             salt = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
             shard = starts[home.ravel()] + salt[rows] % blocks[home.ravel()]
             parts = [(rows, shard, np.zeros(len(rows), bool))]
             if len(asks := np.flatnonzero(batch.column(2).to_numpy(zero_copy_only=False))):
-                probes = hashing.probed(x[asks])
+                probes = np.tile(np.arange(hashing.width(x)), (len(asks), 1)) if whole else hashing.probed(x[asks])
                 rows, b = np.repeat(asks, probes.shape[1]), probes.ravel()
                 full = numbers[b] > 0
                 rows, b = rows[full], b[full]
@@ -169,10 +231,25 @@ def nearest(df: DataFrame, queries: Column, k: int = 5, hashing: CrossPolytope =
                     q, i, s = best_of(x[rows], all_ids[rows], vectors, ids, k)
                     yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(i), pa.array(s)], names=["query_id", "vec_id", "score"])
 
-    total = int(starts[-1])
-    parts = min(total, max(64, 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    dealt = points.withColumn("asks", F.coalesce(queries, F.lit(False))).mapInArrow(deal, "shard long, query boolean, id long, v binary")
-    placed = dealt.repartitionById(parts, (F.col("shard") % parts).cast("int")).sortWithinPartitions("shard", "query")
-    found = placed.mapInArrow(search, "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    by_query = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(by_query)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    def everywhere(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from deal(batches, whole=True)
+
+    total, first_table = int(starts[-1]), int(starts[hashing.width(np.zeros((0, head["n"])))])
+
+    def searched(rows: DataFrame, how, shards: int) -> DataFrame:
+        parts = min(shards, max(64, 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+        dealt = rows.mapInArrow(how, "shard long, query boolean, id long, v binary")
+        placed = dealt.repartitionById(parts, (F.col("shard") % parts).cast("int")).sortWithinPartitions("shard", "query")
+        found = placed.mapInArrow(search, "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        by_query = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        return found.withColumn("rank", F.row_number().over(by_query)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    asked = points.withColumn("asks", F.coalesce(queries, F.lit(False)))
+    found = materialize(searched(asked, deal, total), "neighbours")
+    full = found.filter(F.col("rank") == k).select(F.col("query_id").alias("__full"))
+    short = materialize(asked.filter("asks").select("vec_id").distinct().join(full, F.col("vec_id") == F.col("__full"), "left_anti").select(F.col("vec_id").alias("__short")), "short-queries")
+    if short.isEmpty():
+        return found
+    again = asked.join(short, F.col("vec_id") == F.col("__short"), "left").select("vec_id", "v", F.col("__short").isNotNull().alias("asks"))
+    rest = searched(again, everywhere, first_table)
+    return found.join(short, F.col("query_id") == F.col("__short"), "left_anti").unionByName(rest)

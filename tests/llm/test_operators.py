@@ -518,6 +518,42 @@ def test_neighbours_have_the_commonest_length(spark):
     assert {r["query_id"] for r in got} == set(range(40)) and {r["vec_id"] for r in got} <= set(range(40))
 
 
+def true_neighbours(x, ids, q, k):
+    """(vec_id, cosine) by brute force in extended precision."""
+    v = x.astype(np.longdouble)
+    v /= np.abs(v).max(axis=1, keepdims=True)
+    score = (v @ v[q]) / np.sqrt((v * v).sum(axis=1) * (v[q] @ v[q]))
+    return [(int(ids[i]), float(score[i])) for i in np.lexsort((ids, -score)) if i != q][:k]
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 6, 9, 12])
+def test_neighbours_of_small_tables(spark, n):
+    """All candidates where there are fewer than k, whatever the size of the components."""
+    x = np.random.default_rng(n).normal(size=(n, 64)) * np.array([1e-200, 1.0, 1e200, 5e-324 * 2**60])[np.arange(n) % 4, None]
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, embedding array<double>")
+    for hashing in (ann.CrossPolytope(), ann.CrossPolytope(tables=2, probes=1)):
+        got = defaultdict(list)
+        for r in ann.nearest(df, F.lit(True), 5, hashing).orderBy("query_id", "rank").collect():
+            got[r["query_id"]].append((r["vec_id"], r["score"]))
+        for q in range(n):
+            want = true_neighbours(x, np.arange(n), q, 5)
+            assert len(got[q]) == len(want)
+            if n <= 6:
+                assert [i for i, _ in got[q]] == [i for i, _ in want]
+                np.testing.assert_allclose([s for _, s in got[q]], [s for _, s in want], rtol=1e-12)
+
+
+@pytest.mark.parametrize("kind", ["random", "clusters"])
+def test_probes_follow_the_data(spark, kind):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(2000, 48)) if kind == "random" else np.concatenate([rng.normal(size=(5, 48))[rng.integers(0, 5, 1960)] + 0.05 * rng.normal(size=(1960, 48)), rng.normal(size=(40, 48))])
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, embedding array<double>")
+    got = defaultdict(set)
+    for r in ann.nearest(df, F.col("vec_id") % 50 == 0, 5).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    assert np.mean([len(got[q] & {i for i, _ in true_neighbours(x, np.arange(2000), q, 5)}) / 5 for q in range(0, 2000, 50)]) >= 0.9
+
+
 def test_hadamard_keeps_lengths():
     x = np.random.default_rng(0).normal(size=(5, 16))
     np.testing.assert_allclose(np.linalg.norm(ann.hadamard(x), axis=1), np.linalg.norm(x, axis=1))
