@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Word separators of every contract here: space and the ASCII controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -23,12 +25,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests, a laptop) a local folder is set.
+    Where that setting is absent, a checkpoint directory that the caller has
+    set counts, and with a local master a folder of this machine. On a cluster
+    without either this raises ValueError: executors would write each to its
+    own disk.
     """
     if conf := spark.conf.get("spark.checkpoint.dir", None):
         return conf.rstrip("/")
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="sparktrend-"))
     return context._jsc.sc().getCheckpointDir().get().rstrip("/")
 
@@ -38,23 +45,62 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 
     This cuts the lineage with committed files, so that a lost executor costs
     a re-read instead of a recomputation, and a map stage runs once instead of
-    once for each use.
+    once for each use. ``discard`` deletes the files.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of ``materialize``'s tables, which nothing reads any more."""
+    for t in tables:
+        delete_path(t.sparkSession, t._written)
+
+
+#: Slots of ``in_slots``: what bounds its broadcast.
+SLOTS = 1 << 20
+
+
+def in_slots(df: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column, inside: bool = True) -> DataFrame:
+    """The rows of ``df`` whose key (a long hash) shares its last 20 bits with a key of ``wanted``, or else the others.
+
+    A cheap first sieve before a join that would shuffle wide rows: what is
+    broadcast are at most ``SLOTS`` numbers, whatever the size of the tables.
+    As these fill up it keeps more and more rows, in the end all. Keys aren't null.
+    """
+    name = fresh("__slot", df.columns)
+    slots = wanted.select(F.pmod(wanted_key, F.lit(SLOTS)).alias(name)).distinct()
+    found = df.withColumn(name, F.pmod(key, F.lit(SLOTS)))
+    how = "left_semi" if inside else "left_anti"
+    return found.join(F.broadcast(slots), name, how).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 #: Most rows of an Arrow batch: whole texts are large, and a batch is held by the JVM and the worker at once.
 BATCH_ROWS = 500
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Lower the session's Arrow batch size to ``BATCH_ROWS`` where it is larger."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df`` on a copy of its session whose Arrow batches hold at most ``BATCH_ROWS`` rows; the caller's session stays as it is.
+
+    What is derived from it belongs to that copy: temporary views made of it
+    are seen there.
+    """
+    spark, key = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
+        return df
+    copy = spark._jsparkSession.cloneSession()
+    copy.conf().set(key, str(BATCH_ROWS))
+    plan = spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(copy, df._jdf.logicalPlan())
+    return DataFrame(plan, SparkSession(spark.sparkContext, copy))
 
 
 def shingles(text: str, words: int, seed: int) -> np.ndarray:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparktrend.llm.common import materialize, shingles, small_batches
-from sparktrend.llm.simhash import components, linked_components
+from sparktrend.llm.links import components, linked_components
 
 #: Slots of a fingerprint; the estimate's standard error is at most 0.5 / sqrt(SLOTS).
 SLOTS = 128
@@ -68,7 +68,7 @@ def edit_with_next(df: DataFrame, doc_id: str = "doc_id", text: str = "text", pa
     Texts travel once, compressed. Ranges of ids are cut from their quantiles,
     and the first document of each range goes to the range before it as well.
     """
-    small_batches(df.sparkSession)
+    df = small_batches(df)
     spark = df.sparkSession
     base = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = base.schema["doc_id"].dataType.simpleString()
@@ -201,7 +201,8 @@ def near_duplicates(df: DataFrame, threshold: float = 0.8, bands: int = 16, doc_
 
 
 def _signed(df: DataFrame, doc_id: str, text: str) -> DataFrame:
-    small_batches(df.sparkSession)
+    df = small_batches(df)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_hashes(t.as_py() or "") for t in batch.column(1)]

@@ -99,7 +99,6 @@ def cut_pieces(df: DataFrame, path: str, capacity: int = 2048, doc_id: str = "do
     rank counts the pieces of equal length within the task. No shuffle.
     """
 
-    small_batches(df.sparkSession)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, task, seen, width = word_ids(path), TaskContext.get().partitionId(), [0] * (capacity + 1), 4 * capacity
         for batch in batches:
@@ -113,7 +112,7 @@ def cut_pieces(df: DataFrame, path: str, capacity: int = 2048, doc_id: str = "do
                     seen[n] += 1
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 7, (batch.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32", "task", "rank"])
 
-    base = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    base = small_batches(df).select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     return base.mapInArrow(run, f"doc_id {base.schema[0].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long, task int, rank long")
 
 

@@ -84,7 +84,8 @@ def scan_unseen(versions: DataFrame, ledger: DataFrame | None = None, rules: tup
     is one row per task, not one per copy. Null texts are empty blobs.
     """
 
-    small_batches(versions.sparkSession)
+    versions = small_batches(versions)
+
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         squeeze = zstandard.ZstdCompressor(level=1).compress

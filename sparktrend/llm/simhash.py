@@ -11,11 +11,11 @@ points and the visitors from across its boundaries, so every pair within the
 radius meets in a shard. In a shard a local tree of the same kind goes on.
 
 Shards return stars instead of pairs; components follow from them by
-distributed minimum stars and pointer jumping.
+distributed minimum stars and pointer jumping (``links``).
 
 ``similar_components`` links texts by the Jaccard similarity of their shingles
-instead: trees over several independent fingerprints gather groups of
-candidates, and within each group the similarity itself is computed.
+instead: trees over the fingerprints of their sets of shingles gather groups
+of candidates, and within each group the similarity itself decides.
 """
 
 from __future__ import annotations
@@ -29,7 +29,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparktrend.llm.common import fresh, materialize, shingles, small_batches
+from sparktrend.llm.common import discard, fresh, in_slots, materialize, shingles, small_batches
+from sparktrend.llm.links import SIMILARITY, components, document_rows, linked_components, node_of, set_key, shingle_set, verified_links
 
 FULL = (1 << 64) - 1
 #: Distinct fingerprints that a shard should hold, and beyond which it is dealt out in blocks.
@@ -53,14 +54,13 @@ def simhash(text: str, words: int = 3, seed: int = 42) -> int:
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, fp): fp as a signed long. Null texts are empty."""
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = np.array([simhash(t.as_py() or "") for t in batch.column(1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints)], names=["doc_id", "fp"])
 
-    base = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    base = small_batches(docs).select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     return base.mapInArrow(run, f"doc_id {base.schema[0].dataType.simpleString()}, fp long")
 
 
@@ -138,21 +138,6 @@ def route(tree: Node, points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nd
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The smallest node that each of n nodes is linked to, over the links (a, b)."""
-    label = np.arange(n)
-    while True:
-        least = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, label[a], least)
-        np.minimum.at(new, label[b], least)
-        while (jumped := new[new]).tolist() != new.tolist():
-            new = jumped
-        if (new == label).all():
-            return label
-        label = new
-
-
 @dataclass(frozen=True)
 class Links:
     """Fingerprints within ``radius`` bits link; ``bands``: the parts that get a tree each."""
@@ -255,30 +240,6 @@ def shard_stars(classes: DataFrame, links: Links) -> DataFrame:
     return placed.mapInArrow(search, "a long, b long").distinct()
 
 
-def linked_components(stars: DataFrame) -> DataFrame:
-    """(id, component) for every id in ``stars`` (a, b) with b < a: the smallest id linked to it.
-
-    Minimum stars: each a hands its other neighbours to its least one, until
-    every a has one neighbour; that is a forest whose roots are the answers,
-    and pointer jumping finds them. Each round is a written table.
-    """
-    edges = materialize(stars, "edges")
-    while True:
-        least = materialize(edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), "least")
-        if least.filter("n > 1").isEmpty():
-            break
-        joined = edges.join(least.select(F.col("a").alias("k"), "m"), F.col("a") == F.col("k"))
-        handed = joined.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
-        edges = materialize(handed.filter("a <> b").distinct(), "edges")
-    labels = least.select("a", F.col("m").alias("r"))
-    while True:
-        up = labels.select(F.col("a").alias("k"), F.col("r").alias("rr"))
-        jumped = materialize(labels.join(up, F.col("r") == F.col("k"), "left").select("a", F.coalesce("rr", "r").alias("r"), F.col("rr").isNotNull().alias("moved")), "jumped")
-        labels = jumped.select("a", "r")
-        if jumped.filter("moved").isEmpty():
-            return labels.select(F.col("a").alias("id"), F.col("r").alias("component"))
-
-
 def near_duplicate_components(docs: DataFrame, links: Links = Links(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, fp, component) for every row of ``docs``.
 
@@ -296,54 +257,43 @@ def near_duplicate_components(docs: DataFrame, links: Links = Links(), doc_id: s
     return prints.join(named, F.col("fp") == F.col("f"), "left").select("doc_id", "fp", "component")
 
 
-#: Words of a shingle, and the Jaccard similarity from which texts are near-duplicates.
-WORDS, SIMILARITY = 5, 0.8
-#: A first, cheap round of candidates: ``PRINTS`` independent fingerprints, of which one within the radius is enough.
+#: The fingerprint of a text's set of shingles gathers candidates: one print within the radius, over two parts.
 #: What it misses is found by ``rare_groups``, which is exact.
-PRINTS, CANDIDATES = 4, Links(7, 4)
+CANDIDATES = Links(3, 2)
 #: Texts sampled, and shingles kept at most, to order shingles by how common they are; any order is exact, a good one is fast.
 COMMON_TEXTS, COMMON_SHINGLES = 4_000, 200_000
-#: Postings that a bucket of ``rare_groups`` should hold.
-POSTINGS = 1_000_000
+#: Postings that a bucket of ``rare_groups`` should hold, and of a shingle from which on they need no gathering: its name is their group.
+POSTINGS, HOT = 500_000, 50_000
 #: Fewest bits of a set's parities, and the most sets of a group that are compared by them in one task (larger groups go on whole).
-PARITIES, PRUNED = 256, 20_000
-#: Most shingles, and most texts, of a block: a larger group of candidates is dealt out by pairs of blocks.
-BLOCK_SHINGLES, BLOCK_TEXTS = 1_000_000, 1_000
-
-
-def independent(hashes: np.ndarray, k: int) -> np.ndarray:
-    """The k-th of several independent hashes from one: itself for 0, else a SplitMix64 step with the k-th offset."""
-    if k == 0:
-        return hashes
-    x = hashes + np.uint64(0x9E3779B97F4A7C15 * k % (1 << 64))
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+PARITIES, PRUNED = 256, 2_000
+#: Sizes of sets travel as a number of steps of this ratio.
+STEP = 1.02
 
 
-def common_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes in order, how many texts of a sample hold each) of the shingles that distinct texts of it share most."""
+def common_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
+    """(hashes in order, how many texts of a sample hold each, the sample's share) of the shingles that distinct texts of it share most."""
     share = int(min(1.0, COMMON_TEXTS / max(texts.count(), 1)) * 1_000_000) + 1
     some = texts.select("text").filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share).distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for t in batch.column(0):
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingles(t.as_py() or "", WORDS, 7)).view(np.int64))], names=["h"])
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t.as_py()).view(np.int64))], names=["h"])
 
     counted = some.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").orderBy(F.desc("n"), "h").limit(COMMON_SHINGLES).toArrow()
     hashes, n = counted.column(0).to_numpy().view(np.uint64), counted.column(1).to_numpy()
     order = np.argsort(hashes)
-    return hashes[order], n[order]
+    return hashes[order], n[order], min(share / 1_000_000, 1.0)
 
 
-def rarest(own: np.ndarray, hashes: np.ndarray, n: np.ndarray, similarity: float) -> np.ndarray:
-    """The rarest of the distinct shingles ``own``: so many that a set at least as similar and no larger holds one of them among its own rarest."""
+def rarest(own: np.ndarray, hashes: np.ndarray, n: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """The rarest of the distinct shingles ``own``, and their counts: so many that a set at least as similar and no larger holds one of them among its own rarest."""
     held = np.zeros(len(own), np.int64)
     if len(hashes):
         at = np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)
         held = np.where(hashes[at] == own, n[at], 0)
-    return own[np.lexsort((own, held))][: len(own) - int(np.ceil(similarity * len(own) - 1e-9)) + 1]
+    first = np.lexsort((own, held))[: len(own) - int(np.ceil(similarity * len(own) - 1e-9)) + 1]
+    return own[first], held[first]
 
 
 def parities(own: np.ndarray) -> bytes:
@@ -352,102 +302,73 @@ def parities(own: np.ndarray) -> bytes:
     return np.packbits(np.bincount((own % np.uint64(width)).astype(np.int64), minlength=width) & 1).tobytes()
 
 
-def _texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, text, row): ``row`` is a hash of both."""
-    own = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    return own.withColumn("row", F.xxhash64("doc_id", "text"))
-
-
-def _sets(texts: DataFrame, similarity: float) -> DataFrame:
-    """(doc_id, row, key, node, n, prints, rare, bits): of the text's set of shingles, the digest, its first 64 bits, the size, fingerprints (each shingle counts once, as in the similarity), the rarest, and its parities."""
-    small_batches(texts.sparkSession)
-    common = texts.sparkSession.sparkContext.broadcast(common_shingles(texts))
+def _sets(texts: DataFrame) -> DataFrame:
+    """(doc_id, row, key, node, n, fp, bits): of the text's set of shingles, the digest, its first 64 bits, the size, the fingerprint (each shingle counts once, as in the similarity), and its parities."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for t in batch.column(1):
-                own = np.unique(shingles(t.as_py() or "", WORDS, 7))
-                prints = np.array([majority(independent(own, k)) for k in range(PRINTS)], np.uint64).view(np.int64)
-                key = xxhash.xxh3_128_digest(own.tobytes())
-                rows.append((key, int.from_bytes(key[:8], "big", signed=True), len(own), prints, rarest(own, *common.value, similarity).view(np.int64), parities(own)))
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
-            kinds = (pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["doc_id", "row", "key", "node", "n", "prints", "rare", "bits"])
+                own = shingle_set(t.as_py())
+                key = set_key(own)
+                rows.append((key, node_of(key), len(own), np.uint64(majority(own)).astype(np.int64), parities(own)))
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
+            kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["doc_id", "row", "key", "node", "n", "fp", "bits"])
 
-    return texts.mapInArrow(run, "doc_id long, row long, key binary, node long, n long, prints array<long>, rare array<long>, bits binary")
-
-
-def similar_labels(ids: np.ndarray, sets: list[np.ndarray], block: np.ndarray, across: bool, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """(distinct ids in order, place of the least one linked): a link is a Jaccard similarity of ``similarity`` or more.
-
-    ``across``: only pairs of different blocks count. A pair that is already
-    connected isn't computed, so that a group of copies costs about one
-    computation a text. Entries of one id are one node.
-    """
-    names, node = np.unique(ids, return_inverse=True)
-    root, size = np.arange(len(names)), np.array([len(s) for s in sets])
-    for a in range(len(ids)):
-        fits = np.minimum(size, size[a]) >= similarity * np.maximum(size, size[a]) - 1e-9
-        fits[: a + 1] = False
-        if across:
-            fits &= block != block[a]
-        rest = np.flatnonzero(fits & (root[node] != root[node[a]]))
-        while len(rest):
-            b = rest[0]
-            common = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
-            if common >= similarity * (size[a] + size[b] - common) - 1e-9:
-                least, most = sorted((root[node[a]], root[node[b]]))
-                root[root == most] = least
-                rest = rest[root[node[rest]] != least]
-            else:
-                rest = rest[1:]
-    return names, root
+    return texts.mapInArrow(run, "doc_id long, row long, key binary, node long, n long, fp long, bits binary")
 
 
 def candidate_groups(classes: DataFrame) -> DataFrame:
-    """(node, group) of the classes (node, prints) that share a group with another: linked over any of their fingerprints."""
-    stars = None
-    for k in range(PRINTS):
-        own = classes.select(F.col("node").alias("id"), F.col("prints")[k].alias("fp"))
-        heads = materialize(own.groupBy("fp").agg(F.min("id").alias("id")), "heads")
-        equal = own.join(heads.select(F.col("fp").alias("f"), F.col("id").alias("b")), F.col("fp") == F.col("f")).filter("b < id").select(F.col("id").alias("a"), "b")
-        both = shard_stars(heads, CANDIDATES).unionByName(equal)
-        stars = both if stars is None else stars.unionByName(both)
-    found = linked_components(stars.distinct())
-    return found.select(F.col("id").alias("node"), F.col("component").alias("group")).unionByName(found.select(F.col("component").alias("node"), F.col("component").alias("group"))).distinct()
+    """(node, group) of the classes (node, fp): a group's fingerprints are linked, or equal."""
+    heads = materialize(classes.groupBy("fp").agg(F.min("node").alias("id")), "heads")
+    found = linked_components(shard_stars(heads, CANDIDATES))
+    named = heads.join(found, "id", "left").select(F.col("fp").alias("f"), F.coalesce("component", "id").alias("group"))
+    return classes.join(named, F.col("fp") == F.col("f")).select("node", "group")
 
 
-def rare_groups(classes: DataFrame, similarity: float) -> DataFrame:
-    """(node, group) of the classes (node, at, n, rare, bits) such that any similar two of different ``at`` share a group.
+def rare_groups(texts: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+    """(node, group) of the classes (node, at, n, bits) of ``texts`` such that any similar two of different ``at`` share a group.
 
     In one order of all shingles, the first |y| - ceil(s |y|) + 1 of a set y and
     the first |x| - ceil(2 s / (1 + s) |x|) + 1 of a set x no larger have one in
     common if their similarity is s or more (prefix filtering). Sets that share
-    one form a group, cut where sizes are too far apart or parities differ in
-    more bits than similar sets can; groups of the same sets are one. Postings travel packed, a row for each bucket of a batch.
+    one form a group, cut where sizes are too far apart; groups of the same
+    sets are one, groups of a single ``at`` are dropped, and others are cut
+    where parities differ in more bits than similar sets can. Postings travel
+    packed, 14 bytes each. Those of a shingle that the sample shows to be in
+    very many texts' prefixes are dealt out by text and form one group as they are.
     """
-    spark = classes.sparkSession
-    total = classes.agg(F.sum(F.size("rare"))).head()[0] or 0
+    spark = texts.sparkSession
+    hashes, counts, share = common_shingles(texts)
+    common = spark.sparkContext.broadcast((hashes, counts))
+    total = (1 - similarity) * (classes.agg(F.sum("n")).head()[0] or 0) + classes.count()
     parts = max(64, 8 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    buckets = max(parts, -(-total // POSTINGS))
-    posting = np.dtype([("s", "<u4"), ("node", "<i8"), ("at", "<i8"), ("n", "<i8"), ("short", "?")])
+    buckets = max(parts, int(-(-total // POSTINGS)))
+    posting = np.dtype([("s", "<u4"), ("node", "<i8"), ("size", "<u2")])
+    short, dealt, apart = np.uint16(1 << 15), np.uint16(1 << 14), int(np.log(1 / similarity) / np.log(STEP)) + 1
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # a class leaves a task once
         for batch in batches:
-            if not batch.num_rows:
+            shingle, rows = [], []
+            for t in batch.column(0):
+                own = shingle_set(t.as_py())
+                if (node := node_of(set_key(own))) in seen:
+                    continue
+                seen.add(node)
+                first, held = rarest(own, *common.value, similarity)
+                out = np.zeros(len(first), posting)
+                out["s"], out["node"] = first >> np.uint64(32), node  # half a hash: chance matches only add candidates
+                small = np.arange(len(first)) < len(own) - np.ceil(2 * similarity / (1 + similarity) * len(own) - 1e-9) + 1
+                out["size"] = int(np.log(len(own)) / np.log(STEP)) + np.where(small, short, 0) + np.where(held / share >= HOT, dealt, 0)
+                shingle.append(first)
+                rows.append(out)
+            if not rows:
                 continue
-            node, at, n = (batch.column(c).to_numpy() for c in range(3))
-            rare = batch.column(3)
-            lengths = np.diff(rare.offsets.to_numpy())
-            out = np.zeros(int(lengths.sum()), posting)
-            shingle = rare.flatten().to_numpy()
-            out["s"] = shingle >> 32 & 0xFFFFFFFF  # half a hash: chance matches only add candidates
-            for name, value in (("node", node), ("at", at), ("n", n)):
-                out[name] = np.repeat(value, lengths)
-            nth = np.arange(len(out)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-            out["short"] = nth < out["n"] - np.ceil(2 * similarity / (1 + similarity) * out["n"] - 1e-9) + 1
-            bucket = shingle % buckets
+            out, shingle = np.concatenate(rows), np.concatenate(shingle)
+            spread = np.where(out["size"] & dealt, out["node"].view(np.uint64) >> np.uint64(1), np.uint64(0))
+            bucket = ((shingle % np.uint64(buckets) + spread % np.uint64(buckets)) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             out, bucket = out[order], bucket[order]
             cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(out)]])
@@ -455,21 +376,26 @@ def rare_groups(classes: DataFrame, similarity: float) -> DataFrame:
 
     def shared(blobs: list[bytes]) -> pa.RecordBatch:
         held = np.frombuffer(b"".join(blobs), posting)
-        held = held[np.argsort(held["s"], kind="stable")]
-        starts = np.concatenate([[0], np.flatnonzero(np.diff(held["s"])) + 1])
-        ends = np.append(starts[1:], len(held))
-        several = np.flatnonzero(np.minimum.reduceat(held["at"], starts) != np.maximum.reduceat(held["at"], starts))
-        groups = {}
-        for k in several:
-            own = held[starts[k] : ends[k]]
-            own = own[np.argsort(own["n"], kind="stable")]
-            for part in np.split(own, np.flatnonzero(own["n"][:-1] < similarity * own["n"][1:] - 1e-9) + 1):
-                if len(part) > 1 and part["short"].any() and part["at"].min() != part["at"].max():
-                    nodes = np.sort(part["node"])
-                    groups.setdefault(xxhash.xxh64_intdigest(nodes.tobytes()) - (1 << 63), nodes)
-        seen = [np.full(len(v), g) for g, v in groups.items()]
-        empty = np.zeros(0, np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([empty, *groups.values()])), pa.array(np.concatenate([empty, *seen]).astype(np.int64))], names=["node", "group"])
+        size, seen, groups = held["size"] & np.uint16((1 << 14) - 1), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        hot = held["size"] & dealt > 0
+        seen.append(held["node"][hot])
+        groups.append(held["s"][hot].astype(np.int64) - (1 << 33))  # no hash of nodes, but for a negligible chance
+        keep = np.flatnonzero(~hot)
+        order = keep[np.lexsort((held["node"][keep], size[keep], held["s"][keep]))]
+        s, size, node, first = held["s"][order], size[order].astype(np.int64), held["node"][order], held["size"][order] & short > 0
+        cuts = np.flatnonzero((s[1:] != s[:-1]) | (size[1:] - size[:-1] > apart)) + 1
+        ends = np.append(cuts, len(s))
+        starts = np.concatenate([[0], cuts])[: len(ends)]
+        known = {}
+        for a, b in zip(starts[ends - starts > 1], ends[ends - starts > 1], strict=True):
+            if first[a:b].any() and node[a:b].min() != node[a:b].max():
+                own = np.unique(node[a:b])
+                name = xxhash.xxh64_intdigest(own.tobytes()) - (1 << 63)
+                if name not in known:
+                    known[name] = None
+                    seen.append(own)
+                    groups.append(np.full(len(own), name, np.int64))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(seen)), pa.array(np.concatenate(groups))], names=["node", "group"])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, blobs = None, []
@@ -483,15 +409,9 @@ def rare_groups(classes: DataFrame, similarity: float) -> DataFrame:
         if blobs:
             yield shared(blobs)
 
-    posted = classes.select("node", "at", "n", "rare").mapInArrow(post, "bucket long, postings binary")
-    placed = posted.repartitionById(parts, (F.col("bucket") % parts).cast("int")).sortWithinPartitions("bucket")
-    groups = placed.mapInArrow(gather, "node long, group long").distinct()
-
     def viable(group: int, rows: list[tuple[int, int, int, bytes]]) -> list[tuple[np.ndarray, int]]:
         """The parts of a group that pairs similar enough, for all that sizes and parities tell, hold together."""
         node, at, n = (np.array(c, np.int64) for c in list(zip(*rows, strict=True))[:3])
-        if len(node) > PRUNED:
-            return [(node, group)]
         root, width = np.arange(len(node)), np.array([len(r[3]) for r in rows])
         for w in np.unique(width):  # similar sets have the same width, or one twice the other's, which is folded
             some = np.flatnonzero((width == w) | (width == 2 * w))
@@ -501,8 +421,8 @@ def rare_groups(classes: DataFrame, similarity: float) -> DataFrame:
             for i, a in enumerate(some):
                 rest = some[i + 1 :]
                 fits = np.flatnonzero((at[rest] != at[a]) & (np.minimum(width[rest], width[a]) == w) & (np.minimum(n[a], n[rest]) >= similarity * np.maximum(n[a], n[rest]) - 1e-9))
-                apart = np.bitwise_count(folded[i + 1 :][fits] ^ folded[i]).sum(axis=1, dtype=np.int64)
-                near = rest[fits[apart <= (1 - similarity) / (1 + similarity) * (n[a] + n[rest[fits]]) + 1e-9]]
+                differ = np.bitwise_count(folded[i + 1 :][fits] ^ folded[i]).sum(axis=1, dtype=np.int64)
+                near = rest[fits[differ <= (1 - similarity) / (1 + similarity) * (n[a] + n[rest[fits]]) + 1e-9]]
                 if len(near):
                     joined = np.append(near, a)
                     root[np.isin(root, root[joined])] = root[joined].min()
@@ -513,8 +433,7 @@ def rare_groups(classes: DataFrame, similarity: float) -> DataFrame:
         group, rows, done = None, [], {}
 
         def result() -> pa.RecordBatch:
-            found = viable(group, rows)
-            found = [(p, g) for p, g in found if g not in done]
+            found = [(p, g) for p, g in viable(group, rows) if g not in done]
             done.update((g, None) for _, g in found)
             empty = np.zeros(0, np.int64)
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate([empty, *(p for p, _ in found)])), pa.array(np.concatenate([empty, *(np.full(len(p), g, np.int64) for p, g in found)]))], names=["node", "group"])
@@ -529,80 +448,40 @@ def rare_groups(classes: DataFrame, similarity: float) -> DataFrame:
         if rows:
             yield result()
 
-    known = groups.join(classes.select("node", "at", "n", "bits"), "node").select("group", "node", "at", "n", "bits")
-    sorted_groups = known.repartition(parts, "group").sortWithinPartitions("group")
-    return sorted_groups.mapInArrow(prune, "node long, group long").distinct()
-
-
-def similar_stars(texts: DataFrame, members: DataFrame, similarity: float) -> DataFrame:
-    """(a, b), b < a: the links within groups, decided on the shingles themselves. ``members``: (row, key, at, n, group), of which ``at`` are linked and pairs of one ``at`` aren't compared."""
-    sizes = members.groupBy("group").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_TEXTS)).cast("int").alias("blocks"))
-    wanted = members.join(sizes, "group").groupBy(F.col("row").alias("member"), "key", "at").agg(F.collect_list(F.struct("group", "blocks")).alias("groups"))
-    wanted = materialize(wanted, "similar-members")
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()  # a repeated row leaves a task once
-        for batch in batches:
-            for key, at, groups, t in zip(*batch.columns, strict=True):
-                if (key := key.as_py()) in seen:
-                    continue
-                own = np.unique(shingles(t.as_py() or "", WORDS, 7)).tobytes()
-                if xxhash.xxh3_128_digest(own) != key:
-                    continue
-                seen.add(key)
-                groups = groups.as_py()
-                for k in range(0, len(groups), 64):
-                    some = groups[k : k + 64]
-                    n = len(some)
-                    yield pa.RecordBatch.from_arrays([pa.array([key] * n, pa.binary()), pa.array([at.as_py()] * n, pa.int64()), pa.array([g["group"] for g in some], pa.int64()), pa.array([g["blocks"] for g in some], pa.int32()), pa.array([own] * n, pa.binary())], names=["key", "at", "group", "blocks", "hashes"])
-
-    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, held = None, {}
-
-        def stars() -> pa.RecordBatch:
-            rows = list(held.values())
-            names, root = similar_labels(np.array([r[0] for r in rows]), [r[2] for r in rows], np.array([r[1] for r in rows]), cell[1] != cell[2], similarity)
-            far = root != np.arange(len(names))
-            return pa.RecordBatch.from_arrays([pa.array(names[far]), pa.array(names[root[far]])], names=["a", "b"])
-
-        for batch in batches:
-            for g, i, j, block, at, key, blob in zip(*(batch.column(c).to_pylist() for c in range(7)), strict=True):
-                if (g, i, j) != cell:
-                    if held:
-                        yield stars()
-                    cell, held = (g, i, j), {}
-                held.setdefault(key, (at, block, np.frombuffer(blob, np.uint64)))
-        if held:
-            yield stars()
-
-    own = texts.join(wanted, F.col("row") == F.col("member")).select("key", "at", "groups", "text")
-    own = own.mapInArrow(hashed, "key binary, at long, group long, blocks int, hashes binary").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    cells = own.select("group", "block", "at", "key", "hashes", other).select("group", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "at", "key", "hashes")
-    parts = max(64, 8 * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    placed = cells.repartition(parts, "group", "i", "j").sortWithinPartitions("group", "i", "j")
-    return placed.mapInArrow(decide, "a long, b long").distinct()
+    posted = texts.select("text").mapInArrow(post, "bucket long, postings binary")
+    placed = posted.repartitionById(parts, (F.col("bucket") % parts).cast("int")).sortWithinPartitions("bucket")
+    groups = placed.mapInArrow(gather, "node long, group long").distinct().join(classes.select("node", "at"), "node")
+    groups = materialize(groups, "rare-groups")
+    sizes = groups.groupBy("group").agg(F.min("at").alias("low"), F.max("at").alias("high"), F.count("*").alias("sets")).filter("low < high").select("group", "sets")
+    several = materialize(groups.select("node", "group").join(sizes, "group"), "several")
+    discard(groups)
+    known = several.filter(F.col("sets") <= PRUNED).join(classes.select("node", "at", "n", "bits"), "node").select("group", "node", "at", "n", "bits")
+    pruned = known.repartition(parts, "group").sortWithinPartitions("group").mapInArrow(prune, "node long, group long")
+    out = materialize(pruned.unionByName(several.filter(F.col("sets") > PRUNED).select("node", "group")).distinct(), "rare-pruned")
+    discard(several)
+    return out
 
 
 def _similar_rows(docs: DataFrame, similarity: float, doc_id: str, text: str) -> DataFrame:
     """(doc_id, row, root, component) for every row of ``docs``: ``root`` names the component, ``component`` is its smallest doc_id."""
-    small_batches(docs.sparkSession)
-    texts = _texts(docs, doc_id, text)
-    prints = materialize(_sets(texts, similarity), "similar-sets")
-    least = prints.groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "node", "n", "prints", "rare", "bits")).alias("least"))
-    classes = materialize(least.select("key", *(F.col(f"least.{c}").alias(c) for c in ("doc_id", "row", "node", "n", "prints", "rare", "bits"))), "similar-classes")
-    slim = classes.select("key", "row", "node", "n")
-    groups = materialize(candidate_groups(classes), "similar-groups")
-    found = linked_components(similar_stars(texts, slim.join(groups, "node").select("row", "key", F.col("node").alias("at"), "n", "group"), similarity))
-    linked = classes.join(found.withColumnRenamed("id", "node"), "node", "left").withColumn("at", F.coalesce("component", "node")).select("key", "doc_id", "row", "node", "at", "n", "rare", "bits")
+    texts = small_batches(document_rows(docs, doc_id, text))
+    prints = materialize(_sets(texts), "similar-sets")
+    least = prints.groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "node", "n", "fp", "bits")).alias("least"))
+    classes = materialize(least.select("key", *(F.col(f"least.{c}").alias(c) for c in ("doc_id", "row", "node", "n", "fp", "bits"))), "similar-classes")
+    slim = classes.select("row", "key", F.col("node").alias("at"), "n")
+    members = slim.join(candidate_groups(classes).withColumnRenamed("node", "at"), "at")
+    found = verified_links(texts, members, similarity)
+    label = lambda links: linked_components(links).select(F.col("id").alias("at"), "component")
+    linked = classes.withColumn("at", F.col("node")).join(label(found), "at", "left").withColumn("at", F.coalesce("component", "at")).drop("component", "fp")
     linked = materialize(linked, "similar-linked")
-    groups = materialize(rare_groups(linked, similarity), "similar-rare")
-    rest = linked_components(similar_stars(texts, linked.join(groups, "node").select("row", "key", "at", "n", "group"), similarity))
-    rooted = linked.join(rest.withColumnRenamed("id", "at"), "at", "left").select(F.col("key").alias("k"), "doc_id", F.coalesce("component", "at").alias("root"))
-    rooted = materialize(rooted, "similar-roots")
+    groups = rare_groups(texts, linked, similarity)
+    more = verified_links(texts, linked.select("row", "key", "node", "at", "n").join(groups, "node").select("row", "key", "at", "n", "group"), similarity)
+    rooted = materialize(linked.select("at", "key", "doc_id").join(label(more), "at", "left").select(F.col("key").alias("k"), "doc_id", F.coalesce("component", "at").alias("root")), "similar-roots")
     ids = rooted.groupBy("root").agg(F.min("doc_id").alias("component"))
     named = materialize(rooted.select("k", "root").join(ids, "root"), "similar-components")
-    return prints.select("doc_id", "row", "key").join(named, F.col("key") == F.col("k"), "left").select("doc_id", "row", "root", "component")
+    out = materialize(prints.select("doc_id", "row", "key").join(named, F.col("key") == F.col("k"), "left").select("doc_id", "row", "root", "component"), "similar-rows")
+    discard(prints, classes, linked, groups, found, more, rooted, named)
+    return out
 
 
 def similar_components(docs: DataFrame, similarity: float = SIMILARITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -611,10 +490,10 @@ def similar_components(docs: DataFrame, similarity: float = SIMILARITY, doc_id:
     Texts link at a Jaccard similarity of ``similarity`` or more between their
     sets of shingles of five words (A-Z lowered; shorter texts: one shingle).
     Equal sets form a class. Vantage-point trees over the fingerprints gather
-    classes into groups, whose pairs are decided on the shingles themselves,
-    in blocks where a group is large. Classes not linked so far are gathered
-    again by their rarest shingles (``rare_groups``), which misses no pair.
-    Only texts of such groups travel, as hashes.
+    classes into groups, in which the shingles themselves decide
+    (``links.verified_links``). Classes not linked so far are gathered again by
+    their rarest shingles (``rare_groups``), which misses no pair. Only texts
+    of such groups travel, compressed.
 
     Null texts are empty; texts without words are equal; rows with a null
     doc_id take part, and component is null if all ids are; rows of one doc_id
@@ -629,21 +508,22 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, doc_id
 
     Rows are decided each by its own text, so different texts under one doc_id
     both stay. Of rows of one component that share the kept doc_id, the least
-    by text stays (any, if equal). Only hashes and ids of rows travel.
+    by text stays (any, if equal). Only hashes and ids of rows travel, and the
+    rows that ``in_slots`` can't tell from dropped ones.
     """
     row, lost, lost_id, z, first, root = (fresh(f"__{n}", docs.columns) for n in ("row", "loser", "loser_id", "null", "first", "root"))
-    found = materialize(_similar_rows(docs, similarity, doc_id, text), "near-duplicates")
+    found = _similar_rows(docs, similarity, doc_id, text)
     best = F.col("doc_id").eqNullSafe(F.col("component"))
     losers = materialize(found.filter(~best).select(F.col("row").alias(lost), F.col("doc_id").alias(lost_id)).distinct(), "losers")
     own = F.col(f"`{doc_id}`").cast("long")
     named = docs.withColumn(row, F.xxhash64(own, F.col(f"`{text}`")))
     same = (F.col(row) == F.col(lost)) & own.eqNullSafe(F.col(lost_id))
-    kept = named.join(losers, same, "left_anti")
+    sieve = lambda inside, wanted: in_slots(named, F.col(row), wanted, F.col(lost), inside)
     roots = found.filter(best).groupBy("root").count().filter("count > 1").select(F.col("root").alias(root))
-    again = found.filter(best).join(roots, F.col("root") == F.col(root)).select(F.col("row").alias(lost), F.col("doc_id").alias(lost_id), root).distinct()
-    again = materialize(again, "repeated")
+    again = materialize(found.filter(best).join(roots, F.col("root") == F.col(root)).select(F.col("row").alias(lost), F.col("doc_id").alias(lost_id), root).distinct(), "repeated")
+    gone = losers.unionByName(again.select(lost, lost_id))
+    kept = sieve(False, gone).unionByName(sieve(True, gone).join(gone, same, "left_anti")).select(*docs.columns)
     if again.isEmpty():
-        return kept.select(*docs.columns)
-    once = kept.join(again, same, "left_anti").select(*docs.columns)
-    least = kept.join(again, same).groupBy(root).agg(F.min(F.struct(F.col(f"`{text}`").isNull().alias(z), F.col(f"`{text}`").alias(text), *[F.col(f"`{c}`").alias(c) for c in docs.columns if c != text])).alias(first))
-    return once.unionByName(least.select(*[F.col(first).getField(c).alias(c) for c in docs.columns]))
+        return kept
+    least = sieve(True, again).join(again, same).groupBy(root).agg(F.min(F.struct(F.col(f"`{text}`").isNull().alias(z), F.col(f"`{text}`").alias(text), *[F.col(f"`{c}`").alias(c) for c in docs.columns if c != text])).alias(first))
+    return kept.unionByName(least.select(*[F.col(first).getField(c).alias(c) for c in docs.columns]))

@@ -79,7 +79,7 @@ def count_tokens(df: DataFrame, path: str, text: str = "text", limit: int = 4096
     new names (in any case) are replaced. ``path``: the .model file, on every
     executor. Memory: one Arrow batch and a bounded cache per worker.
     """
-    small_batches(df.sparkSession)
+    df = small_batches(df)
     single = df.sparkSession.sparkContext.broadcast(prove_single_tokens(path))  # bounded by the vocabulary
     new = {"n_bytes", "n_tokens", "over_limit"}
     keep = [c for c in df.columns if c != text and c.lower() not in new]

@@ -134,7 +134,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     Rows with a null label or id are not used; a label for a missing document
     has no effect; without any usable row or vocabulary the model is constant.
     """
-    small_batches(docs.sparkSession)
+    docs = small_batches(docs)
     chosen = labels.filter(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("y"))
     chosen = chosen.orderBy(F.xxhash64("id"), "id", "y").limit(rows)
 
@@ -186,7 +186,7 @@ def score(docs: DataFrame, model: OrdinalModel, doc_id: str = "doc_id", text: st
     One row for each row of ``docs``, repeated ones included; null texts are
     empty; other columns are ignored; no shuffle.
     """
-    small_batches(docs.sparkSession)
+    docs = small_batches(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most VOCABULARY words
     base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
 

@@ -14,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as hs
 from pyspark.sql import functions as F
 
-from sparktrend.llm import ann, minhash, mixing, packing, pii, quality, secret_scan, simhash, token_count, toxicity
+from sparktrend.llm import ann, links, minhash, mixing, packing, pii, quality, secret_scan, simhash, token_count, toxicity
 from sparktrend.llm.queries import vocabulary
 
 sys.path.insert(0, str(Path(__file__).parent))
@@ -307,7 +307,7 @@ def plain_similar(texts, least=0.8):
 
 @pytest.mark.parametrize("block", [1_000, 7])
 def test_similar_components(spark, monkeypatch, block):
-    monkeypatch.setattr(simhash, "BLOCK_TEXTS", block)
+    monkeypatch.setattr(links, "BLOCK_TEXTS", block)
     texts = [*near_copies(2), *near_copies(3), *ODD, "Dup DUP dup", "one"]
     # copies that share a passage but not enough, chains of edits, and equal fingerprints of different sets
     base = texts_of(8, 1, 200)[0].split()
@@ -326,6 +326,15 @@ def test_similar_components_of_repeated_passages(spark):
     assert [got[i] for i in range(len(texts))] == plain_similar(texts) == [*range(8), *(i for i in range(8) for _ in range(3))]
 
 
+def test_shingles_in_very_many_texts_form_groups_as_they_are(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "HOT", 6)
+    monkeypatch.setattr(simhash, "PRUNED", 5)
+    base = texts_of(31, 1, 90)[0].split()
+    texts = [" ".join(base[:81 - k] + [f"x{k}y{i}" for i in range(10)]) for k in range(14)] + texts_of(32, 5, 40)
+    got = {r["doc_id"]: r["component"] for r in simhash.similar_components(docs(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == plain_similar(texts)
+
+
 def test_similar_components_of_contiguous_edits(spark):
     """Truncated, appended and passage-replaced copies at the threshold, where fingerprints miss about one in four."""
     texts = [" ".join(f"w{v}" for v in np.random.default_rng(k).integers(0, 5000, 120)) for k in range(25)]
@@ -349,9 +358,37 @@ def test_parities_bound_the_difference():
 
 def test_the_threshold_itself_links():
     sets = [np.arange(4, dtype=np.uint64), np.arange(5, dtype=np.uint64), np.arange(7, dtype=np.uint64)]
-    assert simhash.similar_labels(np.array([1, 2, 3]), sets, np.zeros(3), False, 0.8)[1].tolist() == [0, 0, 2]
-    assert simhash.similar_labels(np.array([1, 2, 3]), sets, np.zeros(3), True, 0.8)[1].tolist() == [0, 1, 2]
-    assert simhash.similar_labels(np.array([3, 3, 1]), [sets[0], sets[2], sets[1]], np.arange(3), True, 0.8)[1].tolist() == [0, 0]
+    pairs = lambda at, block: list(zip(*(x.tolist() for x in links.similar_pairs(sets, np.array(at), block, 0.8)), strict=True))
+    assert pairs([1, 2, 3], None) == [(0, 1)]
+    assert pairs([1, 2, 3], np.zeros(3)) == [] == pairs([1, 1, 3], None)
+    assert pairs([1, 2, 3], np.arange(3)) == [(0, 1)]
+
+
+def test_shared_counts():
+    rng = np.random.default_rng(0)
+    sets = [np.unique(rng.integers(0, 20_000, n)).astype(np.uint64) for n in (0, 1, 5, 9_000, 12_000, 30)]
+    assert np.triu(links.shared_counts(sets), 1).tolist() == np.triu([[len(np.intersect1d(a, b)) for b in sets] for a in sets], 1).tolist()
+
+
+@pytest.mark.parametrize("kind", ["copies", "chain", "apart"])
+def test_links_of_a_large_group(spark, monkeypatch, kind):
+    """A group of many blocks: copies of one text, a chain that crosses blocks, and texts that don't link at all."""
+    monkeypatch.setattr(links, "BLOCK_TEXTS", 8)
+    base = texts_of(5, 1, 120)[0].split()
+    texts = {
+        "copies": [" ".join([*base, f"end{k}"]) for k in range(90)],
+        "chain": [" ".join(base[3 * k :] + [f"new{i}" for i in range(3 * k)]) for k in range(38)],
+        "apart": texts_of(6, 40, 60),
+    }[kind]
+    df = links.document_rows(docs(spark, texts), "doc_id", "text")
+    sets = [links.shingle_set(t) for t in texts]
+    names = {i: links.node_of(links.set_key(s)) for i, s in enumerate(sets)}
+    known = spark.createDataFrame([(i, links.set_key(s), names[i], len(s)) for i, s in enumerate(sets)], "id long, key binary, at long, n long")
+    members = df.join(known, F.col("doc_id") == F.col("id")).select("row", "key", "at", "n", F.lit(7).cast("long").alias("group"))
+    found = {r["id"]: r["component"] for r in links.linked_components(links.verified_links(df, members)).collect()}
+    got = [found.get(names[i], names[i]) for i in range(len(texts))]
+    want = plain_similar(texts)
+    assert len(set(zip(got, want, strict=True))) == len(set(got)) == len(set(want))
 
 
 def test_similar_rows_with_equal_or_null_ids(spark):
