@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sparktrend.functions.estimators import let, mean, median
 from sparktrend.operators.cells import in_cells, with_guests
-from sparktrend.operators.segments import quoted
+from sparktrend.operators.segments import Isolated, quoted, restored
 
 
 def slide_clip(df: DataFrame, window_length: float, low: float = 3, high: float = 3, method: str | None = None, center: str | None = None, time: str = "time", flux: str = "flux", series: Sequence[str] = (), row_id: str | None = None, compat: bool = True, name: str = "clipped", chunk: float | None = None) -> DataFrame:
@@ -24,7 +24,8 @@ def slide_clip(df: DataFrame, window_length: float, low: float = 3, high: float
     deviations from the mean; otherwise method "mad" (default) or "std" and
     center "median" (default) or "mean" mean what they say. ``chunk``: a span
     of time, a window or more, by which series are dealt out, for those that
-    one task can't hold; results are the same.
+    one task can't hold; results are the same. Other columns come back as they
+    were, whatever their names; one called ``name`` is replaced.
     """
     if not window_length > 0:
         raise ValueError("window_length must be positive")
@@ -33,10 +34,11 @@ def slide_clip(df: DataFrame, window_length: float, low: float = 3, high: float
         raise ValueError("unknown method or center")
     use_median, use_mad = (center == "mad", method == "median") if compat else (center == "median", method == "mad")
     half = window_length / 2
+    own = Isolated(df)
+    time, flux, series, row_id, kept = own.of(time), own.of(flux), own.all(series), own.of(row_id), own.kept([name])
     t = quoted(time).cast("double")
     f = F.nanvl(quoted(flux).cast("double"), F.lit(None))
-    kept = [c for c in df.columns if c.lower() != name.lower()]
-    base = df.withColumns({"__t": t, "__f": f, "__ok": t.isNotNull() & ~F.isnan(t)}).select(*[quoted(c) for c in kept], "__t", "__f", "__ok")
+    base = own.df.withColumns({"__t": t, "__f": f, "__ok": t.isNotNull() & ~F.isnan(t)}).select(*[quoted(c) for c in kept], "__t", "__f", "__ok")
     if chunk is not None:
         if not window_length <= chunk < math.inf:
             raise ValueError("chunk must span a window or more")
@@ -63,4 +65,4 @@ def slide_clip(df: DataFrame, window_length: float, low: float = 3, high: float
     x, m, c = F.coalesce("__f", F.lit(0.0)), F.col("__by.r.m"), F.col("__by.r.c")
     covered = F.col("__by").isNotNull() & ~F.col("__last") & (F.col("__t") < F.col("__by.__t") + half)
     beyond = F.coalesce((x - m > c * float(high)) | (x - m < c * -float(low)), F.lit(False))
-    return ruled.filter("__home").withColumn(name, F.when(covered & ~beyond, x)).select(*[quoted(c) for c in kept], name)
+    return ruled.filter("__home").withColumn("__clipped", F.when(covered & ~beyond, x)).select(*restored(kept), F.col("__clipped").alias(name))

@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from sparktrend.functions.estimators import ESTIMATORS
 from sparktrend.operators.cells import in_cells, with_guests
 from sparktrend.operators.kernels import slide_segments, trend_of
-from sparktrend.operators.segments import numbered_segments, quoted, usable
+from sparktrend.operators.segments import Isolated, numbered_segments, quoted, restored, usable
 from sparktrend.plans.params import CLOSED, GLOBAL, Params
 
 ADDED = ("segment_id", "trend", "flat")
@@ -36,7 +36,7 @@ def _measured(df: DataFrame, time: str, flux: str, mask: str | None) -> DataFram
 
 def _prepared(df: DataFrame, time: str, flux: str, series: Sequence[str], row_id: str | None, mask: str | None, p: Params, chunk: float | None = None) -> DataFrame:
     """``df`` measured and segmented, by ``in_cells`` if there is a ``chunk``."""
-    kept = _measured(df.select(*[quoted(c) for c in df.columns if c.lower() not in ADDED]), time, flux, mask)
+    kept = _measured(df, time, flux, mask)
     return in_cells(kept, series, row_id, p.break_tolerance, chunk) if chunk else numbered_segments(kept, series, row_id, p.break_tolerance)
 
 
@@ -181,15 +181,17 @@ def flatten(df: DataFrame, time: str = "time", flux: str = "flux", series: Seque
     Rows with a null or NaN time or flux get nulls. A trend that isn't defined
     (empty window, cut edge, too short a segment, zero spread where the method
     divides by it) is null, as is a zero trend; flat is null with it. Columns
-    segment_id, trend, flat of ``df`` are replaced.
+    segment_id, trend, flat of ``df`` are replaced; all others come back as
+    they were, whatever their names.
     """
     p = Params.resolve(**options)
     if engine not in ("auto", "expression", "kernel") or (engine == "expression" and p.method not in CLOSED):
         raise ValueError(f"engine {engine!r} can't run {p.method}")
     if chunk is not None and not (0 if p.method in GLOBAL else p.window_length) <= chunk < math.inf or chunk == 0:
         raise ValueError("chunk must be finite, and span a window or more")
-    names = [c for c in df.columns if c.lower() not in ADDED]
-    ready = _prepared(df, time, flux, series, row_id, mask, p, chunk)
+    own = Isolated(df)
+    series, row_id, names = own.all(series), own.of(row_id), own.kept(ADDED)
+    ready = _prepared(own.df, own.of(time), own.of(flux), series, row_id, own.of(mask), p, chunk)
     if chunk:
         done = _by_cells(ready, row_id, p, chunk, [c for c in names if c != row_id], engine)
     else:
@@ -197,18 +199,20 @@ def flatten(df: DataFrame, time: str = "time", flux: str = "flux", series: Seque
     return _flattened(done, names)
 
 
-def _flattened(done: DataFrame, kept: Sequence[str]) -> DataFrame:
-    """``kept``, segment_id, trend and flat of rows with __f and trend."""
+def _flattened(done: DataFrame, kept: dict[str, str]) -> DataFrame:
+    """``kept`` under their old names, segment_id, trend and flat of rows with __f and trend."""
     trend = F.when(F.col("trend") != 0, F.nanvl("trend", F.lit(None)))
-    return done.select(*[quoted(c) for c in kept], F.col("__segment").alias("segment_id"), trend.alias("trend"), "__f").withColumn("flat", F.try_divide("__f", "trend")).drop("__f")
+    divided = done.withColumn("__trend", trend)
+    return divided.select(*restored(kept), F.col("__segment").alias("segment_id"), F.col("__trend").alias("trend"), F.try_divide("__f", "__trend").alias("flat"))
 
 
 def nsplines(df: DataFrame, time: str = "time", flux: str = "flux", series: Sequence[str] = (), row_id: str | None = None, chunk: float | None = None, **options) -> DataFrame:
     """(series..., segment_id, nsplines) of a pspline fit, one row a segment. ``chunk``: as in ``flatten``."""
     p = Params.resolve(**{"method": "pspline", **options})
-    ready = _prepared(df, time, flux, series, row_id, None, p, chunk).filter("__ok").withColumn("__whole", F.lit(0.0))
-    ready = ready.withColumn("segment_id", F.col("__segment"))
-    names = [*series, "segment_id"]
+    own = Isolated(df)
+    keys, row_id = own.all(series), own.of(row_id)
+    ready = _prepared(own.df, own.of(time), own.of(flux), keys, row_id, None, p, chunk).filter("__ok").withColumn("__whole", F.lit(0.0))
+    names = [*keys, "__segment"]
 
     def run(table: pa.Table) -> pa.Table:
         return table.select(names).slice(0, 1).append_column("nsplines", pa.array([float(_numbers(table, p, row_id)[2])]))
@@ -216,4 +220,5 @@ def nsplines(df: DataFrame, time: str = "time", flux: str = "flux", series: Sequ
     schema = T.StructType([*[ready.schema[n] for n in names], T.StructField("nsplines", T.DoubleType())])
     import pyarrow.compute  # noqa: F401
 
-    return ready.groupBy(*[quoted(n) for n in names]).applyInArrow(run, schema)
+    found = ready.groupBy(*[quoted(n) for n in names]).applyInArrow(run, schema)
+    return found.select(*[quoted(k).alias(n) for k, n in zip(keys, series, strict=True)], F.col("__segment").alias("segment_id"), "nsplines")

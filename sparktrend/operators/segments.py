@@ -15,6 +15,35 @@ def quoted(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
+class Isolated:
+    """A table whose columns have names of no one else's (c0, c1, ...) while an operator adds its own, and their old names."""
+
+    def __init__(self, df: DataFrame):
+        self.names = list(df.columns)
+        self.df = df.toDF(*[f"c{i}" for i in range(len(self.names))])
+
+    def of(self, name: str | None) -> str | None:
+        """The present name of a column; as in Spark, upper and lower case are the same where there is no exact match."""
+        if name is None:
+            return None
+        at = [i for i, n in enumerate(self.names) if n == name] or [i for i, n in enumerate(self.names) if n.lower() == name.lower()]
+        if len(at) != 1:
+            raise ValueError(f"{'no' if not at else 'more than one'} column {name!r} in {self.names}")
+        return f"c{at[0]}"
+
+    def all(self, names: Sequence[str]) -> list[str]:
+        return [self.of(n) for n in names]
+
+    def kept(self, replaced: Sequence[str] = ()) -> dict[str, str]:
+        """Present and old names of the columns, but for the ``replaced`` (in any case)."""
+        lowered = {r.lower() for r in replaced}
+        return {f"c{i}": n for i, n in enumerate(self.names) if n.lower() not in lowered}
+
+
+def restored(kept: dict[str, str]) -> list[Column]:
+    return [quoted(c).alias(n) for c, n in kept.items()]
+
+
 def usable(time: Column, flux: Column | None = None) -> Column:
     """Whether time (times flux) is a number; infinities are numbers, but 0 times infinity isn't."""
     product = time.cast("double") * (flux.cast("double") if flux is not None else F.lit(1.0))
@@ -29,13 +58,17 @@ def segment(df: DataFrame, time: str = "time", flux: str | None = "flux", series
     Order: time, then ``row_id``. One exchange by the series keys, which all
     later windows over (series, segment) reuse. A null series key is a series.
     ``chunk``: a span of time by which series are dealt out, for those that one
-    task can't hold (see ``operators.cells``); the numbers are the same.
+    task can't hold (see ``operators.cells``); the numbers are the same. Columns
+    of any name come back as they were, but for one called ``name`` (in any
+    case), which is replaced.
     """
     if chunk is not None and not 0 < chunk < math.inf:
         raise ValueError("chunk must be finite and positive")
-    ready = df.withColumns({"__t": quoted(time).cast("double"), "__ok": usable(quoted(time), quoted(flux) if flux else None)})
+    own = Isolated(df)
+    time, flux, series, row_id = own.of(time), own.of(flux), own.all(series), own.of(row_id)
+    ready = own.df.withColumns({"__t": quoted(time).cast("double"), "__ok": usable(quoted(time), quoted(flux) if flux else None)})
     numbered = in_cells(ready, series, row_id, break_tolerance or math.inf, chunk) if chunk else numbered_segments(ready, series, row_id, break_tolerance or math.inf)
-    return numbered.select(*[quoted(c) for c in df.columns if c.lower() != name.lower()], F.col("__segment").alias(name))
+    return numbered.select(*restored(own.kept([name])), F.col("__segment").alias(name))
 
 
 def numbered_segments(df: DataFrame, series: Sequence[str], row_id: str | None, tolerance: float) -> DataFrame:

@@ -301,3 +301,19 @@ def test_stream_equals_batch(spark, tmp_path):
     got = spark.table("closed").filter("start = '2024-01-01'").orderBy("time").toPandas()
     batch = st.flatten(df.withColumn("time", F.unix_micros("ts") / F.lit(86400e6)), flux="f", series=["k"], method="median", window_length=0.25, break_tolerance=0.2).orderBy("time").limit(12).toPandas()
     np.testing.assert_allclose(got["trend"].astype(float), batch["trend"].astype(float))
+
+
+def test_columns_of_any_name_come_back(spark):
+    """Names that the operators use themselves, as payload and as keys."""
+    names = ["__t", "__f", "__ok", "__segment", "__v", "__points", "__key", "__cell", "__home", "__whole", "__trend", "__last", "c0", "c1", "values"]
+    rows = [(i, float(i) / 3, 2.0 + i % 4, *[f"keep{i}{n}" for n in names]) for i in range(30)]
+    df = spark.createDataFrame(rows, "row long, Time double, flux double, " + ", ".join(f"`{n}` string" for n in names))
+    keyed = df.withColumn("__start", F.col("row") % 2)
+    for out in (
+        st.flatten(df, row_id="row", method="median", window_length=2), st.flatten(df, row_id="row", method="biweight", window_length=2, chunk=4.0), st.flatten(df, row_id="row", method="cosine", window_length=2, chunk=4.0),
+        st.flatten(keyed, series=["__start"], row_id="row", method="lowess", window_length=2), st.segment(df, row_id="row"), st.segment(df, row_id="row", chunk=2.0), st.slide_clip(df, 1.5, row_id="row"), st.slide_clip(df, 1.5, row_id="row", chunk=4.0),
+    ):
+        assert [tuple(r[n] for n in ["row", "Time", "flux", *names]) for r in out.orderBy("row").collect()] == rows
+    assert st.nsplines(keyed, series=["__start"], row_id="row", window_length=2, max_splines=5).columns == ["__start", "segment_id", "nsplines"]
+    with pytest.raises(ValueError):
+        st.flatten(df, row_id="none")
