@@ -19,8 +19,9 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparktrend.llm.common import small_batches
+from sparktrend.llm.common import in_slots, materialize, small_batches
 
+PACKED = "sha256 binary, blob binary"
 LEDGER = "sha256 binary, rule string, version string, spans array<struct<start:int,end:int>>"
 
 
@@ -81,7 +82,8 @@ def scan_unseen(versions: DataFrame, ledger: DataFrame | None = None, rules: tup
     """New ledger rows for the blobs of ``versions``: one for each unseen (blob, rule version) pair.
 
     Texts travel compressed and once for each task that holds them; a hot blob
-    is one row per task, not one per copy. Null texts are empty blobs.
+    is one row per task, not one per copy. With a ledger only those travel that
+    ``in_slots`` can't tell from unseen ones. Null texts are empty blobs.
     """
 
     versions = small_batches(versions)
@@ -115,10 +117,13 @@ def scan_unseen(versions: DataFrame, ledger: DataFrame | None = None, rules: tup
             columns = list(zip(*out, strict=True)) if out else [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.string(), pa.string(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), strict=True)], names=["sha256", "rule", "version", "spans"])
 
-    blobs = versions.select(F.col(text).alias("text")).mapInArrow(pack, "sha256 binary, blob binary")
-    if ledger is not None:
-        blobs = blobs.join(unseen_pairs(versions, ledger, rules, text), "sha256")
-    return blobs.repartition("sha256").mapInArrow(scan, LEDGER)
+    texts = versions.select(F.col(f"`{text}`").alias("text"))
+    if ledger is None:
+        return texts.mapInArrow(pack, PACKED).repartition("sha256").mapInArrow(scan, LEDGER)
+    todo = materialize(unseen_pairs(versions, ledger, rules, text), "unseen")
+    number = lambda sha: F.conv(F.substring(F.hex(sha), 1, 15), 16, 10).cast("long")
+    some = in_slots(texts, number(_sha("text")), todo, number(F.col("sha256")))
+    return some.mapInArrow(pack, PACKED).join(todo, "sha256").repartition("sha256").mapInArrow(scan, LEDGER)
 
 
 def findings_by_path(versions: DataFrame, ledger: DataFrame, path: str = "doc_id", rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
@@ -136,6 +141,17 @@ def findings_by_path(versions: DataFrame, ledger: DataFrame, path: str = "doc_id
     return paths.join(by_blob.withColumnRenamed("sha256", "b"), F.col("sha256") == F.col("b"), "left").select("path", F.coalesce("findings", F.array().cast("array<struct<start:int,nth:int,kind:string,end:int>>")).alias("findings"))
 
 
+def update_ledger(versions: DataFrame, ledger_path: str, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
+    """Scan what the ledger at ``ledger_path`` lacks, append it, and return the ledger."""
+    spark = versions.sparkSession
+    schema = spark.createDataFrame([], LEDGER).schema
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(ledger_path)
+    exists = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+    known = spark.read.schema(schema).parquet(ledger_path) if exists else None
+    scan_unseen(versions, known, rules, text).write.mode("append").parquet(ledger_path)
+    return spark.read.schema(schema).parquet(ledger_path)
+
+
 def scan_history(versions: DataFrame, ledger_path: str, path: str = "doc_id", rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
     """Bring the ledger at ``ledger_path`` up to date with ``versions``, then return ``findings_by_path``.
 
@@ -144,14 +160,8 @@ def scan_history(versions: DataFrame, ledger_path: str, path: str = "doc_id", ru
     A run that fails before its commit leaves the ledger as it was. Two runs at
     once may both scan a blob, which repeats equal ledger rows and is harmless.
     """
-    spark = versions.sparkSession
-    schema = spark.createDataFrame([], LEDGER).schema
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(ledger_path)
-    exists = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
-    known = spark.read.schema(schema).parquet(ledger_path) if exists else None
-    scan_unseen(versions, known, rules, text).write.mode("append").parquet(ledger_path)
-    return findings_by_path(versions, spark.read.schema(schema).parquet(ledger_path), path, rules, text)
+    return findings_by_path(versions, update_ledger(versions, ledger_path, rules, text), path, rules, text)
 
 
 def _sha(text: str):
-    return F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
+    return F.unhex(F.sha2(F.coalesce(F.col(f"`{text}`"), F.lit("")), 256))

@@ -63,6 +63,8 @@ def test_secrets_and_the_ledger(spark, tmp_path):
     assert spark.read.parquet(ledger).count() == 4 * (blobs + 1)  # and a new version of one rule alone
     assert not any(k == 2 for _, k, _ in got[3])
     assert secret_scan.scan_history(df.limit(0), str(tmp_path / "none")).count() == 0
+    rows = spark.read.parquet(ledger).count()
+    assert secret_scan.update_ledger(newer, ledger, rules).count() == rows  # nothing is unseen
 
 
 # --- tokens and packing ----------------------------------------------------
