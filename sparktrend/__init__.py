@@ -1,10 +1,10 @@
 """Robust detrending of very many irregular time series on Spark."""
 
 from sparktrend.functions.scalars import clean, t14, transit_mask
-from sparktrend.operators.clip import slide_clip
+from sparktrend.operators.clip import sigma_clip, slide_clip
 from sparktrend.operators.flatten import flatten, nsplines
 from sparktrend.operators.periodogram import lomb_scargle
 from sparktrend.operators.segments import segment, segment_durations
 from sparktrend.plans.params import METHODS
 
-__all__ = ["METHODS", "clean", "flatten", "lomb_scargle", "nsplines", "segment", "segment_durations", "slide_clip", "t14", "transit_mask"]
+__all__ = ["METHODS", "clean", "flatten", "lomb_scargle", "nsplines", "segment", "segment_durations", "sigma_clip", "slide_clip", "t14", "transit_mask"]

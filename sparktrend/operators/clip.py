@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparktrend.functions.estimators import let, mean, median
@@ -66,3 +66,25 @@ def slide_clip(df: DataFrame, window_length: float, low: float = 3, high: float
     covered = F.col("__by").isNotNull() & ~F.col("__last") & (F.col("__t") < F.col("__by.__t") + half)
     beyond = F.coalesce((x - m > c * float(high)) | (x - m < c * -float(low)), F.lit(False))
     return ruled.filter("__home").withColumn("__clipped", F.when(covered & ~beyond, x)).select(*restored(kept), F.col("__clipped").alias(name))
+
+
+def sigma_clip(df: DataFrame, flux: str = "flat", series: Sequence[str] = (), lower: float = 20, upper: float = 3, rounds: int = 5, name: str = "clipped") -> DataFrame:
+    """``df`` with ``name``: flux, or null where it lies more than ``lower`` / ``upper`` standard deviations below / above its series' median.
+
+    Meant for detrended values. Each round leaves out what the rounds before
+    it clipped; rounds that clip nothing change nothing. The deviation is that
+    of the population. Null and NaN flux is null and doesn't count; a series
+    without values stays null, and one without spread is kept. One exchange by
+    the series keys. Other columns come back as they were; one called ``name``
+    (in any case) is replaced.
+    """
+    if not (lower > 0 and upper > 0 and rounds >= 0):
+        raise ValueError("lower and upper must be positive, and rounds not negative")
+    own = Isolated(df)
+    whole, kept = Window.partitionBy(*[quoted(k) for k in own.all(series)]), own.kept([name])
+    out = own.df.withColumn("__x", F.nanvl(quoted(own.of(flux)).cast("double"), F.lit(None)))
+    for _ in range(rounds):
+        stats = out.withColumns({"__m": F.percentile("__x", F.lit(0.5)).over(whole), "__d": F.stddev_pop("__x").over(whole)})
+        away = F.col("__x") - F.col("__m")
+        out = stats.withColumn("__x", F.when((away <= float(upper) * F.col("__d")) & (away >= -float(lower) * F.col("__d")), F.col("__x"))).drop("__m", "__d")
+    return out.select(*restored(kept), F.col("__x").alias(name))

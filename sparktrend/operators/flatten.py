@@ -61,6 +61,13 @@ def _estimated(df: DataFrame, whole: str, p: Params) -> DataFrame:
     values = F.transform(F.filter("__points", lambda q: q["t"] < F.col("__t") + half), lambda q: q["v"])
     cut = min(p.edge_cutoff, half)
     inner = (F.col("__t") >= F.col("__low") + cut) & (F.col("__t") <= F.col("__high") - cut)
+    if p.method == "mean":  # no list: the sums of the closed frame, less those of the points that lie exactly at its end
+        held = df.withColumn("__v", F.when(F.col("__ok") & ~F.col("__last"), value))
+        frame = lambda fn, a, b: F.expr(f"{fn}(__v) OVER ({whole} ORDER BY __t RANGE BETWEEN {a} AND {b})")
+        n = frame("count", f"{h} PRECEDING", f"{h} FOLLOWING") - frame("count", f"{h} FOLLOWING", f"{h} FOLLOWING")
+        total = frame("sum", f"{h} PRECEDING", f"{h} FOLLOWING") - F.coalesce(frame("sum", f"{h} FOLLOWING", f"{h} FOLLOWING"), F.lit(0.0))
+        summed = held.withColumns({"__n": n, "__sum": total})
+        return summed.withColumn("trend", F.when(F.col("__ok") & inner & (F.col("__n") > 0), F.col("__sum") / F.col("__n")))
     listed = df.withColumn("__v", value).withColumn("__points", points).withColumn("__values", values)
     trend = F.when(F.col("__ok") & inner & (F.size("__values") > 0), ESTIMATORS[p.method](F.col("__values"), p.cval))
     return listed.withColumn("trend", trend)
@@ -77,7 +84,7 @@ def _by_cells(df: DataFrame, row_id: str | None, p: Params, chunk: float, payloa
         spare = F.when(~F.col("__ok"), F.col("__cell"))  # rows without a segment are no group
         return whole.groupBy("__key", "__ok", "__segment", spare).applyInArrow(_kernel(p, row_id), schema(whole))
     dealt = with_guests(df, p.window_length / 2, chunk, payload)
-    if engine != "kernel" and p.method in CLOSED:
+    if engine == "expression":
         return _estimated(dealt, "PARTITION BY __key, __ok, __segment, __at", p).filter("__home")
     keys = ["__key", "__ok", "__segment", "__at"]
     order = ["__t", *([quoted(row_id)] if row_id else [])]
@@ -172,7 +179,8 @@ def flatten(df: DataFrame, time: str = "time", flux: str = "flux", series: Seque
     fits (null: false). ``options``: those of ``Params.resolve`` (method,
     window_length, break_tolerance, edge_cutoff, cval, proportiontocut, kernel,
     kernel_size, kernel_period, robust, max_splines, stdev_cut, drop_negative).
-    ``engine``: "expression" (closed-form sliders only), "kernel", or "auto".
+    ``engine``: "expression" (closed-form sliders only), "kernel", or "auto":
+    expressions where they suit, which is for closed-form sliders but hodges.
     ``chunk``: a span of time (for sliders, a window or more) by which series
     are dealt out, for those that one task can't hold or that hold a large
     share of all rows. Methods that fit a whole segment still hold one in a
@@ -185,7 +193,9 @@ def flatten(df: DataFrame, time: str = "time", flux: str = "flux", series: Seque
     they were, whatever their names.
     """
     p = Params.resolve(**options)
-    if engine not in ("auto", "expression", "kernel") or (engine == "expression" and p.method not in CLOSED):
+    if engine == "auto":  # pairs of a window are too many for a list in a row
+        engine = "expression" if p.method in CLOSED and p.method != "hodges" else "kernel"
+    if engine not in ("expression", "kernel") or (engine == "expression" and p.method not in CLOSED):
         raise ValueError(f"engine {engine!r} can't run {p.method}")
     if chunk is not None and not (0 if p.method in GLOBAL else p.window_length) <= chunk < math.inf or chunk == 0:
         raise ValueError("chunk must be finite, and span a window or more")
@@ -195,7 +205,7 @@ def flatten(df: DataFrame, time: str = "time", flux: str = "flux", series: Seque
     if chunk:
         done = _by_cells(ready, row_id, p, chunk, [c for c in names if c != row_id], engine)
     else:
-        done = _by_expression(ready, series, row_id, p) if engine != "kernel" and p.method in CLOSED else _by_kernel(ready, series, row_id, p)
+        done = _by_expression(ready, series, row_id, p) if engine == "expression" else _by_kernel(ready, series, row_id, p)
     return _flattened(done, names)
 
 

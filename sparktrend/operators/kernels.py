@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 
 from sparktrend.plans.params import Params
 
 FTOL, NEWTON_ROUNDS, ROUNDS, CUT = 1e-6, 200, 10, 2.0
+#: Widest window whose pairs are listed for hodges.
+PAIRS = 1_000
 
 
 # --- sliding windows -------------------------------------------------------
@@ -21,30 +24,6 @@ def windows(t: np.ndarray, width: float, held: int) -> tuple[np.ndarray, np.ndar
     return np.searchsorted(t, t - h, "left"), np.minimum(np.searchsorted(t, t + h, "left"), held)
 
 
-def newton(x: np.ndarray, c: float, method: str) -> float:
-    """Iterated M-estimate from the median; the scale stays that of the median."""
-    center = np.median(x)
-    mad = np.median(np.abs(x - center))
-    if mad == 0:
-        return center
-    for _ in range(NEWTON_ROUNDS):
-        d = x - center
-        u = d / (c * mad)
-        if method == "biweight":
-            w = np.where(np.abs(u) < 1, (1 - u * u) ** 2, 0)
-        elif method == "welsch":
-            w = np.where(np.abs(u) < 1, np.exp(-u * u / 2), 0)
-        else:
-            safe = np.where(u == 0, 1e-10, u)
-            w = np.where(np.abs(u) < math.pi, np.sin(safe) / safe, 0)
-        if not (norm := w.sum()):
-            return np.nan
-        center += (step := (d * w).sum() / norm)
-        if abs(step) <= FTOL:
-            break
-    return center
-
-
 def row_medians(x: np.ndarray) -> np.ndarray:
     """The median of each row's values (NaN: no value; at least one a row)."""
     s, n, rows = np.sort(x, axis=1), (~np.isnan(x)).sum(axis=1), np.arange(len(x))
@@ -52,7 +31,7 @@ def row_medians(x: np.ndarray) -> np.ndarray:
 
 
 def newton_rows(x: np.ndarray, c: float, method: str) -> np.ndarray:
-    """``newton`` of every row's finite values at once (NaN: no value); rows stop one by one."""
+    """Iterated M-estimates from the median of every row's values at once (NaN: no value); the scale stays that of the median; rows stop one by one."""
     center = row_medians(x)
     scale = c * row_medians(np.abs(x - center[:, None]))
     going = np.flatnonzero(scale > 0)
@@ -76,46 +55,66 @@ def newton_rows(x: np.ndarray, c: float, method: str) -> np.ndarray:
     return center
 
 
-def proposal2(x: np.ndarray, c: float) -> float:
-    """Huber's joint estimate of location and scale; the median where it doesn't converge."""
-    n, mu = len(x), np.median(x)
-    s = np.median(np.abs(x - mu)) / 0.6744897501960817
+def proposal2_rows(x: np.ndarray, c: float) -> np.ndarray:
+    """Huber's joint estimate of location and scale of each row's values (NaN: no value); the median where it doesn't converge."""
+    n, middle = (~np.isnan(x)).sum(axis=1), row_medians(x)
     inside = math.erf(c / math.sqrt(2))
     gamma = inside + c * c * (1 - inside) - 2 * c * math.exp(-c * c / 2) / math.sqrt(2 * math.pi)
+    out, mu, s = middle.copy(), middle.copy(), row_medians(np.abs(x - middle[:, None])) / 0.6744897501960817
+    going = np.flatnonzero(s > 0)
     for _ in range(1000):
-        if not s > 0:
-            break
-        new = np.clip(x, mu - c * s, mu + c * s).mean()
-        near = np.abs((x - mu) / s) <= c
-        below = (n - 1) * gamma - (n - near.sum()) * c * c
-        if below <= 0:
+        if not len(going):
             break
-        scale = math.sqrt(((x[near] - new) ** 2).sum() / below)
-        if abs(s - scale) <= scale * FTOL and abs(mu - new) <= scale * FTOL:
-            return new
-        mu, s = new, scale
-    return np.median(x)
+        v, m, d = x[going], mu[going], c * s[going]
+        new = np.nansum(np.clip(v, (m - d)[:, None], (m + d)[:, None]), axis=1) / n[going]
+        near = np.abs((v - m[:, None]) / s[going, None]) <= c
+        below = (n[going] - 1) * gamma - (n[going] - near.sum(axis=1)) * c * c
+        squares = np.where(near, (v - new[:, None]) ** 2, 0).sum(axis=1)
+        scale = np.sqrt(np.divide(squares, below, out=np.full(len(going), np.nan), where=below > 0))
+        met = (np.abs(s[going] - scale) <= scale * FTOL) & (np.abs(m - new) <= scale * FTOL)
+        out[going[met]] = new[met]
+        mu[going], s[going] = new, scale
+        going = going[~met & (below > 0) & (scale > 0)]
+    return out
 
 
-def plain_reweighted(x: np.ndarray, weight: Callable[[np.ndarray], np.ndarray]) -> float:
-    """Iteratively reweighted mean with scale MAD / 0.6745 of the residuals."""
-    mu, last = x.mean(), None
-    for _ in range(50):
-        s = np.median(np.abs(x - mu)) / 0.6744897501960817
-        if s == 0:
-            break
-        w = weight((x - mu) / s)
-        if not w.sum():
-            break
-        mu = (w * x).sum() / w.sum()
-        if last is not None and abs(mu - last) < 1e-8:
-            break
-        last = mu
-    return mu
+def hodges_rows(x: np.ndarray) -> np.ndarray:
+    """The median of the means of all pairs, self-pairs included, of each row's values (NaN: no value)."""
+    n, width = (~np.isnan(x)).sum(axis=1), x.shape[1]
+    if width > PAIRS:
+        return np.array([hodges_of(np.sort(r[~np.isnan(r)])) for r in x])
+    out = np.empty(len(x))
+    i, j = np.triu_indices(width)
+    step = max(1, 2_000_000 // len(i))
+    for k in range(0, len(x), step):
+        pairs = np.sort((x[k : k + step, i] + x[k : k + step, j]) / 2, axis=1)
+        m, rows = n[k : k + step] * (n[k : k + step] + 1) // 2, np.arange(len(pairs))
+        out[k : k + step] = (pairs[rows, (m - 1) // 2] + pairs[rows, m // 2]) / 2
+    return out
+
+
+def hodges_of(x: np.ndarray) -> float:
+    """The same of one sorted row of any length in memory of its length: a pair's mean is selected by bisection and counting."""
+    n, first = len(x), np.arange(len(x))
+
+    def least(rank: int) -> float:
+        """The smallest mean that ``rank`` pairs or more do not exceed."""
+        low, high = x[0], x[-1]
+        if (np.maximum(np.searchsorted(x, 2 * low - x, "right") - first, 0)).sum() >= rank:
+            return low
+        while (middle := low + (high - low) / 2) not in (low, high):
+            if (np.maximum(np.searchsorted(x, 2 * middle - x, "right") - first, 0)).sum() >= rank:
+                high = middle
+            else:
+                low = middle
+        return high
+
+    m = n * (n + 1) // 2
+    return (least((m - 1) // 2 + 1) + least(m // 2 + 1)) / 2
 
 
 def reweighted_rows(x: np.ndarray, weight: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
-    """``plain_reweighted`` of every row's values at once (NaN: no value); rows stop one by one."""
+    """Iteratively reweighted means, with scale MAD / 0.6745 of the residuals, of every row's values at once (NaN: no value); rows stop one by one."""
     mu = np.nanmean(x, axis=1)
     last, going = np.full(len(x), np.nan), np.arange(len(x))
     for _ in range(50):
@@ -145,6 +144,7 @@ def hampel_weight(cuts: tuple[float, float, float]) -> Callable[[np.ndarray], np
 
 
 def window_estimator(p: Params) -> Callable[[np.ndarray], float]:
+    """The estimator of one window, for the closed methods but hodges."""
     c = p.cval
 
     def winsor(x):
@@ -178,26 +178,17 @@ def window_estimator(p: Params) -> Callable[[np.ndarray], float]:
         w = np.where(np.abs(w) <= c, w, 0)
         return (w * x).sum() / w.sum() if w.sum() else np.nan
 
-    def pairs(x):
-        i, j = np.triu_indices(len(x))
-        return np.median((x[i] + x[j]) / 2)
-
-    table = {"mean": np.mean, "median": np.median, "trim_mean": trim, "winsorize": winsor, "hampelfilt": filtered, "huber_psi": psi, "tau": taus, "hodges": pairs}
-    if p.method in table:
-        return table[p.method]
-    if p.method == "huber":
-        return lambda x: proposal2(x, c)
-    if p.method == "hampel":
-        return lambda x: plain_reweighted(x, hampel_weight(c))
-    if p.method == "ramsay":
-        return lambda x: plain_reweighted(x, lambda z: np.exp(-c * np.abs(z)))
-    return lambda x: newton(x, c, p.method)
+    return {"mean": np.mean, "median": np.median, "trim_mean": trim, "winsorize": winsor, "hampelfilt": filtered, "huber_psi": psi, "tau": taus}[p.method]
 
 
 def row_estimator(p: Params) -> Callable[[np.ndarray], np.ndarray] | None:
-    """The estimator of many windows at once, for the methods that iterate."""
+    """The estimator of many windows at once, for the methods that iterate and for hodges."""
     if p.method in ("biweight", "andrewsinewave", "welsch"):
         return lambda x: newton_rows(x, p.cval, p.method)
+    if p.method == "hodges":
+        return hodges_rows
+    if p.method == "huber":
+        return lambda x: proposal2_rows(x, p.cval)
     if p.method == "hampel":
         return lambda x: reweighted_rows(x, hampel_weight(p.cval))
     if p.method == "ramsay":
@@ -228,7 +219,7 @@ def slide_windows(f: np.ndarray, w: np.ndarray, p: Params, start: np.ndarray, en
     signed = np.where(w > 0, f, -f)
     keep = w > 0 if slow or not p.drop_negative else signed > -1e-12
     value = f if slow or not p.drop_negative else signed
-    trend, estimate, width = np.full(len(f), np.nan), window_estimator(p), end - start
+    trend, width = np.full(len(f), np.nan), end - start
     if rows := row_estimator(p):
         known = np.where(keep, value, np.nan)
         todo = np.flatnonzero(inner & (width > 0))
@@ -243,6 +234,7 @@ def slide_windows(f: np.ndarray, w: np.ndarray, p: Params, start: np.ndarray, en
             some = (~np.isnan(block)).sum(axis=1) > slow
             trend[i[some]] = rows(block[some])
         return trend
+    estimate = window_estimator(p)
     for i in np.flatnonzero(inner):
         x = value[start[i] : end[i]][keep[start[i] : end[i]]]
         if len(x) > slow:
@@ -253,11 +245,32 @@ def slide_windows(f: np.ndarray, w: np.ndarray, p: Params, start: np.ndarray, en
 # --- splines ---------------------------------------------------------------
 
 
-def bspline(x: np.ndarray, knots: np.ndarray, degree: int = 3) -> np.ndarray:
-    """The B-spline design matrix; outside the knots the end pieces continue."""
+@dataclass
+class Splines:
+    """A B-spline design: of each row, the four basis functions that aren't zero there, from ``first``; ``count`` of all."""
+
+    first: np.ndarray
+    local: np.ndarray
+    count: int
+
+    def __matmul__(self, coef: np.ndarray) -> np.ndarray:
+        return (self.local * coef[self.first[:, None] + np.arange(self.local.shape[1])]).sum(axis=1)
+
+    def moments(self, y: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The products of the basis functions, and theirs with ``y``, summed over the rows."""
+        width = self.local.shape[1]
+        held = self.local if weight is None else self.local * weight[:, None]
+        at = self.first[:, None] + np.arange(width)
+        pairs = (at[:, :, None] * self.count + at[:, None, :]).ravel()
+        gram = np.bincount(pairs, (held[:, :, None] * self.local[:, None, :]).ravel(), self.count**2).reshape(self.count, self.count)
+        return gram, np.bincount(at.ravel(), (held * y[:, None]).ravel(), self.count)
+
+
+def bspline(x: np.ndarray, knots: np.ndarray, degree: int = 3) -> Splines:
+    """The B-spline design at ``x``; outside the knots the end pieces continue."""
     n = len(knots) - degree - 1
     span = np.clip(np.searchsorted(knots, x, "right") - 1, degree, n - 1)
-    rows, local = np.arange(len(x)), np.zeros((len(x), degree + 1))
+    local = np.zeros((len(x), degree + 1))
     local[:, 0] = 1
     for d in range(1, degree + 1):
         saved = np.zeros(len(x))
@@ -268,10 +281,7 @@ def bspline(x: np.ndarray, knots: np.ndarray, degree: int = 3) -> np.ndarray:
             local[:, r] = saved + (right - x) * share
             saved = (x - left) * share
         local[:, d] = saved
-    out = np.zeros((len(x), n))
-    for k in range(degree + 1):
-        out[rows, span - degree + k] = local[:, k]
-    return out
+    return Splines(span - degree, local, n)
 
 
 def finite(*arrays: np.ndarray) -> np.ndarray:
@@ -299,25 +309,32 @@ def rspline(t, f, w, p):
             if at == len(x):
                 return np.full(len(t), np.nan)
             at += 1
-        coef = np.linalg.lstsq(bspline(x, knots), y, rcond=None)[0]
-        flat = y / (bspline(x, knots) @ coef)
+        basis = bspline(x, knots)
+        gram, right = basis.moments(y)
+        coef = np.linalg.lstsq(gram, right, rcond=None)[0]
+        flat = y / (basis @ coef)
     return bspline(t, knots) @ coef
 
 
-def huber_regression(z: np.ndarray, y: np.ndarray, epsilon: float = 1.35, alpha: float = 1e-4) -> tuple[np.ndarray, float]:
+def huber_regression(z: Splines, y: np.ndarray, epsilon: float = 1.35, alpha: float = 1e-4) -> tuple[np.ndarray, float]:
     """Weights and intercept that minimise sum(s + s H(r / s)) + alpha |w|^2 with the scale s, by reweighting."""
-    a = np.hstack([z, np.ones((len(y), 1))])
-    ridge = np.diag([alpha] * z.shape[1] + [0.0])
-    beta = np.linalg.lstsq(a.T @ a + ridge, a.T @ y, rcond=None)[0]
-    s = max(float(np.std(y - a @ beta)), 1e-300)
+    ridge = np.diag([alpha] * z.count + [0.0])
+
+    def solved(omega: np.ndarray) -> np.ndarray:
+        gram, right = z.moments(y, omega)
+        beside = np.bincount((z.first[:, None] + np.arange(z.local.shape[1])).ravel(), (z.local * omega[:, None]).ravel(), z.count)
+        whole = np.block([[gram, beside[:, None]], [beside[None, :], np.array([[omega.sum()]])]])
+        return np.linalg.lstsq(whole + ridge, np.append(right, omega @ y), rcond=None)[0]
+
+    beta = solved(np.ones(len(y)))
+    s = max(float(np.std(y - (z @ beta[:-1] + beta[-1]))), 1e-300)
     for _ in range(300):
-        r = np.abs(y - a @ beta)
+        r = np.abs(y - (z @ beta[:-1] + beta[-1]))
         far = r > epsilon * s
         free = len(y) - far.sum() * epsilon**2
         new = math.sqrt((r[~far] ** 2).sum() / free) if free > 0 and (~far).any() else s
         new = max(new, 1e-300)
-        omega = np.where(r > epsilon * new, epsilon / np.maximum(r, 1e-300), 1 / new)
-        last, beta = beta, np.linalg.lstsq((a.T * omega) @ a + ridge, (a.T * omega) @ y, rcond=None)[0]
+        last, beta = beta, solved(np.where(r > epsilon * new, epsilon / np.maximum(r, 1e-300), 1 / new))
         if abs(new - s) <= 1e-10 * s and np.abs(beta - last).max() <= 1e-10 * np.abs(beta).max():
             break
         s = new
@@ -340,14 +357,20 @@ def penalized(x: np.ndarray, y: np.ndarray, count: int) -> tuple[Callable[[np.nd
     low, high = x[0], x[-1] if x[-1] > x[0] else x[0] + 1
     step = (high - low) / max(count - 3, 1)
     knots = low + step * np.arange(-3, count + 1)
-    b = bspline(x, knots)
+    basis = bspline(x, knots)
+    gram, right = basis.moments(y)
+    gram += 1e-9 * np.eye(count)
     d = np.diff(np.eye(count), 2, axis=0)
-    gram, right, pen, best = b.T @ b, b.T @ y, d.T @ d, None
+    # In the coordinates of gram + penalty, every penalty weight is diagonal: one decomposition serves all.
+    low_root = np.linalg.inv(np.linalg.cholesky(gram + d.T @ d))
+    share, turn = np.linalg.eigh(low_root @ gram @ low_root.T)
+    share = np.clip(share, 0, 1)
+    back = low_root.T @ turn
+    start, best = back.T @ right, None
     for lam in np.logspace(-3, 3, 11):
-        inverse = np.linalg.pinv(gram + lam * pen + 1e-9 * np.eye(count), hermitian=True)
-        coef = inverse @ right
-        edof = float(np.trace(inverse @ gram))
-        score = len(x) * ((y - b @ coef) ** 2).sum() / max(len(x) - 1.4 * edof, 1e-9) ** 2
+        damp = 1 / (share + lam * (1 - share))
+        coef, edof = back @ (damp * start), float((share * damp).sum())
+        score = len(x) * ((y - basis @ coef) ** 2).sum() / max(len(x) - 1.4 * edof, 1e-9) ** 2
         if best is None or score < best[0]:
             best = (score, coef, edof)
     return (lambda q: bspline(q, knots) @ best[1]), best[2]
@@ -375,9 +398,11 @@ def pspline(t, f, w, p):
 
 
 def fourier(t: np.ndarray, degree: int) -> np.ndarray:
-    k = 2 * np.pi * np.outer(t, np.arange(1, degree + 1)) / (2 * (t[-1] - t[0]) if t[-1] > t[0] else 1.0)
+    """A constant, the time, and half waves of each degree. Time counts from the first point, scaled: that spans the same and keeps digits."""
+    x = (t - t[0]) / (t[-1] - t[0] if t[-1] > t[0] else 1.0)
+    k = np.pi * np.outer(x, np.arange(1, degree + 1))
     waves = np.stack([np.sin(k), np.cos(k)], 2).reshape(len(t), -1)
-    return np.hstack([np.ones((len(t), 1)), t[:, None], waves])
+    return np.hstack([np.ones((len(t), 1)), x[:, None] - 0.5, waves])
 
 
 def cosine(t, f, w, p):
@@ -422,6 +447,10 @@ def medfilt(t, f, w, p):
 # --- local and penalised regression ---------------------------------------
 
 
+#: Most numbers of a block of rows by neighbours.
+BLOCK = 1_000_000
+
+
 def lowess(t, f, w, p):
     n = len(t)
     if t[-1] == t[0]:
@@ -429,27 +458,26 @@ def lowess(t, f, w, p):
     k = min(int(p.window_length / (t[-1] - t[0]) * n), n)
     if k < 2:
         return np.full(n, np.nan)
-    left, at = np.zeros(n, int), 0
-    for i in range(n):
-        while at + k < n and t[i] > (t[at] + t[at + k]) / 2:
-            at += 1
-        left[i] = at
-    index = left[:, None] + np.arange(k)
-    x, y = t[index], f[index]
-    radius = np.maximum(t - x[:, 0], x[:, -2] - t)[:, None]
+    left = np.searchsorted((t[: n - k] + t[k:]) / 2, t, "left")  # windows move on while a point is beyond their middle
+    robust, previous, step = np.zeros(n), np.ones(n), max(1, BLOCK // k)
     with np.errstate(divide="ignore", invalid="ignore"):
-        tricube = (1 - (np.abs(x - t[:, None]) / radius) ** 3) ** 3
-        robust, previous = np.zeros(n), np.ones(n)
         for _ in range(30):
-            extra = robust[index]
-            weight = np.where(extra.any(axis=1)[:, None], tricube * extra, tricube)
-            weight /= np.nansum(weight, axis=1)[:, None]
-            mean = (weight * x).sum(axis=1)
-            spread = (weight * (x - mean[:, None]) ** 2).sum(axis=1)
-            pull = 1 + (t - mean)[:, None] * (x - mean[:, None]) / spread[:, None]
-            trend = np.where(spread == 0, np.nan, (weight * pull * y).sum(axis=1))
+            trend = np.empty(n)
+            for a in range(0, n, step):
+                index = left[a : a + step, None] + np.arange(k)
+                x = t[index] - t[a : a + step, None]
+                weight = (1 - (np.abs(x) / np.maximum(-x[:, 0], x[:, -2])[:, None]) ** 3) ** 3
+                extra = robust[index]
+                weight *= np.where(extra.any(axis=1)[:, None], extra, 1)
+                weight /= np.nansum(weight, axis=1)[:, None]
+                mean = (weight * x).sum(axis=1)
+                x -= mean[:, None]
+                spread = (weight * x**2).sum(axis=1)
+                line = (weight * (1 - mean[:, None] * x / spread[:, None]) * f[index]).sum(axis=1)
+                trend[a : a + step] = np.where(spread == 0, np.nan, line)
             away = np.abs(f - trend)
-            away = np.minimum(away / (6 * np.nanmedian(away) + 1e-100), 1)
+            middle = np.median(away[~np.isnan(away)]) if not np.isnan(away).all() else np.nan
+            away = np.minimum(away / (6 * middle + 1e-100), 1)
             robust = np.where(w > 0, (1 - away**2) ** 2, 0)
             if np.max(np.abs(previous - trend)) < FTOL:
                 break
@@ -577,32 +605,48 @@ def covariance(a: np.ndarray, b: np.ndarray, kernel: str, q: np.ndarray) -> np.n
     return np.exp(-2 * (np.sin(np.pi * d / q[1]) / q[0]) ** 2) + np.exp(-0.5 * (d / q[2]) ** 2)
 
 
-def gp_fit(x: np.ndarray, y: np.ndarray, kernel: str, start: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
-    """A process whose parameters maximise the likelihood within half and twice their start."""
-
-    def solve(q):
-        k = covariance(x, x, kernel, q)
-        for jitter in (1e-10, 1e-8, 1e-6, 1e-4):
-            try:
-                low = np.linalg.cholesky(k + jitter * np.eye(len(x)))
-                return low, np.linalg.solve(low.T, np.linalg.solve(low, y))
-            except np.linalg.LinAlgError:
-                continue
-        return None, np.linalg.lstsq(k, y, rcond=None)[0]
+def gp_solve(x: np.ndarray, y: np.ndarray, kernel: str, q: np.ndarray) -> tuple[np.ndarray | None, np.ndarray]:
+    """(Cholesky factor, weights of the rows); without a factor the weights are those of least squares."""
+    k = covariance(x, x, kernel, q)
+    for jitter in (1e-10, 1e-8, 1e-6, 1e-4):
+        try:
+            low = np.linalg.cholesky(k + jitter * np.eye(len(x)))
+            return low, np.linalg.solve(low.T, np.linalg.solve(low, y))
+        except np.linalg.LinAlgError:
+            continue
+    return None, np.linalg.lstsq(k, y, rcond=None)[0]
+
+
+def gp_parameters(x: np.ndarray, y: np.ndarray, kernel: str, start: np.ndarray) -> np.ndarray:
+    """Parameters that maximise the likelihood within half and twice their start: in powers of 2 of it, the best of a grid by coordinates, then steps that halve, down to 1e-4, where none helps. O(n^3) a candidate."""
 
-    def cost(q):
-        low, weights = solve(q)
+    def cost(e):
+        low, weights = gp_solve(x, y, kernel, start * 2.0**e)
         return math.inf if low is None else 0.5 * y @ weights + np.log(np.diag(low)).sum()
 
-    best, least = start.astype(float), cost(start)
+    at, step = np.zeros(len(start)), 0.125
+    least = cost(at)
     for _ in range(1 if len(start) == 1 else 2):
         for k in range(len(start)):
             for e in np.linspace(-1, 1, 9):
-                q = best.copy()
-                q[k] = start[k] * 2**e
-                if (c := cost(q)) < least:
-                    best, least = q, c
-    weights = solve(best)[1]
+                tried = np.where(np.arange(len(start)) == k, e, at)
+                if (c := cost(tried)) < least:
+                    at, least = tried, c
+    while step > 1e-4:
+        for k in range(2 * len(start)):
+            tried = np.clip(at + step * (1 - k % 2 * 2) * (np.arange(len(start)) == k // 2), -1, 1)
+            if (c := cost(tried)) < least:
+                at, least = tried, c
+                break
+        else:
+            step /= 2
+    return start * 2.0**at
+
+
+def gp_fit(x: np.ndarray, y: np.ndarray, kernel: str, start: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+    """The mean of a process with the best parameters near ``start``."""
+    best = gp_parameters(x, y, kernel, start)
+    weights = gp_solve(x, y, kernel, best)[1]
     return lambda z: covariance(z, x, kernel, best) @ weights
 
 

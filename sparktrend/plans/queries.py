@@ -12,12 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparktrend.functions.scalars import clean, t14, transit_mask
-from sparktrend.operators.clip import slide_clip
+from sparktrend.operators.clip import sigma_clip, slide_clip
 from sparktrend.operators.flatten import flatten, nsplines
 from sparktrend.operators.periodogram import lomb_scargle
 from sparktrend.operators.segments import segment, segment_durations
-from sparktrend.plans.params import CLOSED, JOINT, NEWTON
-from sparktrend.sources.tables import event_series, order_series
+from sparktrend.plans import oracles
+from sparktrend.plans.params import CLOSED, JOINT, NEWTON, Params
+from sparktrend.sources.tables import event_series, order_series, zero_to_null
 
 Query = Callable[[SparkSession, str], DataFrame]
 USER = {"series": ["user_id"], "row_id": "event_id"}
@@ -25,20 +26,65 @@ SLIDER = {"window_length": 3.0, "break_tolerance": 1.5}
 OMEGAS = [0.2 + 0.1 * k for k in range(32)]
 
 
-def _result(df: DataFrame, key: str = "event_id") -> DataFrame:
-    return df.select(key, "segment_id", F.round("trend", 6).alias("trend"), F.round("flat", 6).alias("flat"))
+def _result(df: DataFrame, key: str = "event_id", digits: tuple[int, int] = (6, 6)) -> DataFrame:
+    return df.select(key, "segment_id", F.round("trend", digits[0]).alias("trend"), F.round("flat", digits[1]).alias("flat"))
 
 
-def _flat(mask: bool = False, **options) -> Query:
+def _flat(mask: bool = False, missing: bool = False, digits: tuple[int, int] = (6, 6), **options) -> Query:
+    """``missing``: null, NaN, zero and negative flux, and missing times (their segment_id: -1). ``digits``: fewer for fits whose last ones depend on the order of sums."""
+
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = event_series(spark, sf_dir)
+        if missing:
+            rows = _spoiled(rows)
         if mask:
             rows = rows.withColumn("masked", F.col("event_id") % 7 == 0)
-        return _result(flatten(rows, **USER, mask="masked" if mask else None, **options))
+        out = flatten(rows, **USER, mask="masked" if mask else None, **options)
+        return _result(out.withColumn("segment_id", F.coalesce("segment_id", F.lit(-1))) if missing else out, digits=digits)
 
     return run
 
 
+def _spoiled(rows: DataFrame) -> DataFrame:
+    """A part of the events without flux (null, NaN) or time, with zero or negative flux; a user in five has only zeros."""
+    kind = F.col("event_id") % 11
+    flux = F.when(kind == 0, F.lit(None)).when(kind == 1, F.lit(float("nan"))).when((kind == 2) | (F.col("user_id") % 5 == 0), F.lit(0.0)).when(kind == 3, -F.col("flux")).otherwise(F.col("flux"))
+    time = F.when(kind == 4, F.lit(None)).when(kind == 5, F.lit(float("nan"))).otherwise(F.col("time"))
+    return rows.withColumns({"flux": flux, "time": time})
+
+
+def zero_flux(spark, sf_dir):
+    spoiled = event_series(spark, sf_dir).withColumn("flux", F.when(F.col("event_id") % 4 == 0, F.lit(0.0)).otherwise(F.col("flux")))
+    return spoiled.select("event_id", zero_to_null(F.col("flux")).alias("flux"))
+
+
+def sigma_clipped(spark, sf_dir):
+    flat = flatten(event_series(spark, sf_dir), **USER, method="median", **SLIDER)
+    return sigma_clip(flat, series=["user_id"], lower=1.5, upper=2.0).select("event_id", F.round("clipped", 6).alias("clipped"))
+
+
+#: Calls, and whether they are valid or what is filled in.
+RULES = [
+    ("unknown method", {"method": "none"}, "error"), ("proportiontocut int", {"proportiontocut": 0}, "error"), ("proportiontocut half", {"proportiontocut": 0.5}, "error"),
+    ("proportiontocut for any method", {"method": "cosine", "proportiontocut": 1}, "error"), ("trim cval over half", {"method": "trim_mean", "cval": 0.6}, "error"), ("trim cval", {"method": "trim_mean", "cval": 0.3}, "window 2.0, break 1.0, cval 0.3"),
+    ("trim default", {"method": "winsorize", "proportiontocut": 0.2}, "window 2.0, break 1.0, cval 0.2"), ("window default", {"method": "lowess"}, "window 2.0, break 1.0, cval 0.0"), ("break default", {"window_length": 5}, "window 5.0, break 2.5, cval 5.0"),
+    ("break off", {"method": "tau", "break_tolerance": 0}, "window 2.0, break inf, cval 4.5"), ("gp without size", {"method": "gp"}, "error"), ("gp size negative", {"method": "gp", "kernel_size": -1}, "error"),
+    ("gp unknown kernel", {"method": "gp", "kernel_size": 1, "kernel": "x"}, "error"), ("gp no kernel", {"method": "gp", "kernel_size": 1}, "window 2.0, break 1.0, cval 0.0"), ("periodic without period", {"method": "gp", "kernel_size": 1, "kernel": "periodic"}, "error"),
+    ("hampel default", {"method": "hampel"}, "window 2.0, break 1.0, cval (1.7, 3.4, 8.5)"), ("medfilt even", {"method": "medfilt", "window_length": 4}, "error"), ("window zero", {"window_length": 0}, "error"),
+]
+
+
+def parameter_rules(spark, sf_dir):
+    def outcome(options: dict) -> str:
+        try:
+            p = Params.resolve(**options)
+        except ValueError:
+            return "error"
+        return f"window {p.window_length}, break {p.break_tolerance}, cval {p.cval}"
+
+    return spark.createDataFrame([(name, outcome(options)) for name, options, _ in RULES], "rule string, outcome string")
+
+
 def segment_gaps(spark, sf_dir):
     return segment(event_series(spark, sf_dir), **USER, break_tolerance=1.5).select("event_id", "segment_id")
 
@@ -62,10 +108,11 @@ def mask_query(spark, sf_dir):
     return event_series(spark, sf_dir).select("event_id", transit_mask(F.col("time"), 3.7, 0.4, 100.0).alias("in_transit"))
 
 
-def _clip(**options) -> Query:
+def _clip(missing: bool = False, **options) -> Query:
     # Not a cutoff of 1: a window of two points lies exactly one standard
     # deviation from its mean, so the last bits of a sum would decide.
-    return lambda spark, sf_dir: slide_clip(event_series(spark, sf_dir), 3.0, low=1.7, high=1.3, **USER, **options).select("event_id", F.round("clipped", 6).alias("clipped"))
+    rows = lambda spark, sf_dir: event_series(spark, sf_dir).withColumn("flux", F.when(F.col("event_id") % 11 == 0, F.lit(None)).when(F.col("event_id") % 11 == 1, F.lit(float("nan"))).otherwise(F.col("flux"))) if missing else event_series(spark, sf_dir)
+    return lambda spark, sf_dir: slide_clip(rows(spark, sf_dir), 3.0, low=1.7, high=1.3, **USER, **options).select("event_id", F.round("clipped", 6).alias("clipped"))
 
 
 def lombscargle_power(spark, sf_dir):
@@ -77,17 +124,12 @@ def order_median(spark, sf_dir):
     return _result(flatten(order_series(spark, sf_dir), series=["o_custkey"], row_id="o_orderkey", method="median", window_length=400.0, break_tolerance=300.0), "o_orderkey")
 
 
-def savgol_interior(spark, sf_dir):
-    rows = flatten(event_series(spark, sf_dir), **USER, method="savgol", window_length=5, break_tolerance=1.5)
-    place = "row_number() OVER (PARTITION BY user_id, segment_id ORDER BY time{}, event_id{})"
-    inner = rows.withColumns({"a": F.expr(place.format("", "")), "b": F.expr(place.format(" DESC", " DESC"))}).filter("a > 2 AND b > 2")
-    return _result(inner)
-
-
 def spline_counts(spark, sf_dir):
     return nsplines(event_series(spark, sf_dir), **USER, window_length=3.0, max_splines=12).select("user_id", "segment_id", "nsplines")
 
 
+#: Decimals of trend and flat.
+FITTED, SPARSE = (4, 2), (3, 1)
 WIDE = {"window_length": 6.0, "break_tolerance": 5.0}
 
 
@@ -105,25 +147,41 @@ def queries() -> dict[str, Query]:
         "slide_clip_cells": _clip(chunk=5.0),
         "medfilt": _flat(method="medfilt", window_length=5, break_tolerance=1.5),
         "savgol": _flat(method="savgol", window_length=5, break_tolerance=1.5),
-        "savgol_interior": savgol_interior,
         "slide_clip": _clip(),
         "slide_clip_documented": _clip(compat=False),
         "lombscargle_power": lombscargle_power,
-        "cosine": _flat(method="cosine", **WIDE),
-        "cosine_robust": _flat(mask=True, method="cosine", robust=True, **WIDE),
-        "cofiam": _flat(method="cofiam", **WIDE),
-        "lowess": _flat(method="lowess", **WIDE),
-        "rspline": _flat(method="rspline", **WIDE),
-        "hspline": _flat(method="hspline", **WIDE),
-        "pspline": _flat(method="pspline", max_splines=12, **WIDE),
+        "slide_clip_missing": _clip(missing=True),
+        "sigma_clip": sigma_clipped,
+        "zero_to_null": zero_flux,
+        "parameter_rules": parameter_rules,
+        "defaults": _flat(),
+        "medfilt_default_break": _flat(method="medfilt", window_length=5),
+        "breaks_off": _flat(method="median", window_length=3.0, break_tolerance=0),
+        "trim_mean_cval": _flat(method="trim_mean", cval=0.25, **SLIDER),
+        "winsorize_cval": _flat(method="winsorize", cval=0.2, **SLIDER),
+        "median_missing": _flat(missing=True, method="median", **SLIDER),
+        "biweight_missing": _flat(missing=True, mask=True, method="biweight", **SLIDER),
+        "huber_missing": _flat(missing=True, mask=True, method="huber", **SLIDER),
+        "mean_negative_kept": _flat(missing=True, method="mean", drop_negative=False, **SLIDER),
+        "hampel_masked": _flat(mask=True, method="hampel", **SLIDER),
+        "ramsay_masked": _flat(mask=True, method="ramsay", **SLIDER),
+        "cosine": _flat(method="cosine", digits=FITTED, **WIDE),
+        "cosine_robust": _flat(mask=True, method="cosine", robust=True, digits=FITTED, **WIDE),
+        "cofiam": _flat(method="cofiam", digits=FITTED, **WIDE),
+        "lowess": _flat(method="lowess", digits=FITTED, **WIDE),
+        "lowess_masked": _flat(mask=True, method="lowess", digits=FITTED, **WIDE),
+        "rspline": _flat(method="rspline", digits=FITTED, **WIDE),
+        "rspline_masked": _flat(mask=True, method="rspline", digits=FITTED, **WIDE),
+        "hspline": _flat(method="hspline", digits=FITTED, **WIDE),
+        "pspline": _flat(method="pspline", max_splines=12, digits=FITTED, **WIDE),
         "pspline_nsplines": spline_counts,
-        "supersmoother": _flat(method="supersmoother", **WIDE),
-        "gp_squared_exp": _flat(method="gp", kernel="squared_exp", kernel_size=2.0, **WIDE),
-        "gp_matern": _flat(mask=True, method="gp", kernel="matern", kernel_size=2.0, robust=True, **WIDE),
-        "gp_periodic": _flat(method="gp", kernel="periodic", kernel_size=1.0, kernel_period=7.0, **WIDE),
-        "gp_periodic_auto": _flat(method="gp", kernel="periodic_auto", kernel_size=1.0, **WIDE),
+        "supersmoother": _flat(method="supersmoother", digits=FITTED, **WIDE),
+        "gp_squared_exp": _flat(method="gp", kernel="squared_exp", kernel_size=2.0, digits=FITTED, **WIDE),
+        "gp_matern": _flat(mask=True, method="gp", kernel="matern", kernel_size=2.0, robust=True, digits=FITTED, **WIDE),
+        "gp_periodic": _flat(method="gp", kernel="periodic", kernel_size=1.0, kernel_period=7.0, digits=FITTED, **WIDE),
+        "gp_periodic_auto": _flat(method="gp", kernel="periodic_auto", kernel_size=1.0, digits=FITTED, **WIDE),
     }
-    out |= {m: _flat(method=m, **WIDE) for m in ("ridge", "lasso", "elasticnet")}
+    out |= {"ridge": _flat(method="ridge", digits=FITTED, **WIDE)} | {m: _flat(method=m, digits=SPARSE, **WIDE) for m in ("lasso", "elasticnet")}
     return out
 
 
@@ -135,9 +193,9 @@ g AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY k ORDER BY t, id) > {tol
 s AS (SELECT * EXCLUDE (st), (sum(st) OVER (PARTITION BY k ORDER BY t, id ROWS UNBOUNDED PRECEDING))::INT AS segment_id FROM g)"""
 _EVENTS = {"id": "event_id", "key": "user_id", "time": "epoch_us(ts) / 86400e6::DOUBLE", "flux": "value", "masked": "false", "table": "events", "tol": "1.5"}
 _WINDOWS = """,
-n AS (SELECT *, lead(t) OVER (PARTITION BY k, segment_id ORDER BY t, id) IS NULL AS is_last, CASE WHEN masked THEN -f ELSE f END AS v,
+n AS (SELECT *, lead(t) OVER (PARTITION BY k, segment_id ORDER BY t, id) IS NULL AS is_last, {value} AS v,
   min(t) OVER (PARTITION BY k, segment_id) AS t0, max(t) OVER (PARTITION BY k, segment_id) AS t1 FROM s),
-l AS (SELECT *, list(CASE WHEN NOT is_last AND v > -1e-12::DOUBLE THEN {{'t': t, 'v': v}} END)
+l AS (SELECT *, list(CASE WHEN NOT is_last AND {kept} THEN {{'t': t, 'v': v}} END)
   OVER (PARTITION BY k, segment_id ORDER BY t RANGE BETWEEN {h}::DOUBLE PRECEDING AND {h}::DOUBLE FOLLOWING) AS ps FROM n),
 a AS (SELECT id, segment_id, f, t, t0, t1, list_sort(list_transform(list_filter(ps, lambda p: p IS NOT NULL AND p.t < t + {h}::DOUBLE), lambda p: p.v)) AS x FROM l),
 m AS (SELECT *, len(x) AS n, list_median(x) AS med FROM a),
@@ -145,12 +203,20 @@ d AS (SELECT *, list_median(list_transform(x, lambda q: abs(q - med))) AS mad FR
 r AS (SELECT id, segment_id, f, CASE WHEN n > 0 AND t >= t0 + {cut}::DOUBLE AND t <= t1 - {cut}::DOUBLE THEN {estimate} END AS trend0 FROM d)"""
 _FINAL = """,
 z AS (SELECT id, segment_id, f, CASE WHEN trend0 <> 0 AND NOT isnan(trend0) THEN trend0 END AS trend FROM r)
-SELECT id AS {id}, segment_id, round(trend, 6) AS trend, round(f / trend, 6) AS flat FROM z"""
+SELECT id AS {id}, segment_id, round(trend, 6) AS trend, round(f / trend, 6) + 0 AS flat FROM z"""
 
 
-def _slider_sql(estimate: str, h: str = "1.5", cut: str = "0", **base) -> str:
+def _slider_sql(estimate: str, h: str = "1.5", cut: str = "0", slow: bool = False, **base) -> str:
+    """``slow``: masked values are dropped and negative ones survive; else masked ones are negated and negative ones dropped."""
     base = _EVENTS | base
-    return "WITH" + _SEGMENTS.format(**base) + _WINDOWS.format(h=h, cut=cut, estimate=estimate) + _FINAL.format(**base)
+    rule = {"kept": "NOT masked", "value": "f"} if slow else {"kept": "v > -1e-12::DOUBLE", "value": "CASE WHEN masked THEN -f ELSE f END"}
+    return "WITH" + _SEGMENTS.format(**base) + _WINDOWS.format(h=h, cut=cut, estimate=estimate, **rule) + _FINAL.format(**base)
+
+
+def _whole_sql(text: str, digits: tuple[int, int] = FITTED, **base) -> str:
+    """SQL of a method that fits whole segments: ``oracles``' text between segmentation and result."""
+    base = _EVENTS | {"tol": "5"} | base
+    return "WITH" + _SEGMENTS.format(**base) + text + _FINAL.format(**base).replace("round(trend, 6)", f"round(trend, {digits[0]})").replace("round(f / trend, 6)", f"round(f / trend, {digits[1]})")
 
 
 _CLOSED_SQL = {
@@ -180,16 +246,25 @@ _NEWTON_SQL = {
 }
 
 
-def _clip_sql(middle: str, cutoff: str) -> str:
+_FLUX_MISSING = "CASE WHEN event_id % 11 = 2 OR user_id % 5 = 0 THEN 0 WHEN event_id % 11 = 3 THEN -value ELSE value END"
+_TIME_MISSING = "epoch_us(ts) / 86400e6::DOUBLE"
+_MISSING = "(SELECT * FROM events WHERE event_id % 11 NOT IN (0, 1, 4, 5))"
+_REWEIGHTED = {"hampel": "CASE WHEN Z <= 1.7 THEN 1::DOUBLE WHEN Z <= 3.4 THEN 1.7::DOUBLE / Z WHEN Z <= 8.5 THEN 1.7::DOUBLE * (8.5::DOUBLE - Z) / ((8.5::DOUBLE - 3.4::DOUBLE) * Z) ELSE 0::DOUBLE END", "ramsay": "exp(-0.3::DOUBLE * Z)"}
+_SIGMA_SQL = "WITH c0 AS (SELECT event_id, user_id, f.flat AS x FROM ({flat}) f JOIN events USING (event_id))" + "".join(
+    f", s{n} AS (SELECT *, median(x) OVER (PARTITION BY user_id) AS m, stddev_pop(x) OVER (PARTITION BY user_id) AS d FROM c{n - 1}), c{n} AS (SELECT event_id, user_id, CASE WHEN x - m <= 2 * d AND x - m >= -1.5::DOUBLE * d THEN x END AS x FROM s{n})" for n in range(1, 6)
+) + " SELECT event_id, round(x, 6) AS clipped FROM c5"
+
+
+def _clip_sql(middle: str, cutoff: str, flux: str = "value") -> str:
     return f"""
-WITH e AS (SELECT event_id AS id, user_id AS k, epoch_us(ts) / 86400e6::DOUBLE AS t, value::DOUBLE AS f FROM events),
+WITH e AS (SELECT event_id AS id, user_id AS k, epoch_us(ts) / 86400e6::DOUBLE AS t, ({flux})::DOUBLE AS f FROM events),
 n AS (SELECT *, lead(t) OVER (PARTITION BY k ORDER BY t, id) IS NULL AS is_last, min(t) OVER (PARTITION BY k) AS t0, max(t) OVER (PARTITION BY k) AS t1 FROM e),
 l AS (SELECT *, list(CASE WHEN NOT is_last THEN {{'t': t, 'v': f}} END) OVER (PARTITION BY k ORDER BY t RANGE BETWEEN 1.5::DOUBLE PRECEDING AND 1.5::DOUBLE FOLLOWING) AS ps FROM n),
 a AS (SELECT *, list_transform(list_filter(ps, lambda p: p IS NOT NULL AND p.t < t + 1.5::DOUBLE), lambda p: p.v) AS x FROM l),
 c AS (SELECT *, {middle} AS mid FROM a),
 r AS (SELECT *, CASE WHEN NOT is_last AND t > t0 AND t < t1 AND len(x) > 0 THEN {{'t': t, 'm': mid, 'c': {cutoff}}} END AS rule FROM c),
 b AS (SELECT *, last_value(rule IGNORE NULLS) OVER (PARTITION BY k ORDER BY t RANGE BETWEEN 1.5::DOUBLE PRECEDING AND 1.5::DOUBLE FOLLOWING) AS rl FROM r)
-SELECT id AS event_id, CASE WHEN rl IS NOT NULL AND NOT is_last AND t < rl.t + 1.5::DOUBLE AND NOT coalesce(f - rl.m > rl.c * 1.3::DOUBLE OR f - rl.m < rl.c * -1.7::DOUBLE, false) THEN round(f, 6) END AS clipped FROM b"""
+SELECT id AS event_id, CASE WHEN rl IS NOT NULL AND NOT is_last AND t < rl.t + 1.5::DOUBLE AND NOT coalesce(coalesce(f, 0) - rl.m > rl.c * 1.3::DOUBLE OR coalesce(f, 0) - rl.m < rl.c * -1.7::DOUBLE, false) THEN round(coalesce(f, 0), 6) END AS clipped FROM b"""
 
 
 def oracle_sql() -> dict[str, str]:
@@ -206,7 +281,6 @@ def oracle_sql() -> dict[str, str]:
         "slider_masked_median": _slider_sql("med", masked="event_id % 7 = 0"),
         "slider_orders": _slider_sql("med", h="200", id="o_orderkey", key="o_custkey", time="epoch_us(o_orderdate) / 86400e6::DOUBLE", flux="o_totalprice", table="orders", tol="300"),
         "medfilt": s + ", l AS (SELECT *, list(f) OVER (PARTITION BY k, segment_id ORDER BY t, id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS x FROM s), r AS (SELECT *, list_median(list_concat(x, list_transform(range(5 - len(x)), lambda i: 0::DOUBLE))) AS trend0 FROM l)" + _FINAL.format(**_EVENTS),
-        "savgol_interior": s + ", l AS (SELECT *, list(f) OVER (PARTITION BY k, segment_id ORDER BY t, id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS x FROM s), r AS (SELECT *, (-3 * x[1] + 12 * x[2] + 17 * x[3] + 12 * x[4] - 3 * x[5]) / 35 AS trend0 FROM l WHERE len(x) = 5)" + _FINAL.format(**_EVENTS),
         "slide_clip": _clip_sql("list_avg(x)", "list_stddev_pop(x)"),
         "slide_clip_documented": _clip_sql("list_median(x)", "list_median(list_transform(x, lambda q: abs(q - mid)))"),
         "lombscargle_power": """
@@ -216,6 +290,30 @@ p AS (SELECT *, atan2(2 * cs, cc - ss) / 2 AS tau FROM q),
 v AS (SELECT *, cos(tau) AS ct, sin(tau) AS st FROM p)
 SELECT user_id, round(omega, 3) AS omega, round(0.5::DOUBLE * ((ct * yc + st * ys) ** 2 / (ct * ct * cc + 2 * ct * st * cs + st * st * ss) + (ct * ys - st * yc) ** 2 / (ct * ct * ss - 2 * ct * st * cs + st * st * cc)), 3) AS power FROM v""",
     }
+    masked, missing = {"masked": "event_id % 7 = 0"}, {"time": _TIME_MISSING, "flux": _FLUX_MISSING, "table": _MISSING}
+    restore = lambda sql: f"SELECT event_id, coalesce(segment_id, -1)::INT AS segment_id, trend, flat FROM events LEFT JOIN ({sql}) USING (event_id)"  # noqa: E731  rows that don't count
+    out |= {
+        "slide_clip_missing": _clip_sql("list_avg(x)", "list_stddev_pop(list_transform(x, lambda q: coalesce(q, 0)))", "CASE WHEN event_id % 11 > 1 THEN value END"),
+        "sigma_clip": _SIGMA_SQL.format(flat=_slider_sql("med")),
+        "zero_to_null": "SELECT event_id, nullif(CASE WHEN event_id % 4 = 0 THEN 0 ELSE value END, 0)::DOUBLE AS flux FROM events",
+        "parameter_rules": "SELECT * FROM (VALUES " + ", ".join(f"('{name}', '{want}')" for name, _, want in RULES) + ") v(rule, outcome)",
+        "defaults": _slider_sql(_NEWTON_SQL["biweight"], h="1", tol="1"),
+        "breaks_off": _slider_sql("med", tol="1e300"),
+        "trim_mean_cval": _slider_sql(_CLOSED_SQL["trim_mean"].replace("0.1", "0.25")),
+        "winsorize_cval": _slider_sql(_CLOSED_SQL["winsorize"].replace("0.1", "0.2")),
+        "median_missing": restore(_slider_sql("med", **missing)),
+        "biweight_missing": restore(_slider_sql(_NEWTON_SQL["biweight"], **missing, **masked)),
+        "huber_missing": restore(_slider_sql(oracles.proposal2(), slow=True, **missing, **masked)),
+        "mean_negative_kept": restore(_slider_sql("list_avg(x)", slow=True, **missing)),
+        "huber": _slider_sql(oracles.proposal2(), slow=True),
+        "cosine": _whole_sql(oracles.cosine()), "cofiam": _whole_sql(oracles.cosine()), "cosine_robust": _whole_sql(oracles.cosine_robust(), **masked),
+        "lowess": _whole_sql(oracles.lowess()), "lowess_masked": _whole_sql(oracles.lowess(), **masked), "rspline": _whole_sql(oracles.rspline()), "rspline_masked": _whole_sql(oracles.rspline(), **masked),
+        "supersmoother": _whole_sql(oracles.supersmoother()), "ridge": _whole_sql(oracles.ridge()), "lasso": _whole_sql(oracles.elastic(1.0), SPARSE), "elasticnet": _whole_sql(oracles.elastic(0.5), SPARSE),
+        "savgol": "WITH" + _SEGMENTS.format(**_EVENTS) + oracles.savgol5() + _FINAL.format(**_EVENTS),
+    }
+    for m, weight in _REWEIGHTED.items():
+        out |= {m: _slider_sql(oracles.reweighted(weight), slow=True), f"{m}_masked": _slider_sql(oracles.reweighted(weight), slow=True, **masked)}
+    out["medfilt_default_break"] = out["medfilt"].replace("> 1.5::DOUBLE", "> 2.5::DOUBLE")
     out |= {f"slider_{m}": _slider_sql(e) for m, e in _CLOSED_SQL.items()}
     out |= {m: _slider_sql(e) for m, e in _NEWTON_SQL.items()}
     # Dealt out by cells, the results are the same.

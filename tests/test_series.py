@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+import plain
 import sparktrend as st
 from sparktrend.operators import kernels as K
 from sparktrend.plans.params import CLOSED, GLOBAL, METHODS, Params
@@ -69,7 +70,7 @@ def test_periodic_golden():
 
 def brute(t, f, mask, p):
     """Windows by boolean masks, one point at a time."""
-    out, estimate = np.full(len(t), np.nan), K.window_estimator(p)
+    out = np.full(len(t), np.nan)
     slow, cut = p.method in ("huber", "hampel", "ramsay"), min(p.edge_cutoff, p.window_length / 2)
     for i in range(len(t)):
         if not t[0] + cut <= t[i] <= t[-1] - cut:
@@ -79,7 +80,7 @@ def brute(t, f, mask, p):
         x = f[inside & ~mask] if slow else np.where(mask, -f, f)[inside]
         x = x if slow else x[x > -1e-12]
         if len(x) > slow:
-            out[i] = estimate(x)
+            out[i] = plain.estimate(x.tolist(), p.method, p.cval)
     return out
 
 
@@ -139,8 +140,6 @@ def test_kernel_properties():
     for method in ("biweight", "welsch", "andrewsinewave", "huber", "hampel", "ramsay", "median", "hspline", "rspline", "pspline", "lowess"):
         assert np.nanmean(np.abs(run(method=method, window_length=2) - 10 - np.sin(t))) < 0.25, method
     assert np.nanmean(np.abs(run(method="supersmoother", window_length=0.7) - 10 - np.sin(t))) < 0.1  # its last pass spans two windows
-    spline = K.bspline(np.linspace(0, 1, 9), np.array([0] * 4 + [0.3, 0.6] + [1] * 4, float))
-    np.testing.assert_allclose(spline.sum(axis=1), 1)
     q = Params.resolve(method="gp", kernel_size=2.0)
     assert np.abs(K.trend_of(t[::4], 10 + np.sin(t[::4]), ones[::4], q, 20.0)[0] - 10 - np.sin(t[::4])).max() < 0.01
 
@@ -317,3 +316,112 @@ def test_columns_of_any_name_come_back(spark):
     assert st.nsplines(keyed, series=["__start"], row_id="row", window_length=2, max_splines=5).columns == ["__start", "segment_id", "nsplines"]
     with pytest.raises(ValueError):
         st.flatten(df, row_id="none")
+
+
+def test_splines_against_their_recursion():
+    knots, x = np.array([0] * 4 + [0.3, 0.6] + [1] * 4, float), np.linspace(0, 1, 23)
+    want, y = plain.design(x, knots), np.sin(5 * x)
+    got = K.bspline(x, knots)
+    np.testing.assert_allclose(got @ np.arange(6.0), want @ np.arange(6.0))
+    for w in (None, np.linspace(1, 2, 23)):
+        gram, right = got.moments(y, w)
+        held = want * (1 if w is None else w[:, None])
+        np.testing.assert_allclose(gram, held.T @ want, atol=1e-12)
+        np.testing.assert_allclose(right, held.T @ y, atol=1e-12)
+
+
+@pytest.mark.parametrize("count", [6, 15, 50])
+def test_penalised_splines_against_a_direct_solution(count):
+    rng = np.random.default_rng(count)
+    x = np.sort(rng.uniform(0, 10, 60))
+    y = 5 + np.sin(x) + rng.normal(0, 0.1, 60)
+    want, edof = plain.penalised_spline(x.tolist(), y, count)
+    curve, got = K.penalized(x, y, count)
+    np.testing.assert_allclose(curve(x), want, rtol=1e-6)
+    assert got == pytest.approx(edof, rel=1e-6)
+
+
+def test_huber_splines_minimise_their_loss():
+    rng = np.random.default_rng(3)
+    x = np.sort(rng.uniform(0, 10, 80))
+    y = 3 + np.sin(x) + rng.standard_t(1.5, 80) * 0.1
+    knots = np.array([0] * 4 + [3.0, 6.0] + [10] * 4, float)
+    z = plain.design(x, knots)
+    coef, bias = K.huber_regression(K.bspline(x, knots), y)
+    beta = np.append(coef, bias)
+    least = plain.huber_loss(beta, z, y)
+    for k in range(len(beta)):
+        for step in (-1e-3, 1e-3):
+            assert plain.huber_loss(beta + step * (np.arange(len(beta)) == k), z, y) >= least - 1e-9
+    for _ in range(50):
+        assert plain.huber_loss(beta + rng.normal(0, 0.01, len(beta)), z, y) > least
+
+
+@pytest.mark.parametrize(("kernel", "start"), [("squared_exp", [1.5]), ("matern", [2.0]), ("periodic", [1.0, 5.0, 3.0])])
+def test_gp_parameters_are_the_likeliest(kernel, start):
+    rng = np.random.default_rng(1)
+    x = np.sort(rng.uniform(0, 15, 30))
+    y = np.sin(2 * np.pi * x / 6) + rng.normal(0, 0.3, 30)
+    q = K.gp_parameters(x, y, kernel, np.array(start))
+    least = plain.gp_cost(x, y, kernel, q)
+    assert least == pytest.approx(0.5 * y @ K.gp_solve(x, y, kernel, q)[1] + np.log(np.diag(K.gp_solve(x, y, kernel, q)[0])).sum(), rel=1e-6)
+    for k in range(len(start)):
+        assert start[k] / 2 * (1 - 1e-9) <= q[k] <= start[k] * 2 * (1 + 1e-9)
+        for e in (-0.02, -0.005, 0.005, 0.02):
+            moved = q.copy()
+            moved[k] = np.clip(q[k] * 2**e, start[k] / 2, start[k] * 2)
+            assert plain.gp_cost(x, y, kernel, moved) >= least - 1e-6
+    if len(start) == 1:
+        assert least <= min(plain.gp_cost(x, y, kernel, [start[0] * 2**e]) for e in np.linspace(-1, 1, 81)) + 1e-6
+    mean = [sum(plain.gp_kernel(a, b, kernel, q) * w for b, w in zip(x, K.gp_solve(x, y, kernel, q)[1], strict=True)) for a in (0.5, 7.7)]
+    np.testing.assert_allclose(K.gp_fit(x, y, kernel, np.array(start))(np.array([0.5, 7.7])), mean, rtol=1e-8)
+
+
+def test_hodges_of_wide_windows(monkeypatch):
+    rng = np.random.default_rng(0)
+    for n in (1, 2, 7, 60, 121):
+        x = np.sort(rng.integers(0, 9, n) / 4 if n % 2 else rng.normal(size=n))
+        want = plain.estimate(x.tolist(), "hodges", 0)
+        assert K.hodges_of(x) == pytest.approx(want, abs=1e-12)
+        assert K.hodges_rows(np.array([np.append(x, np.nan)])) == pytest.approx(want, abs=1e-12)
+    monkeypatch.setattr(K, "PAIRS", 10)
+    assert K.hodges_rows(np.array([np.append(x, np.nan)])) == pytest.approx(want, abs=1e-12)
+
+
+def test_lowess_by_blocks(monkeypatch):
+    rng = np.random.default_rng(5)
+    t = np.sort(rng.uniform(0, 20, 300))
+    f = 10 + np.sin(t) + rng.standard_t(2, 300) * 0.1
+    run = lambda: K.trend_of(t, f, np.ones(300), Params.resolve(method="lowess", window_length=3), 20.0)[0]
+    whole = run()
+    monkeypatch.setattr(K, "BLOCK", 50)
+    np.testing.assert_allclose(run(), whole, rtol=1e-12)
+
+
+def test_hand_computed_weights():
+    """Three values: mean 4, deviations 3, 2, 5 from it, scale 3 / 0.6745; with these weights the next mean follows by hand."""
+    x = np.array([[1.0, 2.0, 9.0]])
+    s = 3 / 0.6744897501960817
+    weights = np.exp(-0.3 * np.array([3, 2, 5]) / s)
+    first = (weights * x[0]).sum() / weights.sum()
+    mean, seen = 4.0, []
+    K.reweighted_rows(x, lambda z: seen.append(np.abs(z)) or np.exp(-0.3 * np.abs(z)))
+    np.testing.assert_allclose(seen[0][0], np.abs(x[0] - mean) / s)
+    np.testing.assert_allclose(seen[1][0] * np.median(np.abs(x[0] - first)) / 0.6744897501960817, np.abs(x[0] - first))
+
+
+def test_sigma_clip(spark):
+    rows = [(i, k, v) for k in ("a", None) for i, v in enumerate([1.0, 1.1, 0.9, 1.0, 1.05, 0.95, 1.0, 1.1, 0.9, 5.0, 1.6, -3.0, None, float("nan")])]
+    df = spark.createDataFrame(rows, "row long, k string, flat double").withColumn("__x", F.lit("own")).withColumn("Clipped", F.lit(1))
+    out = st.sigma_clip(df, series=["k"], lower=4, upper=2).orderBy("k", "row").collect()
+    got = [r["clipped"] for r in out[:14]]
+    x = [v for _, k, v in rows if k == "a"][:12]
+    keep = list(x)
+    for _ in range(5):
+        held = [v for v in keep if v is not None]
+        m, d = np.median(held), np.std(held)
+        keep = [v if v is not None and -4 * d <= v - m <= 2 * d else None for v in keep]
+    assert got == [*keep, None, None] and got[9] is None and out[0]["__x"] == "own" and out[0].asDict().keys() == {"row", "k", "flat", "__x", "clipped"}
+    assert st.sigma_clip(df.filter("false"), series=["k"]).count() == 0
+    with pytest.raises(ValueError):
+        st.sigma_clip(df, upper=0)
