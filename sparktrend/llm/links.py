@@ -6,6 +6,9 @@ heads, which join the blocks of a group of copies at the cost of a few texts.
 Only where that leaves a group in parts do all its texts meet those of its
 other blocks, pair of blocks by pair of blocks. So each pair of a group that
 isn't connected already is compared, and no task holds more than two blocks.
+
+Groups come from postings (a value, such as a shingle or a band of slots, and
+the set that has it), which travel packed (``posting_groups``).
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparktrend.llm.common import discard, in_slots, materialize, shingles, small_batches
@@ -25,6 +28,14 @@ from sparktrend.llm.common import discard, in_slots, materialize, shingles, smal
 WORDS, SIMILARITY = 5, 0.8
 #: Most texts (but for chance, as blocks are dealt by a hash), and about as many shingles, of a block.
 BLOCK_TEXTS, BLOCK_SHINGLES = 128, 1_000_000
+#: Postings that a bucket should hold, and of a value from which on they need no gathering: its name is their group.
+POSTINGS, HOT = 500_000, 50_000
+#: Fewest bits of a set's parities, and the most sets of a group that are compared by them in one task (larger groups go on whole).
+PARITIES, PRUNED = 256, 2_000
+#: Sizes of sets travel as a number of steps of this ratio.
+STEP = 1.02
+POSTING = np.dtype([("s", "<u4"), ("node", "<i8"), ("size", "<u2")])
+SHORT, DEALT = np.uint16(1 << 15), np.uint16(1 << 14)
 
 
 def shingle_set(text: str | None) -> np.ndarray:
@@ -113,6 +124,136 @@ def similar_pairs(sets: list[np.ndarray], at: np.ndarray, block: np.ndarray | No
     return np.nonzero(np.triu(fits, 1))
 
 
+def parities(own: np.ndarray) -> bytes:
+    """A bit for each class of hashes modulo a power of 2, twice the set's size at least: whether the set holds an odd number of it. Two sets differ by as many elements as bits, at least."""
+    width = max(PARITIES, 1 << (2 * len(own) - 1).bit_length())
+    return np.packbits(np.bincount((own % np.uint64(width)).astype(np.int64), minlength=width) & 1).tobytes()
+
+
+def bucket_count(spark: SparkSession, postings: float) -> int:
+    return max(_parts(spark), int(-(-postings // POSTINGS)))
+
+
+def _parts(spark: SparkSession) -> int:
+    return max(64, 8 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def postings(value: np.ndarray, node: np.ndarray, size: np.ndarray, short: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """A posting for each 64-bit ``value``: its upper half (chance matches only add candidates), the node, and its set's size in steps with the two flags."""
+    out = np.zeros(len(value), POSTING)
+    out["s"], out["node"] = value >> np.uint64(32), node
+    out["size"] = (np.log(size) / np.log(STEP)).astype(np.int64) + np.where(short, SHORT, 0) + np.where(hot, DEALT, 0)
+    return out
+
+
+def bucketed(value: np.ndarray, out: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """(bucket, postings): packed, a row for each bucket. Postings of hot values are dealt out by node, others by value."""
+    spread = np.where(out["size"] & DEALT, out["node"].view(np.uint64) >> np.uint64(1), np.uint64(0))
+    bucket = ((value % np.uint64(buckets) + spread % np.uint64(buckets)) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    out, bucket = out[order], bucket[order]
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(out)]])
+    return pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]]), pa.array([out[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary())], names=["bucket", "postings"])
+
+
+def posting_groups(posted: DataFrame, similarity: float) -> DataFrame:
+    """(node, group) of ``posted`` (bucket, postings): the nodes of a value, at least one of them short, cut where sizes are too far apart.
+
+    Groups of the same nodes are one. A hot value's group is named by the value
+    and isn't gathered, so no task holds more than a bucket.
+    """
+    parts, apart = _parts(posted.sparkSession), int(np.log(1 / similarity) / np.log(STEP)) + 1
+
+    def shared(blobs: list[bytes]) -> pa.RecordBatch:
+        held = np.frombuffer(b"".join(blobs), POSTING)
+        size, hot = held["size"] & np.uint16((1 << 14) - 1), held["size"] & DEALT > 0
+        seen, groups = [held["node"][hot]], [held["s"][hot].astype(np.int64) - (1 << 33)]  # no hash of nodes, but for a negligible chance
+        keep = np.flatnonzero(~hot)
+        order = keep[np.lexsort((held["node"][keep], size[keep], held["s"][keep]))]
+        s, size, node, first = held["s"][order], size[order].astype(np.int64), held["node"][order], held["size"][order] & SHORT > 0
+        cuts = np.flatnonzero((s[1:] != s[:-1]) | (size[1:] - size[:-1] > apart)) + 1
+        ends = np.append(cuts, len(s))
+        starts = np.concatenate([[0], cuts])[: len(ends)]
+        known = set()
+        for a, b in zip(starts[ends - starts > 1], ends[ends - starts > 1], strict=True):
+            if first[a:b].any() and node[a:b].min() != node[a:b].max():
+                own = np.unique(node[a:b])
+                name = xxhash.xxh64_intdigest(own.tobytes()) - (1 << 63)
+                if name not in known:
+                    known.add(name)
+                    seen.append(own)
+                    groups.append(np.full(len(own), name, np.int64))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(seen)), pa.array(np.concatenate(groups))], names=["node", "group"])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, blobs = None, []
+        for batch in batches:
+            for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if bucket != at:
+                    if blobs:
+                        yield shared(blobs)
+                    at, blobs = bucket, []
+                blobs.append(blob)
+        if blobs:
+            yield shared(blobs)
+
+    placed = posted.repartitionById(parts, (F.col("bucket") % parts).cast("int")).sortWithinPartitions("bucket")
+    return placed.mapInArrow(gather, "node long, group long").distinct()
+
+
+def viable(group: int, rows: list[tuple[int, int, int, bytes]], similarity: float) -> list[tuple[np.ndarray, int]]:
+    """The parts of a group (node, at, n, bits) that pairs similar enough, for all that sizes and parities tell, hold together."""
+    node, at, n = (np.array(c, np.int64) for c in list(zip(*rows, strict=True))[:3])
+    root, width = np.arange(len(node)), np.array([len(r[3]) for r in rows])
+    for w in np.unique(width):  # similar sets have the same width, or one twice the other's, which is folded
+        some = np.flatnonzero((width == w) | (width == 2 * w))
+        folded = np.zeros((len(some), w // 8), np.uint64)
+        for i, k in enumerate(some):
+            folded[i] = np.bitwise_xor.reduce(np.frombuffer(rows[k][3], np.uint64).reshape(-1, w // 8))
+        for i, a in enumerate(some):
+            rest = some[i + 1 :]
+            fits = np.flatnonzero((at[rest] != at[a]) & (np.minimum(width[rest], width[a]) == w) & (np.minimum(n[a], n[rest]) >= similarity * np.maximum(n[a], n[rest]) - 1e-9))
+            differ = np.bitwise_count(folded[i + 1 :][fits] ^ folded[i]).sum(axis=1, dtype=np.int64)
+            near = rest[fits[differ <= (1 - similarity) / (1 + similarity) * (n[a] + n[rest[fits]]) + 1e-9]]
+            if len(near):
+                joined = np.append(near, a)
+                root[np.isin(root, root[joined])] = root[joined].min()
+    parts = [np.sort(node[root == r]) for r, size in zip(*np.unique(root, return_counts=True), strict=True) if size > 1]
+    return [(p, xxhash.xxh64_intdigest(p.tobytes()) - (1 << 63)) for p in parts]
+
+
+def pruned_groups(groups: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+    """(node, group): those of ``groups`` (node, group, at; a written table, which is deleted) that hold several ``at``, cut by ``viable`` where they aren't too large. ``classes``: (node, at, n, bits)."""
+    sizes = groups.groupBy("group").agg(F.min("at").alias("low"), F.max("at").alias("high"), F.count("*").alias("sets")).filter("low < high").select("group", "sets")
+    several = materialize(groups.select("node", "group").join(sizes, "group"), "several")
+    discard(groups)
+
+    def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, rows, done = None, [], set()
+
+        def result() -> pa.RecordBatch:
+            found = [(p, g) for p, g in viable(group, rows, similarity) if g not in done]
+            done.update(g for _, g in found)
+            empty = np.zeros(0, np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([empty, *(p for p, _ in found)])), pa.array(np.concatenate([empty, *(np.full(len(p), g, np.int64) for p, g in found)]))], names=["node", "group"])
+
+        for batch in batches:
+            for g, *row in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True):
+                if g != group:
+                    if rows:
+                        yield result()
+                    group, rows = g, []
+                rows.append(row)
+        if rows:
+            yield result()
+
+    known = several.filter(F.col("sets") <= PRUNED).join(classes.select("node", "at", "n", "bits"), "node").select("group", "node", "at", "n", "bits")
+    pruned = known.repartition(_parts(known.sparkSession), "group").sortWithinPartitions("group").mapInArrow(prune, "node long, group long")
+    out = materialize(pruned.unionByName(several.filter(F.col("sets") > PRUNED).select("node", "group")).distinct(), "pruned")
+    discard(several)
+    return out
+
+
 def document_rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(doc_id, text, row): ``row`` is a hash of both."""
     own = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
@@ -121,7 +262,6 @@ def document_rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 def _compare(texts: DataFrame, cells: DataFrame, similarity: float) -> DataFrame:
     """(a, b), b < a, stars of the links within the cells (row, key, at, group, i, j, block). If i <> j, only pairs of different blocks count."""
-    spark = texts.sparkSession
     wanted = materialize(cells.groupBy(F.col("row").alias("member"), "key", "at").agg(F.collect_list(F.struct("group", "i", "j", "block")).alias("cells")), "wanted")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,8 +301,7 @@ def _compare(texts: DataFrame, cells: DataFrame, similarity: float) -> DataFrame
     sieved = in_slots(texts.select("row", "text"), F.col("row"), wanted, F.col("member"))
     joined = sieved.mapInArrow(pack, "row long, blob binary").join(wanted, F.col("row") == F.col("member"))
     dealt = joined.select(F.explode("cells").alias("c"), "at", "key", "blob").select("c.group", "c.i", "c.j", "c.block", "at", "key", "blob")
-    parts = max(64, 8 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    placed = dealt.repartition(parts, "group", "i", "j").sortWithinPartitions("group", "i", "j")
+    placed = dealt.repartition(_parts(texts.sparkSession), "group", "i", "j").sortWithinPartitions("group", "i", "j")
     found = materialize(placed.mapInArrow(decide, "a long, b long").distinct(), "links")
     discard(wanted)
     return found

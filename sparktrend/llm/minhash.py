@@ -1,213 +1,274 @@
 """Document fingerprints by MinHash.
 
-A text's shingles are hashed to 32 bits; ``SLOTS`` multiply-shift functions
-(a 2-universal family) permute them in vectorised numpy, and each function's
-least value fills one slot. The share of equal slots estimates the Jaccard
-similarity. ``near_duplicates`` joins bands of slots in Spark and verifies the
-Jaccard similarity of all candidates on their shingles.
+A text's shingles are hashed to 64 bits; ``SLOTS`` multiply-shift functions
+(a 2-universal family) permute them in vectorised numpy, and a byte of each
+function's least value fills one slot. Bands of slots are joined in Spark: texts
+with an equal band form a candidate group, and within groups the Jaccard
+similarity of the shingles themselves decides (``links.verified_links``).
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparktrend.llm.common import materialize, shingles, small_batches
-from sparktrend.llm.links import components, linked_components
+from sparktrend.llm.common import discard, in_slots, materialize, small_batches
+from sparktrend.llm.links import HOT, SIMILARITY, bucket_count, bucketed, linked_components, node_of, parities, posting_groups, postings, pruned_groups, set_key, shingle_set, verified_links
 
-#: Slots of a fingerprint; the estimate's standard error is at most 0.5 / sqrt(SLOTS).
+#: Slots of a fingerprint; the standard error of a likeness is at most 0.5 / sqrt(SLOTS).
 SLOTS = 128
-WORDS = 5
+#: Bands and slots of a band: a pair at a similarity of 0.8 shares a band with a chance of 1 - (1 - 0.8^5)^25 = 0.99995.
+BANDS, ROWS = 25, 5
+#: Bands that are joined first. They link most copies, whose further bands then need no comparison.
+FIRST = 3
+#: Documents of the sample that shows which bands very many documents share; it sets the speed, not the result.
+SAMPLE = 4_000
 _random = np.random.default_rng(20240229)
 _A = _random.integers(0, 1 << 63, SLOTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _random.integers(0, 1 << 63, SLOTS, dtype=np.uint64)
-
-
-def shingle_hashes(text: str, words: int = WORDS) -> np.ndarray:
-    """Distinct 64-bit hashes of the runs of ``words`` words (see ``shingles``)."""
-    return np.unique(shingles(text, words, 7))
+_MIX = _random.integers(0, 1 << 63, (BANDS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_DOCUMENT = "n_chars long, edited_sha256 string, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 
 
 def signature(hashes: np.ndarray) -> np.ndarray:
-    """16 bits of each function's least value over ``hashes``, in blocks of bounded size."""
+    """A byte of each function's least value over ``hashes``, in blocks of bounded size."""
     least = np.full(SLOTS, np.iinfo(np.uint64).max, np.uint64)
     for k in range(0, len(hashes), 4096):
         x = hashes[k : k + 4096, None] * _A
         x += _B
         np.minimum(least, x.min(axis=0), out=least)
-    return (least >> np.uint64(32)).astype(np.uint16)
+    return (least >> np.uint64(32)).astype(np.uint8)
 
 
 def likeness(one: np.ndarray, other: np.ndarray) -> float:
-    """The share of equal slots."""
-    return float((one == other).mean())
+    """The Jaccard similarity that the share of equal slots tells: different values have the same byte once in 256."""
+    return max(0.0, float(((one == other).mean() * 256 - 1) / 255))
 
 
 def fingerprint(text: str) -> str:
-    """A text's signature as hexadecimal, 4 digits a slot."""
-    return signature(shingle_hashes(text)).astype(">u2").tobytes().hex()
+    """A text's signature as hexadecimal, 2 digits a slot."""
+    return signature(shingle_set(text)).tobytes().hex()
 
 
-def edit_with_next(df: DataFrame, doc_id: str = "doc_id", text: str = "text", partitions: int | None = None) -> DataFrame:
-    """Each document's fingerprint beside those of its edited text and of the next document.
+def band_values(slots: np.ndarray) -> np.ndarray:
+    """(rows, BANDS) 64-bit hashes of the bands of the signatures ``slots`` (rows, SLOTS); different bands differ."""
+    x = slots[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS).astype(np.uint64) + np.uint64(1)
+    x = (x * _MIX).sum(axis=2, dtype=np.uint64)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
 
-    Documents are taken in descending ``doc_id`` (then by text; null ids
-    last), and after the last comes the first. The edited text has the last
-    floor(n / 3) code points replaced by as many (or all) first ones of the
-    next text. Returns doc_id, n_chars, edited_sha256, fingerprint,
-    edited_fingerprint, near_edited, near_next. Null texts are empty; repeated
-    rows follow each other; a single document is its own next; an empty table
-    gives no rows; other columns are ignored.
 
-    Texts travel once, compressed. Ranges of ids are cut from their quantiles,
-    and the first document of each range goes to the range before it as well.
-    """
+def _order(doc: object, digest: str) -> tuple:
+    """Ascending in the reverse of the documents' order: by id, then by digest; null ids lowest."""
+    return (0, 0, digest) if doc is None else (1, doc, digest)
+
+
+def _edited(df: DataFrame, doc_id: str, text: str, partitions: int | None) -> DataFrame:
+    """``edit_with_next`` with binary fingerprints and key, n, bits (of the set of shingles), row (a hash of the text)."""
     df = small_batches(df)
     spark = df.sparkSession
-    base = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    base = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.md5(t).alias("digest"), t.alias("text"))
     kind = base.schema["doc_id"].dataType.simpleString()
-    ids = base.select(F.col("doc_id").cast("double").alias("id"))
     n = partitions or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cuts = ids.filter("id is not null").select(F.percentile_approx("id", [i / n for i in range(1, n)], 10 * n) if n > 1 else F.lit(None)).head()
-    bounds = sorted(set(cuts[0] or []), reverse=True) if cuts and cuts[0] else []
-    parts = len(bounds) + 2
-
-    def shard(column):
-        """0 holds the largest ids; the last one the null ids. Ids between the same bounds share a range."""
-        edges = F.array(*[F.lit(b) for b in bounds]) if bounds else F.array().cast("array<double>")
-        return F.when(column.isNull(), F.lit(parts - 1)).otherwise(F.size(F.filter(edges, lambda b: b > column)))
-
-    ranged = base.withColumn("shard", shard(F.col("doc_id").cast("double")))
-    heads = ranged.groupBy("shard").agg(F.max("doc_id").alias("head")).orderBy("shard").collect()  # a row for each range
-    if not heads:
-        return spark.createDataFrame([], f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
-    present = [r["shard"] for r in heads]
+    ids = base.select("doc_id", "digest")
+    some = ids.orderBy(F.xxhash64("doc_id", "digest"), "doc_id", "digest").limit(16 * n).collect()  # as many as there are ranges, 16 times
+    drawn = sorted(_order(r["doc_id"], r["digest"]) for r in some)
+    bounds = sorted({drawn[len(drawn) * i // n] for i in range(1, n)}) if drawn else []
+    cuts = spark.sparkContext.broadcast(bounds)  # fewer than there are partitions
+
+    def shard(doc: object, digest: str) -> int:
+        """0 holds the largest ids; a document of each range's bound is its first from below."""
+        return len(cuts.value) - bisect_right(cuts.value, _order(doc, digest))
+
+    def largest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, tuple] = {}
+        for batch in batches:
+            for doc, digest in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                to, own = shard(doc, digest), _order(doc, digest)
+                if to not in best or own > best[to]:
+                    best[to] = own
+        found = sorted(best.items())
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int32()), pa.array([v[1] if v[0] else None for _, v in found], base_type[0]), pa.array([v[2] for _, v in found], pa.string())], names=["shard", "doc_id", "digest"])
+
+    base_type = [ids.limit(0).toArrow().schema.field("doc_id").type]
+    heads: dict[int, tuple] = {}
+    for r in ids.mapInArrow(largest, f"shard int, doc_id {kind}, digest string").groupBy("shard").agg(F.max(F.struct(F.col("doc_id").isNotNull().alias("some"), "doc_id", "digest")).alias("m")).collect():  # a row for each range
+        heads[r["shard"]] = _order(r["m"]["doc_id"], r["m"]["digest"])
+    present = sorted(heads)
     before = {s: present[i - 1] for i, s in enumerate(present)}  # cyclic: the first range's head follows the last range
-    guest = F.create_map(*[F.lit(x) for s in present for x in (s, before[s])])
-    first = F.create_map(*[F.lit(x) for r in heads for x in (r["shard"], str(r["head"]))])
+    known = spark.sparkContext.broadcast((heads, before))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=1).compress
+        """Each text compressed, once a task for each id; the copies' number follows at the end. Heads go to the range before as guests, too."""
+        squeeze, copies = zstandard.ZstdCompressor(level=3).compress, Counter()
+        heads, before = known.value
+        names, types = ["doc_id", "digest", "blob", "to", "guest", "copies"], [base_type[0], pa.string(), pa.binary(), pa.int32(), pa.int32(), pa.int64()]
+        whole = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 6, types, strict=True)], names=names)
         for batch in batches:
-            blobs = [squeeze((t.as_py() or "").encode()) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary()), batch.column(2), batch.column(3)], names=["doc_id", "blob", "shard", "head"])
-
-    is_head = F.coalesce(F.col("doc_id").cast("string") == first[F.col("shard")], F.lit(False)) | F.col("doc_id").isNull()
-    sent = ranged.withColumn("head", is_head).mapInArrow(pack, f"doc_id {kind}, blob binary, shard int, head boolean")
-    goes = F.explode(F.when(F.col("head"), F.array(F.struct(F.col("shard").alias("to"), F.lit(0).alias("guest")), F.struct(guest[F.col("shard")].alias("to"), F.lit(1).alias("guest")))).otherwise(F.array(F.struct(F.col("shard").alias("to"), F.lit(0).alias("guest")))))
-    dealt = sent.select("doc_id", "blob", goes.alias("g")).select("doc_id", "blob", "g.to", "g.guest")
-    placed = dealt.repartitionById(parts, F.col("to")).sortWithinPartitions("to", "guest", F.col("doc_id").desc_nulls_last(), "blob")
+            rows = []
+            for doc, digest, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if (own := _order(doc, digest)) in copies:
+                    copies[own] += 1
+                    continue
+                copies[own], to, blob = 0, shard(doc, digest), squeeze(t.as_py().encode())
+                rows.append((doc, digest, blob, to, 0, 1))
+                if heads[to] == own:
+                    rows.append((doc, digest, blob, before[to], 1, 1))
+            yield whole(rows)
+        rest = [(own[1] if own[0] else None, own[2], None, shard(own[1] if own[0] else None, own[2]), 0, k) for own, k in copies.items() if k]
+        for k in range(0, len(rest), 10_000):
+            yield whole(rest[k : k + 10_000])
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         expand = zstandard.ZstdDecompressor().decompress
-        last = None  # (shard, id, text, signature) that waits for its successor
+        last, times, at = None, 0, None  # (id, digest, text, set, signature) that waits for its successor; how often it occurs
 
-        def finish(one, other_text, other_sig):
-            _, doc, t, sig = one
+        def finish(one: tuple, other: tuple, times: int) -> tuple:
+            doc, digest, t, own, sig = one
             m = len(t) // 3
-            edited = t[: len(t) - m] + other_text[:m]
-            own = signature(shingle_hashes(edited)) if edited != t else sig
-            hexed = [x.astype(">u2").tobytes().hex() for x in (sig, own)]
-            return (doc, len(t), hashlib.sha256(edited.encode()).hexdigest(), *hexed, likeness(sig, own), likeness(sig, other_sig))
+            edited = t[: len(t) - m] + other[2][:m]
+            new = signature(shingle_set(edited)) if edited != t else sig
+            key = set_key(own)
+            return (doc, len(t), hashlib.sha256(edited.encode()).hexdigest(), sig.tobytes(), new.tobytes(), likeness(sig, new), likeness(sig, other[4]), key, node_of(key), len(own), parities(own), digest, times)
 
         for batch in batches:
             out = []
-            for doc, blob, to, guest in zip(*batch.columns, strict=True):
-                to, guest = to.as_py(), guest.as_py()
-                if guest and (last is None or last[0] != to):
+            for doc, digest, blob, to, guest, copies in zip(*(batch.column(c).to_pylist() for c in range(6)), strict=True):
+                if last is not None and not guest and (doc, digest) == last[:2]:
+                    times += copies
+                    continue
+                if guest and (last is None or at != to):
                     continue  # only the first guest, the least in the order, follows the range
-                t = expand(blob.as_py()).decode()
-                sig = signature(shingle_hashes(t))
-                if last is not None and last[0] == to:
-                    out.append(finish(last, t, sig))
-                last = None if guest else (to, doc.as_py(), t, sig)
-            columns = list(zip(*out, strict=True)) if out else [[]] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(columns, (batch.schema.field(0).type, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()), strict=True)], names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
-
-    return placed.mapInArrow(pair, f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
-
-
-#: Classes of a bucket that are compared at once; a larger bucket is dealt out by pairs of blocks.
-BLOCK = 500
-#: How far below the threshold an estimate may lie for the pair to be verified: over five standard errors.
-SLACK = 0.2
-
-
-def near_duplicates(df: DataFrame, threshold: float = 0.8, bands: int = 16, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, class, component, n_links) of every row of ``df``.
-
-    A class is a distinct set of shingles, named by its smallest doc_id. Two
-    classes link if a band of their slots is equal and the Jaccard similarity
-    of their shingles is ``threshold`` or more; n_links counts a class's links,
-    component is the smallest class that links lead to. All pairs of a bucket
-    are compared, in blocks, but none is emitted: a bucket returns counts and
-    stars. Null texts are empty; rows with a null doc_id get their class's
-    result (null if all its ids are null); repeated rows are repeated; other
-    columns are ignored; an empty table gives no rows.
-    """
-    signed = materialize(_signed(df, doc_id, text), "minhash-signed")
-    members = signed.select("doc_id", "key")
-    least = materialize(signed.groupBy("key").agg(F.min(F.col("doc_id").cast("long")).alias("id")).filter("id is not null"), "minhash-least")
-    one = signed.join(least.withColumnRenamed("key", "k"), (F.col("key") == F.col("k")) & (F.col("doc_id") == F.col("id"))).dropDuplicates(["id", "key"])
-    classes = materialize(one.select("id", "slots", "hashes"), "minhash-classes")
-    rows = SLOTS // bands
-    value = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.xxhash64(F.slice("slots", b * rows + 1, F.lit(rows))))
-    banded = materialize(classes.select("id", F.posexplode(value).alias("band", "value")), "minhash-bands")
-    crowds = materialize(banded.groupBy("band", "value").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("band").alias("b"), F.col("value").alias("v"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "minhash-crowds")
-    shared = banded.join(crowds, (F.col("band") == F.col("b")) & (F.col("value") == F.col("v")))
-    mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    celled = shared.select("id", "band", "value", mine.alias("mine"), other.alias("other")).select("id", "band", "value", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
-    full = celled.join(classes.withColumnRenamed("id", "class_id"), F.col("id") == F.col("class_id")).drop("class_id")
-
-    def compare(cell: pa.Table) -> pa.Table:
-        ids, mine = cell.column("id").to_numpy(), cell.column("mine").to_numpy()
-        band, i, j = (cell.column(c)[0].as_py() for c in ("band", "i", "j"))
-        slots = cell.column("slots").combine_chunks().flatten().to_numpy().reshape(len(ids), SLOTS)
-        sets = [np.array(h.as_py(), np.int64) for h in cell.column("hashes")]
-        links, root = np.zeros(len(ids), np.int64), np.arange(len(ids))
-        edges = []
-        for a in range(len(ids)):
-            # a pair of one block belongs to the cell (i, i); a pair that shares several bands to the first of them
-            rest = np.flatnonzero((np.arange(len(ids)) > a) & ((mine != mine[a]) | (i == j)))
-            equal = slots[rest] == slots[a]
-            first = equal.reshape(len(rest), bands, rows).all(axis=2).argmax(axis=1)
-            for b in rest[(first == band) & (equal.mean(axis=1) >= threshold - SLACK)]:
-                common = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
-                if common >= threshold * (len(sets[a]) + len(sets[b]) - common):
-                    edges.append((a, b))
-        if edges:
-            x, y = np.array(edges).T
-            np.add.at(links, x, 1)
-            np.add.at(links, y, 1)
-            by_id = np.argsort(ids, kind="stable")
-            place = np.argsort(by_id)
-            root = by_id[components(len(ids), place[x], place[y])[place]]
-        some = links > 0
-        return pa.table({"id": ids[some], "root": ids[root][some], "n": links[some]})
-
-    found = materialize(full.groupBy("band", "value", "i", "j").applyInArrow(compare, "id long, root long, n long"), "minhash-links")
-    counts = found.groupBy("id").agg(F.sum("n").alias("n_links"))
-    joined = linked_components(found.filter("root < id").select(F.col("id").alias("a"), F.col("root").alias("b")).distinct())
-    named = least.join(counts, "id", "left").join(joined, "id", "left")
-    result = materialize(named.select(F.col("key").alias("k"), F.col("id").alias("class"), F.coalesce("component", "id").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "minhash-result")
-    return members.join(result, F.col("key") == F.col("k"), "left").select("doc_id", "class", "component", "n_links")
-
-
-def _signed(df: DataFrame, doc_id: str, text: str) -> DataFrame:
-    df = small_batches(df)
+                t = expand(blob).decode()
+                own = shingle_set(t)
+                one = (doc, digest, t, own, signature(own))
+                if last is not None and at == to:
+                    out.append(finish(last, one, 1))
+                    if times > 1:  # copies follow each other
+                        out.append(finish(last, last, times - 1))
+                last, times, at = (None if guest else one), copies, to
+            columns = list(zip(*out, strict=True)) if out else [[]] * 13
+            kinds = (base_type[0], pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.float64(), pa.float64(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.string(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(columns, kinds, strict=True)], names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "key", "node", "n", "bits", "digest", "times"])
+
+    parts = len(bounds) + 1
+    sent = base.mapInArrow(pack, f"doc_id {kind}, digest string, blob binary, to int, guest int, copies long")
+    # Of one document's rows those with a text come first.
+    placed = sent.repartitionById(parts, F.col("to")).sortWithinPartitions("to", "guest", F.col("doc_id").desc_nulls_last(), F.desc("digest"), F.col("blob").isNull())
+    paired = placed.mapInArrow(pair, f"doc_id {kind}, {_DOCUMENT}, key binary, node long, n long, bits binary, digest string, times long")
+    return paired.withColumn("time", F.explode(F.when(F.col("times") > 1, F.sequence(F.lit(1), F.col("times"))).otherwise(F.array(F.lit(1).cast("long"))))).drop("times", "time")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingle_hashes(t.as_py() or "") for t in batch.column(1)]
-            keys = [hashlib.sha256(s.tobytes()).digest() for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array([signature(s).astype(np.int32) for s in sets], pa.list_(pa.int32())), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["doc_id", "key", "slots", "hashes"])
 
-    base = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return base.mapInArrow(run, f"doc_id {base.schema[0].dataType.simpleString()}, key binary, slots array<int>, hashes array<long>")
+def edit_with_next(df: DataFrame, doc_id: str = "doc_id", text: str = "text", partitions: int | None = None) -> DataFrame:
+    """Each document's fingerprint beside those of its edited text and of the next document.
+
+    Documents are taken in descending ``doc_id`` (of any type that sorts; then
+    by a digest of the text; null ids last, in the order of their digests), and
+    after the last comes the first. The edited text has the last floor(n / 3)
+    code points replaced by as many (or all) first ones of the next text.
+    Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
+    near_edited, near_next. Null texts are empty; repeated rows follow each
+    other; a single document is its own next; an empty table gives no rows;
+    other columns are ignored.
+
+    Texts travel once, compressed, however often a row repeats in a task.
+    Ranges are cut by a sample of (id, digest), so equal and null ids are dealt
+    out as well, and the first document of each range goes to the range before
+    it as a guest.
+    """
+    return _shown(_edited(df, doc_id, text, partitions))
+
+
+def _shown(edited: DataFrame, *more: str) -> DataFrame:
+    hexed = [F.lower(F.hex(c)).alias(c) for c in ("fingerprint", "edited_fingerprint")]
+    return edited.select("doc_id", "n_chars", "edited_sha256", *hexed, "near_edited", "near_next", *more)
+
+
+def _components(signed: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """(key, class_id, component_id) of the sets of shingles of ``signed`` (doc_id, key, node, n, bits, fingerprint, digest)."""
+    least = signed.groupBy("key").agg(F.min("doc_id").alias("class_id"), F.min("digest").alias("digest"), F.first("node").alias("node"), F.first("n").alias("n"), F.first("bits").alias("bits"))
+    classes = materialize(least, "minhash-classes")
+    spark = classes.sparkSession
+    total = classes.count()
+    share = int(min(1.0, SAMPLE / max(total, 1)) * 1_000_000) + 1
+    some = signed.filter(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < share).select("key", "fingerprint").dropDuplicates(["key"]).toArrow().column("fingerprint").to_pylist()
+    values, times = np.unique(band_values(np.frombuffer(b"".join(some), np.uint8).reshape(-1, SLOTS)), return_counts=True)
+    hot = spark.sparkContext.broadcast(values[times / min(share / 1_000_000, 1.0) >= HOT])  # at most SAMPLE * BANDS
+    buckets = bucket_count(spark, total * BANDS)
+
+    def posted(first: int, last: int) -> DataFrame:
+        def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen: set[int] = set()  # a class leaves a task once
+            for batch in batches:
+                nodes = batch.column(0).to_pylist()
+                fresh = [i for i, node in enumerate(nodes) if node not in seen and not seen.add(node)]
+                if not fresh:
+                    continue
+                slots = np.frombuffer(b"".join(batch.column(2)[i].as_py() for i in fresh), np.uint8).reshape(-1, SLOTS)
+                value = band_values(slots)[:, first:last].ravel()
+                node, n = (np.repeat(batch.column(c).to_numpy()[fresh], last - first) for c in (0, 1))
+                yield bucketed(value, postings(value, node, n, np.ones(len(value), bool), np.isin(value, hot.value)), buckets)
+
+        return signed.select("node", "n", "fingerprint").mapInArrow(post, "bucket long, postings binary")
+
+    at, made = classes.withColumn("at", F.col("node")), [classes]
+    for first, last in ((0, FIRST), (FIRST, BANDS)):
+        groups = materialize(posting_groups(posted(first, last), similarity).join(at.select("node", "at"), "node"), "minhash-groups")
+        pruned = pruned_groups(groups, at, similarity)
+        members = at.join(pruned, "node").select(F.xxhash64("digest").alias("row"), "key", "at", "n", "group")
+        found = verified_links(texts, members, similarity)
+        label = linked_components(found).select(F.col("id").alias("at"), "component")
+        at = materialize(at.join(label, "at", "left").withColumn("at", F.coalesce("component", "at")).drop("component"), "minhash-linked")
+        made += [pruned, found, at]
+    ids = at.groupBy("at").agg(F.min("class_id").alias("component_id"), F.count("*").alias("classes"))
+    out = materialize(at.join(ids, "at").select("key", "class_id", "component_id"), "minhash-components")
+    discard(*made)
+    return out
+
+
+def fingerprints(df: DataFrame, similarity: float = SIMILARITY, doc_id: str = "doc_id", text: str = "text", partitions: int | None = None) -> DataFrame:
+    """``edit_with_next``, and of each document its near-duplicates: class_id, component_id.
+
+    A class is a distinct set of shingles of five words, named by its smallest
+    doc_id. Classes link if a band of their fingerprints is equal and the
+    Jaccard similarity of their shingles is ``similarity`` or more;
+    component_id is the smallest doc_id of the classes that links lead to. All
+    pairs of a band are decided, unless they are connected already. Rows with a
+    null doc_id get their class's result (null if all its ids are null).
+    """
+    edited = materialize(_edited(df, doc_id, text, partitions), "minhash-edited")
+    found, id_type = _found(df, edited, similarity, text), edited.schema["doc_id"].dataType
+    # Documents that are the only one of their class and component need no join.
+    more = materialize(found.filter(~F.col("component_id").eqNullSafe(F.col("class_id")) | F.col("several")).select(F.col("key").alias("k"), "class_id", "component_id"), "minhash-more")
+    alone = in_slots(edited, F.xxhash64("key"), more, F.xxhash64("k"), inside=False).withColumns({"class_id": F.col("doc_id"), "component_id": F.col("doc_id")})
+    rest = in_slots(edited, F.xxhash64("key"), more, F.xxhash64("k")).join(more, F.col("key") == F.col("k"), "left")
+    joined = rest.withColumns({c: F.when(F.col("k").isNull(), F.col("doc_id")).otherwise(F.col(c)).cast(id_type) for c in ("class_id", "component_id")})
+    shown = ("class_id", "component_id")
+    return _shown(alone, *shown).unionByName(_shown(joined, *shown))
+
+
+def _found(df: DataFrame, edited: DataFrame, similarity: float, text: str) -> DataFrame:
+    """(key, class_id, component_id, several: whether several rows have the key)."""
+    t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    texts = df.select(F.xxhash64(F.md5(t)).alias("row"), t.alias("text"))
+    found = _components(edited.select("doc_id", "key", "node", "n", "bits", "fingerprint", "digest"), texts, similarity)
+    many = edited.groupBy("key").agg((F.count("*") > 1).alias("several"))
+    return found.join(many, "key")
+
+
+def near_duplicates(df: DataFrame, similarity: float = SIMILARITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, class_id, component_id) of every row of ``df``: see ``fingerprints``.
+
+    Null texts are empty; repeated rows are repeated; other columns are
+    ignored; an empty table gives no rows.
+    """
+    return fingerprints(df, similarity, doc_id, text).select("doc_id", "class_id", "component_id")

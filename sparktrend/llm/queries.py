@@ -78,7 +78,7 @@ def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.edit_with_next(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return minhash.fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -25,12 +25,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparktrend.llm.common import discard, fresh, in_slots, materialize, shingles, small_batches
-from sparktrend.llm.links import SIMILARITY, components, document_rows, linked_components, node_of, set_key, shingle_set, verified_links
+from sparktrend.llm.links import HOT, SIMILARITY, bucket_count, bucketed, components, document_rows, linked_components, node_of, parities, posting_groups, postings, pruned_groups, set_key, shingle_set, verified_links
 
 FULL = (1 << 64) - 1
 #: Distinct fingerprints that a shard should hold, and beyond which it is dealt out in blocks.
@@ -262,13 +261,6 @@ def near_duplicate_components(docs: DataFrame, links: Links = Links(), doc_id: s
 CANDIDATES = Links(3, 2)
 #: Texts sampled, and shingles kept at most, to order shingles by how common they are; any order is exact, a good one is fast.
 COMMON_TEXTS, COMMON_SHINGLES = 4_000, 200_000
-#: Postings that a bucket of ``rare_groups`` should hold, and of a shingle from which on they need no gathering: its name is their group.
-POSTINGS, HOT = 500_000, 50_000
-#: Fewest bits of a set's parities, and the most sets of a group that are compared by them in one task (larger groups go on whole).
-PARITIES, PRUNED = 256, 2_000
-#: Sizes of sets travel as a number of steps of this ratio.
-STEP = 1.02
-
 
 def common_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
     """(hashes in order, how many texts of a sample hold each, the sample's share) of the shingles that distinct texts of it share most."""
@@ -296,12 +288,6 @@ def rarest(own: np.ndarray, hashes: np.ndarray, n: np.ndarray, similarity: float
     return own[first], held[first]
 
 
-def parities(own: np.ndarray) -> bytes:
-    """A bit for each class of hashes modulo a power of 2, twice the set's size at least: whether the set holds an odd number of it. Two sets differ by as many elements as bits, at least."""
-    width = max(PARITIES, 1 << (2 * len(own) - 1).bit_length())
-    return np.packbits(np.bincount((own % np.uint64(width)).astype(np.int64), minlength=width) & 1).tobytes()
-
-
 def _sets(texts: DataFrame) -> DataFrame:
     """(doc_id, row, key, node, n, fp, bits): of the text's set of shingles, the digest, its first 64 bits, the size, the fingerprint (each shingle counts once, as in the similarity), and its parities."""
 
@@ -342,11 +328,7 @@ def rare_groups(texts: DataFrame, classes: DataFrame, similarity: float) -> Data
     spark = texts.sparkSession
     hashes, counts, share = common_shingles(texts)
     common = spark.sparkContext.broadcast((hashes, counts))
-    total = (1 - similarity) * (classes.agg(F.sum("n")).head()[0] or 0) + classes.count()
-    parts = max(64, 8 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    buckets = max(parts, int(-(-total // POSTINGS)))
-    posting = np.dtype([("s", "<u4"), ("node", "<i8"), ("size", "<u2")])
-    short, dealt, apart = np.uint16(1 << 15), np.uint16(1 << 14), int(np.log(1 / similarity) / np.log(STEP)) + 1
+    buckets = bucket_count(spark, (1 - similarity) * (classes.agg(F.sum("n")).head()[0] or 0) + classes.count())
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # a class leaves a task once
@@ -358,108 +340,15 @@ def rare_groups(texts: DataFrame, classes: DataFrame, similarity: float) -> Data
                     continue
                 seen.add(node)
                 first, held = rarest(own, *common.value, similarity)
-                out = np.zeros(len(first), posting)
-                out["s"], out["node"] = first >> np.uint64(32), node  # half a hash: chance matches only add candidates
                 small = np.arange(len(first)) < len(own) - np.ceil(2 * similarity / (1 + similarity) * len(own) - 1e-9) + 1
-                out["size"] = int(np.log(len(own)) / np.log(STEP)) + np.where(small, short, 0) + np.where(held / share >= HOT, dealt, 0)
                 shingle.append(first)
-                rows.append(out)
-            if not rows:
-                continue
-            out, shingle = np.concatenate(rows), np.concatenate(shingle)
-            spread = np.where(out["size"] & dealt, out["node"].view(np.uint64) >> np.uint64(1), np.uint64(0))
-            bucket = ((shingle % np.uint64(buckets) + spread % np.uint64(buckets)) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            out, bucket = out[order], bucket[order]
-            cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(out)]])
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]]), pa.array([out[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary())], names=["bucket", "postings"])
-
-    def shared(blobs: list[bytes]) -> pa.RecordBatch:
-        held = np.frombuffer(b"".join(blobs), posting)
-        size, seen, groups = held["size"] & np.uint16((1 << 14) - 1), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        hot = held["size"] & dealt > 0
-        seen.append(held["node"][hot])
-        groups.append(held["s"][hot].astype(np.int64) - (1 << 33))  # no hash of nodes, but for a negligible chance
-        keep = np.flatnonzero(~hot)
-        order = keep[np.lexsort((held["node"][keep], size[keep], held["s"][keep]))]
-        s, size, node, first = held["s"][order], size[order].astype(np.int64), held["node"][order], held["size"][order] & short > 0
-        cuts = np.flatnonzero((s[1:] != s[:-1]) | (size[1:] - size[:-1] > apart)) + 1
-        ends = np.append(cuts, len(s))
-        starts = np.concatenate([[0], cuts])[: len(ends)]
-        known = {}
-        for a, b in zip(starts[ends - starts > 1], ends[ends - starts > 1], strict=True):
-            if first[a:b].any() and node[a:b].min() != node[a:b].max():
-                own = np.unique(node[a:b])
-                name = xxhash.xxh64_intdigest(own.tobytes()) - (1 << 63)
-                if name not in known:
-                    known[name] = None
-                    seen.append(own)
-                    groups.append(np.full(len(own), name, np.int64))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(seen)), pa.array(np.concatenate(groups))], names=["node", "group"])
-
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, blobs = None, []
-        for batch in batches:
-            for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if bucket != at:
-                    if blobs:
-                        yield shared(blobs)
-                    at, blobs = bucket, []
-                blobs.append(blob)
-        if blobs:
-            yield shared(blobs)
-
-    def viable(group: int, rows: list[tuple[int, int, int, bytes]]) -> list[tuple[np.ndarray, int]]:
-        """The parts of a group that pairs similar enough, for all that sizes and parities tell, hold together."""
-        node, at, n = (np.array(c, np.int64) for c in list(zip(*rows, strict=True))[:3])
-        root, width = np.arange(len(node)), np.array([len(r[3]) for r in rows])
-        for w in np.unique(width):  # similar sets have the same width, or one twice the other's, which is folded
-            some = np.flatnonzero((width == w) | (width == 2 * w))
-            folded = np.zeros((len(some), w // 8), np.uint64)
-            for i, k in enumerate(some):
-                folded[i] = np.bitwise_xor.reduce(np.frombuffer(rows[k][3], np.uint64).reshape(-1, w // 8))
-            for i, a in enumerate(some):
-                rest = some[i + 1 :]
-                fits = np.flatnonzero((at[rest] != at[a]) & (np.minimum(width[rest], width[a]) == w) & (np.minimum(n[a], n[rest]) >= similarity * np.maximum(n[a], n[rest]) - 1e-9))
-                differ = np.bitwise_count(folded[i + 1 :][fits] ^ folded[i]).sum(axis=1, dtype=np.int64)
-                near = rest[fits[differ <= (1 - similarity) / (1 + similarity) * (n[a] + n[rest[fits]]) + 1e-9]]
-                if len(near):
-                    joined = np.append(near, a)
-                    root[np.isin(root, root[joined])] = root[joined].min()
-        parts = [np.sort(node[root == r]) for r, size in zip(*np.unique(root, return_counts=True), strict=True) if size > 1]
-        return [(p, xxhash.xxh64_intdigest(p.tobytes()) - (1 << 63)) for p in parts]
-
-    def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, rows, done = None, [], {}
-
-        def result() -> pa.RecordBatch:
-            found = [(p, g) for p, g in viable(group, rows) if g not in done]
-            done.update((g, None) for _, g in found)
-            empty = np.zeros(0, np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([empty, *(p for p, _ in found)])), pa.array(np.concatenate([empty, *(np.full(len(p), g, np.int64) for p, g in found)]))], names=["node", "group"])
-
-        for batch in batches:
-            for g, *row in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True):
-                if g != group:
-                    if rows:
-                        yield result()
-                    group, rows = g, []
-                rows.append(row)
-        if rows:
-            yield result()
+                rows.append(postings(first, np.full(len(first), node), np.full(len(first), len(own)), small, held / share >= HOT))
+            if rows:
+                yield bucketed(np.concatenate(shingle), np.concatenate(rows), buckets)
 
     posted = texts.select("text").mapInArrow(post, "bucket long, postings binary")
-    placed = posted.repartitionById(parts, (F.col("bucket") % parts).cast("int")).sortWithinPartitions("bucket")
-    groups = placed.mapInArrow(gather, "node long, group long").distinct().join(classes.select("node", "at"), "node")
-    groups = materialize(groups, "rare-groups")
-    sizes = groups.groupBy("group").agg(F.min("at").alias("low"), F.max("at").alias("high"), F.count("*").alias("sets")).filter("low < high").select("group", "sets")
-    several = materialize(groups.select("node", "group").join(sizes, "group"), "several")
-    discard(groups)
-    known = several.filter(F.col("sets") <= PRUNED).join(classes.select("node", "at", "n", "bits"), "node").select("group", "node", "at", "n", "bits")
-    pruned = known.repartition(parts, "group").sortWithinPartitions("group").mapInArrow(prune, "node long, group long")
-    out = materialize(pruned.unionByName(several.filter(F.col("sets") > PRUNED).select("node", "group")).distinct(), "rare-pruned")
-    discard(several)
-    return out
+    groups = posting_groups(posted, similarity).join(classes.select("node", "at"), "node")
+    return pruned_groups(materialize(groups, "rare-groups"), classes, similarity)
 
 
 def _similar_rows(docs: DataFrame, similarity: float, doc_id: str, text: str) -> DataFrame:
