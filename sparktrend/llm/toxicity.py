@@ -4,8 +4,8 @@ P(grade >= k) = sigmoid(w . x - theta_k): one weight vector for all ordered
 thresholds. x holds log(1 + count) of words and word beginnings (4 to 6
 letters, so that inflected forms share a feature) from a vocabulary that the
 labelled sample itself selects. The labels say only whether a text is toxic,
-so toxic training texts are graded 1 to 3 by how often words that lean toxic
-occur in them (see ``grade_sample``). Scores are P(grade >= 1) and the
+so toxic training texts are graded 1 to 3 by how sure of it a model of the
+other half of the sample is (see ``grade_sample``). Scores are P(grade >= 1) and the
 expected severity, the sum of P(grade >= k).
 """
 
@@ -25,9 +25,9 @@ from sparktrend.llm.common import materialize, small_batches
 
 #: Most labelled rows that a fit reads (the first by a hash of doc_id).
 SAMPLE_ROWS = 12_000
-#: Most features of the vocabulary: those whose toxic and clean rates differ most.
-VOCABULARY = 256
-LEAST_TEXTS = 5
+#: Defaults of a fit's features: the most there are, the texts of the sample that a feature must be in, and the least
+#: log likelihood ratio between its toxic and clean rates (chance alone reaches 8 about once in 16,000 features).
+VOCABULARY, LEAST_TEXTS, LEAST_GAIN = 256, 5, 8.0
 STEMS = (4, 5, 6)
 #: Entries of a worker's word cache before it starts anew (a memory bound; scores don't depend on it).
 CACHE_ENTRIES = 400_000
@@ -81,39 +81,74 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit_cumulative_link(x: np.ndarray, grade: np.ndarray, levels: int, penalty: float = 2.0, steps: int = 400) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and ordered thresholds by Adam on the penalised likelihood.
+def _likelihood(p: np.ndarray, x: np.ndarray, grade: np.ndarray, levels: int, penalty: float) -> tuple[float, np.ndarray]:
+    """The penalised negative log likelihood a row, and its gradient. ``p``: weights, theta_1, logs of the thresholds' increments."""
+    n, width = x.shape
+    w, theta = p[:width], np.cumsum(np.concatenate([p[width : width + 1], np.exp(p[width + 1 :])]))
+    cum = np.hstack([np.ones((n, 1)), _sigmoid((x @ w)[:, None] - theta), np.zeros((n, 1))])
+    rows = np.arange(n)
+    prob = np.maximum(cum[rows, grade] - cum[rows, grade + 1], 1e-12)
+    slope = cum * (1 - cum)
+    low, high = slope[rows, grade] / prob, slope[rows, grade + 1] / prob
+    g_theta = np.array([low[grade == k].sum() - high[grade == k - 1].sum() for k in range(1, levels)])
+    g = np.concatenate([penalty * w - x.T @ (low - high), [g_theta.sum()], [g_theta[k:].sum() * np.exp(p[width + k]) for k in range(1, levels - 1)]])
+    return (-np.log(prob).sum() + penalty * (w @ w) / 2) / n, g / n
+
+
+def fit_cumulative_link(x: np.ndarray, grade: np.ndarray, levels: int, penalty: float = 2.0, steps: int = 200) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and ordered thresholds that maximise the penalised likelihood (limited-memory BFGS until the gradient is at most 1e-6).
 
     thresholds are theta_1 and positive increments, so they can't cross.
     """
     x = np.asarray(x, float)
-    n, width = x.shape
+    width = x.shape[1]
     share = np.clip([(grade >= k).mean() for k in range(1, levels)], 1e-4, 1 - 1e-4)
     theta = np.maximum.accumulate(-np.log(share / (1 - share)) + np.arange(levels - 1) * 1e-3)
-    p = np.concatenate([np.zeros(width), theta[:1], np.log(np.diff(theta))])
-    m, v = np.zeros_like(p), np.zeros_like(p)
-    for t in range(1, steps + 1):
-        w, theta = p[:width], np.cumsum(np.concatenate([p[width : width + 1], np.exp(p[width + 1 :])]))
-        above = _sigmoid((x @ w)[:, None] - theta)
-        cum = np.hstack([np.ones((n, 1)), above, np.zeros((n, 1))])
-        prob = np.maximum(cum[np.arange(n), grade] - cum[np.arange(n), grade + 1], 1e-12)
-        slope = cum * (1 - cum)
-        d_low, d_high = slope[np.arange(n), grade] / prob, slope[np.arange(n), grade + 1] / prob
-        g_latent = -(d_low - d_high)
-        g_theta = np.array([(d_low[grade == k].sum() - d_high[grade == k - 1].sum()) for k in range(1, levels)])
-        g = np.concatenate([x.T @ g_latent + penalty * w, [g_theta.sum()], [g_theta[k:].sum() * np.exp(p[width + k]) for k in range(1, levels - 1)]]) / n
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        p = p - 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
+    p = np.concatenate([np.zeros(width), theta[:1], np.log(np.maximum(np.diff(theta), 1e-3))])
+    cost, g = _likelihood(p, x, grade, levels, penalty)
+    pairs: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(steps):
+        if np.abs(g).max() <= 1e-6:
+            break
+        d, kept = -g, []
+        for s, y in reversed(pairs):
+            kept.append((s @ d) / (s @ y))
+            d = d - kept[-1] * y
+        if pairs:
+            s, y = pairs[-1]
+            d = d * (s @ y) / (y @ y)
+        for (s, y), a in zip(pairs, reversed(kept), strict=True):
+            d = d + s * (a - (y @ d) / (s @ y))
+        step = 1.0 if pairs else min(1.0, 1 / np.abs(g).sum())
+        while step > 1e-10:
+            new_cost, new_g = _likelihood(p + step * d, x, grade, levels, penalty)
+            if new_cost <= cost + 1e-4 * step * (g @ d):
+                break
+            step /= 2
+        else:
+            break
+        if (step * d) @ (new_g - g) > 1e-14:
+            pairs = [*pairs[-9:], (step * d, new_g - g)]
+        p, cost, g = p + step * d, new_cost, new_g
     return p[:width], np.cumsum(np.concatenate([p[width : width + 1], np.exp(p[width + 1 :])]))
 
 
-def grade_sample(counts: np.ndarray, lean: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """Grades of the sample: 0 for clean rows; toxic ones 1, 2 or 3 as their count of toxic-leaning words is up to the median, up to the 85th percentile, or above."""
-    k = counts[:, lean].sum(axis=1)
+def grade_sample(x: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """Grades of the sample: 0 for clean rows; toxic ones 1, 2 or 3.
+
+    The labels only say whether a text is toxic, so the severity of a toxic
+    text is how sure of it a model is that was fitted on the other half of the
+    sample: grade 1 up to the median, 2 up to the 85th percentile, else 3.
+    """
+    sure = np.zeros(len(toxic))
+    half = np.arange(len(toxic)) % 2 == 0
+    for fold in (half, ~half):
+        w, _ = fit_cumulative_link(x[~fold], toxic[~fold].astype(int), 2)
+        sure[fold] = x[fold] @ w
     if not toxic.any():
         return np.zeros(len(toxic), int)
-    middle, high = np.quantile(k[toxic], [0.5, 0.85])
-    return np.where(toxic, 1 + (k > middle) + (k > high), 0).astype(int)
+    middle, high = np.quantile(sure[toxic], [0.5, 0.85])
+    return np.where(toxic, 1 + (sure > middle) + (sure > high), 0).astype(int)
 
 
 def best_cutoff(p: np.ndarray, toxic: np.ndarray) -> float:
@@ -128,9 +163,14 @@ def best_cutoff(p: np.ndarray, toxic: np.ndarray) -> float:
     return float(min(0.5, 1 / (1 + np.exp(-logit))))
 
 
-def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = SAMPLE_ROWS) -> OrdinalModel:
+def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = SAMPLE_ROWS, vocabulary: int = VOCABULARY, least_texts: int = LEAST_TEXTS, least_gain: float = LEAST_GAIN) -> OrdinalModel:
     """Fit on at most ``rows`` labelled rows, chosen by a hash of their id.
 
+    Features are the ``vocabulary`` words and word beginnings, of those in
+    ``least_texts`` texts of the sample or more, whose toxic and clean rates
+    differ most surely, by a log likelihood ratio of ``least_gain`` at least:
+    others would only add noise, which long texts add up.
+
     Rows with a null label or id are not used; a label for a missing document
     has no effect; without any usable row or vocabulary the model is constant.
     """
@@ -161,7 +201,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     n, base = (F.col("k1") + F.col("k0")).cast("double"), n1 / (n1 + n0)
     rate = (F.col("k1") + 0.5 * base) / (n + 0.5)
     gain = n * (rate * F.log(rate / base) + (1 - rate) * F.log((1 - rate) / (1 - base)))  # a G statistic: how surely the rates differ
-    ranked = by_word.filter(n >= LEAST_TEXTS).select("word", rate.alias("rate"), F.round(gain, 6).alias("gain")).orderBy(F.desc("gain"), "word").limit(VOCABULARY).collect()
+    ranked = by_word.filter(n >= least_texts).select("word", rate.alias("rate"), F.round(gain, 6).alias("gain")).filter(F.col("gain") >= least_gain).orderBy(F.desc("gain"), "word").limit(vocabulary).collect()
     place = {r["word"]: i for i, r in enumerate(ranked)}
     if not place:
         share = np.log(n0 / n1)
@@ -175,20 +215,20 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     order = np.lexsort(counts.T[::-1])  # the collected order may vary, sums then would in their last bits
     order = order[np.argsort(toxic[order], kind="stable")]
     counts, toxic = counts[order], toxic[order]
-    grade = grade_sample(counts, np.array([r["rate"] > 0.5 and r["gain"] > 10 for r in ranked]), toxic)
-    w, theta = fit_cumulative_link(np.log1p(counts), grade, 4)
+    w, theta = fit_cumulative_link(np.log1p(counts), grade_sample(np.log1p(counts), toxic), 4)
     return OrdinalModel({word: float(w[i]) for word, i in place.items() if w[i]}, tuple(map(float, theta)), best_cutoff(_sigmoid(np.log1p(counts) @ w - theta[0]), toxic))
 
 
 def score(docs: DataFrame, model: OrdinalModel, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, p_toxic, expected_severity, severity (likeliest grade), toxic (1 if p_toxic reaches the model's cutoff).
 
-    One row for each row of ``docs``, repeated ones included; null texts are
-    empty; other columns are ignored; no shuffle.
+    One row for each row of ``docs``, repeated ones and null ids included;
+    null texts are empty; texts of any length are read whole; other columns,
+    whatever their names, are ignored; an empty table gives no rows; no shuffle.
     """
     docs = small_batches(docs)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most VOCABULARY words
-    base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most the vocabulary
+    base = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
