@@ -1,52 +1,18 @@
 """The corpus pipeline: quality, near-duplicates, personal data, mixture, packing.
 
 Each stage takes (spark, docs, sf_dir), works on all rows of ``docs``, and
-returns a DataFrame; all but the last return the columns of ``docs``.
+returns a DataFrame; all but the last return the columns of ``docs``. What
+they do with nulls, ties and odd columns is told in ``sparktrend.llm.stages``.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from sparktrend.llm import mixing, packing, pii, quality, simhash
-from sparktrend.llm.common import fresh, materialize, table
-from sparktrend.llm.queries import DEMO_KEY, vocabulary
+from sparktrend.llm import stages
+from sparktrend.llm.common import materialize, table
 
-#: A document stays if its chance of good quality is at least this.
-QUALITY = 0.3
-
-
-def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rule ensemble, fitted on the labels, doesn't reject."""
-    model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    name = fresh("__quality", docs.columns)
-    return quality.score(docs, model, name=name).filter(F.col(name) >= QUALITY).select(*docs.columns)
-
-
-def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of each group of near-duplicates: a similarity of 0.8 or more on shingles of five words."""
-    return simhash.drop_near_duplicates(docs)
-
-
-def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data in the texts replaced by pseudonyms; n_chars follows the text."""
-    moved = pii.pseudonymise(docs, DEMO_KEY)
-    return moved.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else moved
-
-
-def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Whole documents as often as the mixture takes them (a row for each take), sorted by training position."""
-    mixed = mixing.curriculum_mix(docs, whole=True)
-    return mixing.training_order(mixed).select(*docs.columns)
-
-
-def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents in sequences of at most 2048 tokens: a row for each piece."""
-    return packing.pack_documents(docs, vocabulary("word_bpe_49k.json"), 2048)
-
-
-STAGES = [("quality", quality_stage), ("simhash_near_dedup", dedup_stage), ("pii", pii_stage), ("mixing", mixing_stage), ("packing", packing_stage)]
+STAGES = [("quality", stages.quality_stage), ("simhash_near_dedup", stages.dedup_stage), ("pii", stages.pii_stage), ("mixing", stages.mixing_stage), ("packing", stages.packing_stage)]
 
 #: SQL can't express the fitted classifier, the fingerprints or the tokenizer.
 ORACLE_SQL = None
