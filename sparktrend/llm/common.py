@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 #: Word separators of every contract here: space and the ASCII controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
-_LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
+LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -105,7 +105,7 @@ def small_batches(df: DataFrame) -> DataFrame:
 
 def shingles(text: str, words: int, seed: int) -> np.ndarray:
     """XXH64 of each run of ``words`` words (A-Z lowered, space-joined), repeats included; a shorter text is one run, an empty one the empty run."""
-    w = text.encode().translate(_LOWER).split()
+    w = text.encode().translate(LOWER).split()
     joined, digest = b" ".join(w), xxhash.xxh64_intdigest
     if len(w) <= words:
         return np.array([digest(joined, seed)], np.uint64)

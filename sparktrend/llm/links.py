@@ -135,7 +135,8 @@ def bucket_count(spark: SparkSession, postings: float) -> int:
 
 
 def _parts(spark: SparkSession) -> int:
-    return max(64, 8 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    """Tasks for cells and buckets, which are many and of bounded size: the shuffle partitions, as each task costs a worker's start."""
+    return max(32, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def postings(value: np.ndarray, node: np.ndarray, size: np.ndarray, short: np.ndarray, hot: np.ndarray) -> np.ndarray:

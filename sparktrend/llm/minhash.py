@@ -16,12 +16,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparktrend.llm.common import discard, in_slots, materialize, small_batches
-from sparktrend.llm.links import HOT, SIMILARITY, bucket_count, bucketed, linked_components, node_of, parities, posting_groups, postings, pruned_groups, set_key, shingle_set, verified_links
+from sparktrend.llm.common import LOWER, discard, in_slots, materialize, shingles, small_batches
+from sparktrend.llm.links import HOT, SIMILARITY, WORDS, bucket_count, bucketed, linked_components, node_of, parities, posting_groups, postings, pruned_groups, set_key, shingle_set, verified_links
 
 #: Slots of a fingerprint; the standard error of a likeness is at most 0.5 / sqrt(SLOTS).
 SLOTS = 128
@@ -31,6 +32,8 @@ BANDS, ROWS = 25, 5
 FIRST = 3
 #: Documents of the sample that shows which bands very many documents share; it sets the speed, not the result.
 SAMPLE = 4_000
+#: What separates words, and the end of a text.
+SPACES = ("", " ", "\t", "\n", "\v", "\f", "\r")
 _random = np.random.default_rng(20240229)
 _A = _random.integers(0, 1 << 63, SLOTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _random.integers(0, 1 << 63, SLOTS, dtype=np.uint64)
@@ -58,6 +61,30 @@ def fingerprint(text: str) -> str:
     return signature(shingle_set(text)).tobytes().hex()
 
 
+def spliced(head: str, tail: str, before: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """The shingles of head + tail in order, where ``before`` and ``after`` are those of the texts that begin with head and with tail.
+
+    Shingles of words that lie whole in one of both are taken over; only those
+    across the border and around a cut word are hashed.
+    """
+    words = (head + tail).encode().translate(LOWER).split()
+    whole, ends, begins, stops = head.encode().split(), head[-1:] not in SPACES, tail[:1] not in SPACES, tail[-1:] not in SPACES
+    if len(words) <= WORDS or len(before) < 2 or len(after) < 2:  # one shingle may be of a shorter text
+        return shingles(head + tail, WORDS, 7)
+    known = max(0, len(whole) - ends - WORDS + 1)  # of the first words, all that aren't cut
+    of_tail = len(tail.encode().split())
+    first = int(ends and begins and bool(whole) and of_tail > 0)  # a word that both share
+    at = len(words) - of_tail + first
+    more = max(0, of_tail - first - stops - WORDS + 1)
+    out = np.empty(len(words) - WORDS + 1, np.uint64)
+    out[:known] = before[:known]
+    if more:
+        out[at : at + more] = after[first : first + more]
+    joined = [b" ".join(words[i : i + WORDS]) for i in [*range(known, min(at, len(out)) if more else len(out)), *range(at + more, len(out) if more else 0)]]
+    out[[*range(known, min(at, len(out)) if more else len(out)), *range(at + more, len(out) if more else 0)]] = [xxhash.xxh64_intdigest(j, 7) for j in joined]
+    return out
+
+
 def band_values(slots: np.ndarray) -> np.ndarray:
     """(rows, BANDS) 64-bit hashes of the bands of the signatures ``slots`` (rows, SLOTS); different bands differ."""
     x = slots[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS).astype(np.uint64) + np.uint64(1)
@@ -130,14 +157,14 @@ def _edited(df: DataFrame, doc_id: str, text: str, partitions: int | None) -> Da
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         expand = zstandard.ZstdDecompressor().decompress
-        last, times, at = None, 0, None  # (id, digest, text, set, signature) that waits for its successor; how often it occurs
+        last, times, at = None, 0, None  # (id, digest, text, set, signature, shingles) that waits for its successor; how often it occurs
 
         def finish(one: tuple, other: tuple, times: int) -> tuple:
-            doc, digest, t, own, sig = one
-            m = len(t) // 3
-            edited = t[: len(t) - m] + other[2][:m]
-            new = signature(shingle_set(edited)) if edited != t else sig
-            key = set_key(own)
+            doc, digest, t, own, sig, ordered = one
+            cut = len(t) - len(t) // 3
+            head, tail = t[:cut], other[2][: len(t) - cut]
+            edited, key = head + tail, set_key(own)
+            new = signature(np.unique(spliced(head, tail, ordered, other[5]))) if edited != t else sig
             return (doc, len(t), hashlib.sha256(edited.encode()).hexdigest(), sig.tobytes(), new.tobytes(), likeness(sig, new), likeness(sig, other[4]), key, node_of(key), len(own), parities(own), digest, times)
 
         for batch in batches:
@@ -149,8 +176,9 @@ def _edited(df: DataFrame, doc_id: str, text: str, partitions: int | None) -> Da
                 if guest and (last is None or at != to):
                     continue  # only the first guest, the least in the order, follows the range
                 t = expand(blob).decode()
-                own = shingle_set(t)
-                one = (doc, digest, t, own, signature(own))
+                ordered = shingles(t, WORDS, 7)
+                own = np.unique(ordered)
+                one = (doc, digest, t, own, signature(own), ordered)
                 if last is not None and at == to:
                     out.append(finish(last, one, 1))
                     if times > 1:  # copies follow each other

@@ -233,7 +233,7 @@ def shard_stars(classes: DataFrame, links: Links) -> DataFrame:
         if held:
             yield stars(at, *(np.concatenate(x) for x in zip(*held, strict=True)))
 
-    parts = min(total, max(64, 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    parts = min(total, max(32, 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
     dealt = classes.select("id", "fp").mapInArrow(deal, "shard int, id long, fp long, index boolean, query boolean")
     placed = dealt.repartitionById(parts, F.col("shard") % parts).sortWithinPartitions("shard")
     return placed.mapInArrow(search, "a long, b long").distinct()

@@ -599,6 +599,14 @@ def test_hadamard_keeps_lengths():
     np.testing.assert_allclose(ann.hadamard(ann.hadamard(x)), x)
 
 
+@settings(max_examples=400, deadline=None)
+@given(hs.text(alphabet="ab \n\u00e9B", max_size=60), hs.text(alphabet="cd \t\u00e9", max_size=60), hs.integers(0, 60), hs.integers(0, 60))
+def test_spliced_shingles(one, other, a, b):
+    head, tail = one[:a], other[:b]
+    got = minhash.spliced(head, tail, links.shingles(one, 5, 7), links.shingles(other, 5, 7))
+    assert got.tolist() == links.shingles(head + tail, 5, 7).tolist()
+
+
 def check_edited(rows, order):
     """``order``: (id, text) as the documents follow each other."""
     got = defaultdict(list)
