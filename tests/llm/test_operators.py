@@ -500,6 +500,40 @@ def test_quality(spark):
     assert {r["score"] for r in quality.score(df, flat).collect()} == {0.5}
 
 
+def test_trees_split_best_and_give_their_rules():
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(300, 3))
+    y = ((x[:, 1] > 0.3) & (x[:, 2] < 0)).astype(float)
+    cuts = [np.unique(np.quantile(x[:, f], np.linspace(0.02, 0.98, 20))) for f in range(3)]
+    g, h = 0.5 - y, np.full(300, 0.25)
+    f, cut, *_ = quality.grow_tree(x, cuts, g, h, depth=1)
+
+    def gain(f, c):
+        low = x[:, f] <= c
+        return sum(g[s].sum() ** 2 / (h[s].sum() + 1) for s in (low, ~low)) if 20 <= low.sum() <= 280 else -1
+
+    assert (f, cut) == max(((f, float(c)) for f in range(3) for c in cuts[f]), key=lambda k: gain(*k))
+    tree = quality.grow_tree(x, cuts, g, h, depth=3)
+    rules = quality.tree_rules(tree)
+    values = quality.tree_values(tree, x)
+    deepest = [r for r in rules if not any(len(o) > len(r) and o[: len(r)] == r for o in rules)]
+    holds = np.stack([quality.rule_holds(r, x) for r in deepest])
+    assert (holds.sum(axis=0) == 1).all()  # the paths to leaves part the rows
+    assert all(len(set(values[row])) == 1 for row in holds if row.any())
+
+
+@pytest.mark.parametrize("penalty", [0.05, 0.005])
+def test_lasso_logistic_meets_the_optimality_conditions(penalty):
+    rng = np.random.default_rng(1)
+    z = (rng.random((400, 12)) < 0.4).astype(float)
+    y = (rng.random(400) < 1 / (1 + np.exp(-(2 * z[:, 0] - 3 * z[:, 1])))).astype(float)
+    w = quality.lasso_logistic(z, y, penalty)
+    slope = np.hstack([np.ones((400, 1)), z]).T @ (1 / (1 + np.exp(-(w[0] + z @ w[1:]))) - y) / 400
+    assert abs(slope[0]) < 1e-4 and (np.abs(slope[1:]) <= penalty + 1e-4).all()
+    np.testing.assert_allclose(slope[1:][w[1:] != 0], -penalty * np.sign(w[1:][w[1:] != 0]), atol=1e-4)
+    np.testing.assert_allclose(quality.lasso_logistic(z, y, penalty, start=rng.normal(size=13)), w, atol=5e-3)
+
+
 def test_toxicity(spark):
     rng = np.random.default_rng(2)
     clean = [" ".join(rng.choice(WORDS, 40)) for _ in range(200)]
