@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparktrend.llm.common import WORD, fresh
+from sparktrend.llm.common import WORD, fresh, materialize
 
 #: Buckets into which a source's documents are dealt for the two-level prefix sum.
 BUCKETS = 1024
@@ -25,25 +25,44 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def running_sums(rows: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """``rows`` with, for each name of ``sums``, the sum of its column over the rows before in ``order``.
+
+    Rows are dealt out by ranges of the order and written; a table of one row a
+    range carries the sums on. No task sorts more than a range.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys, place = [f"__o{i}" for i in range(len(order))], "__range"
+    keyed = rows.withColumns(dict(zip(keys, order, strict=True)) | {f"__v_{n}": c for n, c in sums.items()})
+    ranged = materialize(keyed.repartitionByRange(parts, *keys).withColumn(place, F.spark_partition_id()), "ranges")
+    totals = ranged.groupBy(F.col(place).alias("__at")).agg(*[F.sum(f"__v_{n}").alias(f"__t_{n}") for n in sums])
+    ahead = Window.orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    bases = totals.select("__at", *[F.coalesce(F.sum(f"__t_{n}").over(ahead), F.lit(0)).alias(f"__b_{n}") for n in sums])
+    within = Window.partitionBy(place).orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    joined = ranged.join(F.broadcast(bases), F.col(place) == F.col("__at"))  # as many rows as there are shuffle partitions
+    return joined.select(*rows.columns, *[(F.col(f"__b_{n}") + F.coalesce(F.sum(f"__v_{n}").over(within), F.lit(0))).alias(n) for n in sums])
+
+
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: int = MOST) -> DataFrame:
     """(source, source_size, target) from (source, source_size), one row a source.
 
     In code point order, null last, sources weigh ``weights`` in turn. Water
     filling: with level v, a source gets min(most * size, v * weight); v is the
     level at which all shares add up to the sum of sizes. Sorting sources by
-    the level at which they are full turns it into prefix sums over one row a
-    source.
+    the level at which they are full turns it into prefix sums, which are dealt
+    out by ranges: there may be as many sources as there are documents.
     """
-    by_name = Window.orderBy(F.col("source").isNull(), F.col("source").cast("binary"))
+    name = [F.col("source").isNull(), F.coalesce(F.col("source"), F.lit("")).cast("binary")]
     cycle = F.array(*[F.lit(float(w)) for w in weights])
-    weighed = sizes.withColumn("w", F.element_at(cycle, (F.pmod(F.row_number().over(by_name) - 1, F.lit(len(weights))) + 1).cast("int")))
+    placed = running_sums(sizes, name, {"__nth": F.lit(1)})
+    weighed = placed.withColumn("w", F.element_at(cycle, (F.pmod("__nth", F.lit(len(weights))) + 1).cast("int"))).drop("__nth")
     weighed = weighed.withColumn("full", most * F.col("source_size") / F.col("w"))
-    by_full = Window.orderBy("full", F.col("source").isNull(), F.col("source").cast("binary"))
-    rest = by_full.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    level = (F.sum("source_size").over(Window.partitionBy()) - F.coalesce(F.sum(most * F.col("source_size")).over(by_full.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))) / F.sum("w").over(rest)
-    leveled = weighed.withColumn("level", level)
+    summed = running_sums(weighed, [F.col("full"), *name], {"__filled": most * F.col("source_size"), "__w": F.col("w")})
+    whole = summed.agg(F.sum("source_size").alias("size"), F.sum("w").alias("w"))
+    level = (whole.select("size").scalar() - F.col("__filled")) / (whole.select("w").scalar() - F.col("__w"))
+    leveled = materialize(summed.withColumn("level", level), "levels")
     # The first source that its level doesn't fill sets the level; later ones would set lower levels.
-    final = F.max(F.when(F.col("level") <= F.col("full"), F.col("level"))).over(Window.partitionBy())
+    final = leveled.filter(F.col("level") <= F.col("full")).agg(F.max("level")).scalar()
     return leveled.select("source", "source_size", F.round(F.least((most * F.col("source_size")).cast("double"), final * F.col("w")), 6).alias("target"))
 
 
@@ -88,7 +107,8 @@ def curriculum_mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     head = F.conv(F.substring(hashed, 1, 8), 16, 10).cast("long")
     in_bucket = head % BUCKETS * parts + F.shiftright(head * parts, 32)  # (bucket, place by the key's first 32 bits)
     sized = docs.select(*[quoted(c) for c in kept], word_count(quoted(text)).alias(size), name(quoted(source)).alias(src), hashed.alias(key), in_bucket.alias(bucket), F.xxhash64(quoted(text)).alias(tie))
-    sums = docs.select(quoted(source).cast("string").alias("source"), in_bucket.alias("b"), word_count(quoted(text)).alias("n")).groupBy("source", "b").agg(F.sum("n").alias("n"))  # a row for each source and bucket
+    sums = docs.select(quoted(source).cast("string").alias("source"), in_bucket.alias("b"), word_count(quoted(text)).alias("n")).groupBy("source", "b").agg(F.sum("n").alias("n"))
+    sums = materialize(sums, "source-sums")  # a row for each source and bucket: texts are read for it once
     earlier = Window.partitionBy("source").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     targets = source_targets(sums.groupBy("source").agg(F.sum("n").alias("source_size")), weights, most)
     starts = sums.select("source", "b", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias(base))

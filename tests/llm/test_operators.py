@@ -475,6 +475,16 @@ def test_mixing(spark, whole):
     assert mixing.curriculum_mix(df.limit(0)).count() == 0
 
 
+def test_mixing_of_very_many_sources(spark):
+    rng = np.random.default_rng(4)
+    sizes = {f"https://host{i}.example/é" if i else None: int(n) for i, n in enumerate(rng.integers(0, 60, 900))} | {"hot": 5000}
+    df = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
+    got = {r["source"]: r["target"] for r in mixing.source_targets(df).collect()}
+    want = water_fill(sizes)
+    assert got.keys() == want.keys() and all(got[s] == pytest.approx(want[s], abs=1e-5) for s in want)
+    assert sum(got.values()) == pytest.approx(sum(sizes.values()), rel=1e-9)
+
+
 def test_mixing_is_the_same_over_more_tasks(spark, monkeypatch):
     monkeypatch.setattr(mixing, "BUCKETS", 8)
     df = docs(spark, [" ".join(["w"] * (i % 9)) for i in range(400)], source=["abc"[i % 7 % 3] for i in range(400)])
