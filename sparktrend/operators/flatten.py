@@ -26,6 +26,8 @@ from sparktrend.operators.segments import Isolated, numbered_segments, quoted, r
 from sparktrend.plans.params import CLOSED, GLOBAL, Params
 
 ADDED = ("segment_id", "trend", "flat")
+#: Rows of a series beyond which ``chunk="auto"`` deals it out.
+AUTO_ROWS = 1_000_000
 
 
 def _measured(df: DataFrame, time: str, flux: str, mask: str | None) -> DataFrame:
@@ -171,7 +173,15 @@ def _kernel(p: Params, row_id: str | None) -> Callable[[pa.Table], pa.Table]:
     return run
 
 
-def flatten(df: DataFrame, time: str = "time", flux: str = "flux", series: Sequence[str] = (), row_id: str | None = None, mask: str | None = None, engine: str = "auto", chunk: float | None = None, **options) -> DataFrame:
+def auto_chunk(df: DataFrame, time: str, series: Sequence[str], least: float, rows: int = AUTO_ROWS) -> float | None:
+    """The span of time that holds about ``rows`` rows of the densest series with more rows than that, ``least`` at least; None without such a series. Reads the times once."""
+    t = F.nanvl(quoted(time).cast("double"), F.lit(None))
+    by_series = df.groupBy(*[quoted(s) for s in series]).agg(F.count(t).alias("n"), (F.max(t) - F.min(t)).alias("span"))
+    span = by_series.filter((F.col("n") > rows) & (F.col("span") > 0)).agg(F.min(F.col("span") * rows / F.col("n"))).head()[0]
+    return None if span is None else max(span, least)
+
+
+def flatten(df: DataFrame, time: str = "time", flux: str = "flux", series: Sequence[str] = (), row_id: str | None = None, mask: str | None = None, engine: str = "auto", chunk: float | str | None = None, **options) -> DataFrame:
     """The columns of ``df``, and segment_id, trend, flat (flux / trend).
 
     ``series``: key columns; each key is a series of its own, in order of time
@@ -184,7 +194,9 @@ def flatten(df: DataFrame, time: str = "time", flux: str = "flux", series: Seque
     ``chunk``: a span of time (for sliders, a window or more) by which series
     are dealt out, for those that one task can't hold or that hold a large
     share of all rows. Methods that fit a whole segment still hold one in a
-    task. Results are the same; it costs more exchanges.
+    task. Results are the same; it costs more exchanges. "auto" counts the rows
+    of each series first and picks the span in which the densest series over
+    ``AUTO_ROWS`` rows has that many, or none if there is no such series.
 
     Rows with a null or NaN time or flux get nulls. A trend that isn't defined
     (empty window, cut edge, too short a segment, zero spread where the method
@@ -197,6 +209,8 @@ def flatten(df: DataFrame, time: str = "time", flux: str = "flux", series: Seque
         engine = "expression" if p.method in CLOSED and p.method != "hodges" else "kernel"
     if engine not in ("expression", "kernel") or (engine == "expression" and p.method not in CLOSED):
         raise ValueError(f"engine {engine!r} can't run {p.method}")
+    if chunk == "auto":
+        chunk = auto_chunk(df, time, series, 1e-9 if p.method in GLOBAL else p.window_length)
     if chunk is not None and not (0 if p.method in GLOBAL else p.window_length) <= chunk < math.inf or chunk == 0:
         raise ValueError("chunk must be finite, and span a window or more")
     own = Isolated(df)

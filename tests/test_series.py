@@ -233,6 +233,20 @@ def test_cells_validation(spark):
             st.flatten(df, row_id="row", window_length=2, **bad)
 
 
+def test_chunks_follow_the_counts(spark, monkeypatch):
+    from sparktrend.operators import flatten as module
+
+    rows = spark.range(3000).selectExpr("id AS row", "IF(id % 10 = 0, 'b', 'a') AS k", "IF(id % 97 = 0, NULL, id / 100.0D) AS time", "2 + sin(id) AS flux")
+    assert module.auto_chunk(rows, "time", ["k"], 0.5) is None
+    span = module.auto_chunk(rows, "time", ["k"], 0.5, rows=900)
+    assert span == pytest.approx(30 * 900 / 2700, rel=0.05) and module.auto_chunk(rows, "time", ["k"], 50.0, rows=900) == 50.0
+    assert module.auto_chunk(rows.filter("false"), "time", ["k"], 0.5, rows=1) is None
+    run = lambda chunk: st.flatten(rows, series=["k"], row_id="row", method="median", window_length=2, chunk=chunk).orderBy("row").toPandas()
+    whole = run("auto")
+    monkeypatch.setattr(module.auto_chunk, "__defaults__", (900,))
+    pd.testing.assert_frame_equal(run("auto"), whole)
+
+
 def test_empty_tables_and_clashing_names(spark):
     empty = spark.createDataFrame([], "row long, time double, flux double")
     for method in ("median", "biweight", "cosine"):
