@@ -262,8 +262,14 @@ def document_rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def _compare(texts: DataFrame, cells: DataFrame, similarity: float) -> DataFrame:
-    """(a, b), b < a, stars of the links within the cells (row, key, at, group, i, j, block). If i <> j, only pairs of different blocks count."""
-    wanted = materialize(cells.groupBy(F.col("row").alias("member"), "key", "at").agg(F.collect_list(F.struct("group", "i", "j", "block")).alias("cells")), "wanted")
+    """(a, b, group, key, row, n), written: the links within the cells (row, key, at, n, group, i, j, block).
+
+    A star of a cell's links is a row a, b with b < a and a null group. A node
+    to which a cell of i = j (that is, a block) links no smaller one is a row
+    with b null and the member that stands for it. If i <> j, only pairs of
+    different blocks count.
+    """
+    wanted = materialize(cells.groupBy(F.col("row").alias("member"), "key", "at", "n").agg(F.collect_list(F.struct("group", "i", "j", "block")).alias("cells")), "wanted")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze, seen = zstandard.ZstdCompressor(level=1).compress, set()
@@ -276,71 +282,79 @@ def _compare(texts: DataFrame, cells: DataFrame, similarity: float) -> DataFrame
                     blobs.append(squeeze((t.as_py() or "").encode()))
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(blobs, pa.binary())], names=["row", "blob"])
 
+    kinds = {"a": pa.int64(), "b": pa.int64(), "group": pa.int64(), "key": pa.binary(), "row": pa.int64(), "n": pa.int64()}
+
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, held, expand = None, {}, zstandard.ZstdDecompressor().decompress
 
-        def stars() -> pa.RecordBatch:
-            ats, blocks, sets = zip(*held.values(), strict=True)
+        def result() -> pa.RecordBatch:
+            ats, blocks, rows, sets = zip(*held.values(), strict=True)
             ats, blocks = np.array(ats, np.int64), np.array(blocks)
             a, b = similar_pairs(list(sets), ats, blocks if cell[1] != cell[2] else None, similarity)
-            names, node = np.unique(ats, return_inverse=True)
+            names, first, node = np.unique(ats, return_index=True, return_inverse=True)
             root = components(len(names), node[a], node[b])
-            far = root != np.arange(len(names))
-            return pa.RecordBatch.from_arrays([pa.array(names[far]), pa.array(names[root[far]])], names=["a", "b"])
+            far, own = root != np.arange(len(names)), np.flatnonzero(root == np.arange(len(names))) if cell[1] == cell[2] else np.zeros(0, int)
+            keys, none = list(held), [None] * int(far.sum())
+            out = [[*names[far], *names[own]], [*names[root[far]], *[None] * len(own)], [*none, *[cell[0]] * len(own)], [*none, *(keys[first[k]] for k in own)], [*none, *(rows[first[k]] for k in own)], [*none, *(len(sets[first[k]]) for k in own)]]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds.values(), strict=True)], names=list(kinds))
 
         for batch in batches:
-            for g, i, j, block, at, key, blob in zip(*(batch.column(c).to_pylist() for c in range(7)), strict=True):
+            for g, i, j, block, at, key, row, blob in zip(*(batch.column(c).to_pylist() for c in range(8)), strict=True):
                 if (g, i, j) != cell:
-                    if len(held) > 1:
-                        yield stars()
+                    if held:
+                        yield result()
                     cell, held = (g, i, j), {}
                 if key not in held and set_key(own := shingle_set(expand(blob).decode())) == key:
-                    held[key] = (at, block, own)
-        if len(held) > 1:
-            yield stars()
+                    held[key] = (at, block, row, own)
+        if held:
+            yield result()
 
     sieved = in_slots(texts.select("row", "text"), F.col("row"), wanted, F.col("member"))
     joined = sieved.mapInArrow(pack, "row long, blob binary").join(wanted, F.col("row") == F.col("member"))
-    dealt = joined.select(F.explode("cells").alias("c"), "at", "key", "blob").select("c.group", "c.i", "c.j", "c.block", "at", "key", "blob")
+    dealt = joined.select(F.explode("cells").alias("c"), "at", "key", "row", "blob").select("c.group", "c.i", "c.j", "c.block", "at", "key", "row", "blob")
     placed = dealt.repartition(_parts(texts.sparkSession), "group", "i", "j").sortWithinPartitions("group", "i", "j")
-    found = materialize(placed.mapInArrow(decide, "a long, b long").distinct(), "links")
+    found = materialize(placed.mapInArrow(decide, "a long, b long, group long, key binary, row long, n long"), "compared")
     discard(wanted)
     return found
 
 
 def verified_links(texts: DataFrame, members: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(a, b), b < a: links that connect all that is similar within the groups of ``members`` (row, key, at, n, group).
+    """(id, component) for the nodes that are linked to a smaller one: the smallest they are linked to.
 
-    ``texts``: (row, text). ``at`` is the node that a member belongs to: pairs
-    of one ``at`` are connected already and not compared, and links are
-    between nodes. Links connect nodes whenever a chain of similar pairs within
-    groups does; of pairs that are connected otherwise not all are listed.
+    ``members`` (row, key, at, n, group): ``at`` is the node that a member
+    belongs to. Nodes link if a chain of pairs of members, similar enough and
+    each within a group, leads from one to the other; members of one node
+    aren't compared. ``texts``: (row, text).
     """
     texts = small_batches(texts)
     blocks = F.greatest(F.ceil(F.count("*") / BLOCK_TEXTS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")
     sizes = members.groupBy("group").agg(F.min("at").alias("low"), F.max("at").alias("high"), blocks).filter("low < high").select("group", "blocks")
     open_ = materialize(members.join(sizes, "group").select("group", "blocks", "row", "key", "at", "n"), "members")
     dealt = lambda turn: F.pmod(F.xxhash64("key", F.lit(turn)), F.col("blocks")).cast("int")
-    own = lambda rows, turn: rows.withColumn("block", dealt(turn)).select("row", "key", "at", "group", F.col("block").alias("i"), F.col("block").alias("j"), "block")
-    found = _compare(texts, own(open_, 0), similarity)
+    own = lambda rows, turn: rows.withColumn("block", dealt(turn)).select("row", "key", "at", "n", "group", F.col("block").alias("i"), F.col("block").alias("j"), "block")
+    rounds = [_compare(texts, own(open_, 0), similarity)]
+    stars = rounds[0].filter("b is not null").select("a", "b")
     large, last, turn = open_.filter("blocks > 1"), None, 0
-    if large.isEmpty():
-        discard(open_)
-        return found
-    while True:
+    alone = large.isEmpty()
+    while not alone:  # the heads of a large group's blocks meet, as long as that joins them
         turn += 1
-        label = linked_components(found)
-        named = large.join(label.select(F.col("id").alias("at"), "component"), "at", "left").withColumn("at", F.coalesce("component", "at"))
-        heads = named.groupBy("group", "at").agg(F.min(F.struct("key", "row", "n")).alias("h")).select("group", "at", "h.key", "h.row", "h.n")
-        parted = materialize(heads.groupBy("group").agg(F.count("*").alias("parts"), blocks).filter("parts > 1"), "parted")
-        total = parted.agg(F.sum("parts")).head()[0] or 0
-        if not total:
-            return found
-        if last is not None and 2 * total > last:  # heads don't join them: compare all members
-            other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-            rest = named.join(parted.select("group"), "group").withColumn("block", dealt(0)).select("row", "key", "at", "group", "block", other).filter("block <> other")
-            cells = rest.select("row", "key", "at", "group", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block")
-            return materialize(found.unionByName(_compare(texts, cells, similarity)).distinct(), "links")
+        heads = rounds[-1].filter("b is null").select("group", "key", "row", "n", F.col("a").alias("at")).join(large.select("group").distinct(), "group", "left_semi")
+        several = materialize(heads.groupBy("group").agg(F.count("*").alias("parts"), blocks).filter("parts > 1"), "heads")
+        total = several.agg(F.sum("parts")).head()[0] or 0
+        if not total or last is not None and 2 * total > last:
+            break
         last = total
-        more = _compare(texts, own(heads.join(parted.select("group", "blocks"), "group"), turn), similarity)
-        found = materialize(found.unionByName(more).distinct(), "links")
+        rounds.append(_compare(texts, own(heads.join(several.select("group", "blocks"), "group"), turn), similarity))
+        stars = stars.unionByName(rounds[-1].filter("b is not null").select("a", "b"))
+    label = linked_components(stars.distinct())
+    if not alone:
+        named = large.join(label.select(F.col("id").alias("at"), "component"), "at", "left").withColumn("at", F.coalesce("component", "at")).drop("component")
+        parted = materialize(named.groupBy("group").agg(F.min("at").alias("low"), F.max("at").alias("high")).filter("low < high").select("group"), "parted")
+        if not parted.isEmpty():  # heads don't join these: compare all members
+            other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+            rest = named.join(parted, "group").withColumn("block", dealt(0)).select("row", "key", "at", "n", "group", "block", other).filter("block <> other")
+            cells = rest.select("row", "key", "at", "n", "group", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block")
+            rounds.append(_compare(texts, cells, similarity))
+            label = linked_components(stars.unionByName(rounds[-1].filter("b is not null").select("a", "b")).distinct())
+    discard(open_, *rounds)
+    return label

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparktrend.llm.common import LOWER, discard, in_slots, materialize, shingles, small_batches
-from sparktrend.llm.links import HOT, SIMILARITY, WORDS, bucket_count, bucketed, linked_components, node_of, parities, posting_groups, postings, pruned_groups, set_key, shingle_set, verified_links
+from sparktrend.llm.links import HOT, SIMILARITY, WORDS, bucket_count, bucketed, node_of, parities, posting_groups, postings, pruned_groups, set_key, shingle_set, verified_links
 
 #: Slots of a fingerprint; the standard error of a likeness is at most 0.5 / sqrt(SLOTS).
 SLOTS = 128
@@ -253,10 +253,9 @@ def _components(signed: DataFrame, texts: DataFrame, similarity: float) -> DataF
         groups = materialize(posting_groups(posted(first, last), similarity).join(at.select("node", "at"), "node"), "minhash-groups")
         pruned = pruned_groups(groups, at, similarity)
         members = at.join(pruned, "node").select(F.xxhash64("digest").alias("row"), "key", "at", "n", "group")
-        found = verified_links(texts, members, similarity)
-        label = linked_components(found).select(F.col("id").alias("at"), "component")
+        label = verified_links(texts, members, similarity).withColumnRenamed("id", "at")
         at = materialize(at.join(label, "at", "left").withColumn("at", F.coalesce("component", "at")).drop("component"), "minhash-linked")
-        made += [pruned, found, at]
+        made += [pruned, at]
     ids = at.groupBy("at").agg(F.min("class_id").alias("component_id"), F.count("*").alias("classes"))
     out = materialize(at.join(ids, "at").select("key", "class_id", "component_id"), "minhash-components")
     discard(*made)

@@ -360,16 +360,15 @@ def _similar_rows(docs: DataFrame, similarity: float, doc_id: str, text: str) ->
     slim = classes.select("row", "key", F.col("node").alias("at"), "n")
     members = slim.join(candidate_groups(classes).withColumnRenamed("node", "at"), "at")
     found = verified_links(texts, members, similarity)
-    label = lambda links: linked_components(links).select(F.col("id").alias("at"), "component")
-    linked = classes.withColumn("at", F.col("node")).join(label(found), "at", "left").withColumn("at", F.coalesce("component", "at")).drop("component", "fp")
+    linked = classes.withColumn("at", F.col("node")).join(found.withColumnRenamed("id", "at"), "at", "left").withColumn("at", F.coalesce("component", "at")).drop("component", "fp")
     linked = materialize(linked, "similar-linked")
     groups = rare_groups(texts, linked, similarity)
     more = verified_links(texts, linked.select("row", "key", "node", "at", "n").join(groups, "node").select("row", "key", "at", "n", "group"), similarity)
-    rooted = materialize(linked.select("at", "key", "doc_id").join(label(more), "at", "left").select(F.col("key").alias("k"), "doc_id", F.coalesce("component", "at").alias("root")), "similar-roots")
+    rooted = materialize(linked.select("at", "key", "doc_id").join(more.withColumnRenamed("id", "at"), "at", "left").select(F.col("key").alias("k"), "doc_id", F.coalesce("component", "at").alias("root")), "similar-roots")
     ids = rooted.groupBy("root").agg(F.min("doc_id").alias("component"))
     named = materialize(rooted.select("k", "root").join(ids, "root"), "similar-components")
     out = materialize(prints.select("doc_id", "row", "key").join(named, F.col("key") == F.col("k"), "left").select("doc_id", "row", "root", "component"), "similar-rows")
-    discard(prints, classes, linked, groups, found, more, rooted, named)
+    discard(prints, classes, linked, groups, rooted, named)
     return out
 
 

@@ -387,7 +387,7 @@ def test_links_of_a_large_group(spark, monkeypatch, kind):
     names = {i: links.node_of(links.set_key(s)) for i, s in enumerate(sets)}
     known = spark.createDataFrame([(i, links.set_key(s), names[i], len(s)) for i, s in enumerate(sets)], "id long, key binary, at long, n long")
     members = df.join(known, F.col("doc_id") == F.col("id")).select("row", "key", "at", "n", F.lit(7).cast("long").alias("group"))
-    found = {r["id"]: r["component"] for r in links.linked_components(links.verified_links(df, members)).collect()}
+    found = {r["id"]: r["component"] for r in links.verified_links(df, members).collect()}
     got = [found.get(names[i], names[i]) for i in range(len(texts))]
     want = plain_similar(texts)
     assert len(set(zip(got, want, strict=True))) == len(set(got)) == len(set(want))
