@@ -31,7 +31,7 @@ BLOCK_TEXTS, BLOCK_SHINGLES = 128, 1_000_000
 #: Postings that a bucket should hold, and of a value from which on they need no gathering: its name is their group.
 POSTINGS, HOT = 500_000, 50_000
 #: Fewest bits of a set's parities, and the most sets of a group that are compared by them in one task (larger groups go on whole).
-PARITIES, PRUNED = 256, 2_000
+PARITIES, PRUNED = 256, 500
 #: Sizes of sets travel as a number of steps of this ratio.
 STEP = 1.02
 POSTING = np.dtype([("s", "<u4"), ("node", "<i8"), ("size", "<u2")])

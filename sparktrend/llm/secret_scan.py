@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparktrend.llm.common import in_slots, materialize, small_batches
+from sparktrend.llm.common import discard, in_slots, materialize, small_batches
 
 PACKED = "sha256 binary, blob binary"
 LEDGER = "sha256 binary, rule string, version string, spans array<struct<start:int,end:int>>"
@@ -123,7 +123,9 @@ def scan_unseen(versions: DataFrame, ledger: DataFrame | None = None, rules: tup
     todo = materialize(unseen_pairs(versions, ledger, rules, text), "unseen")
     number = lambda sha: F.conv(F.substring(F.hex(sha), 1, 15), 16, 10).cast("long")
     some = in_slots(texts, number(_sha("text")), todo, number(F.col("sha256")))
-    return some.mapInArrow(pack, PACKED).join(todo, "sha256").repartition("sha256").mapInArrow(scan, LEDGER)
+    new = some.mapInArrow(pack, PACKED).join(todo, "sha256").repartition("sha256").mapInArrow(scan, LEDGER)
+    new._reads = [todo]
+    return new
 
 
 def findings_by_path(versions: DataFrame, ledger: DataFrame, path: str = "doc_id", rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
@@ -148,7 +150,9 @@ def update_ledger(versions: DataFrame, ledger_path: str, rules: tuple[Rule, ...]
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(ledger_path)
     exists = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
     known = spark.read.schema(schema).parquet(ledger_path) if exists else None
-    scan_unseen(versions, known, rules, text).write.mode("append").parquet(ledger_path)
+    new = scan_unseen(versions, known, rules, text)
+    new.write.mode("append").parquet(ledger_path)
+    discard(*getattr(new, "_reads", []))
     return spark.read.schema(schema).parquet(ledger_path)
 
 

@@ -36,6 +36,8 @@ FULL = (1 << 64) - 1
 SHARD, CROWDED = 1500, 12_000
 #: Most shards a tree; with SAMPLE points each, they bound what the driver sees.
 SHARDS, SAMPLE = 8192, 48
+#: Fingerprints that are routed through a tree at once.
+ROUTED = 20_000
 
 
 def majority(hashes: np.ndarray) -> int:
@@ -171,6 +173,19 @@ class Links:
         return components(n, np.concatenate([*edges_a, np.arange(n)]), np.concatenate([*edges_b, label]))
 
 
+def merged(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of ``rows`` or more, but for the last."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def shard_stars(classes: DataFrame, links: Links) -> DataFrame:
     """(a, b), b < a: for each shard, a's component there has the smallest id b. ``classes``: (id, fp), distinct."""
     spark = classes.sparkSession
@@ -190,7 +205,7 @@ def shard_stars(classes: DataFrame, links: Links) -> DataFrame:
     plan = spark.sparkContext.broadcast(trees)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in merged(batches, ROUTED):  # a walk through a tree costs the same for few rows as for many
             ids, fp = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(2))
             for tree, _, blocks, starts in plan.value:
                 rows, leaf, home = route(tree, fp.view(np.uint64))
