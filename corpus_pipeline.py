@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sparktrend.llm import stages
-from sparktrend.llm.common import materialize, table
+from sparktrend.llm.common import discard, materialize, table
 
 STAGES = [("quality", stages.quality_stage), ("simhash_near_dedup", stages.dedup_stage), ("pii", stages.pii_stage), ("mixing", stages.mixing_stage), ("packing", stages.packing_stage)]
 
@@ -19,8 +19,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``; each stage's result is written and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over the documents of ``sf_dir``; each stage's result is written and read again, and deleted after the next."""
+    docs, written = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+        discard(*written)
+        written = [docs]
+    packed = STAGES[-1][1](spark, docs, sf_dir)  # reads the pieces that it has written
+    discard(*written)
+    return packed
