@@ -366,10 +366,10 @@ def penalized(x: np.ndarray, y: np.ndarray, count: int) -> tuple[Callable[[np.nd
     share, turn = np.linalg.eigh(low_root @ gram @ low_root.T)
     share = np.clip(share, 0, 1)
     back = low_root.T @ turn
-    start, best = back.T @ right, None
+    start, spare, best = back.T @ right, 1e-9 * (back**2).sum(axis=0), None
     for lam in np.logspace(-3, 3, 11):
         damp = 1 / (share + lam * (1 - share))
-        coef, edof = back @ (damp * start), float((share * damp).sum())
+        coef, edof = back @ (damp * start), float(((share - spare) * damp).sum())
         score = len(x) * ((y - basis @ coef) ** 2).sum() / max(len(x) - 1.4 * edof, 1e-9) ** 2
         if best is None or score < best[0]:
             best = (score, coef, edof)

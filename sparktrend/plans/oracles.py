@@ -210,3 +210,87 @@ def proposal2(c: float = 1.5, rounds: int = 1000) -> str:
     step = f"CASE WHEN c[3] > 0 THEN c WHEN NOT c[2] > 0 OR {below} <= 0 THEN [c[1], c[2], 2::DOUBLE] WHEN abs(c[2] - {scale}) <= {scale} * 1e-6::DOUBLE AND abs(c[1] - {new}) <= {scale} * 1e-6::DOUBLE THEN [{new}, {scale}, 1::DOUBLE] ELSE [{new}, {scale}, 0::DOUBLE] END"
     fold = f"list_reduce(list_transform(range({rounds + 1}), lambda i: [med, mad / 0.6744897501960817::DOUBLE, 0::DOUBLE]), lambda c, i: {step})"
     return f"CASE WHEN n > 1 THEN CASE WHEN {fold}[3] = 1 THEN {fold}[1] ELSE med END END"
+
+
+def pspline(count: int = 12, rounds: int = 3, cut: int = 2) -> str:
+    """A uniform cubic B-spline with a second-difference penalty, its weight by generalised cross-validation; outliers on both sides go before each fit.
+
+    Ends in ``fits`` (id, k, segment_id, f, fit, edof) and ``r``. A row for each
+    segment and penalty weight is solved by elimination, with the products of
+    the basis as further right sides, whose trace is the degrees of freedom.
+    """
+    basis, sides = range(count), [f"y{i}" for i in range(count)]
+    diff = [[0] * j + [1, -2, 1] + [0] * (count - 3 - j) for j in range(count - 2)]
+    pen = lambda i, j: sum(d[i] * d[j] for d in diff)
+    a = lambda i, j: f"a{max(i, j)}_{min(i, j)}"
+    u = "(t - low) / step"
+    cell = f"least(greatest(floor({u}), 0), {count - 4})"
+    pieces = ["pow(1 - v, 3) / 6", "(3 * pow(v, 3) - 6 * pow(v, 2) + 4) / 6", "(-3 * pow(v, 3) + 3 * pow(v, 2) + 3 * v + 1) / 6", "pow(v, 3) / 6"]
+    out, last = [f"v0 AS MATERIALIZED (SELECT *, f / median(f) OVER ({SEG}) AS flat, true AS kept FROM s)"], "v0"
+    for n in range(1, rounds + 1):
+        own = [
+            f"k{n} AS MATERIALIZED (SELECT id, k, segment_id, t, f, kept AND abs(1 - flat) < {cut} * stddev_pop(flat) FILTER (kept) OVER ({SEG}) AS kept FROM {last})",
+            f"e{n} AS (SELECT *, min(t) FILTER (kept) OVER ({SEG}) AS low, max(t) FILTER (kept) OVER ({SEG}) AS high FROM k{n})",
+            f"g{n} AS (SELECT *, (high - low) / {count - 3} AS step FROM e{n})",
+            f"h{n} AS (SELECT *, {cell} AS cell, {u} - {cell} AS v FROM g{n})",
+            f"b{n} AS MATERIALIZED (SELECT id, k, segment_id, f, kept, " + ", ".join(f"CASE {i} - cell " + " ".join(f"WHEN {j} THEN {p}" for j, p in enumerate(pieces)) + f" ELSE 0 END AS b{i}" for i in basis) + f" FROM h{n})",
+            f"m{n} AS MATERIALIZED (SELECT k, segment_id, " + ", ".join([*(f"sum(b{i} * b{j}) AS g{i}_{j}" for i in basis for j in range(i + 1)), *(f"sum(b{i} * f) AS r{i}" for i in basis)]) + f" FROM b{n} WHERE kept GROUP BY k, segment_id)",
+        ]
+        start = [f"g{i}_{j} + {pen(i, j)} * lam + {'1e-9::DOUBLE' if i == j else '0'} AS a{i}_{j}" for i in basis for j in range(i + 1)]
+        start += [f"g{max(i, j)}_{min(i, j)} AS y{j}_{i}" for i in basis for j in basis]
+        own.append(f"l{n}_0 AS MATERIALIZED (SELECT k, segment_id, lam, " + ", ".join([*start, *(f"r{i}" for i in basis)]) + f" FROM m{n}, (SELECT pow(10::DOUBLE, -3 + 0.6::DOUBLE * i) AS lam FROM range(11) x(i)))")
+        right = ["r", *(f"{y}_" for y in sides)]
+        for j in range(count - 1):
+            new = [f"{a(i, m)} - {a(i, j)} * {a(m, j)} / {a(j, j)} AS {a(i, m)}" for i in range(j + 1, count) for m in range(j + 1, i + 1)]
+            new += [f"{q}{i} - {a(i, j)} * {q}{j} / {a(j, j)} AS {q}{i}" for i in range(j + 1, count) for q in right]
+            own.append(f"l{n}_{j + 1} AS MATERIALIZED (SELECT * REPLACE ({', '.join(new)}) FROM l{n}_{j})")
+        prior = f"l{n}_{count - 1}"
+        for i in reversed(basis):
+            new = [f"({q}{i}" + "".join(f" - {a(m, i)} * {q}{m}" for m in range(i + 1, count)) + f") / {a(i, i)} AS {q}{i}" for q in right]
+            own.append(f"x{n}_{i} AS MATERIALIZED (SELECT * REPLACE ({', '.join(new)}) FROM {prior})")
+            prior = f"x{n}_{i}"
+        fit = " + ".join(f"b{i} * r{i}" for i in basis)
+        own += [
+            f"w{n} AS MATERIALIZED (SELECT k, segment_id, lam, {' + '.join(f'y{i}_{i}' for i in basis)} AS edof, {', '.join(f'r{i}' for i in basis)} FROM {prior})",
+            f"t{n} AS MATERIALIZED (SELECT b.id, b.k, b.segment_id, f, kept, lam, edof, {fit} AS fit FROM b{n} b JOIN w{n} w ON b.k = w.k AND b.segment_id = w.segment_id)",
+            f"c{n} AS (SELECT k, segment_id, lam, count(*) * sum(pow(f - fit, 2)) / pow(greatest(count(*) - 1.4::DOUBLE * any_value(edof), 1e-9::DOUBLE), 2) AS score FROM t{n} WHERE kept GROUP BY k, segment_id, lam)",
+            f"o{n} AS (SELECT k, segment_id, arg_min(lam, score) AS lam FROM c{n} GROUP BY k, segment_id)",
+            f"z{n} AS MATERIALIZED (SELECT t{n}.* FROM t{n} JOIN o{n} ON t{n}.k = o{n}.k AND t{n}.segment_id = o{n}.segment_id AND t{n}.lam = o{n}.lam)",
+            f"v{n} AS MATERIALIZED (SELECT s.*, z{n}.fit, z{n}.edof, s.f / z{n}.fit AS flat, kept FROM s JOIN z{n} USING (id))",
+        ]
+        out += own
+        last = f"v{n}"
+    return ",\n" + ",\n".join(out) + f",\nr AS (SELECT id, segment_id, f, fit AS trend0 FROM {last})"
+
+
+def hspline(rounds: int = 200, epsilon: float = 1.35, alpha: float = 1e-4) -> str:
+    """Huber regression on the cubic basis of four knots (spans of four to five windows), by reweighting: a recursion with a row for each segment."""
+    cs = [f"c{i}" for i in range(5)]
+    basis = ["pow(1 - u, 3)", "3 * u * pow(1 - u, 2)", "3 * u * u * (1 - u)", "u * u * u", "1::DOUBLE"]
+    fit = " + ".join(f"b{i} * c{i}" for i in range(5))
+    a = lambda i, j: f"a{max(i, j)}_{min(i, j)}"
+
+    def solution(rows: str, keep: str) -> str:
+        """Nested selections that solve the weighted, damped normal equations of ``rows`` (k, segment_id, w, f, b0, ...)."""
+        sums = [f"sum(w * b{i} * b{j}) + {alpha if i == j < 4 else 0}::DOUBLE AS a{i}_{j}" for i in range(5) for j in range(i + 1)] + [f"sum(w * b{i} * f) AS r{i}" for i in range(5)]
+        text = f"SELECT k, segment_id, {keep}, {', '.join(sums)} FROM ({rows}) GROUP BY k, segment_id"
+        for j in range(4):
+            new = [f"{a(i, m)} - {a(i, j)} * {a(m, j)} / {a(j, j)} AS {a(i, m)}" for i in range(j + 1, 5) for m in range(j + 1, i + 1)] + [f"r{i} - {a(i, j)} * r{j} / {a(j, j)} AS r{i}" for i in range(j + 1, 5)]
+            text = f"SELECT * REPLACE ({', '.join(new)}) FROM ({text})"
+        for i in reversed(range(5)):
+            text = f"SELECT *, (r{i}" + "".join(f" - {a(m, i)} * c{m}" for m in range(i + 1, 5)) + f") / {a(i, i)} AS c{i} FROM ({text})"
+        return text
+
+    residual = f"SELECT b.*, n, s, abs(f - ({fit})) AS e FROM b JOIN it ON b.k = it.k AND b.segment_id = it.segment_id WHERE n < {rounds}"
+    scaled = f"SELECT *, sqrt(sum(CASE WHEN e > {epsilon}::DOUBLE * s THEN 0 ELSE e * e END) OVER ({SEG}) / (count(*) OVER ({SEG}) - count(*) FILTER (e > {epsilon}::DOUBLE * s) OVER ({SEG}) * {epsilon**2!r}::DOUBLE)) AS z FROM ({residual})"
+    weighed = f"SELECT * EXCLUDE (w), CASE WHEN e > {epsilon}::DOUBLE * z THEN {epsilon}::DOUBLE / e ELSE 1 / z END AS w FROM ({scaled})"
+    parts = [
+        SPANS,
+        f"u AS (SELECT *, (t - t0) / (t1 - t0) AS u FROM d)",
+        "b AS MATERIALIZED (SELECT id, k, segment_id, f, 1::DOUBLE AS w, " + ", ".join(f"{p} AS b{i}" for i, p in enumerate(basis)) + " FROM u)",
+        f"i0 AS MATERIALIZED ({solution('SELECT * FROM b', '0 AS n')})",
+        f"s0 AS MATERIALIZED (SELECT b.k, b.segment_id, stddev_pop(f - ({fit})) AS s FROM b JOIN i0 ON b.k = i0.k AND b.segment_id = i0.segment_id GROUP BY b.k, b.segment_id)",
+        f"it AS (SELECT i0.k, i0.segment_id, 0 AS n, s, {', '.join(cs)} FROM i0 JOIN s0 ON i0.k = s0.k AND i0.segment_id = s0.segment_id UNION ALL SELECT k, segment_id, n, s, {', '.join(cs)} FROM ({solution(weighed, 'any_value(n) + 1 AS n, any_value(z) AS s')}))",
+        f"r AS (SELECT id, b.segment_id, f, {fit} AS trend0 FROM b JOIN it ON b.k = it.k AND b.segment_id = it.segment_id AND n = {rounds})",
+    ]
+    return ",\n" + ",\n".join(parts)

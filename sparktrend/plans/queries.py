@@ -172,9 +172,10 @@ def queries() -> dict[str, Query]:
         "lowess_masked": _flat(mask=True, method="lowess", digits=FITTED, **WIDE),
         "rspline": _flat(method="rspline", digits=FITTED, **WIDE),
         "rspline_masked": _flat(mask=True, method="rspline", digits=FITTED, **WIDE),
-        "hspline": _flat(method="hspline", digits=FITTED, **WIDE),
+        "hspline": _flat(method="hspline", digits=SPARSE, **WIDE),
         "pspline": _flat(method="pspline", max_splines=12, digits=FITTED, **WIDE),
         "pspline_nsplines": spline_counts,
+        "pspline_nsplines_whole": lambda spark, sf_dir: nsplines(event_series(spark, sf_dir), **USER, max_splines=12, **WIDE).select("user_id", "segment_id", "nsplines"),
         "supersmoother": _flat(method="supersmoother", digits=FITTED, **WIDE),
         "gp_squared_exp": _flat(method="gp", kernel="squared_exp", kernel_size=2.0, digits=FITTED, **WIDE),
         "gp_matern": _flat(mask=True, method="gp", kernel="matern", kernel_size=2.0, robust=True, digits=FITTED, **WIDE),
@@ -308,6 +309,8 @@ SELECT user_id, round(omega, 3) AS omega, round(0.5::DOUBLE * ((ct * yc + st * y
         "huber": _slider_sql(oracles.proposal2(), slow=True),
         "cosine": _whole_sql(oracles.cosine()), "cofiam": _whole_sql(oracles.cosine()), "cosine_robust": _whole_sql(oracles.cosine_robust(), **masked),
         "lowess": _whole_sql(oracles.lowess()), "lowess_masked": _whole_sql(oracles.lowess(), **masked), "rspline": _whole_sql(oracles.rspline()), "rspline_masked": _whole_sql(oracles.rspline(), **masked),
+        "pspline": _whole_sql(oracles.pspline()), "hspline": _whole_sql(oracles.hspline(), SPARSE).replace("WITH", "WITH RECURSIVE", 1),
+        "pspline_nsplines_whole": "WITH" + _SEGMENTS.format(**_EVENTS | {"tol": "5"}) + oracles.pspline() + " SELECT k AS user_id, segment_id, ceil(any_value(edof)) AS nsplines FROM v3 GROUP BY k, segment_id",
         "supersmoother": _whole_sql(oracles.supersmoother()), "ridge": _whole_sql(oracles.ridge()), "lasso": _whole_sql(oracles.elastic(1.0), SPARSE), "elasticnet": _whole_sql(oracles.elastic(0.5), SPARSE),
         "savgol": "WITH" + _SEGMENTS.format(**_EVENTS) + oracles.savgol5() + _FINAL.format(**_EVENTS),
     }
