@@ -66,26 +66,29 @@ def discard(*tables: DataFrame) -> None:
         delete_path(t.sparkSession, t._written)
 
 
-#: Slots of ``in_slots``: what bounds its broadcast.
-SLOTS = 1 << 20
+#: Slots of ``in_slots``, a bit each; a row of its broadcast holds ``PAGE`` of them.
+SLOTS, PAGE = 1 << 26, 1 << 15
 
 
 def in_slots(df: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column, inside: bool = True) -> DataFrame:
-    """The rows of ``df`` whose key (a long hash) shares its last 20 bits with a key of ``wanted``, or else the others.
+    """The rows of ``df`` whose key (a long hash) shares its last 26 bits with a key of ``wanted``, or else the others.
 
     A cheap first sieve before a join that would shuffle wide rows: what is
-    broadcast are at most ``SLOTS`` numbers, whatever the size of the tables.
-    As these fill up it keeps more and more rows, in the end all. Keys aren't null.
+    broadcast is a bitmap of ``SLOTS`` bits at most (8 MB), whatever the size
+    of the tables. As these fill up it keeps more and more rows, in the end
+    all. Keys aren't null.
     """
-    name = fresh("__slot", df.columns)
-    slots = wanted.select(F.pmod(wanted_key, F.lit(SLOTS)).alias(name)).distinct()
-    found = df.withColumn(name, F.pmod(key, F.lit(SLOTS)))
-    how = "left_semi" if inside else "left_anti"
-    return found.join(F.broadcast(slots), name, how).select(*[F.col(f"`{c}`") for c in df.columns])
+    page, place, bits = (fresh(f"__{n}", df.columns) for n in ("page", "place", "bits"))
+    spot = lambda k: F.pmod(k, F.lit(SLOTS))
+    pages = wanted.select(spot(wanted_key).alias("s")).groupBy(F.shiftright("s", 15).alias(page)).agg(F.bitmap_construct_agg(F.col("s") % PAGE).alias(bits))
+    joined = df.withColumns({page: F.shiftright(spot(key), 15), place: (spot(key) % PAGE).cast("int")}).join(F.broadcast(pages), page, "left")
+    octet = F.conv(F.hex(F.substring(F.col(bits), F.shiftright(place, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    held = F.coalesce(octet.bitwiseAND(F.element_at(F.array(*[F.lit(1 << i) for i in range(8)]), F.col(place) % 8 + 1)) > 0, F.lit(False))
+    return joined.filter(held if inside else ~held).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 #: Most rows of an Arrow batch: whole texts are large, and a batch is held by the JVM and the worker at once.
-BATCH_ROWS = 500
+BATCH_ROWS = 200
 
 
 def small_batches(df: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from sparktrend.llm.common import materialize, small_batches
 
-#: Entries of a generation of a worker's word cache (a memory bound; results don't depend on it).
+#: Default of the entries of a generation of a worker's word cache (a memory bound; results don't depend on it).
 CACHE_ENTRIES = 400_000
 #: Default of the branches and fillings that a plan's search tries after its first descent (see ``plan_bins``).
 NODES = 2_000
@@ -47,7 +47,8 @@ class _Words(dict):
     of the signs behind them.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, entries: int):
+        self.entries = entries
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -62,7 +63,7 @@ class _Words(dict):
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHE_ENTRIES:
+        if len(self) >= self.entries:
             self.old = dict(self)
             self.clear()
         if (ids := self.old.get(word)) is None:
@@ -85,14 +86,14 @@ class _Words(dict):
         return b"".join(map(self.__getitem__, text.split()))
 
 
-def word_ids(path: str) -> Callable[[str], bytes]:
+def word_ids(path: str, entries: int = CACHE_ENTRIES) -> Callable[[str], bytes]:
     """A worker's encoder for the tokenizers file at ``path``."""
-    if path not in _words:
-        _words[path] = _Words(path)
+    if path not in _words or _words[path].entries != entries:
+        _words[path] = _Words(path, entries)
     return _words[path].text
 
 
-def cut_pieces(df: DataFrame, path: str, capacity: int = 2048, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def cut_pieces(df: DataFrame, path: str, capacity: int = 2048, doc_id: str = "doc_id", text: str = "text", entries: int = CACHE_ENTRIES) -> DataFrame:
     """One row for each piece: doc_id, piece, start, length, ids_crc32, task, rank.
 
     A document is its ids and then id 0 (null and empty texts: id 0 alone).
@@ -100,7 +101,7 @@ def cut_pieces(df: DataFrame, path: str, capacity: int = 2048, doc_id: str = "do
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, task, seen, width = word_ids(path), TaskContext.get().partitionId(), [0] * (capacity + 1), 4 * capacity
+        encode, task, seen, width = word_ids(path, entries), TaskContext.get().partitionId(), [0] * (capacity + 1), 4 * capacity
         for batch in batches:
             rows = []
             for doc, t in zip(batch.column(0), batch.column(1), strict=True):
@@ -288,7 +289,7 @@ def plan_bins(histogram: dict[int, int], capacity: int = 2048, nodes: int = NODE
     return best
 
 
-def pack_documents(df: DataFrame, path: str, capacity: int = 2048, doc_id: str = "doc_id", text: str = "text", nodes: int = NODES) -> DataFrame:
+def pack_documents(df: DataFrame, path: str, capacity: int = 2048, doc_id: str = "doc_id", text: str = "text", nodes: int = NODES, entries: int = CACHE_ENTRIES) -> DataFrame:
     """Pack all documents of ``df`` into sequences of at most ``capacity`` tokens.
 
     Returns one row for each piece: doc_id, piece, start, length, ids_crc32,
@@ -298,8 +299,9 @@ def pack_documents(df: DataFrame, path: str, capacity: int = 2048, doc_id: str =
     ignored; an empty table gives no rows. Ranks come from the written pieces,
     so a retried task repeats the same places. ``nodes`` bounds the driver's
     search (see ``plan_bins``); any bound gives a whole, valid packing.
+    ``entries`` bounds a generation of a worker's word cache.
     """
-    pieces = materialize(cut_pieces(df, path, capacity, doc_id, text), "pieces")
+    pieces = materialize(cut_pieces(df, path, capacity, doc_id, text, entries), "pieces")
     by_task = pieces.groupBy("task", "length").agg(F.count("*").alias("n"))
     histogram = {r["length"]: r["n"] for r in by_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most capacity rows
     starts, next_rank, sequence = [], dict.fromkeys(histogram, 0), 0

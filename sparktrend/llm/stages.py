@@ -20,6 +20,8 @@ from sparktrend.llm.queries import DEMO_KEY, vocabulary
 
 #: A document stays if its chance of good quality is at least this.
 QUALITY = 0.3
+#: Words that a worker of the last stage remembers, twice; executors also hold what the stages before have left.
+WORDS = 100_000
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -72,4 +74,4 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     Each row is a document of its own, repeated ones included; null and empty texts are one token.
     """
-    return packing.pack_documents(docs, vocabulary("word_bpe_49k.json"), 2048)
+    return packing.pack_documents(docs, vocabulary("word_bpe_49k.json"), 2048, entries=WORDS)

@@ -9,12 +9,13 @@ from collections import Counter, defaultdict
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as hs
 from pyspark.sql import functions as F
 
-from sparktrend.llm import ann, links, minhash, mixing, packing, pii, quality, secret_scan, simhash, token_count, toxicity
+from sparktrend.llm import ann, common, links, minhash, mixing, packing, pii, quality, secret_scan, simhash, token_count, toxicity
 from sparktrend.llm.queries import vocabulary
 
 sys.path.insert(0, str(Path(__file__).parent))
@@ -36,6 +37,30 @@ def texts_of(seed, n, length=60):
     return [" ".join(rng.choice(WORDS, length)) for _ in range(n)]
 
 
+# --- helpers ---------------------------------------------------------------
+
+
+def test_sieves_keep_what_is_wanted(spark, monkeypatch):
+    keys = [int(k) for k in np.random.default_rng(0).integers(-(2**63), 2**63, 3000)]
+    df = spark.createDataFrame([(k, f"t{i}") for i, k in enumerate(keys)], "k long, __bits string")
+    wanted = df.limit(0).union(df.filter("substring(__bits, -1) = '7'")).select(F.col("k").alias("w"))
+    want = {k for i, k in enumerate(keys) if i % 10 == 7}
+    inside, outside = (common.in_slots(df, F.col("k"), wanted, F.col("w"), x).collect() for x in (True, False))
+    assert {r["k"] for r in inside} == want and {r["k"] for r in outside} == set(keys) - want and inside[0].asDict().keys() == {"k", "__bits"}
+    assert common.in_slots(df, F.col("k"), wanted.limit(0), F.col("w")).count() == 0
+    monkeypatch.setattr(common, "SLOTS", 1 << 2)  # full: all are kept
+    assert common.in_slots(df, F.col("k"), wanted, F.col("w")).count() == 3000
+
+
+def test_the_callers_session_stays(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    small = common.small_batches(spark.range(1000).repartition(1))
+    count = lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches)
+    assert max(r["n"] for r in small.mapInArrow(count, "n long").collect()) == common.BATCH_ROWS
+    assert spark.conf.get(key) == before
+
+
 # --- secrets ---------------------------------------------------------------
 
 
