@@ -4,8 +4,8 @@ A group may hold any number of texts. It is dealt out in blocks of bounded
 size: first each block links its own texts, then rounds link the components'
 heads, which join the blocks of a group of copies at the cost of a few texts.
 Only where that leaves a group in parts do all its texts meet those of its
-other blocks, pair of blocks by pair of blocks. So each pair of a group that
-isn't connected already is compared, and no task holds more than two blocks.
+other blocks, in cells of two times eight blocks. So each pair of a group that
+isn't connected already is compared, and no task holds more than such a cell.
 
 Groups come from postings (a value, such as a shingle or a band of slots, and
 the set that has it), which travel packed (``posting_groups``).
@@ -28,6 +28,8 @@ from sparktrend.llm.common import discard, in_slots, materialize, shingles, smal
 WORDS, SIMILARITY = 5, 0.8
 #: Most texts (but for chance, as blocks are dealt by a hash), and about as many shingles, of a block.
 BLOCK_TEXTS, BLOCK_SHINGLES = 128, 1_000_000
+#: Most blocks that the comparison of all members takes together: a text travels once for each such wide block.
+WIDE = 8
 #: Postings that a bucket should hold, and of a value from which on they need no gathering: its name is their group.
 POSTINGS, HOT = 500_000, 50_000
 #: Fewest bits of a set's parities, and the most sets of a group that are compared by them in one task (larger groups go on whole).
@@ -328,8 +330,10 @@ def verified_links(texts: DataFrame, members: DataFrame, similarity: float = SIM
     """
     texts = small_batches(texts)
     blocks = F.greatest(F.ceil(F.count("*") / BLOCK_TEXTS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")
-    sizes = members.groupBy("group").agg(F.min("at").alias("low"), F.max("at").alias("high"), blocks).filter("low < high").select("group", "blocks")
-    open_ = materialize(members.join(sizes, "group").select("group", "blocks", "row", "key", "at", "n"), "members")
+    per_block = F.sum("n") / F.greatest(F.ceil(F.count("*") / BLOCK_TEXTS), F.ceil(F.sum("n") / BLOCK_SHINGLES))
+    wide = F.greatest(F.lit(1), F.least(F.lit(WIDE), F.floor(2 * BLOCK_SHINGLES / per_block))).cast("int").alias("wide")  # fewer where texts are long
+    sizes = members.groupBy("group").agg(F.min("at").alias("low"), F.max("at").alias("high"), blocks, wide).filter("low < high").select("group", "blocks", "wide")
+    open_ = materialize(members.join(sizes, "group").select("group", "blocks", "wide", "row", "key", "at", "n"), "members")
     dealt = lambda turn: F.pmod(F.xxhash64("key", F.lit(turn)), F.col("blocks")).cast("int")
     own = lambda rows, turn: rows.withColumn("block", dealt(turn)).select("row", "key", "at", "n", "group", F.col("block").alias("i"), F.col("block").alias("j"), "block")
     rounds = [_compare(texts, own(open_, 0), similarity)]
@@ -351,9 +355,10 @@ def verified_links(texts: DataFrame, members: DataFrame, similarity: float = SIM
         named = large.join(label.select(F.col("id").alias("at"), "component"), "at", "left").withColumn("at", F.coalesce("component", "at")).drop("component")
         parted = materialize(named.groupBy("group").agg(F.min("at").alias("low"), F.max("at").alias("high")).filter("low < high").select("group"), "parted")
         if not parted.isEmpty():  # heads don't join these: compare all members
-            other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-            rest = named.join(parted, "group").withColumn("block", dealt(0)).select("row", "key", "at", "n", "group", "block", other).filter("block <> other")
-            cells = rest.select("row", "key", "at", "n", "group", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block")
+            mine, other = F.floor(F.col("block") / F.col("wide")).cast("int"), F.explode(F.sequence(F.lit(0), F.ceil(F.col("blocks") / F.col("wide")).cast("int") - 1)).alias("other")
+            rest = named.join(parted, "group").withColumn("block", dealt(0)).select("row", "key", "at", "n", "group", "block", mine.alias("mine"), other)
+            # Pairs of one block are compared already, so these cells never have i = j.
+            cells = rest.select("row", "key", "at", "n", "group", F.least("mine", "other").alias("i"), (F.greatest("mine", "other") + (1 << 20)).alias("j"), "block")
             rounds.append(_compare(texts, cells, similarity))
             label = linked_components(stars.unionByName(rounds[-1].filter("b is not null").select("a", "b")).distinct())
     discard(open_, *rounds)
