@@ -151,33 +151,45 @@ def _undominated(filling: list[tuple[int, int]], counts: list[int], waste: int)
     return not several & free and not any(one << d & free for d in range(1, waste + 1))
 
 
-def fillings(room: int, counts: list[int], most: int, tries: list[int]) -> Iterator[tuple[int, list[tuple[int, int]]]]:
+def _reachable(room: int, counts: list[int]) -> tuple[list[int], list[int]]:
+    """The lengths that fit into ``room``, longest first, and for each the sums (as bits) that it and all shorter ones can make."""
+    sizes = [s for s in range(room, 0, -1) if counts[s]]
+    whole, reach = (1 << (room + 1)) - 1, [1]
+    for s in reversed(sizes):
+        sums, left, step = reach[-1], min(counts[s], room // s), 1
+        while left:  # binary splitting of how many there are
+            step = min(step, left)
+            sums |= sums << s * step & whole
+            left, step = left - step, 2 * step
+        reach.append(sums)
+    return sizes, reach[::-1]
+
+
+def fillings(room: int, counts: list[int], most: int, tries: list[int], latest: list | None = None) -> Iterator[tuple[int, list[tuple[int, int]]]]:
     """(waste, pieces as (length, how many)) for the undominated fillings of ``room`` that waste ``most`` or less, least waste first.
 
     ``counts``: pieces by length. ``tries``: each filling that is tested for
     dominance takes one of its only entry; it ends at 0. Branch and bound over the lengths in
     descending order, the longest and as many of it as fit first. The bound is
     exact: for each length, the sums that it and all shorter ones can make.
+
+    These take hundreds of KB, so of the iterators that share ``latest`` only
+    the one that moved last keeps its own; another makes them anew. ``counts``
+    may change between two steps, but is as it was whenever one is asked for.
     """
+    latest, own = [None] if latest is None else latest, object()
     if counts[room] and room:
         yield 0, [(room, 1)]  # dominates all others
         return
-    sizes = [s for s in range(room, 0, -1) if counts[s]]
-    whole = (1 << (room + 1)) - 1
-    reach = [1]
-    for s in reversed(sizes):
-        sums, left, step = reach[-1], min(counts[s], room // s), 1
-        while left:  # binary splitting of how many there are
-            step = min(step, left)
-            sums |= sums << s * step & whole
-            left, step = left - step, 2 * step
-        reach.append(sums)
-    reach.reverse()
-    for total in _bits(reach[0] & whole):
+    latest[:] = own, *_reachable(room, counts)
+    for total in _bits(latest[2][0]):
         if (waste := room - total) > most:
             return
         stack: list[tuple[int, int, tuple]] = [(0, total, ())]
         while stack:
+            if latest[0] is not own:
+                latest[:] = own, *_reachable(room, counts)
+            _, sizes, reach = latest
             at, left, chosen = stack.pop()
             while left and at < len(sizes):
                 s = sizes[at]
@@ -189,6 +201,7 @@ def fillings(room: int, counts: list[int], most: int, tries: list[int]) -> Itera
                     chosen = (*chosen, (s, fits[0])) if fits[0] else chosen
                 at += 1
             tries[0] -= 1
+            sizes = reach = None
             if _undominated(list(chosen), counts, waste):
                 yield waste, list(chosen)
             if tries[0] <= 0:
@@ -247,23 +260,31 @@ def plan_bins(histogram: dict[int, int], capacity: int = 2048, nodes: int = NODE
     best = best_fit(counts)
     fewest, tries = sum(p.copies for p in best), [sys.maxsize]  # until the first descent has ended
 
-    def branches(counts: list[int], waste: int) -> Iterator[tuple[int, dict[int, int], int]]:
+    latest: list = [None]
+
+    def branches(waste: int) -> Iterator[tuple[int, dict[int, int], int]]:
         top = next(s for s in range(capacity, 0, -1) if counts[s])
-        counts = list(counts)
         counts[top] -= 1
-        for lost, extra in fillings(capacity - top, counts, (fewest - 1) * capacity - total - waste, tries):
+        for lost, extra in fillings(capacity - top, counts, (fewest - 1) * capacity - total - waste, tries, latest):
+            counts[top] += 1
             items = {top: 1}
             for s, n in extra:
                 items[s] = items.get(s, 0) + n
-            copies = min((counts[s] + (s == top)) // n for s, n in items.items())
+            copies = min(counts[s] // n for s, n in items.items())
             while copies:
                 yield lost, items, copies
                 copies //= 2
+            counts[top] -= 1
+        counts[top] += 1
 
-    # A level of the stack: pieces left, bins and waste so far, the branches that remain; ``plan`` holds the branch taken at each.
-    stack, plan = [(counts, 0, 0, branches(counts, 0) if total else iter(()))], []
+    # A level of the stack: bins and waste so far, the branches that remain; ``plan`` holds the branch taken at each, and ``counts``
+    # what all of them leave: there are thousands of levels, so none has counts of its own.
+    stack, plan = [(0, 0, branches(0) if total else iter(()))], []
     while stack and fewest > least and tries[0] > 0:
-        held, bins, waste, rest = stack[-1]
+        bins, waste, rest = stack[-1]
+        for p in plan[len(stack) - 1 :]:
+            for s, n in p.items:
+                counts[s] += n * p.copies
         del plan[len(stack) - 1 :]
         if (branch := next(rest, None)) is None:
             stack.pop()
@@ -274,16 +295,15 @@ def plan_bins(histogram: dict[int, int], capacity: int = 2048, nodes: int = NODE
             tries[0] = min(tries[0], nodes)
             continue
         tries[0] -= 1
-        left = list(held)
         for s, n in items.items():
-            left[s] -= n * copies
+            counts[s] -= n * copies
         plan.append(Pattern(sorted(items.items(), reverse=True), copies))
         bins, waste = bins + copies, waste + lost * copies
-        if not any(left):
+        if not any(counts):
             best, fewest = list(plan), bins
             tries[0] = min(tries[0], nodes)
-        elif bins + least_bins(left) < fewest:
-            stack.append((left, bins, waste, branches(left, waste)))
+        elif bins + least_bins(counts) < fewest:
+            stack.append((bins, waste, branches(waste)))
         else:
             tries[0] = min(tries[0], nodes)
     return best

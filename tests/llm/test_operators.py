@@ -4,6 +4,7 @@ import hashlib
 import os
 import re
 import sys
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 from pathlib import Path
@@ -217,6 +218,19 @@ def test_plans_of_odd_histograms():
     assert check_plan(packing.plan_bins(every, nodes=0), every, 2048) >= sum(p.copies for p in plan)
 
 
+def test_a_plan_of_many_patterns_takes_little_memory():
+    counts = np.random.default_rng(3).integers(0, 60, 1025).tolist()  # best fit is over the lower bound, so the search goes down about a thousand levels
+    histogram = {s: n for s, n in enumerate(counts) if s and n}
+    tracemalloc.start()
+    try:
+        plan = packing.plan_bins(histogram, 1024)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert check_plan(plan, histogram, 1024) <= sum(p.copies for p in packing.best_fit([0, *counts[1:]]))
+    assert peak < 8e6
+
+
 def test_packing_very_short_documents(spark):
     df = spark.range(1200).select(F.col("id").alias("doc_id"), F.lit(None).cast("string").alias("text")).union(spark.createDataFrame([(5000, "a")], "doc_id long, text string"))
     rows = packing.pack_documents(df, vocabulary("word_bpe_49k.json"), 64).collect()
