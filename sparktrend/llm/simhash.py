@@ -25,6 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -293,18 +294,23 @@ def common_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
     return hashes[order], n[order], min(share / 1_000_000, 1.0)
 
 
+def held_by(own: np.ndarray, hashes: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """How many texts of the sample hold each of ``own``, as ``common_shingles`` has it (0: not among those)."""
+    if not len(hashes):
+        return np.zeros(len(own), np.int64)
+    at = np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)
+    return np.where(hashes[at] == own, n[at], 0)
+
+
 def rarest(own: np.ndarray, hashes: np.ndarray, n: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
     """The rarest of the distinct shingles ``own``, and their counts: so many that a set at least as similar and no larger holds one of them among its own rarest."""
-    held = np.zeros(len(own), np.int64)
-    if len(hashes):
-        at = np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)
-        held = np.where(hashes[at] == own, n[at], 0)
+    held = held_by(own, hashes, n)
     first = np.lexsort((own, held))[: len(own) - int(np.ceil(similarity * len(own) - 1e-9)) + 1]
     return own[first], held[first]
 
 
-def _sets(texts: DataFrame) -> DataFrame:
-    """(doc_id, row, key, node, n, fp, bits): of the text's set of shingles, the digest, its first 64 bits, the size, the fingerprint (each shingle counts once, as in the similarity), and its parities."""
+def _sets(texts: DataFrame, common: Broadcast, similarity: float) -> DataFrame:
+    """(doc_id, row, key, node, n, fp, bits, rare): of the text's set of shingles, the digest, its first 64 bits, the size, the fingerprint (each shingle counts once, as in the similarity), its parities, and its ``rarest`` (8 bytes each), so that texts are cut into shingles once. ``common``: what ``common_shingles`` returns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -312,12 +318,12 @@ def _sets(texts: DataFrame) -> DataFrame:
             for t in batch.column(1):
                 own = shingle_set(t.as_py())
                 key = set_key(own)
-                rows.append((key, node_of(key), len(own), np.uint64(majority(own)).astype(np.int64), parities(own)))
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
-            kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["doc_id", "row", "key", "node", "n", "fp", "bits"])
+                rows.append((key, node_of(key), len(own), np.uint64(majority(own)).astype(np.int64), parities(own), rarest(own, *common.value[:2], similarity)[0].tobytes()))
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
+            kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["doc_id", "row", "key", "node", "n", "fp", "bits", "rare"])
 
-    return texts.mapInArrow(run, "doc_id long, row long, key binary, node long, n long, fp long, bits binary")
+    return texts.mapInArrow(run, "doc_id long, row long, key binary, node long, n long, fp long, bits binary, rare binary")
 
 
 def candidate_groups(classes: DataFrame) -> DataFrame:
@@ -328,8 +334,8 @@ def candidate_groups(classes: DataFrame) -> DataFrame:
     return classes.join(named, F.col("fp") == F.col("f")).select("node", "group")
 
 
-def rare_groups(texts: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
-    """(node, group) of the classes (node, at, n, bits) of ``texts`` such that any similar two of different ``at`` share a group.
+def rare_groups(sets: DataFrame, classes: DataFrame, common: Broadcast, similarity: float) -> DataFrame:
+    """(node, group) of the classes (node, at, n, bits) of ``sets`` (node, n, rare; see ``_sets``) such that any similar two of different ``at`` share a group.
 
     In one order of all shingles, the first |y| - ceil(s |y|) + 1 of a set y and
     the first |x| - ceil(2 s / (1 + s) |x|) + 1 of a set x no larger have one in
@@ -340,28 +346,25 @@ def rare_groups(texts: DataFrame, classes: DataFrame, similarity: float) -> Data
     packed, 14 bytes each. Those of a shingle that the sample shows to be in
     very many texts' prefixes are dealt out by text and form one group as they are.
     """
-    spark = texts.sparkSession
-    hashes, counts, share = common_shingles(texts)
-    common = spark.sparkContext.broadcast((hashes, counts))
-    buckets = bucket_count(spark, (1 - similarity) * (classes.agg(F.sum("n")).head()[0] or 0) + classes.count())
+    buckets = bucket_count(sets.sparkSession, (1 - similarity) * (classes.agg(F.sum("n")).head()[0] or 0) + classes.count())
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # a class leaves a task once
+        hashes, counts, share = common.value
         for batch in batches:
             shingle, rows = [], []
-            for t in batch.column(0):
-                own = shingle_set(t.as_py())
-                if (node := node_of(set_key(own))) in seen:
+            for node, n, rare in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                if node in seen:
                     continue
                 seen.add(node)
-                first, held = rarest(own, *common.value, similarity)
-                small = np.arange(len(first)) < len(own) - np.ceil(2 * similarity / (1 + similarity) * len(own) - 1e-9) + 1
+                first = np.frombuffer(rare, np.uint64)
+                small = np.arange(len(first)) < n - np.ceil(2 * similarity / (1 + similarity) * n - 1e-9) + 1
                 shingle.append(first)
-                rows.append(postings(first, np.full(len(first), node), np.full(len(first), len(own)), small, held / share >= HOT))
+                rows.append(postings(first, np.full(len(first), node), np.full(len(first), n), small, held_by(first, hashes, counts) / share >= HOT))
             if rows:
                 yield bucketed(np.concatenate(shingle), np.concatenate(rows), buckets)
 
-    posted = texts.select("text").mapInArrow(post, "bucket long, postings binary")
+    posted = sets.select("node", "n", "rare").mapInArrow(post, "bucket long, postings binary")
     groups = posting_groups(posted, similarity).join(classes.select("node", "at"), "node")
     return pruned_groups(materialize(groups, "rare-groups"), classes, similarity)
 
@@ -369,7 +372,8 @@ def rare_groups(texts: DataFrame, classes: DataFrame, similarity: float) -> Data
 def _similar_rows(docs: DataFrame, similarity: float, doc_id: str, text: str) -> DataFrame:
     """(doc_id, row, root, component) for every row of ``docs``: ``root`` names the component, ``component`` is its smallest doc_id."""
     texts = small_batches(document_rows(docs, doc_id, text))
-    prints = materialize(_sets(texts), "similar-sets")
+    common = texts.sparkSession.sparkContext.broadcast(common_shingles(texts))
+    prints = materialize(_sets(texts, common, similarity), "similar-sets")
     least = prints.groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "node", "n", "fp", "bits")).alias("least"))
     classes = materialize(least.select("key", *(F.col(f"least.{c}").alias(c) for c in ("doc_id", "row", "node", "n", "fp", "bits"))), "similar-classes")
     slim = classes.select("row", "key", F.col("node").alias("at"), "n")
@@ -377,7 +381,7 @@ def _similar_rows(docs: DataFrame, similarity: float, doc_id: str, text: str) ->
     found = verified_links(texts, members, similarity)
     linked = classes.withColumn("at", F.col("node")).join(found.withColumnRenamed("id", "at"), "at", "left").withColumn("at", F.coalesce("component", "at")).drop("component", "fp")
     linked = materialize(linked, "similar-linked")
-    groups = rare_groups(texts, linked, similarity)
+    groups = rare_groups(prints, linked, common, similarity)
     more = verified_links(texts, linked.select("row", "key", "node", "at", "n").join(groups, "node").select("row", "key", "at", "n", "group"), similarity)
     rooted = materialize(linked.select("at", "key", "doc_id").join(more.withColumnRenamed("id", "at"), "at", "left").select(F.col("key").alias("k"), "doc_id", F.coalesce("component", "at").alias("root")), "similar-roots")
     ids = rooted.groupBy("root").agg(F.min("doc_id").alias("component"))

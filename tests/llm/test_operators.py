@@ -469,6 +469,17 @@ def test_dropping_decides_by_row(spark):
     assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr) == sorted([(2, a), (4, b), (None, c), (9, d)], key=repr)
 
 
+def test_sets_bring_their_rarest_shingles(spark):
+    """Postings come from the table of sets: texts are cut into shingles once."""
+    texts = ["one two three four five six seven", "one two three four five six eight", " ".join(f"w{i % 40}" for i in range(300)), "", None]
+    rows = simhash.document_rows(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id", "text")
+    found = simhash.common_shingles(rows)
+    for r in simhash._sets(rows, spark.sparkContext.broadcast(found), 0.8).collect():
+        own = links.shingle_set(texts[r["doc_id"]])
+        assert np.frombuffer(r["rare"], np.uint64).tolist() == simhash.rarest(own, *found[:2], 0.8)[0].tolist()
+        assert r["n"] == len(own)
+
+
 # --- mixture ---------------------------------------------------------------
 
 
