@@ -87,6 +87,23 @@ def in_slots(df: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column,
     return joined.filter(held if inside else ~held).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
+#: Keys that hold more than one in so many of all rows are hot: ``join_spread`` broadcasts their rows, which are fewer than that.
+HOT_KEYS = 1_000
+
+
+def join_spread(left: DataFrame, right: DataFrame, key: str, weight: str) -> DataFrame:
+    """``left`` joined with ``right``, a written table that has each key once and in ``weight`` how many rows of ``left`` hold it.
+
+    The rows of hot keys meet ``right`` where they are, so no task gets more
+    than one in ``HOT_KEYS`` of all rows for one key. ``left`` is read twice.
+    """
+    limit = (right.agg(F.sum(weight)).head()[0] or 0) / HOT_KEYS
+    hot = right.filter(F.col(weight) > limit)
+    many = left.join(F.broadcast(hot), key)
+    few = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(right.filter(F.col(weight) <= limit), key)
+    return many.unionByName(few)
+
+
 #: Most rows of an Arrow batch: whole texts are large, and a batch is held by the JVM and the worker at once.
 BATCH_ROWS = 200
 
