@@ -40,9 +40,9 @@ POSTING = np.dtype([("s", "<u4"), ("node", "<i8"), ("size", "<u2")])
 SHORT, DEALT = np.uint16(1 << 15), np.uint16(1 << 14)
 
 
-def shingle_set(text: str | None) -> np.ndarray:
+def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
     """The distinct shingles' hashes in order (null: as the empty text)."""
-    return np.unique(shingles(text or "", WORDS, 7))
+    return np.unique(shingles(text or "", words, 7))
 
 
 def set_key(own: np.ndarray) -> bytes:
@@ -263,7 +263,7 @@ def document_rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return own.withColumn("row", F.xxhash64("doc_id", "text"))
 
 
-def _compare(texts: DataFrame, cells: DataFrame, similarity: float) -> DataFrame:
+def _compare(texts: DataFrame, cells: DataFrame, similarity: float, words: int) -> DataFrame:
     """(a, b, group, key, row, n), written: the links within the cells (row, key, at, n, group, i, j, block).
 
     A star of a cell's links is a row a, b with b < a and a null group. A node
@@ -306,7 +306,7 @@ def _compare(texts: DataFrame, cells: DataFrame, similarity: float) -> DataFrame
                     if held:
                         yield result()
                     cell, held = (g, i, j), {}
-                if key not in held and set_key(own := shingle_set(expand(blob).decode())) == key:
+                if key not in held and set_key(own := shingle_set(expand(blob).decode(), words)) == key:
                     held[key] = (at, block, row, own)
         if held:
             yield result()
@@ -320,13 +320,13 @@ def _compare(texts: DataFrame, cells: DataFrame, similarity: float) -> DataFrame
     return found
 
 
-def verified_links(texts: DataFrame, members: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def verified_links(texts: DataFrame, members: DataFrame, similarity: float = SIMILARITY, words: int = WORDS) -> DataFrame:
     """(id, component) for the nodes that are linked to a smaller one: the smallest they are linked to.
 
     ``members`` (row, key, at, n, group): ``at`` is the node that a member
     belongs to. Nodes link if a chain of pairs of members, similar enough and
     each within a group, leads from one to the other; members of one node
-    aren't compared. ``texts``: (row, text).
+    aren't compared. ``texts``: (row, text). ``words``: of a shingle.
     """
     texts = small_batches(texts)
     blocks = F.greatest(F.ceil(F.count("*") / BLOCK_TEXTS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")
@@ -336,7 +336,7 @@ def verified_links(texts: DataFrame, members: DataFrame, similarity: float = SIM
     open_ = materialize(members.join(sizes, "group").select("group", "blocks", "wide", "row", "key", "at", "n"), "members")
     dealt = lambda turn: F.pmod(F.xxhash64("key", F.lit(turn)), F.col("blocks")).cast("int")
     own = lambda rows, turn: rows.withColumn("block", dealt(turn)).select("row", "key", "at", "n", "group", F.col("block").alias("i"), F.col("block").alias("j"), "block")
-    rounds = [_compare(texts, own(open_, 0), similarity)]
+    rounds = [_compare(texts, own(open_, 0), similarity, words)]
     stars = rounds[0].filter("b is not null").select("a", "b")
     large, last, turn = open_.filter("blocks > 1"), None, 0
     alone = large.isEmpty()
@@ -348,7 +348,7 @@ def verified_links(texts: DataFrame, members: DataFrame, similarity: float = SIM
         if not total or last is not None and 2 * total > last:
             break
         last = total
-        rounds.append(_compare(texts, own(heads.join(several.select("group", "blocks"), "group"), turn), similarity))
+        rounds.append(_compare(texts, own(heads.join(several.select("group", "blocks"), "group"), turn), similarity, words))
         stars = stars.unionByName(rounds[-1].filter("b is not null").select("a", "b"))
     label = linked_components(stars.distinct())
     if not alone:
@@ -359,7 +359,7 @@ def verified_links(texts: DataFrame, members: DataFrame, similarity: float = SIM
             rest = named.join(parted, "group").withColumn("block", dealt(0)).select("row", "key", "at", "n", "group", "block", mine.alias("mine"), other)
             # Pairs of one block are compared already, so these cells never have i = j.
             cells = rest.select("row", "key", "at", "n", "group", F.least("mine", "other").alias("i"), (F.greatest("mine", "other") + (1 << 20)).alias("j"), "block")
-            rounds.append(_compare(texts, cells, similarity))
+            rounds.append(_compare(texts, cells, similarity, words))
             label = linked_components(stars.unionByName(rounds[-1].filter("b is not null").select("a", "b")).distinct())
     discard(open_, *rounds)
     return label

@@ -221,8 +221,8 @@ def _shown(edited: DataFrame, *more: str) -> DataFrame:
     return edited.select("doc_id", "n_chars", "edited_sha256", *hexed, "near_edited", "near_next", *more)
 
 
-def _components(signed: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """(key, class_id, component_id) of the sets of shingles of ``signed`` (doc_id, key, node, n, bits, fingerprint, digest)."""
+def class_components(signed: DataFrame, texts: DataFrame, similarity: float, words: int = WORDS) -> DataFrame:
+    """(key, class_id, component_id) of the sets of shingles of ``signed`` (doc_id, key, node, n, bits, fingerprint, digest), whose fingerprints have a byte a slot. ``texts``: (row: a hash of the digest, text)."""
     least = signed.groupBy("key").agg(F.min("doc_id").alias("class_id"), F.min("digest").alias("digest"), F.first("node").alias("node"), F.first("n").alias("n"), F.first("bits").alias("bits"))
     classes = materialize(least, "minhash-classes")
     spark = classes.sparkSession
@@ -253,7 +253,7 @@ def _components(signed: DataFrame, texts: DataFrame, similarity: float) -> DataF
         groups = materialize(posting_groups(posted(first, last), similarity).join(at.select("node", "at"), "node"), "minhash-groups")
         pruned = pruned_groups(groups, at, similarity)
         members = at.join(pruned, "node").select(F.xxhash64("digest").alias("row"), "key", "at", "n", "group")
-        label = verified_links(texts, members, similarity).withColumnRenamed("id", "at")
+        label = verified_links(texts, members, similarity, words).withColumnRenamed("id", "at")
         at = materialize(at.join(label, "at", "left").withColumn("at", F.coalesce("component", "at")).drop("component"), "minhash-linked")
         made += [pruned, at]
     ids = at.groupBy("at").agg(F.min("class_id").alias("component_id"), F.count("*").alias("classes"))
@@ -273,23 +273,26 @@ def fingerprints(df: DataFrame, similarity: float = SIMILARITY, doc_id: str = "d
     null doc_id get their class's result (null if all its ids are null).
     """
     edited = materialize(_edited(df, doc_id, text, partitions), "minhash-edited")
-    found, id_type = _found(df, edited, similarity, text), edited.schema["doc_id"].dataType
-    # Documents that are the only one of their class and component need no join.
-    more = materialize(found.filter(~F.col("component_id").eqNullSafe(F.col("class_id")) | F.col("several")).select(F.col("key").alias("k"), "class_id", "component_id"), "minhash-more")
-    alone = in_slots(edited, F.xxhash64("key"), more, F.xxhash64("k"), inside=False).withColumns({"class_id": F.col("doc_id"), "component_id": F.col("doc_id")})
-    rest = in_slots(edited, F.xxhash64("key"), more, F.xxhash64("k")).join(more, F.col("key") == F.col("k"), "left")
-    joined = rest.withColumns({c: F.when(F.col("k").isNull(), F.col("doc_id")).otherwise(F.col(c)).cast(id_type) for c in ("class_id", "component_id")})
-    shown = ("class_id", "component_id")
-    return _shown(alone, *shown).unionByName(_shown(joined, *shown))
+    return _shown(with_components(edited, hashed_texts(df, text), similarity), "class_id", "component_id")
 
 
-def _found(df: DataFrame, edited: DataFrame, similarity: float, text: str) -> DataFrame:
-    """(key, class_id, component_id, several: whether several rows have the key)."""
+def hashed_texts(df: DataFrame, text: str) -> DataFrame:
+    """(row, text): ``row`` is a hash of the text's MD5, as in ``class_components``."""
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    texts = df.select(F.xxhash64(F.md5(t)).alias("row"), t.alias("text"))
-    found = _components(edited.select("doc_id", "key", "node", "n", "bits", "fingerprint", "digest"), texts, similarity)
-    many = edited.groupBy("key").agg((F.count("*") > 1).alias("several"))
-    return found.join(many, "key")
+    return df.select(F.xxhash64(F.md5(t)).alias("row"), t.alias("text"))
+
+
+def with_components(signed: DataFrame, texts: DataFrame, similarity: float, words: int = WORDS) -> DataFrame:
+    """``signed``, a written table as in ``class_components``, with class_id and component_id. Only documents that share their class or component with others are joined."""
+    id_type = signed.schema["doc_id"].dataType
+    found = class_components(signed.select("doc_id", "key", "node", "n", "bits", "fingerprint", "digest"), texts, similarity, words)
+    many = signed.groupBy("key").agg((F.count("*") > 1).alias("several"))
+    more = found.join(many, "key").filter(~F.col("component_id").eqNullSafe(F.col("class_id")) | F.col("several"))
+    more = materialize(more.select(F.col("key").alias("k"), "class_id", "component_id"), "minhash-more")
+    alone = in_slots(signed, F.xxhash64("key"), more, F.xxhash64("k"), inside=False).withColumns({"class_id": F.col("doc_id"), "component_id": F.col("doc_id")})
+    rest = in_slots(signed, F.xxhash64("key"), more, F.xxhash64("k")).join(more, F.col("key") == F.col("k"), "left")
+    joined = rest.withColumns({c: F.when(F.col("k").isNull(), F.col("doc_id")).otherwise(F.col(c)).cast(id_type) for c in ("class_id", "component_id")})
+    return alone.unionByName(joined.drop("k"))
 
 
 def near_duplicates(df: DataFrame, similarity: float = SIMILARITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -6,13 +6,15 @@ columns that its contract names.
 
 from __future__ import annotations
 
+import hashlib
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparktrend.llm import ann, minhash, mixing, packing, pii, quality, secret_scan, simhash, token_count, toxicity
+from sparktrend.llm import alignment, ann, circulant, conversations, minhash, mixing, packing, pii, quality, secret_scan, simhash, token_count, toxicity
 from sparktrend.llm.common import delete_path, materialize, shared_dir, table
 
 #: The key of the PII queries. A real run takes its own from a secret store.
@@ -81,8 +83,64 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def damaged(rows: DataFrame) -> DataFrame:
+    """The conversations with faults, dealt by a hash of conversation and turn: a row dropped, emptied, cut of its stops, repeated, or given to the user. Nulls count as one space in the hash."""
+    part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    code = F.crc32(F.concat(part("conv_id"), F.lit(":"), part("turn"))) % 20
+    whole = F.coalesce("text", F.lit(" "))
+    text = F.when(F.col("code") == 1, "").when(F.col("code") == 2, F.regexp_replace(whole, "[.!?]", "")).otherwise(whole)
+    role = F.when(F.col("code") == 4, "user").otherwise(F.coalesce("role", F.lit(" ")))
+    copies = F.explode(F.when(F.col("code") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("copy")
+    return rows.withColumn("code", code).filter("code <> 0").select("conv_id", "turn", role.alias("role"), text.alias("text"), copies).drop("copy")
+
+
+def repaired_digests(rows: DataFrame) -> DataFrame:
+    """(k, repaired_sha256) of ``conversations.repaired``: the SHA-256 of a conversation's ``role:text``, newline-joined, in one pass over its rows, of which none is held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, digest, kind = None, None, None
+
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([name], kind), pa.array([digest.hexdigest()])], names=["k", "repaired_sha256"])
+
+        for batch in batches:
+            kind = batch.schema.field(0).type
+            for conv, nth, role, text in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+                if not nth:
+                    if digest is not None:
+                        yield done()
+                    name, digest = conv, hashlib.sha256()
+                digest.update(("\n" * bool(nth) + role + ":" + text).encode())
+        if digest is not None:
+            yield done()
+
+    return rows.select("conv", "nth", "role", "text").mapInArrow(run, f"k {rows.schema['conv'].dataType.simpleString()}, repaired_sha256 string")
+
+
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    broken = damaged(rows)
+    edits = conversations.audits(broken)
+    totals = conversations.audit_table(edits)
+    hashes = repaired_digests(conversations.repaired(broken, edits))
+    every = rows.select("conv_id").distinct()
+    found = every.join(totals, F.col("conv_id").eqNullSafe(F.col("conv")), "left").join(hashes, F.col("conv_id").eqNullSafe(F.col("k")), "left")
+    numbers = [F.coalesce(n, F.lit(0).cast("long")).alias(n) for n in conversations.TOTALS]
+    return found.select("conv_id", *numbers, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = alignment.align(docs, vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"), digest=True)
+    return found.withColumnRenamed("groups", "groups_sha256")
+
+
+def op13_circulant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return circulant.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_secret_scan, op2_toxicity, op3_packing, op4_pii, op5_simhash, op6_mixing, op7_token_count, op8_quality, op9_nearest, op10_minhash)
+    own = (op1_secret_scan, op2_toxicity, op3_packing, op4_pii, op5_simhash, op6_mixing, op7_token_count, op8_quality, op9_nearest, op10_minhash, op11_conversations, op12_alignment, op13_circulant)
     return {f.__name__: f for f in own}
 
 
@@ -132,6 +190,17 @@ SELECT doc_id, size, source_size, target, taken,
 FROM r
 """
 
+OP13_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) <= 4 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS g FROM d),
+e AS (SELECT doc_id, len(g) AS n, unnest(g) AS g FROM s),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b FROM e x JOIN e y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY x.doc_id, y.doc_id, x.n, y.n HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*))),
+pairs AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, p.b FROM reach r JOIN pairs p ON r.b = p.a)
+SELECT s.doc_id, len(g)::BIGINT AS n_shingles, c AS component_id, s.doc_id = c AS kept FROM s JOIN (SELECT a, min(b) AS c FROM reach GROUP BY a) ON a = s.doc_id
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_secret_scan": OP1_SQL, "op6_mixing": OP6_SQL}
+    return {"op1_secret_scan": OP1_SQL, "op6_mixing": OP6_SQL, "op13_circulant": OP13_SQL}
