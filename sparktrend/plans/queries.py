@@ -18,6 +18,8 @@ from sparktrend.operators.periodogram import lomb_scargle
 from sparktrend.operators.segments import segment, segment_durations
 from sparktrend.plans import oracles
 from sparktrend.plans.params import CLOSED, JOINT, NEWTON, Params
+from sparktrend.sources.fits import read_fits, write_fits
+from sparktrend.sources.shared import fresh_folder
 from sparktrend.sources.tables import event_series, order_series, zero_to_null
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -124,6 +126,15 @@ def order_median(spark, sf_dir):
     return _result(flatten(order_series(spark, sf_dir), series=["o_custkey"], row_id="o_orderkey", method="median", window_length=400.0, break_tolerance=300.0), "o_orderkey")
 
 
+def fits_source(spark, sf_dir):
+    """The events as FITS tables, where every fourth flux is a zero that stands for none, read back and detrended."""
+    rows, folder = event_series(spark, sf_dir), fresh_folder(spark, "fits")
+    write_fits(rows.withColumn("flux", F.when(F.col("event_id") % 4 == 0, F.lit(0.0)).otherwise(F.col("flux"))), folder, table="EVENTS")
+    back = read_fits(spark, folder, "event_id long, user_id long, time double, flux double", table="EVENTS", zero_as_null="flux")
+    out = flatten(back, **USER, method="median", **SLIDER)
+    return _result(out.withColumn("segment_id", F.coalesce("segment_id", F.lit(-1))))
+
+
 def spline_counts(spark, sf_dir):
     return nsplines(event_series(spark, sf_dir), **USER, window_length=3.0, max_splines=12).select("user_id", "segment_id", "nsplines")
 
@@ -141,6 +152,7 @@ def queries() -> dict[str, Query]:
         "slider_edge_cutoff": _flat(method="median", edge_cutoff=0.5, **SLIDER),
         "slider_masked_median": _flat(mask=True, method="median", **SLIDER),
         "slider_orders": order_median,
+        "fits_source": fits_source,
         "slider_median_cells": _flat(method="median", chunk=5.0, **SLIDER),
         "biweight_cells": _flat(method="biweight", chunk=5.0, **SLIDER),
         "segment_gaps_cells": lambda spark, sf_dir: segment(event_series(spark, sf_dir), **USER, break_tolerance=1.5, chunk=5.0).select("event_id", "segment_id"),
@@ -295,6 +307,7 @@ SELECT user_id, round(omega, 3) AS omega, round(0.5::DOUBLE * ((ct * yc + st * y
     restore = lambda sql: f"SELECT event_id, coalesce(segment_id, -1)::INT AS segment_id, trend, flat FROM events LEFT JOIN ({sql}) USING (event_id)"  # noqa: E731  rows that don't count
     out |= {
         "slide_clip_missing": _clip_sql("list_avg(x)", "list_stddev_pop(list_transform(x, lambda q: coalesce(q, 0)))", "CASE WHEN event_id % 11 > 1 THEN value END"),
+        "fits_source": restore(_slider_sql("med", table="(SELECT * FROM events WHERE event_id % 4 <> 0)")),
         "sigma_clip": _SIGMA_SQL.format(flat=_slider_sql("med")),
         "zero_to_null": "SELECT event_id, nullif(CASE WHEN event_id % 4 = 0 THEN 0 ELSE value END, 0)::DOUBLE AS flux FROM events",
         "parameter_rules": "SELECT * FROM (VALUES " + ", ".join(f"('{name}', '{want}')" for name, _, want in RULES) + ") v(rule, outcome)",
