@@ -188,7 +188,7 @@ def flatten(df: DataFrame, time: str = "time", flux: str = "flux", series: Seque
     and ``row_id``. ``mask``: a boolean column, true for rows to leave out of
     fits (null: false). ``options``: those of ``Params.resolve`` (method,
     window_length, break_tolerance, edge_cutoff, cval, proportiontocut, kernel,
-    kernel_size, kernel_period, robust, max_splines, stdev_cut, drop_negative).
+    kernel_size, kernel_period, kernel_search, robust, max_splines, stdev_cut, drop_negative).
     ``engine``: "expression" (closed-form sliders only), "kernel", or "auto":
     expressions where they suit, which is for closed-form sliders but hodges.
     ``chunk``: a span of time (for sliders, a window or more) by which series

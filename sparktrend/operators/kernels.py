@@ -8,9 +8,14 @@ from dataclasses import dataclass
 
 import numpy as np
 
+from sparktrend.operators import matern
+from sparktrend.operators.matern import NOISE
 from sparktrend.plans.params import Params
 
 FTOL, NEWTON_ROUNDS, ROUNDS, CUT = 1e-6, 200, 10, 2.0
+#: Most points of a segment whose covariance is solved as it stands (but for matern), and beyond it the variance,
+#: relative to the process, that a low-rank factor leaves of a point.
+DENSE, TOLERANCE = 512, 1e-15
 #: Widest window whose pairs are listed for hodges.
 PAIRS = 1_000
 
@@ -608,7 +613,7 @@ def covariance(a: np.ndarray, b: np.ndarray, kernel: str, q: np.ndarray) -> np.n
 def gp_solve(x: np.ndarray, y: np.ndarray, kernel: str, q: np.ndarray) -> tuple[np.ndarray | None, np.ndarray]:
     """(Cholesky factor, weights of the rows); without a factor the weights are those of least squares."""
     k = covariance(x, x, kernel, q)
-    for jitter in (1e-10, 1e-8, 1e-6, 1e-4):
+    for jitter in (NOISE, 1e-8, 1e-6, 1e-4):
         try:
             low = np.linalg.cholesky(k + jitter * np.eye(len(x)))
             return low, np.linalg.solve(low.T, np.linalg.solve(low, y))
@@ -617,13 +622,57 @@ def gp_solve(x: np.ndarray, y: np.ndarray, kernel: str, q: np.ndarray) -> tuple[
     return None, np.linalg.lstsq(k, y, rcond=None)[0]
 
 
-def gp_parameters(x: np.ndarray, y: np.ndarray, kernel: str, start: np.ndarray) -> np.ndarray:
-    """Parameters that maximise the likelihood within half and twice their start: in powers of 2 of it, the best of a grid by coordinates, then steps that halve, down to 1e-4, where none helps. O(n^3) a candidate."""
+def low_rank(t: np.ndarray, kernel: str, q: np.ndarray) -> np.ndarray:
+    """A factor G (points, rank) of the covariance, G G' up to ``TOLERANCE``: an incomplete Cholesky decomposition that always takes the point of the largest variance left. O(points * rank^2) in memory of points * rank numbers."""
+    top = covariance(t[:1], t[:1], kernel, q)[0, 0]
+    left, factor, rank = np.full(len(t), top), np.empty((len(t), min(len(t), 32))), 0
+    while rank < len(t) and left[p := int(np.argmax(left))] > TOLERANCE * top:
+        if rank == factor.shape[1]:
+            factor = np.concatenate([factor, np.empty((len(t), min(rank, len(t) - rank)))], axis=1)
+        column = (covariance(t, t[p : p + 1], kernel, q)[:, 0] - factor[:, :rank] @ factor[p, :rank]) / math.sqrt(left[p])
+        factor[:, rank] = column
+        left = np.maximum(left - column**2, 0)
+        left[p] = 0
+        rank += 1
+    return factor[:, :rank]
+
+
+def low_rank_solve(factor: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray]:
+    """(cost as in ``gp_cost``, weights of the factor's columns) of values ``y`` at the factor's points, by least squares on the factor above the noise."""
+    n, rank = factor.shape
+    ortho, upper = np.linalg.qr(np.vstack([factor, math.sqrt(NOISE) * np.eye(rank)]))
+    weights = np.linalg.solve(upper, ortho[:n].T @ y)
+    rest = y - factor @ weights
+    return 0.5 * (rest @ rest / NOISE + weights @ weights) + 0.5 * (n - rank) * math.log(NOISE) + np.log(np.abs(np.diag(upper))).sum(), weights
+
+
+def gp_cost(x: np.ndarray, y: np.ndarray, kernel: str, q: np.ndarray) -> float:
+    """Minus the log likelihood, up to a constant: by a filter for matern, by a low-rank factor beyond ``DENSE`` points."""
+    if kernel == "matern":
+        return matern.filtered(x, y, float(q[0]))[0]
+    if len(x) > DENSE:
+        return low_rank_solve(low_rank(x, kernel, q), y)[0]
+    low, weights = gp_solve(x, y, kernel, q)
+    return math.inf if low is None else 0.5 * y @ weights + np.log(np.diag(low)).sum()
+
+
+def gp_mean(x: np.ndarray, y: np.ndarray, kernel: str, q: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """The process's mean at ``z``, given values ``y`` at sorted times ``x``."""
+    every = np.concatenate([x, z])
+    if kernel == "matern":
+        order = np.argsort(every, kind="stable")
+        out = np.empty(len(every))
+        out[order] = matern.smoothed(every[order], np.concatenate([y, np.full(len(z), np.nan)])[order], float(q[0]))
+        return out[len(x) :]
+    if len(x) > DENSE:
+        factor = low_rank(every, kernel, q)  # over all times: beyond their rank nothing is left of any
+        return factor[len(x) :] @ low_rank_solve(factor[: len(x)], y)[1]
+    return covariance(z, x, kernel, q) @ gp_solve(x, y, kernel, q)[1]
 
-    def cost(e):
-        low, weights = gp_solve(x, y, kernel, start * 2.0**e)
-        return math.inf if low is None else 0.5 * y @ weights + np.log(np.diag(low)).sum()
 
+def gp_parameters(x: np.ndarray, y: np.ndarray, kernel: str, start: np.ndarray) -> np.ndarray:
+    """Parameters that maximise the likelihood within half and twice their start: in powers of 2 of it, the best of a grid by coordinates, then steps that halve, down to 1e-4, where none helps."""
+    cost = lambda e: gp_cost(x, y, kernel, start * 2.0**e)
     at, step = np.zeros(len(start)), 0.125
     least = cost(at)
     for _ in range(1 if len(start) == 1 else 2):
@@ -643,11 +692,10 @@ def gp_parameters(x: np.ndarray, y: np.ndarray, kernel: str, start: np.ndarray)
     return start * 2.0**at
 
 
-def gp_fit(x: np.ndarray, y: np.ndarray, kernel: str, start: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
-    """The mean of a process with the best parameters near ``start``."""
-    best = gp_parameters(x, y, kernel, start)
-    weights = gp_solve(x, y, kernel, best)[1]
-    return lambda z: covariance(z, x, kernel, best) @ weights
+def gp_fit(x: np.ndarray, y: np.ndarray, kernel: str, start: np.ndarray, search: bool = True) -> Callable[[np.ndarray], np.ndarray]:
+    """The mean of a process with the best parameters near ``start``, or without a ``search`` with those."""
+    best = gp_parameters(x, y, kernel, start) if search else start
+    return lambda z: gp_mean(x, y, kernel, best, z)
 
 
 def power(t: np.ndarray, y: np.ndarray, omega: np.ndarray) -> np.ndarray:
@@ -679,7 +727,7 @@ def gp(t, f, w, p):
                 return np.full(len(t), np.nan)
             omega = np.geomspace(1 / (x[-1] - x[0]), 1 / np.median(np.diff(x)), 10_000)
             period = 2 * np.pi / omega[np.argmax(power(x, y, omega))]
-        return gp_fit(x, y, "periodic", np.array([p.kernel_size, period, p.kernel_size]))(t) + offset
+        return gp_fit(x, y, "periodic", np.array([p.kernel_size, period, p.kernel_size]), p.kernel_search)(t) + offset
     size = p.kernel_size * (1000 if p.kernel == "matern" else 1)
     flat = y
     for _ in range(ROUNDS):
@@ -689,7 +737,7 @@ def gp(t, f, w, p):
         if not kept.any():
             return np.full(len(t), np.nan)
         x, y = x[kept], y[kept]
-        model = gp_fit(x, y, p.kernel, np.array([size]))
+        model = gp_fit(x, y, p.kernel, np.array([size]), p.kernel_search)
         flat = (y + offset) / (model(x) + offset)
         if not p.robust or not (1 - flat > CUT * np.std(flat)).any():
             break

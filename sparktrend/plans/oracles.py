@@ -7,6 +7,8 @@ trend0). Rounds that a method may stop early carry a flag for each segment.
 
 from __future__ import annotations
 
+import math
+
 SEG = "PARTITION BY k, segment_id"
 
 
@@ -294,3 +296,36 @@ def hspline(rounds: int = 200, epsilon: float = 1.35, alpha: float = 1e-4) -> st
         f"r AS (SELECT id, b.segment_id, f, {fit} AS trend0 FROM b JOIN it ON b.k = it.k AND b.segment_id = it.segment_id AND n = {rounds})",
     ]
     return ",\n" + ",\n".join(parts)
+
+
+def matern(size: float, noise: float = 1e-10) -> str:
+    """A Matérn 3/2 process of a fixed length, as two recursions over each segment's points: a filter forwards, and its correction by what is to come backwards. Needs WITH RECURSIVE. Steps are at most 0.5 * size."""
+    n = f"{noise!r}::DOUBLE"
+    rise = " + ".join(f"pow(2 * z, {j}) / {math.factorial(j)}::DOUBLE" for j in range(3, 16))  # exp(2 z) - 1 - 2 z - 2 z^2
+    seen = f"y - m AS v, p + {n} AS tot"
+    after = f"CASE WHEN y IS NULL THEN m ELSE m + p / tot * v END AS um, CASE WHEN y IS NULL THEN g ELSE g + b * p / tot * v END AS ug, CASE WHEN y IS NULL THEN p ELSE p * {n} / tot END AS up"
+    kept = "k, segment_id, i, id, y, m, p, b, c, v, tot, a11, a12, a22"
+    minors = "up * fc * e2 * e2 + up * q * pow(x1 * sl - y1, 2) + up * rest * x1 * x1 + fc * q * pow(a12 * sl - a22, 2) + fc * rest * a12 * a12 + q * rest"
+    return f""",
+o AS (SELECT *, median(f) FILTER (NOT masked) OVER ({SEG}) AS mid FROM s),
+y0 AS (SELECT *, stddev_pop(f - mid) FILTER (NOT masked) OVER ({SEG}) AS sd, row_number() OVER ({SEG} ORDER BY t, id) AS i, coalesce(t - lag(t) OVER ({SEG} ORDER BY t, id), 0) * sqrt(3::DOUBLE) / {size!r}::DOUBLE AS z FROM o),
+y1 AS (SELECT k, segment_id, id, i, mid, z, exp(-z) AS e1, exp(-2 * z) AS e2, {rise} AS rise, CASE WHEN NOT masked AND mid - f < 2 * sd THEN f - mid END AS y FROM y0),
+y2 AS (SELECT *, e1 * (1 + z) AS a11, e1 * z AS a12, e1 * (1 - z) AS a22, e2 * rise AS q, CASE WHEN z > 0 THEN 2 * z * z / rise ELSE 0 END AS sl, e2 * (4 * z + rise) AS q22 FROM y1),
+pts AS MATERIALIZED (SELECT *, greatest(q22 - 2 * z * z * e2 * sl, 0) AS rest, count(y) OVER ({SEG}) AS many, max(i) OVER ({SEG}) AS n FROM y2),
+fw AS (
+  SELECT {kept}, {after} FROM (SELECT *, {seen} FROM (SELECT *, 0::DOUBLE AS m, 0::DOUBLE AS g, 1::DOUBLE AS p, 0::DOUBLE AS b, 1::DOUBLE AS c FROM pts WHERE i = 1))
+  UNION ALL
+  SELECT {kept}, {after} FROM (SELECT *, {seen} FROM (
+    SELECT *, fp AS p, cross_ / fp AS b, minors_ / fp AS c FROM (
+      SELECT *, up * x1 * x1 + fc * a12 * a12 + q AS fp, up * x1 * y1 + fc * a12 * a22 + q * sl AS cross_, {minors} AS minors_ FROM (
+        SELECT r.*, r.a11 * um + r.a12 * ug AS m, r.a22 * ug - r.a12 * um AS g, up, fw.c AS fc, r.a11 + r.a12 * fw.b AS x1, r.a22 * fw.b - r.a12 AS y1
+        FROM fw JOIN (SELECT k, segment_id, i, id, y, a11, a12, a22, q, sl, rest, e2 FROM pts) r ON r.k = fw.k AND r.segment_id = fw.segment_id AND r.i = fw.i + 1))))),
+fs AS MATERIALIZED (SELECT * FROM fw),
+bw AS (
+  SELECT k, segment_id, i, id, m + p * (r1 + b * r2) AS fit, a11 * r1 - a12 * r2 AS n1, a12 * r1 + a22 * r2 AS n2 FROM (
+    SELECT f.*, CASE WHEN y IS NULL THEN 0 ELSE v / tot END AS r1, 0::DOUBLE AS r2 FROM fs f JOIN (SELECT k, segment_id, max(i) AS i FROM fs GROUP BY ALL) l USING (k, segment_id, i))
+  UNION ALL
+  SELECT k, segment_id, i, id, m + p * (r1 + b * r2), a11 * r1 - a12 * r2, a12 * r1 + a22 * r2 FROM (
+    SELECT f.*, CASE WHEN f.y IS NULL THEN n1 ELSE f.v / f.tot + (1 - f.p / f.tot) * n1 - f.b * f.p / f.tot * n2 END AS r1, n2 AS r2
+    FROM bw JOIN fs f ON f.k = bw.k AND f.segment_id = bw.segment_id AND f.i = bw.i - 1)),
+r AS (SELECT s.id, s.segment_id, s.f, CASE WHEN pts.many > 0 THEN fit + mid END AS trend0 FROM s JOIN pts USING (id) JOIN bw USING (id))"""

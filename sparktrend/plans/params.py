@@ -47,24 +47,26 @@ class Params:
     kernel: str
     kernel_size: float
     kernel_period: float
+    kernel_search: bool
     robust: bool
     max_splines: int
     stdev_cut: int
     drop_negative: bool
 
     @staticmethod
-    def resolve(method="biweight", window_length=None, break_tolerance=None, edge_cutoff=0, cval=None, proportiontocut=0.1, kernel=None, kernel_size=None, kernel_period=None, robust=False, max_splines=50, stdev_cut=2, drop_negative=True) -> Params:
+    def resolve(method="biweight", window_length=None, break_tolerance=None, edge_cutoff=0, cval=None, proportiontocut=0.1, kernel=None, kernel_size=None, kernel_period=None, kernel_search=True, robust=False, max_splines=50, stdev_cut=2, drop_negative=True) -> Params:
         """Raise ValueError for anything that can't run, else fill in defaults.
 
         ``proportiontocut`` must be a float strictly between 0 and 0.5 whatever
         the method; an explicit ``cval`` takes its place for the trimming
         methods. A window of None is 2; a break tolerance of None is half the
-        window, and 0 turns segmentation off.
+        window, and 0 turns segmentation off. ``kernel_search``: whether gp looks
+        for the likeliest parameters between half and twice those given.
         """
         if method not in METHODS:
-            raise ValueError(f"Unknown detrending method {method!r}")
+            raise ValueError(f"method {method!r} isn't one of {', '.join(METHODS)}")
         if not isinstance(proportiontocut, float) or not 0 < proportiontocut < 0.5:
-            raise ValueError("proportiontocut must be a float >0 and <0.5")
+            raise ValueError(f"proportiontocut is the share that is cut at each end, a float between 0 and 0.5, not {proportiontocut!r}")
         if cval is None:
             cval = proportiontocut if method in ("trim_mean", "winsorize") else DEFAULT_CVAL.get(method, 0)
         if method in ("trim_mean", "winsorize") and not 0 <= cval < 0.5:
@@ -84,4 +86,4 @@ class Params:
             kernel_period = _positive("kernel_period", kernel_period) if kernel == "periodic" else 0.0
         if not isinstance(stdev_cut, int) or stdev_cut < 1:
             raise ValueError("stdev_cut must be a positive integer")
-        return Params(method, window, tolerance or math.inf, float(edge_cutoff), tuple(map(float, cval)) if isinstance(cval, (tuple, list)) else float(cval), kernel or "squared_exp", float(kernel_size or 0), float(kernel_period or 0), bool(robust), int(max_splines), stdev_cut, drop_negative)
+        return Params(method, window, tolerance or math.inf, float(edge_cutoff), tuple(map(float, cval)) if isinstance(cval, (tuple, list)) else float(cval), kernel or "squared_exp", float(kernel_size or 0), float(kernel_period or 0), bool(kernel_search), bool(robust), int(max_splines), stdev_cut, drop_negative)

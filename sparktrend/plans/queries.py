@@ -140,7 +140,7 @@ def spline_counts(spark, sf_dir):
 
 
 #: Decimals of trend and flat.
-FITTED, SPARSE = (4, 2), (3, 1)
+FITTED, SPARSE, ROUGH = (4, 2), (3, 1), (2, 1)
 WIDE = {"window_length": 6.0, "break_tolerance": 5.0}
 
 
@@ -191,6 +191,8 @@ def queries() -> dict[str, Query]:
         "supersmoother": _flat(method="supersmoother", digits=FITTED, **WIDE),
         "gp_squared_exp": _flat(method="gp", kernel="squared_exp", kernel_size=2.0, digits=FITTED, **WIDE),
         "gp_matern": _flat(mask=True, method="gp", kernel="matern", kernel_size=2.0, robust=True, digits=FITTED, **WIDE),
+        "gp_matern_fixed": _flat(mask=True, method="gp", kernel="matern", kernel_size=0.5, kernel_search=False, digits=ROUGH, **WIDE),
+        "gp_matern_smooth": _flat(method="gp", kernel="matern", kernel_size=20.0, kernel_search=False, digits=ROUGH, **WIDE),
         "gp_periodic": _flat(method="gp", kernel="periodic", kernel_size=1.0, kernel_period=7.0, digits=FITTED, **WIDE),
         "gp_periodic_auto": _flat(method="gp", kernel="periodic_auto", kernel_size=1.0, digits=FITTED, **WIDE),
     }
@@ -325,6 +327,7 @@ SELECT user_id, round(omega, 3) AS omega, round(0.5::DOUBLE * ((ct * yc + st * y
         "pspline": _whole_sql(oracles.pspline()), "hspline": _whole_sql(oracles.hspline(), SPARSE).replace("WITH", "WITH RECURSIVE", 1),
         "pspline_nsplines_whole": "WITH" + _SEGMENTS.format(**_EVENTS | {"tol": "5"}) + oracles.pspline() + " SELECT k AS user_id, segment_id, ceil(any_value(edof)) AS nsplines FROM v3 GROUP BY k, segment_id",
         "supersmoother": _whole_sql(oracles.supersmoother()), "ridge": _whole_sql(oracles.ridge()), "lasso": _whole_sql(oracles.elastic(1.0), SPARSE), "elasticnet": _whole_sql(oracles.elastic(0.5), SPARSE),
+        "gp_matern_fixed": _whole_sql(oracles.matern(500.0), ROUGH, **masked).replace("WITH", "WITH RECURSIVE", 1), "gp_matern_smooth": _whole_sql(oracles.matern(20000.0), ROUGH).replace("WITH", "WITH RECURSIVE", 1),
         "savgol": "WITH" + _SEGMENTS.format(**_EVENTS) + oracles.savgol5() + _FINAL.format(**_EVENTS),
     }
     for m, weight in _REWEIGHTED.items():
