@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparktrend.functions.estimators import ESTIMATORS
+from sparktrend.operators import order_stats
 from sparktrend.operators.cells import in_cells, with_guests
-from sparktrend.operators.kernels import slide_segments, trend_of
+from sparktrend.operators.kernels import WIDEST, slide_segments, trend_of
 from sparktrend.operators.segments import Isolated, numbered_segments, quoted, restored, usable
 from sparktrend.plans.params import CLOSED, GLOBAL, Params
 
@@ -75,7 +76,7 @@ def _estimated(df: DataFrame, whole: str, p: Params) -> DataFrame:
     return listed.withColumn("trend", trend)
 
 
-def _by_cells(df: DataFrame, row_id: str | None, p: Params, chunk: float, payload: Sequence[str], engine: str) -> DataFrame:
+def _by_cells(df: DataFrame, row_id: str | None, p: Params, chunk: float, payload: Sequence[str], engine: str, widest: int) -> DataFrame:
     """Sliders over the cells of ``in_cells`` and their guests; other methods over its segments."""
     schema = lambda d: T.StructType([*d.schema.fields, T.StructField("trend", T.DoubleType())])
     if p.method in GLOBAL:
@@ -91,7 +92,7 @@ def _by_cells(df: DataFrame, row_id: str | None, p: Params, chunk: float, payloa
     keys = ["__key", "__ok", "__segment", "__at"]
     order = ["__t", *([quoted(row_id)] if row_id else [])]
     begun = dealt.withColumn("__begins", F.lag("__t").over(Window.partitionBy(*keys).orderBy(*order)).isNull())
-    return _streamed(begun.sortWithinPartitions(*keys, *order), p).filter("__home")
+    return _streamed(begun.sortWithinPartitions(*keys, *order), p, widest).filter("__home")
 
 
 def _numbers(table: pa.Table, p: Params, row_id: str | None) -> tuple[np.ndarray, np.ndarray, float]:
@@ -110,7 +111,7 @@ def _numbers(table: pa.Table, p: Params, row_id: str | None) -> tuple[np.ndarray
     return order, trend, count
 
 
-def _by_kernel(df: DataFrame, series: Sequence[str], row_id: str | None, p: Params) -> DataFrame:
+def _by_kernel(df: DataFrame, series: Sequence[str], row_id: str | None, p: Params, widest: int) -> DataFrame:
     """Kernels on the sorted rows of a partition, as a stream: a task holds a batch and a segment."""
     keys = [*[quoted(s) for s in series], "__ok"]
     order = ["__t", *([quoted(row_id)] if row_id else [])]
@@ -118,10 +119,10 @@ def _by_kernel(df: DataFrame, series: Sequence[str], row_id: str | None, p: Para
     whole = (F.max("__t").over(Window.partitionBy(*keys)) - F.min("__t").over(Window.partitionBy(*keys))) if p.method == "supersmoother" else F.lit(0.0)
     # The first row of a series and all rows without a segment begin one as well.
     begun = df.withColumns({"__whole": whole, "__begins": F.coalesce(before != F.col("__segment"), F.lit(True))})
-    return _streamed(begun.sortWithinPartitions(*keys, *order), p)  # as the window leaves them: no further sort
+    return _streamed(begun.sortWithinPartitions(*keys, *order), p, widest)  # as the window leaves them: no further sort
 
 
-def _streamed(ready: DataFrame, p: Params) -> DataFrame:
+def _streamed(ready: DataFrame, p: Params, widest: int) -> DataFrame:
     """``ready``, whose segments follow each other in its partitions, each from a row that __begins, and trend."""
     parts = "__last" in ready.columns  # of segments, by cells
 
@@ -140,7 +141,7 @@ def _streamed(ready: DataFrame, p: Params) -> DataFrame:
             if parts:
                 low, high, last = (table.column(c).to_numpy(zero_copy_only=False) for c in ("__low", "__high", "__last"))
                 extents = [(low[a], high[a], b - a - int(last[a:b].sum())) for a, b in segments]
-            out = slide_segments(t, f, w, p, [(*s, *e) for s, e in zip(segments, extents, strict=True)])
+            out = slide_segments(t, f, w, p, [(*s, *e) for s, e in zip(segments, extents, strict=True)], widest)
         yield from table.append_column("trend", pa.array(out, pa.float64(), from_pandas=True)).to_batches()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,6 +182,13 @@ def auto_chunk(df: DataFrame, time: str, series: Sequence[str], least: float, ro
     return None if span is None else max(span, least)
 
 
+def window_rows(df: DataFrame, time: str, series: Sequence[str], window: float) -> float:
+    """How many rows a window of the densest series holds on average. Reads the times once."""
+    t = F.nanvl(quoted(time).cast("double"), F.lit(None))
+    by_series = df.groupBy(*[quoted(s) for s in series]).agg(F.count(t).alias("n"), (F.max(t) - F.min(t)).alias("span"))
+    return by_series.agg(F.max(F.col("n") * F.least(F.lit(1.0), window / F.greatest("span", F.lit(1e-300))))).head()[0] or 0
+
+
 def flatten(df: DataFrame, time: str = "time", flux: str = "flux", series: Sequence[str] = (), row_id: str | None = None, mask: str | None = None, engine: str = "auto", chunk: float | str | None = None, **options) -> DataFrame:
     """The columns of ``df``, and segment_id, trend, flat (flux / trend).
 
@@ -189,8 +197,12 @@ def flatten(df: DataFrame, time: str = "time", flux: str = "flux", series: Seque
     fits (null: false). ``options``: those of ``Params.resolve`` (method,
     window_length, break_tolerance, edge_cutoff, cval, proportiontocut, kernel,
     kernel_size, kernel_period, kernel_search, robust, max_splines, stdev_cut, drop_negative).
-    ``engine``: "expression" (closed-form sliders only), "kernel", or "auto":
-    expressions where they suit, which is for closed-form sliders but hodges.
+    ``engine``: "expression" (closed-form sliders only), "kernel", "tree"
+    (those of ``order_stats.METHODS``: a window costs the same whatever its
+    width, with sums to about 1e-12 of the values; "kernel" takes it for windows
+    of more than ``WIDEST`` rows), or "auto": expressions where they suit, which
+    is for closed-form sliders but hodges. "measured" counts the rows of each
+    series first, and takes the tree if a window holds more than ``WIDEST``.
     ``chunk``: a span of time (for sliders, a window or more) by which series
     are dealt out, for those that one task can't hold or that hold a large
     share of all rows. Methods that fit a whole segment still hold one in a
@@ -205,21 +217,24 @@ def flatten(df: DataFrame, time: str = "time", flux: str = "flux", series: Seque
     they were, whatever their names.
     """
     p = Params.resolve(**options)
+    if engine == "measured":
+        engine = "tree" if p.method in order_stats.METHODS and window_rows(df, time, series, p.window_length) > WIDEST else "auto"
     if engine == "auto":  # pairs of a window are too many for a list in a row
         engine = "expression" if p.method in CLOSED and p.method != "hodges" else "kernel"
-    if engine not in ("expression", "kernel") or (engine == "expression" and p.method not in CLOSED):
+    if engine not in ("expression", "kernel", "tree") or (engine == "tree" and p.method not in order_stats.METHODS) or (engine == "expression" and p.method not in CLOSED):
         raise ValueError(f"engine {engine!r} can't run {p.method}")
     if chunk == "auto":
         chunk = auto_chunk(df, time, series, 1e-9 if p.method in GLOBAL else p.window_length)
     if chunk is not None and not (0 if p.method in GLOBAL else p.window_length) <= chunk < math.inf or chunk == 0:
         raise ValueError("chunk must be finite, and span a window or more")
+    widest = 0 if engine == "tree" else WIDEST
     own = Isolated(df)
     series, row_id, names = own.all(series), own.of(row_id), own.kept(ADDED)
     ready = _prepared(own.df, own.of(time), own.of(flux), series, row_id, own.of(mask), p, chunk)
     if chunk:
-        done = _by_cells(ready, row_id, p, chunk, [c for c in names if c != row_id], engine)
+        done = _by_cells(ready, row_id, p, chunk, [c for c in names if c != row_id], engine, widest)
     else:
-        done = _by_expression(ready, series, row_id, p) if engine == "expression" else _by_kernel(ready, series, row_id, p)
+        done = _by_expression(ready, series, row_id, p) if engine == "expression" else _by_kernel(ready, series, row_id, p, widest)
     return _flattened(done, names)
 
 

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-from sparktrend.operators import matern
+from sparktrend.operators import matern, order_stats
 from sparktrend.operators.matern import NOISE
 from sparktrend.plans.params import Params
 
@@ -16,6 +16,8 @@ FTOL, NEWTON_ROUNDS, ROUNDS, CUT = 1e-6, 200, 10, 2.0
 #: Most points of a segment whose covariance is solved as it stands (but for matern), and beyond it the variance,
 #: relative to the process, that a low-rank factor leaves of a point.
 DENSE, TOLERANCE = 512, 1e-15
+#: Rows of the widest window that a closed-form estimate looks at one by one, where a tree could answer.
+WIDEST = 400
 #: Widest window whose pairs are listed for hodges.
 PAIRS = 1_000
 
@@ -206,8 +208,8 @@ def slide(t: np.ndarray, f: np.ndarray, w: np.ndarray, p: Params) -> np.ndarray:
     return slide_segments(t, f, w, p, [(0, len(t), t[0], t[-1], len(t) - 1)])
 
 
-def slide_segments(t: np.ndarray, f: np.ndarray, w: np.ndarray, p: Params, segments: list[tuple[int, int, float, float, int]]) -> np.ndarray:
-    """``slide`` of many (parts of) segments in one go: rows a to b, their segment's first and last time, and how many of the rows windows may hold. Other rows are NaN."""
+def slide_segments(t: np.ndarray, f: np.ndarray, w: np.ndarray, p: Params, segments: list[tuple[int, int, float, float, int]], widest: int = WIDEST) -> np.ndarray:
+    """``slide`` of many (parts of) segments in one go: rows a to b, their segment's first and last time, and how many of the rows windows may hold. Other rows are NaN. ``widest``: see ``slide_windows``."""
     start, end, inner = np.zeros(len(t), np.int64), np.zeros(len(t), np.int64), np.zeros(len(t), bool)
     cut = min(p.edge_cutoff, p.window_length / 2)
     for a, b, low, high, held in segments:
@@ -215,11 +217,11 @@ def slide_segments(t: np.ndarray, f: np.ndarray, w: np.ndarray, p: Params, segme
         start[a:b], end[a:b] = first + a, behind + a
         inner[a:b] = (t[a:b] >= low + cut) & (t[a:b] <= high - cut)
     with np.errstate(all="ignore"):
-        return slide_windows(f, w, p, start, end, inner)
+        return slide_windows(f, w, p, start, end, inner, widest)
 
 
-def slide_windows(f: np.ndarray, w: np.ndarray, p: Params, start: np.ndarray, end: np.ndarray, inner: np.ndarray) -> np.ndarray:
-    """The estimate of each ``inner`` row's window [start, end); NaN for the other rows and for windows without values."""
+def slide_windows(f: np.ndarray, w: np.ndarray, p: Params, start: np.ndarray, end: np.ndarray, inner: np.ndarray, widest: int = WIDEST) -> np.ndarray:
+    """The estimate of each ``inner`` row's window [start, end); NaN for the other rows and for windows without values. Windows of more than ``widest`` rows go through a tree over ranks where the method allows it."""
     slow = p.method in ("huber", "hampel", "ramsay")
     signed = np.where(w > 0, f, -f)
     keep = w > 0 if slow or not p.drop_negative else signed > -1e-12
@@ -239,8 +241,14 @@ def slide_windows(f: np.ndarray, w: np.ndarray, p: Params, start: np.ndarray, en
             some = (~np.isnan(block)).sum(axis=1) > slow
             trend[i[some]] = rows(block[some])
         return trend
+    todo = inner & (width > 0)
+    if p.method in order_stats.METHODS and (wide := todo & (width > widest)).any():
+        before = np.concatenate([[0], np.cumsum(keep)])
+        rows = np.flatnonzero(wide & (before[end] > before[start]))
+        trend[rows] = order_stats.estimates(order_stats.RankTree(value[keep]), before[start[rows]], before[end[rows]], p)
+        todo &= ~wide
     estimate = window_estimator(p)
-    for i in np.flatnonzero(inner):
+    for i in np.flatnonzero(todo):
         x = value[start[i] : end[i]][keep[start[i] : end[i]]]
         if len(x) > slow:
             trend[i] = estimate(x)

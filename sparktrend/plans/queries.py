@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from sparktrend.functions.scalars import clean, t14, transit_mask
 from sparktrend.operators.clip import sigma_clip, slide_clip
 from sparktrend.operators.flatten import flatten, nsplines
+from sparktrend.operators.order_stats import METHODS as TREE
 from sparktrend.operators.periodogram import lomb_scargle
 from sparktrend.operators.segments import segment, segment_durations
 from sparktrend.plans import oracles
@@ -126,6 +127,10 @@ def order_median(spark, sf_dir):
     return _result(flatten(order_series(spark, sf_dir), series=["o_custkey"], row_id="o_orderkey", method="median", window_length=400.0, break_tolerance=300.0), "o_orderkey")
 
 
+#: Windows of 12 days, through the tree.
+FAR = {"window_length": 12.0, "break_tolerance": 5.0}
+
+
 def fits_source(spark, sf_dir):
     """The events as FITS tables, where every fourth flux is a zero that stands for none, read back and detrended."""
     rows, folder = event_series(spark, sf_dir), fresh_folder(spark, "fits")
@@ -140,7 +145,7 @@ def spline_counts(spark, sf_dir):
 
 
 #: Decimals of trend and flat.
-FITTED, SPARSE, ROUGH = (4, 2), (3, 1), (2, 1)
+FITTED, SPARSE, ROUGH, FINE = (4, 2), (3, 1), (2, 1), (8, 7)
 WIDE = {"window_length": 6.0, "break_tolerance": 5.0}
 
 
@@ -148,11 +153,14 @@ def queries() -> dict[str, Query]:
     out: dict[str, Query] = {"segment_gaps": segment_gaps, "segment_durations": durations, "clean_rows": clean_rows, "t14": _duration(False), "t14_small": _duration(True), "transit_mask": mask_query}
     out |= {f"slider_{m}": _flat(method=m, **SLIDER) for m in CLOSED}
     out |= {m: _flat(method=m, **SLIDER) for m in (*NEWTON, *JOINT)}
+    out |= {f"slider_{m}_tree": _flat(method=m, engine="tree", digits=FINE if m != "median" else (6, 6), **FAR) for m in TREE}
     out |= {
         "slider_edge_cutoff": _flat(method="median", edge_cutoff=0.5, **SLIDER),
         "slider_masked_median": _flat(mask=True, method="median", **SLIDER),
         "slider_orders": order_median,
         "fits_source": fits_source,
+        "slider_winsorize_tree_masked": _flat(mask=True, method="winsorize", engine="tree", digits=FINE, **FAR),
+        "slider_median_tree_cells": _flat(method="median", engine="tree", chunk=12.0, **FAR),
         "slider_median_cells": _flat(method="median", chunk=5.0, **SLIDER),
         "biweight_cells": _flat(method="biweight", chunk=5.0, **SLIDER),
         "segment_gaps_cells": lambda spark, sf_dir: segment(event_series(spark, sf_dir), **USER, break_tolerance=1.5, chunk=5.0).select("event_id", "segment_id"),
@@ -228,10 +236,14 @@ def _slider_sql(estimate: str, h: str = "1.5", cut: str = "0", slow: bool = Fals
     return "WITH" + _SEGMENTS.format(**base) + _WINDOWS.format(h=h, cut=cut, estimate=estimate, **rule) + _FINAL.format(**base)
 
 
+def _rounded(sql: str, digits: tuple[int, int]) -> str:
+    return sql.replace("round(trend, 6)", f"round(trend, {digits[0]})").replace("round(f / trend, 6)", f"round(f / trend, {digits[1]})")
+
+
 def _whole_sql(text: str, digits: tuple[int, int] = FITTED, **base) -> str:
     """SQL of a method that fits whole segments: ``oracles``' text between segmentation and result."""
     base = _EVENTS | {"tol": "5"} | base
-    return "WITH" + _SEGMENTS.format(**base) + text + _FINAL.format(**base).replace("round(trend, 6)", f"round(trend, {digits[0]})").replace("round(f / trend, 6)", f"round(f / trend, {digits[1]})")
+    return "WITH" + _SEGMENTS.format(**base) + text + _rounded(_FINAL.format(**base), digits)
 
 
 _CLOSED_SQL = {
@@ -335,5 +347,9 @@ SELECT user_id, round(omega, 3) AS omega, round(0.5::DOUBLE * ((ct * yc + st * y
     out["medfilt_default_break"] = out["medfilt"].replace("> 1.5::DOUBLE", "> 2.5::DOUBLE")
     out |= {f"slider_{m}": _slider_sql(e) for m, e in _CLOSED_SQL.items()}
     out |= {m: _slider_sql(e) for m, e in _NEWTON_SQL.items()}
+    far = {"h": "6", "tol": "5"}
+    trees = {f"slider_{m}_tree": _slider_sql(_CLOSED_SQL[m], **far) for m in TREE}
+    trees |= {"slider_winsorize_tree_masked": _slider_sql(_CLOSED_SQL["winsorize"], **masked, **far), "slider_median_tree_cells": _slider_sql("med", **far)}
+    out |= {name: sql if "median" in name else _rounded(sql, FINE) for name, sql in trees.items()}
     # Dealt out by cells, the results are the same.
     return out | {f"{m}_cells": out[m] for m in ("slider_median", "biweight", "segment_gaps", "slide_clip")}
