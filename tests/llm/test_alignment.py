@@ -33,7 +33,8 @@ def plain(rows):
     known = alignment.tokenizers(A, B)
     docs = []
     for doc, text in rows:
-        a, b = (x.tolist() for x in known.encode(text))
+        a = known.a.encode(" " + (text or ""), add_special_tokens=False).ids if known.ids(text)[0] else []  # the library's own
+        b = known.ids(text)[1]
         groups = two_pointers([len(known.bytes_a[i]) for i in a], [len(known.bytes_b[i]) for i in b])
         links = Counter((a[i], b[j]) for x, y in groups for i in x for j in y)
         shown = ";".join(",".join(str(a[i]) for i in x) + "|" + ",".join(str(b[j]) for j in y) for x, y in groups)
@@ -84,6 +85,31 @@ def test_a_group_of_many_tokens(spark):
     assert {(int(c) >> 32, int(c) & 0xFFFFFFFF): int(n) for c, n in zip(codes, times, strict=True)} == want and groups.links() == 6_000_000
 
 
+def test_the_faster_encoder_gives_the_librarys_ids():
+    known = alignment.tokenizers(A, B)
+    import pyarrow.parquet as pq
+
+    assert known.ranked is not None
+    texts = [t for t in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column(0).to_pylist() if t]
+    rng = np.random.default_rng(0)
+    signs = list("abcdefgh ABC  \n\t.,'’-_0123éüßñªº²¼×\u00a0\u00ad") + ["'s", "'ll", " the", "ing", "\r\n", "<|endoftext|>", "\u0249"]
+    made = ["".join(rng.choice(signs, int(rng.integers(1, 80)))) for _ in range(3000)]
+    odd = ["a\x1cb", "你好", "🙂🙂", "\x85 x", "\u2003 y", "é\u0301"]
+    for t in [*texts, *made, *odd]:
+        want = known.a.encode(" " + t, add_special_tokens=False).ids
+        assert known.ids(t)[0] in (want, []), t[:80]
+    assert sum(known.ids(t)[0] != [] for t in made) > 2900
+
+
+def test_the_faster_encoder_is_refused_without_proof(tmp_path):
+    import json
+
+    spec = json.loads(open(A).read())
+    spec["model"]["merges"][0], spec["model"]["merges"][1] = spec["model"]["merges"][1], spec["model"]["merges"][0]
+    (tmp_path / "other.json").write_text(json.dumps(spec))
+    assert alignment.Tokenizers(str(tmp_path / "other.json"), B).ranked is None
+
+
 def test_packing_of_numbers_goes_round():
     for x in ([], [0], [5, 5, 5], [1, 1 << 40, (1 << 62) + 3]):
         assert alignment.expand(alignment.squeeze(np.array(x, np.int64))).tolist() == x
