@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparktrend.llm.common import materialize
+from sparktrend.llm.common import materialize, scoped
 
 #: Most vectors of a shard (a memory bound: hot buckets are dealt out, never capped).
 BLOCK = 50_000
@@ -153,6 +153,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
+@scoped
 def nearest(df: DataFrame, queries: Column, k: int = 5, hashing: CrossPolytope = CrossPolytope(), vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest by cosine that the tables find for each row where ``queries`` (over the column vec_id) holds.
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparktrend.llm.common import LOWER, materialize, small_batches
+from sparktrend.llm.common import LOWER, materialize, scoped, small_batches
 from sparktrend.llm.links import SIMILARITY, node_of, parities, set_key, shingle_set
 from sparktrend.llm.minhash import SLOTS, hashed_texts, with_components
 
@@ -76,6 +76,7 @@ def signed_sets(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     return base.mapInArrow(run, f"doc_id {base.schema[0].dataType.simpleString()}, n long, key binary, node long, bits binary, fingerprint binary, digest string")
 
 
+@scoped
 def near_duplicates(df: DataFrame, similarity: float = SIMILARITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of ``df``.
 

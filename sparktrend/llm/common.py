@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from contextvars import ContextVar
+from functools import wraps
 
 import numpy as np
 import xxhash
@@ -40,15 +42,49 @@ def shared_dir(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+#: Paths of the tables written within the innermost ``scoped`` call.
+_tables: ContextVar[list[tuple[SparkSession, str]] | None] = ContextVar("tables", default=None)
+
+
+def scoped[**P, R](operator: Callable[P, R]) -> Callable[P, R]:
+    """``operator``, after which only those of the tables that it has written by ``materialize`` remain which the DataFrame that it returns reads.
+
+    The remaining ones belong to the scoped call around it, if there is one.
+    Tables that a DataFrame reads in scalar subqueries alone don't count as read.
+    """
+
+    @wraps(operator)
+    def run(*args: P.args, **options: P.kwargs) -> R:
+        own: list[tuple[SparkSession, str]] = []
+        token, read = _tables.set(own), set()
+        try:
+            out = operator(*args, **options)
+            if isinstance(out, DataFrame) and own:
+                read = {f.rsplit("/", 2)[-2] for f in out.inputFiles()}
+            return out
+        finally:
+            _tables.reset(token)
+            for spark, path in own:
+                if path.rsplit("/", 1)[-1] not in read:
+                    delete_path(spark, path)
+                elif (outer := _tables.get()) is not None:
+                    outer.append((spark, path))
+
+    return run
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     This cuts the lineage with committed files, so that a lost executor costs
     a re-read instead of a recomputation, and a map stage runs once instead of
-    once for each use. ``discard`` deletes the files.
+    once for each use. ``discard`` deletes the files, and so does the end of a
+    ``scoped`` operator.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    if (held := _tables.get()) is not None:
+        held.append((spark, path))
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written = path
@@ -123,6 +159,14 @@ def small_batches(df: DataFrame) -> DataFrame:
     return DataFrame(plan, SparkSession(spark.sparkContext, copy))
 
 
+def labelled_texts(docs: DataFrame, chosen: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(id, y, text) for ``chosen`` (id, y), of bounded size: with the text of each id, or of several the least by hash. There are no more rows than in ``chosen``, however often an id repeats among ``docs``."""
+    own = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text"))
+    wanted = own.join(F.broadcast(chosen.select("id").distinct()), "id", "left_semi")
+    one = wanted.groupBy("id").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("least"))
+    return one.join(F.broadcast(chosen), "id").select("id", "y", F.col("least.text").alias("text"))
+
+
 def shingles(text: str, words: int, seed: int) -> np.ndarray:
     """XXH64 of each run of ``words`` words (A-Z lowered, space-joined), repeats included; a shorter text is one run, an empty one the empty run."""
     w = text.encode().translate(LOWER).split()

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparktrend.llm.common import join_spread, materialize, small_batches
+from sparktrend.llm.common import join_spread, materialize, scoped, small_batches
 
 #: Rows of a signature at most.
 BLOCK = 1_024
@@ -266,6 +266,7 @@ def _chosen(solved: DataFrame) -> DataFrame:
     return solved.select("part", "seq", "turn", "digest", "audits").join(ways, ["part", "seq"]).withColumn("audit", F.concat(F.element_at("audits", F.col("way") + 1), "tail")).drop("audits", "way", "tail")
 
 
+@scoped
 def audits(df: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """The edits of every conversation, a row for each block of it (most have one): conv, part, seq, turn, digest, audit; its first row (by part, seq) has the conversation's ``TOTALS``.
 

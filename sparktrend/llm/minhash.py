@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparktrend.llm.common import LOWER, discard, in_slots, materialize, shingles, small_batches
+from sparktrend.llm.common import LOWER, discard, in_slots, materialize, scoped, shingles, small_batches
 from sparktrend.llm.links import HOT, SIMILARITY, WORDS, bucket_count, bucketed, node_of, parities, posting_groups, postings, pruned_groups, set_key, shingle_set, verified_links
 
 #: Slots of a fingerprint; the standard error of a likeness is at most 0.5 / sqrt(SLOTS).
@@ -262,6 +262,7 @@ def class_components(signed: DataFrame, texts: DataFrame, similarity: float, wor
     return out
 
 
+@scoped
 def fingerprints(df: DataFrame, similarity: float = SIMILARITY, doc_id: str = "doc_id", text: str = "text", partitions: int | None = None) -> DataFrame:
     """``edit_with_next``, and of each document its near-duplicates: class_id, component_id.
 

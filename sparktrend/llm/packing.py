@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparktrend.llm.common import materialize, small_batches
+from sparktrend.llm.common import materialize, scoped, small_batches
 
 #: Default of the entries of a generation of a worker's word cache (a memory bound; results don't depend on it).
 CACHE_ENTRIES = 400_000
@@ -309,6 +309,7 @@ def plan_bins(histogram: dict[int, int], capacity: int = 2048, nodes: int = NODE
     return best
 
 
+@scoped
 def pack_documents(df: DataFrame, path: str, capacity: int = 2048, doc_id: str = "doc_id", text: str = "text", nodes: int = NODES, entries: int = CACHE_ENTRIES) -> DataFrame:
     """Pack all documents of ``df`` into sequences of at most ``capacity`` tokens.
 

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparktrend.llm.common import WORD
+from sparktrend.llm.common import WORD, labelled_texts
 
 #: Most labelled rows that a fit reads (the first by a hash of doc_id).
 SAMPLE_ROWS = 20_000
@@ -203,15 +203,14 @@ def fit_rules(names: list[str], x: np.ndarray, y: np.ndarray, penalties: tuple[f
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", rows: int = SAMPLE_ROWS) -> RuleModel:
-    """Fit on at most ``rows`` labelled rows, chosen by a hash of their id, none of them held out.
+    """Fit on at most ``rows`` labelled rows, chosen by a hash of their id, none of them held out. An id that repeats among ``docs`` gives one text.
 
     Rows with a null label or id are not used. Without usable rows the model
     gives 0.5 everywhere.
     """
     usable = labels.filter(F.col(label).isNotNull() & F.col(doc_id).isNotNull() & ~held_out(F.col(doc_id)))
     chosen = usable.select(F.col(doc_id).alias("id"), F.col(label).cast("double").alias("y")).orderBy(F.xxhash64("id"), "id", "y").limit(rows)
-    joined = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), "id")  # at most ``rows`` rows
-    got = joined.select("id", "y", statistics(F.col("text")).alias("stats")).toPandas()
+    got = labelled_texts(docs, chosen, doc_id, text).select("id", "y", statistics(F.col("text")).alias("stats")).toPandas()
     x = np.array(got["stats"].tolist(), float).reshape(-1, len(NAMES))
     order = np.lexsort((*x.T[::-1], got["y"], got["id"]))  # the collected order may vary
     return fit_rules(list(NAMES), x[order], got["y"].to_numpy(float)[order])

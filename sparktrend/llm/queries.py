@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparktrend.llm import alignment, ann, circulant, conversations, minhash, mixing, packing, pii, quality, secret_scan, simhash, token_count, toxicity
-from sparktrend.llm.common import delete_path, materialize, shared_dir, table
+from sparktrend.llm.common import delete_path, materialize, scoped, shared_dir, table
 
 #: The key of the PII queries. A real run takes its own from a secret store.
 DEMO_KEY = "demonstration key"
@@ -28,6 +28,7 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@scoped
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     ledger = f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}"
@@ -117,6 +118,7 @@ def repaired_digests(rows: DataFrame) -> DataFrame:
     return rows.select("conv", "nth", "role", "text").mapInArrow(run, f"k {rows.schema['conv'].dataType.simpleString()}, repaired_sha256 string")
 
 
+@scoped
 def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     broken = damaged(rows)

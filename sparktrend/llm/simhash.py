@@ -29,7 +29,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparktrend.llm.common import discard, fresh, in_slots, materialize, shingles, small_batches
+from sparktrend.llm.common import discard, fresh, in_slots, materialize, scoped, shingles, small_batches
 from sparktrend.llm.links import HOT, SIMILARITY, bucket_count, bucketed, components, document_rows, linked_components, node_of, parities, posting_groups, postings, pruned_groups, set_key, shingle_set, verified_links
 
 FULL = (1 << 64) - 1
@@ -255,6 +255,7 @@ def shard_stars(classes: DataFrame, links: Links) -> DataFrame:
     return placed.mapInArrow(search, "a long, b long").distinct()
 
 
+@scoped
 def near_duplicate_components(docs: DataFrame, links: Links = Links(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, fp, component) for every row of ``docs``.
 
@@ -391,6 +392,7 @@ def _similar_rows(docs: DataFrame, similarity: float, doc_id: str, text: str) ->
     return out
 
 
+@scoped
 def similar_components(docs: DataFrame, similarity: float = SIMILARITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, component) for every row of ``docs``: the smallest doc_id reachable over texts similar enough.
 
@@ -410,6 +412,7 @@ def similar_components(docs: DataFrame, similarity: float = SIMILARITY, doc_id:
     return _similar_rows(docs, similarity, doc_id, text).select("doc_id", "component")
 
 
+@scoped
 def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one row of each of ``similar_components``: the one with the smallest doc_id (null only if all are).
 

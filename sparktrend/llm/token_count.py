@@ -16,13 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparktrend.llm.common import small_batches
+from sparktrend.llm.common import fresh, small_batches
 
 MARK = "▁"
 #: Entries of a worker's count cache before it starts anew (a memory bound; counts don't depend on it).
 CACHE_ENTRIES = 400_000
 _PRETOKEN = re.compile(r" +[^ ]*")
-_models: dict[str, tuple] = {}
+_models: dict[str, _Counts] = {}
 
 
 def _processor(path: str):
@@ -83,12 +83,14 @@ def count_tokens(df: DataFrame, path: str, text: str = "text", limit: int = 4096
     single = df.sparkSession.sparkContext.broadcast(prove_single_tokens(path))  # bounded by the vocabulary
     new = {"n_bytes", "n_tokens", "over_limit"}
     keep = [c for c in df.columns if c != text and c.lower() not in new]
-    base = df.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(text), F.lit("")).alias("__text"))
+    base = df.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias(fresh("__text", keep)))
     kept = base.schema[: len(keep)] if keep else None
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept or []]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, counts = single.value, _models.setdefault(path, (_Counts(path),))[0]
+        if path not in _models:
+            _models[path] = _Counts(path)
+        known, counts = single.value, _models[path]
         for batch in batches:
             texts = batch.column(len(keep))
             sizes = [count_text(t.as_py(), known, counts) for t in texts]

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparktrend.llm.common import materialize, small_batches
+from sparktrend.llm.common import labelled_texts, materialize, scoped, small_batches
 
 #: Most labelled rows that a fit reads (the first by a hash of doc_id).
 SAMPLE_ROWS = 12_000
@@ -163,8 +163,9 @@ def best_cutoff(p: np.ndarray, toxic: np.ndarray) -> float:
     return float(min(0.5, 1 / (1 + np.exp(-logit))))
 
 
+@scoped
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = SAMPLE_ROWS, vocabulary: int = VOCABULARY, least_texts: int = LEAST_TEXTS, least_gain: float = LEAST_GAIN) -> OrdinalModel:
-    """Fit on at most ``rows`` labelled rows, chosen by a hash of their id.
+    """Fit on at most ``rows`` labelled rows, chosen by a hash of their id. An id that repeats among ``docs`` gives one text.
 
     Features are the ``vocabulary`` words and word beginnings, of those in
     ``least_texts`` texts of the sample or more, whose toxic and clean rates
@@ -174,7 +175,6 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     Rows with a null label or id are not used; a label for a missing document
     has no effect; without any usable row or vocabulary the model is constant.
     """
-    docs = small_batches(docs)
     chosen = labels.filter(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("y"))
     chosen = chosen.orderBy(F.xxhash64("id"), "id", "y").limit(rows)
 
@@ -191,7 +191,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         keys = list(have)
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.string()), pa.array([have[k] for k in keys], pa.int64())], names=["y", "word", "n"])
 
-    kept = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), "id").select("y", "text")  # at most ``rows`` rows
+    kept = small_batches(labelled_texts(docs, chosen, doc_id, text).select("y", "text"))  # at most ``rows`` rows
     sample = materialize(kept.mapInArrow(words, "y int, words array<string>, counts array<int>"), "toxic-sample")
     totals = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n1, n0 = totals.get(1, 0), totals.get(0, 0)
