@@ -34,6 +34,8 @@ WIDE = 8
 POSTINGS, HOT = 500_000, 50_000
 #: Fewest bits of a set's parities, and the most sets of a group that are compared by them in one task (larger groups go on whole).
 PARITIES, PRUNED = 256, 500
+#: Most edges whose components one task finds.
+FINISHED = 1_000_000
 #: Sizes of sets travel as a number of steps of this ratio.
 STEP = 1.02
 POSTING = np.dtype([("s", "<u4"), ("node", "<i8"), ("size", "<u2")])
@@ -62,23 +64,43 @@ def components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         new = label.copy()
         np.minimum.at(new, label[a], least)
         np.minimum.at(new, label[b], least)
-        while (jumped := new[new]).tolist() != new.tolist():
+        while not np.array_equal(jumped := new[new], new):
             new = jumped
         if (new == label).all():
             return label
         label = new
 
 
+def finished_components(edges: DataFrame) -> DataFrame:
+    """``linked_components`` of at most ``FINISHED`` edges, by one task: 16 bytes an edge, several times over."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()]) for b in batches if b.num_rows]
+        if held:
+            names, node = np.unique(np.concatenate(held, axis=1), return_inverse=True)
+            node = node.reshape(2, -1)
+            label = components(len(names), node[0], node[1])
+            far = label != np.arange(len(names))
+            yield pa.RecordBatch.from_arrays([pa.array(names[far]), pa.array(names[label[far]])], names=["id", "component"])
+
+    return materialize(edges.select("a", "b").coalesce(1).mapInArrow(run, "id long, component long"), "finished")
+
+
 def linked_components(stars: DataFrame) -> DataFrame:
     """(id, component) for every id in ``stars`` (a, b) with b < a: the smallest id linked to it.
 
     Minimum stars: each a hands its other neighbours to its least one, until
     every a has one neighbour; that is a forest whose roots are the answers,
     and pointer jumping finds them. Each round is a written table, and the
-    tables of the round before are deleted.
+    tables of the round before are deleted. When ``FINISHED`` edges or fewer
+    are there, one task takes the remaining rounds together.
     """
     edges, old = materialize(stars, "edges"), []
     while True:
+        if edges.count() <= FINISHED:
+            done = finished_components(edges)
+            discard(edges)
+            return done
         least = materialize(edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), "least")
         if least.filter("n > 1").isEmpty():
             break
@@ -227,9 +249,10 @@ def viable(group: int, rows: list[tuple[int, int, int, bytes]], similarity: floa
 
 def pruned_groups(groups: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
     """(node, group): those of ``groups`` (node, group, at; a written table, which is deleted) that hold several ``at``, cut by ``viable`` where they aren't too large. ``classes``: (node, at, n, bits)."""
-    sizes = groups.groupBy("group").agg(F.min("at").alias("low"), F.max("at").alias("high"), F.count("*").alias("sets")).filter("low < high").select("group", "sets")
-    several = materialize(groups.select("node", "group").join(sizes, "group"), "several")
-    discard(groups)
+    sizes = groups.groupBy("group").agg(F.min("at").alias("low"), F.max("at").alias("high"), F.count("*").alias("sets")).filter("low < high")
+    sizes = materialize(sizes.select("group", "sets"), "sizes")
+    several = materialize(groups.select("node", "group").join(sizes, "group"), "several")  # both are written tables, so that the join can be split where a group is large
+    discard(groups, sizes)
 
     def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, rows, done = None, [], set()
@@ -332,18 +355,21 @@ def verified_links(texts: DataFrame, members: DataFrame, similarity: float = SIM
     blocks = F.greatest(F.ceil(F.count("*") / BLOCK_TEXTS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")
     per_block = F.sum("n") / F.greatest(F.ceil(F.count("*") / BLOCK_TEXTS), F.ceil(F.sum("n") / BLOCK_SHINGLES))
     wide = F.greatest(F.lit(1), F.least(F.lit(WIDE), F.floor(2 * BLOCK_SHINGLES / per_block))).cast("int").alias("wide")  # fewer where texts are long
-    sizes = members.groupBy("group").agg(F.min("at").alias("low"), F.max("at").alias("high"), blocks, wide).filter("low < high").select("group", "blocks", "wide")
-    open_ = materialize(members.join(sizes, "group").select("group", "blocks", "wide", "row", "key", "at", "n"), "members")
+    given = materialize(members.select("row", "key", "at", "n", "group"), "given")
+    sizes = given.groupBy("group").agg(F.min("at").alias("low"), F.max("at").alias("high"), blocks, wide).filter("low < high")
+    sizes = materialize(sizes.select("group", "blocks", "wide"), "sizes")
+    open_ = materialize(given.join(sizes, "group").select("group", "blocks", "wide", "row", "key", "at", "n"), "members")
     dealt = lambda turn: F.pmod(F.xxhash64("key", F.lit(turn)), F.col("blocks")).cast("int")
     own = lambda rows, turn: rows.withColumn("block", dealt(turn)).select("row", "key", "at", "n", "group", F.col("block").alias("i"), F.col("block").alias("j"), "block")
     rounds = [_compare(texts, own(open_, 0), similarity, words)]
     stars = rounds[0].filter("b is not null").select("a", "b")
-    large, last, turn = open_.filter("blocks > 1"), None, 0
+    large, last, turn, heads_ = open_.filter("blocks > 1"), None, 0, []
     alone = large.isEmpty()
     while not alone:  # the heads of a large group's blocks meet, as long as that joins them
         turn += 1
         heads = rounds[-1].filter("b is null").select("group", "key", "row", "n", F.col("a").alias("at")).join(large.select("group").distinct(), "group", "left_semi")
         several = materialize(heads.groupBy("group").agg(F.count("*").alias("parts"), blocks).filter("parts > 1"), "heads")
+        heads_.append(several)
         total = several.agg(F.sum("parts")).head()[0] or 0
         if not total or last is not None and 2 * total > last:
             break
@@ -354,6 +380,7 @@ def verified_links(texts: DataFrame, members: DataFrame, similarity: float = SIM
     if not alone:
         named = large.join(label.select(F.col("id").alias("at"), "component"), "at", "left").withColumn("at", F.coalesce("component", "at")).drop("component")
         parted = materialize(named.groupBy("group").agg(F.min("at").alias("low"), F.max("at").alias("high")).filter("low < high").select("group"), "parted")
+        heads_.append(parted)
         if not parted.isEmpty():  # heads don't join these: compare all members
             mine, other = F.floor(F.col("block") / F.col("wide")).cast("int"), F.explode(F.sequence(F.lit(0), F.ceil(F.col("blocks") / F.col("wide")).cast("int") - 1)).alias("other")
             rest = named.join(parted, "group").withColumn("block", dealt(0)).select("row", "key", "at", "n", "group", "block", mine.alias("mine"), other)
@@ -361,5 +388,5 @@ def verified_links(texts: DataFrame, members: DataFrame, similarity: float = SIM
             cells = rest.select("row", "key", "at", "n", "group", F.least("mine", "other").alias("i"), (F.greatest("mine", "other") + (1 << 20)).alias("j"), "block")
             rounds.append(_compare(texts, cells, similarity, words))
             label = linked_components(stars.unionByName(rounds[-1].filter("b is not null").select("a", "b")).distinct())
-    discard(open_, *rounds)
+    discard(given, open_, sizes, *heads_, *rounds)
     return label
