@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparktrend.llm.common import WORD, fresh, materialize
+from sparktrend.llm.common import WORD, fresh, materialize, scoped
 
 #: Buckets into which a source's documents are dealt for the two-level prefix sum.
 BUCKETS = 1024
@@ -76,7 +76,8 @@ def demand_inverse(share: Column, slope: Column) -> Column:
     return 2 * share / (a + F.sqrt(a * a + 4 * slope * share))
 
 
-def curriculum_mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = (1, 2, 3), most: int = MOST, whole: bool = False, seed: str = "mix", tasks: int | None = None) -> DataFrame:
+@scoped
+def curriculum_mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = (1, 2, 3), most: int = MOST, whole: bool = False, seed: str = "mix", tasks: int | None = None, ranges: int | None = None) -> DataFrame:
     """Every row of ``docs`` with size, source_size, target, taken and positions.
 
     Added (replacing columns of these names in any case): size (words), the
@@ -96,10 +97,16 @@ def curriculum_mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     ``tasks`` (default: the shuffle partitions): a bucket is split by the order
     in it, so that one source alone is dealt out over four times as many
     groups. Results don't depend on it.
+
+    ``ranges`` adds ``ranges``: for each of ``positions`` its place among so
+    many ranges of training time that take equal shares of all demand (see
+    ``training_order``). The demand of all sources up to u is A u + B u^2, so
+    no rows are sampled for it.
     """
-    new = ("size", "source_size", "target", "taken", "position", "positions")
+    new = ("size", "source_size", "target", "taken", "position", "positions", *(["ranges"] if ranges else []))
     kept = [c for c in docs.columns if c.lower() not in new]
-    size, src, key, bucket, tie, before, base, target, total = (fresh(f"__{n}", docs.columns) for n in ("size", "source", "key", "bucket", "tie", "before", "base", "target", "total"))
+    names = ("size", "source", "key", "bucket", "tie", "before", "base", "target", "total", "bend", "of", "at")
+    size, src, key, bucket, tie, before, base, target, total, bend, of, at = (fresh(f"__{n}", docs.columns) for n in names)
     quoted = lambda c: F.col(f"`{c}`")
     hashed = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(quoted(doc_id).cast("string"), F.lit(""))))
     name = lambda c: F.when(c.isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), c.cast("string")))  # noqa: E731  never null: one exchange serves join and window
@@ -113,8 +120,8 @@ def curriculum_mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     targets = source_targets(sums.groupBy("source").agg(F.sum("n").alias("source_size")), weights, most)
     starts = sums.select("source", "b", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias(base))
     slope = F.round((F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce("source", F.lit("")))), 1, 4), 16, 10).cast("double") / 65535 - 0.5) * 1.6, 6)
-    starts = starts.join(targets.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).select(name(F.col("source")).alias("__s"), F.col("b").alias("__b"), base, F.col("source_size").alias(total), F.col("target").alias(target), slope.alias("__slope"))
-    joined = sized.join(starts, (sized[src] == starts["__s"]) & (sized[bucket] == starts["__b"]))
+    starts = starts.join(targets.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).select(name(F.col("source")).alias(of), F.col("b").alias(at), base, F.col("source_size").alias(total), F.col("target").alias(target), slope.alias(bend))
+    joined = sized.join(starts, (F.col(src) == F.col(of)) & (F.col(bucket) == F.col(at)))
     within = Window.partitionBy(src, bucket).orderBy(key, quoted(doc_id).cast("string"), tie).rowsBetween(Window.unboundedPreceding, -1)
     placed = joined.withColumn(before, F.col(base) + F.coalesce(F.sum(size).over(within), F.lit(0)))
     n, s, t = F.col(size), F.col(total), F.round(F.col(target)).cast("long")
@@ -126,13 +133,26 @@ def curriculum_mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     taken = F.when(n > 0, passes * n + more).otherwise(F.lit(0)).cast("long")
     takes = F.when(taken > 0, passes + (more > 0).cast("long")).otherwise(F.lit(0)).cast("int")
     share = lambda k: F.least((k * s + F.col(before)) / F.greatest(F.col(target), F.lit(1e-9)), F.lit(1.0))
-    positions = F.transform(F.slice(F.array(*[F.lit(k) for k in range(most + 1)]), F.lit(1), takes), lambda k: F.round(demand_inverse(share(k), F.col("__slope")), 9))
+    positions = F.transform(F.slice(F.array(*[F.lit(k) for k in range(most + 1)]), F.lit(1), takes), lambda k: F.round(demand_inverse(share(k), F.col(bend)), 9))
     out = placed.select(*[quoted(c) for c in kept], n.alias("size"), s.alias("source_size"), F.col(target).alias("target"), taken.alias("taken"), positions.alias("positions"))
+    if ranges:
+        whole_demand = targets.withColumn("slope", slope).agg(F.sum("target").alias("t"), F.sum(F.col("target") * F.col("slope")).alias("b"))
+        b, held = whole_demand.select(F.col("b") / F.greatest("t", F.lit(1e-9))).scalar(), F.col(of)
+        place = lambda u: F.least(F.floor(((1 - held) * u + held * u * u) * ranges), F.lit(ranges - 1)).cast("int")
+        out = out.withColumn(of, b).withColumn("ranges", F.transform("positions", place)).drop(of)
     return out.withColumn("position", F.when(F.size("positions") > 0, F.element_at("positions", 1)))
 
 
-def training_order(mixed: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """A row for each take of ``curriculum_mix``'s rows, range-sorted by position (ties by doc_id)."""
-    takes = mixed.withColumn("position", F.explode("positions")).drop("positions")
-    partitions = int(mixed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return takes.repartitionByRange(partitions, "position", doc_id).sortWithinPartitions("position", doc_id)
+def training_order(docs: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
+    """A row for each take of the rows of ``curriculum_mix`` (``options``: its own), sorted by position (ties by doc_id) within and across partitions.
+
+    Partitions are the ranges of the mix. A row knows its own from its
+    position, so texts are shuffled once to learn that and once to be there,
+    and nothing is computed twice for the bounds.
+    """
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    take = fresh("__take", docs.columns)
+    mixed = curriculum_mix(docs, doc_id, ranges=parts, **options)
+    takes = mixed.withColumn(take, F.explode(F.arrays_zip("positions", "ranges"))).withColumn("position", F.col(f"{take}.positions"))
+    placed = takes.repartitionById(parts, F.col(f"{take}.ranges")).sortWithinPartitions("position", doc_id)
+    return placed.drop(take, "positions", "ranges")

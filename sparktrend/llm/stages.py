@@ -65,7 +65,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """
     names = {c: f"c{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text", "source")}  # mixing adds columns of its own
     renamed = docs.select(*[F.col(f"`{c}`").alias(names.get(c, c)) for c in docs.columns])
-    mixed = mixing.training_order(mixing.curriculum_mix(renamed, whole=True))
+    mixed = mixing.training_order(renamed, whole=True)
     return mixed.select(*[F.col(f"`{names.get(c, c)}`").alias(c) for c in docs.columns])
 
 
