@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-from sparktrend.operators import matern, order_stats
+from sparktrend.operators import matern, nufft, order_stats
 from sparktrend.operators.matern import NOISE
 from sparktrend.plans.params import Params
 
@@ -16,6 +16,8 @@ FTOL, NEWTON_ROUNDS, ROUNDS, CUT = 1e-6, 200, 10, 2.0
 #: Most points of a segment whose covariance is solved as it stands (but for matern), and beyond it the variance,
 #: relative to the process, that a low-rank factor leaves of a point.
 DENSE, TOLERANCE = 512, 1e-15
+#: Points beyond which the periodogram of a period search is a transform of a grid.
+TRANSFORMED = 100
 #: Rows of the widest window that a closed-form estimate looks at one by one, where a tree could answer.
 WIDEST = 400
 #: Widest window whose pairs are listed for hodges.
@@ -734,7 +736,7 @@ def gp(t, f, w, p):
             if len(x) < 3 or x[-1] == x[0]:
                 return np.full(len(t), np.nan)
             omega = np.geomspace(1 / (x[-1] - x[0]), 1 / np.median(np.diff(x)), 10_000)
-            period = 2 * np.pi / omega[np.argmax(power(x, y, omega))]
+            period = 2 * np.pi / omega[np.argmax((nufft.power if len(x) > TRANSFORMED else power)(x, y, omega))]
         return gp_fit(x, y, "periodic", np.array([p.kernel_size, period, p.kernel_size]), p.kernel_search)(t) + offset
     size = p.kernel_size * (1000 if p.kernel == "matern" else 1)
     flat = y

@@ -1,17 +1,38 @@
-"""Lomb-Scargle power by series and frequency: one aggregation with partial sums."""
+"""Lomb-Scargle power by series and frequency.
+
+``engine="sums"`` is one aggregation with partial sums, a row and frequency at a
+time: right for few frequencies. ``engine="fft"`` spreads the rows of each
+series over a grid of times (``operators.nufft``) and transforms that: right for
+many. Tasks make grids of the parts of a series that they hold, which add up, so
+no task holds the rows of a series.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparktrend.operators.segments import quoted, usable
+from sparktrend.operators.nufft import Plan, powers
+from sparktrend.operators.segments import Isolated, quoted, usable
+
+#: Numbers of a grid that travel together, and the parts into which each series' rows are dealt.
+BLOCK, PARTS = 4096, 16
+
 
+def lomb_scargle(df: DataFrame, omegas: Sequence[float], time: str = "time", flux: str = "flux", series: Sequence[str] = (), engine: str = "sums") -> DataFrame:
+    """(series..., omega, power) at each angular frequency of the fixed list ``omegas``; unusable rows don't count.
 
-def lomb_scargle(df: DataFrame, omegas: Sequence[float], time: str = "time", flux: str = "flux", series: Sequence[str] = ()) -> DataFrame:
-    """(series..., omega, power) at each angular frequency of the fixed list ``omegas``; unusable rows don't count."""
+    ``engine``: "sums" or "fft" (see the module), whose powers agree to about
+    1e-10 of the largest. Frequencies are 0 or more for "fft".
+    """
+    if engine not in ("sums", "fft") or engine == "fft" and min(omegas, default=0) < 0:
+        raise ValueError("engine is sums or fft, and fft takes no negative frequencies")
+    if engine == "fft":
+        return _by_grids(df, [float(w) for w in omegas], time, flux, series)
     t, y = quoted(time).cast("double"), quoted(flux).cast("double")
     rows = df.filter(usable(quoted(time), quoted(flux))).select(*[quoted(s) for s in series], t.alias("__t"), y.alias("__y"), F.explode(F.array(*[F.lit(float(w)) for w in omegas])).alias("omega"))
     waves = rows.withColumns({"__c": F.cos(F.col("omega") * F.col("__t")), "__s": F.sin(F.col("omega") * F.col("__t"))})
@@ -22,3 +43,70 @@ def lomb_scargle(df: DataFrame, omegas: Sequence[float], time: str = "time", flu
     along = F.try_divide((ct * yc + st * ys) * (ct * yc + st * ys), ct * ct * cc + 2 * ct * st * cs + st * st * ss)
     across = F.try_divide((ct * ys - st * yc) * (ct * ys - st * yc), ct * ct * ss - 2 * ct * st * cs + st * st * cc)
     return phased.select(*[quoted(k) for k in series], "omega", (0.5 * (along + F.coalesce(across, F.lit(0.0)))).alias("power"))
+
+
+def _by_grids(df: DataFrame, omegas: list[float], time: str, flux: str, series: Sequence[str]) -> DataFrame:
+    own = Isolated(df)
+    keys, t, y = own.all(series), quoted(own.of(time)), quoted(own.of(flux))
+    name = F.md5(F.to_json(F.struct(*[quoted(k) for k in keys]))) if keys else F.lit("all")
+    rows = own.df.filter(usable(t, y)).select(name.alias("id"), *[quoted(k) for k in keys], t.cast("double").alias("t"), y.cast("double").alias("y"))
+    spans = rows.groupBy("id", *keys).agg(F.min("t").alias("low"), F.max("t").alias("high"), F.count("*").alias("n"))
+    # Any series may hold most rows, so each is dealt out, and its row of spans goes to all of its parts.
+    dealt = rows.select("id", "t", "y", F.pmod(F.monotonically_increasing_id(), F.lit(PARTS)).alias("part"))
+    parts = spans.select("id", "low", "high", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))).alias("part"))
+    asked, top = np.array(omegas), 2 * max(omegas, default=0.0)
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, plan, n, values, ones = None, None, 0, None, None
+
+        def blocks() -> pa.RecordBatch:
+            a, b = values.reshape(-1, min(BLOCK, plan.size)), ones.reshape(-1, min(BLOCK, plan.size))
+            full = np.flatnonzero(b.any(axis=1) | a.any(axis=1))
+            k = len(full)
+            columns = [pa.array([at] * k, pa.string()), pa.array([plan.low] * k), pa.array([plan.high] * k), pa.array([n] * k, pa.int64()), pa.array(full.astype(np.int32)), pa.array([a[i].tobytes() for i in full], pa.binary()), pa.array([b[i].tobytes() for i in full], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, names=["id", "low", "high", "n", "block", "a", "b"])
+
+        for batch in batches:
+            ids, low, high, held, t, y = (batch.column(k) for k in range(6))
+            names = ids.to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(names[1:] != names[:-1]) + 1), len(names)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a == b:
+                    continue
+                if names[a] != at:
+                    if plan is not None:
+                        yield blocks()
+                    at, n, plan = names[a], held[int(a)].as_py(), Plan(low[int(a)].as_py(), high[int(a)].as_py(), top)
+                    values, ones = np.zeros(plan.size), np.zeros(plan.size)
+                own_t, own_y = t.to_numpy()[a:b], y.to_numpy()[a:b]
+                values += plan.spread(own_t, own_y)
+                ones += plan.spread(own_t, np.ones(b - a))
+        if plan is not None:
+            yield blocks()
+
+    def transformed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, plan, n, values, ones = None, None, 0, None, None
+
+        def done() -> pa.RecordBatch:
+            found = powers(plan, n, values, ones, asked)
+            return pa.RecordBatch.from_arrays([pa.array([at], pa.string()), pa.array([found.tolist()], pa.list_(pa.float64()))], names=["id", "powers"])
+
+        for batch in batches:
+            for id_, low, high, held, block, a, b in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
+                if id_ != at:
+                    if plan is not None:
+                        yield done()
+                    at, n, plan = id_, held, Plan(low, high, top)
+                    values, ones = np.zeros(plan.size), np.zeros(plan.size)
+                where = slice(block * BLOCK, (block + 1) * BLOCK)
+                values[where] += np.frombuffer(a)
+                ones[where] += np.frombuffer(b)
+        if plan is not None:
+            yield done()
+
+    joined = dealt.join(parts, ["id", "part"]).select("id", "low", "high", "n", "t", "y").sortWithinPartitions("id")
+    grids = joined.mapInArrow(spread, "id string, low double, high double, n long, block int, a binary, b binary")
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = grids.repartition(tasks, "id").sortWithinPartitions("id").mapInArrow(transformed, "id string, powers array<double>")
+    named = spans.select("id", *keys).join(found, "id").select(*keys, F.explode(F.arrays_zip(F.array(*[F.lit(w) for w in omegas]).alias("omega"), F.col("powers").alias("power"))).alias("each"))
+    return named.select(*[quoted(k).alias(s) for k, s in zip(keys, series, strict=True)], "each.omega", "each.power")
