@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,26 +67,47 @@ def sigma_clipped(spark, sf_dir):
     return sigma_clip(flat, series=["user_id"], lower=1.5, upper=2.0).select("event_id", F.round("clipped", 6).alias("clipped"))
 
 
-#: Calls, and whether they are valid or what is filled in.
-RULES = [
-    ("unknown method", {"method": "none"}, "error"), ("proportiontocut int", {"proportiontocut": 0}, "error"), ("proportiontocut half", {"proportiontocut": 0.5}, "error"),
-    ("proportiontocut for any method", {"method": "cosine", "proportiontocut": 1}, "error"), ("trim cval over half", {"method": "trim_mean", "cval": 0.6}, "error"), ("trim cval", {"method": "trim_mean", "cval": 0.3}, "window 2.0, break 1.0, cval 0.3"),
-    ("trim default", {"method": "winsorize", "proportiontocut": 0.2}, "window 2.0, break 1.0, cval 0.2"), ("window default", {"method": "lowess"}, "window 2.0, break 1.0, cval 0.0"), ("break default", {"window_length": 5}, "window 5.0, break 2.5, cval 5.0"),
-    ("break off", {"method": "tau", "break_tolerance": 0}, "window 2.0, break inf, cval 4.5"), ("gp without size", {"method": "gp"}, "error"), ("gp size negative", {"method": "gp", "kernel_size": -1}, "error"),
-    ("gp unknown kernel", {"method": "gp", "kernel_size": 1, "kernel": "x"}, "error"), ("gp no kernel", {"method": "gp", "kernel_size": 1}, "window 2.0, break 1.0, cval 0.0"), ("periodic without period", {"method": "gp", "kernel_size": 1, "kernel": "periodic"}, "error"),
-    ("hampel default", {"method": "hampel"}, "window 2.0, break 1.0, cval (1.7, 3.4, 8.5)"), ("medfilt even", {"method": "medfilt", "window_length": 4}, "error"), ("window zero", {"window_length": 0}, "error"),
-]
+#: What ``parameter_rules`` asks for, by user and number of events.
+ASKED = ("biweight", "trim_mean", "winsorize", "medfilt", "savgol", "gp", "hampel", "nonsense")
+KERNEL = (None, "matern", "periodic", "squared_exp", "other")
 
 
 def parameter_rules(spark, sf_dir):
-    def outcome(options: dict) -> str:
-        try:
-            p = Params.resolve(**options)
-        except ValueError:
-            return "error"
-        return f"window {p.window_length}, break {p.break_tolerance}, cval {p.cval}"
-
-    return spark.createDataFrame([(name, outcome(options)) for name, options, _ in RULES], "rule string, outcome string")
+    """The parameters that each user's events ask for, whether they are valid, and what is filled in."""
+    n, k = F.col("n"), F.col("user_id")
+    some = lambda rule, value: F.when(rule, value)
+    asked = event_series(spark, sf_dir).groupBy("user_id").agg(F.count("*").alias("n")).select(
+        "user_id", F.element_at(F.array(*map(F.lit, ASKED)), (k % 8 + 1).cast("int")).alias("method"), some(n % 4 > 0, n % 9 / 2).alias("window_length"), some(n % 5 != 1, n % 3 * 1.0).alias("break_tolerance"),
+        some(n % 3 > 0, k % 11 / 10).alias("cval"), (k % 13 / 20).alias("proportiontocut"), F.element_at(F.array(*map(F.lit, KERNEL)), (n % 5 + 1).cast("int")).alias("kernel"), some(n % 7 > 0, n % 6 / 2).alias("kernel_size"), some(n % 2 > 0, F.lit(3.0)).alias("kernel_period"),
+    )
+
+    def resolved(batches):
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                user = row.pop("user_id")
+                try:
+                    p = Params.resolve(**row)
+                except ValueError:
+                    out.append((user, False, None, None, None))
+                else:
+                    out.append((user, True, p.window_length, p.break_tolerance, p.cval[0] if isinstance(p.cval, tuple) else p.cval))
+            columns = list(zip(*out, strict=True)) if out else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.bool_(), *[pa.float64()] * 3), strict=True)], names=["user_id", "valid", "window_length", "tolerance", "cval"])
+
+    return asked.mapInArrow(resolved, "user_id long, valid boolean, window_length double, tolerance double, cval double")
+
+
+_RULES_SQL = """
+WITH u AS (SELECT user_id, count(*) AS n FROM events GROUP BY user_id),
+a AS (SELECT user_id, [{asked}][user_id % 8 + 1] AS m, CASE WHEN n % 4 > 0 THEN (n % 9) / 2::DOUBLE ELSE 2 END AS w, CASE WHEN n % 5 <> 1 THEN (n % 3)::DOUBLE END AS b,
+  CASE WHEN n % 3 > 0 THEN (user_id % 11) / 10::DOUBLE END AS c, (user_id % 13) / 20::DOUBLE AS p, [NULL, 'matern', 'periodic', 'squared_exp', 'other'][n % 5 + 1] AS kernel,
+  CASE WHEN n % 7 > 0 THEN (n % 6) / 2::DOUBLE END AS size, CASE WHEN n % 2 > 0 THEN 3::DOUBLE END AS period FROM u),
+d AS (SELECT *, m IN ('trim_mean', 'winsorize') AS trims, coalesce(c, CASE m WHEN 'biweight' THEN 5 WHEN 'trim_mean' THEN p WHEN 'winsorize' THEN p WHEN 'savgol' THEN 2 WHEN 'hampel' THEN 1.7::DOUBLE ELSE 0 END) AS cv FROM a),
+v AS (SELECT *, m <> 'nonsense' AND p > 0 AND p < 0.5::DOUBLE AND NOT (trims AND cv >= 0.5::DOUBLE) AND NOT (m = 'hampel' AND c IS NOT NULL) AND w > 0
+  AND NOT (m IN ('savgol', 'medfilt') AND w <> floor(w)) AND NOT (m = 'medfilt' AND floor(w)::INT % 2 = 0)
+  AND NOT (m = 'gp' AND (coalesce(kernel, '') = 'other' OR size IS NULL OR size <= 0 OR (coalesce(kernel, '') = 'periodic' AND period IS NULL))) AS valid FROM d)
+SELECT user_id, valid, CASE WHEN valid THEN w END AS window_length, CASE WHEN valid THEN CASE WHEN b IS NULL THEN w / 2 WHEN b = 0 THEN 'inf'::DOUBLE ELSE b END END AS tolerance, CASE WHEN valid THEN cv END AS cval FROM v""".format(asked=", ".join(f"'{m}'" for m in ASKED))
 
 
 def segment_gaps(spark, sf_dir):
@@ -330,7 +352,7 @@ SELECT user_id, round(omega, 3) AS omega, round(0.5::DOUBLE * ((ct * yc + st * y
         "fits_source": restore(_slider_sql("med", table="(SELECT * FROM events WHERE event_id % 4 <> 0)")),
         "sigma_clip": _SIGMA_SQL.format(flat=_slider_sql("med")),
         "zero_to_null": "SELECT event_id, nullif(CASE WHEN event_id % 4 = 0 THEN 0 ELSE value END, 0)::DOUBLE AS flux FROM events",
-        "parameter_rules": "SELECT * FROM (VALUES " + ", ".join(f"('{name}', '{want}')" for name, _, want in RULES) + ") v(rule, outcome)",
+        "parameter_rules": _RULES_SQL,
         "defaults": _slider_sql(_NEWTON_SQL["biweight"], h="1", tol="1"),
         "breaks_off": _slider_sql("med", tol="1e300"),
         "trim_mean_cval": _slider_sql(_CLOSED_SQL["trim_mean"].replace("0.1", "0.25")),
