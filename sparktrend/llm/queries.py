@@ -204,5 +204,50 @@ SELECT s.doc_id, len(g)::BIGINT AS n_shingles, c AS component_id, s.doc_id = c A
 """
 
 
+def op11_sql() -> str:
+    """The cheapest edits by a recursion over each conversation's rows from the last to the first, with the best suffix of each of the grammar's four states."""
+    after = {"s": {"u": "u"}, "u": {"a": "a"}, "a": {"u": "u"}, "n": {"s": "s", "u": "u"}}  # n: nothing yet
+    inserted = {"n": ("n", "u", "a"), "s": ("s", "u", "a"), "u": ("u", "a", "u"), "a": ("a", "u", "a")}
+
+    def best(state: str) -> str:
+        ways = []
+        for k, at in enumerate(inserted[state]):
+            front = "I" * k
+            ways.append(f"{{'c': {5 * k + 2} + {at}c, 'a': '{front}D' || {at}a}}")
+            for role, to in after[at].items():
+                ways.append(f"{{'c': CASE WHEN must OR role <> '{role}' THEN 1000000000 ELSE {5 * k} + extra + {to}c END, 'a': '{front}K' || {to}a}}")
+                if role != "s":
+                    ways.append(f"{{'c': CASE WHEN must THEN 1000000000 ELSE {5 * k + 1} + extra + {to}c END, 'a': '{front}R' || {to}a}}")
+        return f"list_sort([{', '.join(ways)}])[1] AS {state}_"
+
+    return rf"""
+WITH RECURSIVE crc(k, b, v) AS (SELECT k, 0, k::BIGINT FROM range(256) r(k) UNION ALL SELECT k, b + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM crc WHERE b < 8),
+tab AS (SELECT list(v ORDER BY k) AS tab FROM crc WHERE b = 8),
+given AS (SELECT conv_id, coalesce(conv_id::VARCHAR, '~') AS ck, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  list_concat([4294967295::BIGINT], list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ascii(x)::BIGINT)) AS bytes FROM conversations),
+coded AS (SELECT given.*, xor(list_reduce(bytes, lambda c, x: xor(c >> 8, tab[xor(c & 255, x) + 1])), 4294967295) % 20 AS code FROM given, tab),
+hurt AS (SELECT ck, turn, CASE WHEN code = 4 THEN 'user' ELSE role END AS role, CASE code WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN code = 3 THEN [0, 1] ELSE [0] END) AS copy FROM coded WHERE code <> 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY ck ORDER BY turn NULLS FIRST, md5(length(role) || ':' || role || ':' || text), copy) AS i FROM hurt),
+core AS (SELECT *, regexp_replace(text, '[ 	-]+$', '') AS core, row_number() OVER (PARTITION BY ck, role, text ORDER BY i) > 1 AS again, substr(role, 1, 1) AS initial FROM placed),
+faults AS (SELECT *, CASE WHEN core = '' THEN 'blank' WHEN again THEN 'duplicate' WHEN right(core, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault, lag(initial) OVER (PARTITION BY ck ORDER BY i) AS before FROM core),
+sums AS (SELECT ck, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+  count(*) FILTER (i > 1 AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n FROM faults GROUP BY ck),
+dp(ck, i, nc, na, sc, sa, uc, ua, ac, aa) AS (
+  SELECT ck, n + 1, 0, '', 10, 'II', 5, 'I', 0, '' FROM sums
+  UNION ALL
+  SELECT ck, i, n_.c, n_.a, s_.c, s_.a, u_.c, u_.a, a_.c, a_.a FROM (
+    SELECT ck, i, {", ".join(best(x) for x in "nsua")} FROM (
+      SELECT dp.ck, f.i, f.initial AS role, f.fault IN ('blank', 'duplicate') AS must, CASE WHEN f.fault = 'truncated' THEN 5 ELSE 0 END AS extra, nc, na, sc, sa, uc, ua, ac, aa FROM dp JOIN faults f ON f.ck = dp.ck AND f.i = dp.i - 1))),
+done AS (SELECT ck, nc::BIGINT AS cost, na AS audit FROM dp WHERE i = 1),
+edits AS (SELECT ck, unnest(string_split(audit, '')) AS e, unnest(range(1, length(audit) + 1)) AS k FROM done WHERE audit <> ''),
+rows_ AS (SELECT *, count(*) FILTER (e <> 'I') OVER (PARTITION BY ck ORDER BY k) AS i, count(*) FILTER (e <> 'D') OVER (PARTITION BY ck ORDER BY k) AS j FROM edits),
+kept AS (SELECT r.ck, k, e, j, f.role, f.text, f.initial FROM rows_ r LEFT JOIN faults f ON r.e <> 'I' AND f.ck = r.ck AND f.i = r.i WHERE e <> 'D'),
+firsts AS (SELECT *, max(CASE WHEN j = 1 AND e = 'K' AND initial = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY ck) AS lead_ FROM kept),
+shown AS (SELECT ck, string_agg(CASE WHEN e = 'K' THEN role WHEN (j - lead_) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN e = 'I' THEN '' ELSE text END, chr(10) ORDER BY k) AS whole FROM firsts GROUP BY ck)
+SELECT g.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(whole, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, ck FROM given) g LEFT JOIN sums USING (ck) LEFT JOIN done USING (ck) LEFT JOIN shown USING (ck)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_secret_scan": OP1_SQL, "op6_mixing": OP6_SQL, "op13_circulant": OP13_SQL}
+    return {"op11_conversations": op11_sql(), "op1_secret_scan": OP1_SQL, "op6_mixing": OP6_SQL, "op13_circulant": OP13_SQL}
