@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparktrend.functions.scalars import clean, t14, transit_mask
+from sparktrend.functions.sql import register_sql
 from sparktrend.operators.clip import sigma_clip, slide_clip
 from sparktrend.operators.flatten import flatten, nsplines
 from sparktrend.operators.order_stats import METHODS as TREE
@@ -145,6 +146,13 @@ def lombscargle_power(spark, sf_dir):
     return rows.select("user_id", F.round("omega", 3).alias("omega"), F.round("power", 3).alias("power"))
 
 
+def sql_flatten(spark, sf_dir):
+    """One SQL text over the events."""
+    register_sql(spark)
+    text = "SELECT event_id, segment_id, round(trend, 6) AS trend, round(flat, 6) AS flat FROM trend_flatten(TABLE({rows}), series => 'user_id', row_id => 'event_id', method => 'biweight', window_length => 3, break_tolerance => 1.5D)"
+    return spark.sql(text, rows=event_series(spark, sf_dir))
+
+
 def lombscargle_fft(spark, sf_dir):
     rows = lomb_scargle(event_series(spark, sf_dir), OMEGAS, series=["user_id"], engine="fft")
     return rows.select("user_id", F.round("omega", 3).alias("omega"), F.round("power", 3).alias("power"))
@@ -186,6 +194,7 @@ def queries() -> dict[str, Query]:
         "slider_masked_median": _flat(mask=True, method="median", **SLIDER),
         "slider_orders": order_median,
         "fits_source": fits_source,
+        "sql_flatten": sql_flatten,
         "slider_winsorize_tree_masked": _flat(mask=True, method="winsorize", engine="tree", digits=FINE, **FAR),
         "slider_median_tree_cells": _flat(method="median", engine="tree", chunk=12.0, **FAR),
         "slider_median_cells": _flat(method="median", chunk=5.0, **SLIDER),
@@ -379,6 +388,6 @@ SELECT user_id, round(omega, 3) AS omega, round(0.5::DOUBLE * ((ct * yc + st * y
     trees = {f"slider_{m}_tree": _slider_sql(_CLOSED_SQL[m], **far) for m in TREE}
     trees |= {"slider_winsorize_tree_masked": _slider_sql(_CLOSED_SQL["winsorize"], **masked, **far), "slider_median_tree_cells": _slider_sql("med", **far)}
     out |= {name: sql if "median" in name else _rounded(sql, FINE) for name, sql in trees.items()}
-    out["lombscargle_fft"] = out["lombscargle_power"]
+    out |= {"lombscargle_fft": out["lombscargle_power"], "sql_flatten": out["biweight"]}
     # Dealt out by cells, the results are the same.
     return out | {f"{m}_cells": out[m] for m in ("slider_median", "biweight", "segment_gaps", "slide_clip")}
