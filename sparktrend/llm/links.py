@@ -34,6 +34,8 @@ WIDE = 8
 POSTINGS, HOT = 500_000, 50_000
 #: Fewest bits of a set's parities, and the most sets of a group that are compared by them in one task (larger groups go on whole).
 PARITIES, PRUNED = 256, 500
+#: Fewest tasks for cells and buckets.
+PARTS = 32
 #: Most edges whose components one task finds.
 FINISHED = 1_000_000
 #: Sizes of sets travel as a number of steps of this ratio.
@@ -160,7 +162,7 @@ def bucket_count(spark: SparkSession, postings: float) -> int:
 
 def _parts(spark: SparkSession) -> int:
     """Tasks for cells and buckets, which are many and of bounded size: the shuffle partitions, as each task costs a worker's start."""
-    return max(32, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return max(PARTS, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def postings(value: np.ndarray, node: np.ndarray, size: np.ndarray, short: np.ndarray, hot: np.ndarray) -> np.ndarray:

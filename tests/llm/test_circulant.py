@@ -110,6 +110,18 @@ def test_a_very_long_text(spark):
     assert [r[2] for r in found] == [1, 1, 3] and found[0][1] == 70_001
 
 
+def test_components_by_rounds_equal_those_of_one_task(spark, monkeypatch):
+    from sparktrend.llm import links
+
+    rng = np.random.default_rng(0)
+    edges = [(int(max(a, b)), int(min(a, b))) for a, b in rng.integers(0, 300, (260, 2)) if a != b] + [(k + 1, k) for k in range(1000, 1040)]
+    df = spark.createDataFrame(edges, "a long, b long").distinct()
+    one = {r["id"]: r["component"] for r in links.linked_components(df).collect()}
+    monkeypatch.setattr(links, "FINISHED", 0)
+    rounds = {r["id"]: r["component"] for r in links.linked_components(df).collect()}
+    assert one == {k: v for k, v in rounds.items() if k != v} and one[1040] == 1000
+
+
 def test_sql_of_the_query(spark, tmp_path):
     import duckdb
 
