@@ -2,7 +2,6 @@
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from sparktrend.llm import circulant, queries
 
@@ -120,13 +119,3 @@ def test_components_by_rounds_equal_those_of_one_task(spark, monkeypatch):
     monkeypatch.setattr(links, "FINISHED", 0)
     rounds = {r["id"]: r["component"] for r in links.linked_components(df).collect()}
     assert one == {k: v for k, v in rounds.items() if k != v} and one[1040] == 1000
-
-
-def test_sql_of_the_query(spark, tmp_path):
-    import duckdb
-
-    folder = "/root/testdata/sf0.001"
-    duckdb.sql(f"CREATE OR REPLACE TEMP VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
-    want = sorted(duckdb.sql(queries.OP13_SQL).fetchall())
-    got = queries.op13_circulant(spark, folder).select("doc_id", "n_shingles", "component_id", F.col("kept"))
-    assert sorted(tuple(r) for r in got.collect()) == want

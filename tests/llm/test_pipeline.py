@@ -30,7 +30,8 @@ def plain_similar(texts):
 def test_matches_sql(spark, name):
     got = llm.queries()[name](spark, DATA).toPandas()
     base = duckdb.connect()
-    base.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{DATA}/documents.parquet')")
+    for t in ("documents", "conversations"):
+        base.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{DATA}/{t}.parquet')")
     want = base.execute(llm.oracle_sql()[name]).df()
     columns = sorted(want.columns)
     assert columns == sorted(got.columns)
