@@ -64,13 +64,6 @@ def _estimated(df: DataFrame, whole: str, p: Params) -> DataFrame:
     values = F.transform(F.filter("__points", lambda q: q["t"] < F.col("__t") + half), lambda q: q["v"])
     cut = min(p.edge_cutoff, half)
     inner = (F.col("__t") >= F.col("__low") + cut) & (F.col("__t") <= F.col("__high") - cut)
-    if p.method == "mean":  # no list: the sums of the closed frame, less those of the points that lie exactly at its end
-        held = df.withColumn("__v", F.when(F.col("__ok") & ~F.col("__last"), value))
-        frame = lambda fn, a, b: F.expr(f"{fn}(__v) OVER ({whole} ORDER BY __t RANGE BETWEEN {a} AND {b})")
-        n = frame("count", f"{h} PRECEDING", f"{h} FOLLOWING") - frame("count", f"{h} FOLLOWING", f"{h} FOLLOWING")
-        total = frame("sum", f"{h} PRECEDING", f"{h} FOLLOWING") - F.coalesce(frame("sum", f"{h} FOLLOWING", f"{h} FOLLOWING"), F.lit(0.0))
-        summed = held.withColumns({"__n": n, "__sum": total})
-        return summed.withColumn("trend", F.when(F.col("__ok") & inner & (F.col("__n") > 0), F.col("__sum") / F.col("__n")))
     listed = df.withColumn("__v", value).withColumn("__points", points).withColumn("__values", values)
     trend = F.when(F.col("__ok") & inner & (F.size("__values") > 0), ESTIMATORS[p.method](F.col("__values"), p.cval))
     return listed.withColumn("trend", trend)
