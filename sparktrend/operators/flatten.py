@@ -29,6 +29,8 @@ from sparktrend.plans.params import CLOSED, GLOBAL, Params
 ADDED = ("segment_id", "trend", "flat")
 #: Rows of a series beyond which ``chunk="auto"`` deals it out.
 AUTO_ROWS = 1_000_000
+#: Methods whose fits search or iterate, so that they take long for the bytes they read.
+SEARCHED = ("gp", "lasso", "elasticnet", "hspline", "lowess", "rspline", "pspline")
 
 
 def _measured(df: DataFrame, time: str, flux: str, mask: str | None) -> DataFrame:
@@ -182,6 +184,11 @@ def window_rows(df: DataFrame, time: str, series: Sequence[str], window: float)
     return by_series.agg(F.max(F.col("n") * F.least(F.lit(1.0), window / F.greatest("span", F.lit(1e-300))))).head()[0] or 0
 
 
+def _tasks(df: DataFrame) -> int:
+    """Tasks of work that takes long for its bytes: as many as shuffles have, several a core."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def flatten(df: DataFrame, time: str = "time", flux: str = "flux", series: Sequence[str] = (), row_id: str | None = None, mask: str | None = None, engine: str = "auto", chunk: float | str | None = None, **options) -> DataFrame:
     """The columns of ``df``, and segment_id, trend, flat (flux / trend).
 
@@ -223,7 +230,9 @@ def flatten(df: DataFrame, time: str = "time", flux: str = "flux", series: Seque
     widest = 0 if engine == "tree" else WIDEST
     own = Isolated(df)
     series, row_id, names = own.all(series), own.of(row_id), own.kept(ADDED)
-    ready = _prepared(own.df, own.of(time), own.of(flux), series, row_id, own.of(mask), p, chunk)
+    # Adaptive execution merges partitions by their bytes; fits that take long for their bytes would then run in few tasks.
+    dealt = own.df.repartition(_tasks(df), *[quoted(s) for s in series]) if p.method in SEARCHED and series and not chunk else own.df
+    ready = _prepared(dealt, own.of(time), own.of(flux), series, row_id, own.of(mask), p, chunk)
     if chunk:
         done = _by_cells(ready, row_id, p, chunk, [c for c in names if c != row_id], engine, widest)
     else:

@@ -65,21 +65,29 @@ class Plan:
 
     def spread(self, t: np.ndarray, c: np.ndarray) -> np.ndarray:
         """The grid of values ``c`` at times ``t``; grids of several parts may be added."""
+        return self.spread_all(t, [c])[0]
+
+    def spread_all(self, t: np.ndarray, columns: list[np.ndarray]) -> list[np.ndarray]:
+        """The grids of several columns of values at times ``t``."""
         angle = (t - (self.low + self.high) / 2) * self.step
-        given = c / transform(angle * (WIDTH / 2))
-        grid, place = np.zeros(self.size), angle * (self.size / (2 * np.pi))
+        undone, place = 1 / transform(angle * (WIDTH / 2)), angle * (self.size / (2 * np.pi))
+        if len(t) < 10_000:  # few rows: one count for all of the kernel's points
+            at, weight = (np.concatenate(v) for v in zip(*((at % self.size, weight * undone) for at, weight in _around(place)), strict=True))
+            return [np.bincount(at, np.tile(c, WIDTH) * weight, self.size) for c in columns]
+        grids = [np.zeros(self.size) for _ in columns]
         for at, weight in _around(place):
-            grid += np.bincount(at % self.size, given * weight, self.size)
-        return grid
+            for grid, c in zip(grids, columns, strict=True):
+                grid += np.bincount(at % self.size, c * undone * weight, self.size)
+        return grids
 
     def sums(self, grid: np.ndarray, omega: np.ndarray) -> np.ndarray:
         """The sums at the frequencies ``omega``, for times from the middle of the plan."""
         k = np.arange(self.last + 1)
         even = np.conj(np.fft.rfft(grid)[: self.last + 1]) / transform(np.pi * WIDTH * k / self.size)
+        both = np.concatenate([np.conj(even[WIDTH:0:-1]), even])  # from -WIDTH on
         out = np.zeros(len(omega), complex)
         for at, weight in _around(omega / self.step):
-            value = even[np.abs(at)]
-            out += np.where(at < 0, np.conj(value), value) * weight
+            out += both[at + WIDTH] * weight
         return out
 
 
@@ -100,4 +108,4 @@ def power(t: np.ndarray, y: np.ndarray, omega: np.ndarray) -> np.ndarray:
     if not len(t) or not len(omega):
         return np.full(len(omega), np.nan)
     plan = Plan(float(t.min()), float(t.max()), 2 * float(np.max(omega)))
-    return powers(plan, len(t), plan.spread(t, y), plan.spread(t, np.ones(len(t))), omega)
+    return powers(plan, len(t), *plan.spread_all(t, [y, np.ones(len(t))]), omega)
