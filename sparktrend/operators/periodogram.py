@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from sparktrend.operators.nufft import Plan, powers
 from sparktrend.operators.segments import Isolated, quoted, usable
 
-#: Numbers of a grid that travel together, and the parts into which each series' rows are dealt.
-BLOCK, PARTS = 4096, 16
+#: Numbers of a grid that travel together, the rows of a series beyond which it is dealt out, into how many parts, and the series whose results leave a task together.
+BLOCK, LARGE, PARTS, TOGETHER = 4096, 1_000_000, 16, 256
 
 
 def lomb_scargle(df: DataFrame, omegas: Sequence[float], time: str = "time", flux: str = "flux", series: Sequence[str] = (), engine: str = "sums") -> DataFrame:
@@ -51,57 +51,74 @@ def _by_grids(df: DataFrame, omegas: list[float], time: str, flux: str, series:
     name = F.md5(F.to_json(F.struct(*[quoted(k) for k in keys]))) if keys else F.lit("all")
     rows = own.df.filter(usable(t, y)).select(name.alias("id"), *[quoted(k) for k in keys], t.cast("double").alias("t"), y.cast("double").alias("y"))
     spans = rows.groupBy("id", *keys).agg(F.min("t").alias("low"), F.max("t").alias("high"), F.count("*").alias("n"))
-    # Any series may hold most rows, so each is dealt out, and its row of spans goes to all of its parts.
-    dealt = rows.select("id", "t", "y", F.pmod(F.monotonically_increasing_id(), F.lit(PARTS)).alias("part"))
-    parts = spans.select("id", "low", "high", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))).alias("part"))
+    # A series may hold most rows: those of many are dealt out, and its row of spans goes to all of its parts. Others stay whole, for one grid each.
+    large = F.broadcast(spans.filter(F.col("n") > LARGE).select("id", F.lit(True).alias("large")))
+    dealt = rows.select("id", "t", "y", F.monotonically_increasing_id().alias("nth")).join(large, "id", "left").select("id", "t", "y", F.when(F.col("large"), F.pmod("nth", F.lit(PARTS))).otherwise(0).cast("long").alias("part"))
+    last = F.when(F.col("n") > LARGE, PARTS - 1).otherwise(0).cast("long")
+    parts = spans.select("id", "low", "high", "n", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("part"))
     asked, top = np.array(omegas), 2 * max(omegas, default=0.0)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, plan, n, values, ones = None, None, 0, None, None
 
-        def blocks() -> pa.RecordBatch:
+        ready: list[tuple] = []
+
+        def finished() -> None:
             a, b = values.reshape(-1, min(BLOCK, plan.size)), ones.reshape(-1, min(BLOCK, plan.size))
-            full = np.flatnonzero(b.any(axis=1) | a.any(axis=1))
-            k = len(full)
-            columns = [pa.array([at] * k, pa.string()), pa.array([plan.low] * k), pa.array([plan.high] * k), pa.array([n] * k, pa.int64()), pa.array(full.astype(np.int32)), pa.array([a[i].tobytes() for i in full], pa.binary()), pa.array([b[i].tobytes() for i in full], pa.binary())]
+            ready.extend((at, plan.low, plan.high, n, int(i), a[i].tobytes(), b[i].tobytes()) for i in np.flatnonzero(b.any(axis=1) | a.any(axis=1)))
+
+        def blocks() -> pa.RecordBatch:
+            kinds = (pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
+            columns = [pa.array(c, kind) for c, kind in zip(zip(*ready, strict=True), kinds, strict=True)]
+            ready.clear()
             return pa.RecordBatch.from_arrays(columns, names=["id", "low", "high", "n", "block", "a", "b"])
 
         for batch in batches:
             ids, low, high, held, t, y = (batch.column(k) for k in range(6))
-            names = ids.to_numpy(zero_copy_only=False)
+            names, lows, highs, counts, times, fluxes = ids.to_numpy(zero_copy_only=False), *(c.to_numpy() for c in (low, high, held, t, y))
             cuts = [0, *(np.flatnonzero(names[1:] != names[:-1]) + 1), len(names)]
             for a, b in zip(cuts, cuts[1:], strict=False):
                 if a == b:
                     continue
                 if names[a] != at:
                     if plan is not None:
-                        yield blocks()
-                    at, n, plan = names[a], held[int(a)].as_py(), Plan(low[int(a)].as_py(), high[int(a)].as_py(), top)
+                        finished()
+                        if len(ready) >= TOGETHER:
+                            yield blocks()
+                    at, n, plan = names[a], int(counts[a]), Plan(float(lows[a]), float(highs[a]), top)
                     values, ones = np.zeros(plan.size), np.zeros(plan.size)
-                own_t, own_y = t.to_numpy()[a:b], y.to_numpy()[a:b]
-                values += plan.spread(own_t, own_y)
-                ones += plan.spread(own_t, np.ones(b - a))
+                more, more_ones = plan.spread_all(times[a:b], [fluxes[a:b], np.ones(b - a)])
+                values += more
+                ones += more_ones
         if plan is not None:
-            yield blocks()
+            finished()
+            if ready:
+                yield blocks()
 
     def transformed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, plan, n, values, ones = None, None, 0, None, None
 
+        ready: list[tuple] = []
+
         def done() -> pa.RecordBatch:
-            found = powers(plan, n, values, ones, asked)
-            return pa.RecordBatch.from_arrays([pa.array([at], pa.string()), pa.array([found.tolist()], pa.list_(pa.float64()))], names=["id", "powers"])
+            ids, found = zip(*ready, strict=True)
+            ready.clear()
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(found, pa.list_(pa.float64()))], names=["id", "powers"])
 
         for batch in batches:
             for id_, low, high, held, block, a, b in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
                 if id_ != at:
                     if plan is not None:
-                        yield done()
+                        ready.append((at, powers(plan, n, values, ones, asked).tolist()))
+                        if len(ready) * len(asked) >= TOGETHER * 32:
+                            yield done()
                     at, n, plan = id_, held, Plan(low, high, top)
                     values, ones = np.zeros(plan.size), np.zeros(plan.size)
                 where = slice(block * BLOCK, (block + 1) * BLOCK)
                 values[where] += np.frombuffer(a)
                 ones[where] += np.frombuffer(b)
         if plan is not None:
+            ready.append((at, powers(plan, n, values, ones, asked).tolist()))
             yield done()
 
     joined = dealt.join(parts, ["id", "part"]).select("id", "low", "high", "n", "t", "y").sortWithinPartitions("id")
